@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucolake.llm import bpe, exact_dedup, mixing, quality
+from glucolake.llm import bpe, exact_dedup, mixing, ngram_join, quality
 from glucolake.llm.queries import table, tokenizer_file
 from glucolake.llm.shared import written
 
@@ -24,6 +24,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_rows(docs, exact_dedup.exact_groups(docs))
 
 
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the least id stays."""
+    groups = ngram_join.jaccard_components(docs)
+    return exact_dedup.keep_rows(docs, groups.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
@@ -35,7 +41,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, tokenizer_file())
 
 
-STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("ngram_join", ngram_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
 
 ORACLE_SQL = None
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucolake.llm import bpe, exact_dedup, mixing, ngram_join, quality, sharding, warc
+from glucolake.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, quality, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,21 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def fold(id_: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo ``n``."""
+    return F.crc32(id_.cast("string").cast("binary")) % n
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs, fold(F.col("doc_id"), 4) != 2)
+    return langid.predict(docs, net).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,6 +64,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda id_: fold(id_, 5) != 0)
+    return toxicity.scored(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 #: Size of a text in words, and a number in (0, 1) fixed by its id, as the mixing operator has them.
 OP8_SQL = r"""
 WITH d AS (
@@ -81,9 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op3_ngram_join": op3_ngram_join,
+    "op4_html": op4_html,
+    "op5_langid": op5_langid,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
