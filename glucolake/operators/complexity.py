@@ -59,7 +59,7 @@ def dfa(df: DataFrame) -> DataFrame:
     """
     s = numbered(df)
     mean = s.groupBy("id").agg(F.avg("x").alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("n").alias("size")).where("hi > lo and size >= 32")
-    windows = F.udf(dfa_windows, "array<int>")  # one call per subject
+    windows = F.udf(lambda n: dfa_windows(n), "array<int>")  # one call per subject
     mean = mean.withColumn("scales", windows("size")).drop("lo", "hi", "size")
     s = s.join(mean, "id").withColumn("dev", F.col("x") - F.col("mean"))
     days = s.groupBy("id", "day").agg(F.sum("dev").alias("d"))
@@ -116,7 +116,7 @@ def hurst(df: DataFrame) -> DataFrame:
     """
     s = numbered(df)
     sizes = s.groupBy("id").agg(F.max("n").alias("size"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("size >= 16 and hi > lo")
-    windows = F.udf(hurst_windows, "array<int>")
+    windows = F.udf(lambda n: hurst_windows(n), "array<int>")
     s = s.join(sizes.select("id", windows("size").alias("scales")), "id").select("id", "i", "x", "n", F.explode("scales").alias("scale"))
     s = s.where(F.col("i") < F.floor(F.col("n") / F.col("scale")) * F.col("scale")).withColumn("seg", F.floor(F.col("i") / F.col("scale")))
     # Sums by blocks of 4096 rows keep the running sum of a long segment out of a single task.
@@ -128,7 +128,7 @@ def hurst(df: DataFrame) -> DataFrame:
     run = F.sum("dev").over(Window.partitionBy("id", "scale", "seg", "block").orderBy("i"))
     s = s.withColumn("run", run).join(b, ["id", "scale", "seg", "block"]).withColumn("z", F.col("run") + F.col("carry"))
     r = s.groupBy("id", "scale", "seg").agg(((F.max("z") - F.min("z")) / F.nullif(F.max("sd"), F.lit(0.0))).alias("rs")).groupBy("id", "scale").agg(F.avg("rs").alias("rs")).where("rs > 0")
-    expected = F.udf(expected_range, "double")
+    expected = F.udf(lambda n: expected_range(n), "double")
     r = r.select("id", F.log("scale").alias("x"), (F.log("rs") - F.log(expected("scale"))).alias("y"))
     return slope(r, "y", "x", "h").select("id", (F.col("h") + 0.5).alias("hurst"))
 

@@ -103,7 +103,7 @@ def dimensions(df: DataFrame) -> tuple[int, int]:
 
 def preview(df: DataFrame, n: int = 8) -> DataFrame:
     """The first rows, with the file's name in front where there are several."""
-    files = df.select(".source_file").distinct().limit(2).count() if ".source_file" in df.columns else 1
+    files = df.select("`.source_file`").distinct().limit(2).count() if ".source_file" in df.columns else 1
     d = df.orderBy("_ord").limit(n)
     front = [F.col("`.source_file`").alias("Source file")] if files > 1 else []
     return d.select(*front, *(F.col(f"`{c}`") for c in df.columns if c not in BOOKKEEPING and c != "_ord"))
