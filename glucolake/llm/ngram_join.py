@@ -6,10 +6,16 @@ H = (|r| + |s|) / 7 tokens (at 75).  The hash range is cut into segments, as man
 size band (a power of two) asks for, and a set falls into one subset per segment.
 
 *Pigeonhole.*  Of any segments that are not empty in s, at most H differ from r.  Call
-(segment, subset) an element.  Both sets put their elements into the same order, fullest
-subset first (the fewer sets have it, the cheaper to index), then by hash, and index the
-first H + 1: as at most H elements of either set are missing in the other, the two prefixes
-share one.  A set is indexed in its own band, and in the band below if a partner can be there.
+(segment, subset) an element.  Both sets put their elements into the same order, cheapest to
+look up first, and index the first H + 1: as at most H elements of either set are missing in
+the other, the two prefixes share one.  A set is indexed in its own band, and in the band
+below if a partner can be there.
+
+*Cost.*  An element costs as many lookups as sets have it.  All elements are counted first,
+without ids, and those of several sets are noted in a filter of ``FILTER_BITS`` bits, from the
+least count for which they fill an eighth of it.  The order is: elements not in the filter,
+then fuller subsets, then by hash.  A set with H + 1 elements that no other set has links with
+nothing and isn't indexed at all.
 
 *One-deletion neighbourhoods.*  In small bands there may be fewer than H + 1 filled
 segments.  There a set indexes all its elements and each subset of two tokens or more with
@@ -21,8 +27,9 @@ is done again with twice as many segments, until all sets can.
 *Candidates.*  Sets that share a key meet in pieces dealt by key.  Each is paired with the
 least id there and the smallest set of compatible size, not with all others; these pairs
 are verified exactly on the whole sets and joined into components.  Then, where a key's
-sets still lie in different components, all their remaining pairs are verified too, so no
-link between components is lost, while a group of copies never becomes all its pairs.
+sets still lie in different components, those outside the largest one are tested against it
+and each other, block by block, so no link between components is lost, while a group of
+copies never becomes all its pairs.
 
 Texts with the same words in a row are one class and indexed once.  Null and empty texts
 have an empty set and link with nothing; ids are unique, rows with a null id get no
@@ -34,9 +41,11 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +59,10 @@ SMALL = 64
 FLUSH = 2_000_000
 #: Size codes are steps of an eighth of a power of two.
 CODE_STEPS = 8
+#: Sets on either side of one test of guests.
+BLOCK = 128
+#: Bits of the filter of common elements (it is broadcast: 16 MB), and of one part of it.
+FILTER_BITS, PART_BITS = 1 << 27, 1 << 20
 
 U = np.uint64
 _MULTIPLIER = 0x5851F42D4C957F2D
@@ -132,8 +145,12 @@ def most_apart(r: np.ndarray, s: np.ndarray, threshold: int) -> np.ndarray:
     return total - 2 * -(-threshold * total // (100 + threshold))
 
 
-def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, fine: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index keys of sets, the set of each key, and the sets that couldn't reach their sum."""
+def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, fine: int = 1, common=None, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of sets, the set of each key, and the sets that couldn't reach their sum.
+
+    ``common`` tells which keys many sets have; those come last in the order.  ``every``
+    gives the keys of all filled subsets, to be counted.
+    """
     size = np.diff(offsets)
     band = np.zeros(len(size), np.int64)
     some = size > 0
@@ -160,11 +177,19 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD,
 
         def element(total: np.ndarray, base: np.ndarray, filled: np.ndarray) -> np.ndarray:
             """Key of a subset: above all the emptiness, so that sorting puts the fullest first."""
-            return ((255 - np.minimum(filled, 255)).astype(U) << U(56)) | (mix(total + base) >> U(8))
+            return ((127 - np.minimum(filled, 127)).astype(U) << U(56)) | (mix(total + base) >> U(8))
 
         e = element(total, base, filled)
+        if every:
+            keys.append(e)
+            sets.append(which[of])
+            continue
+        if common is not None:
+            e |= common(e).astype(U) << U(63)
         need = apart[which] + 1
         have = np.bincount(of, minlength=len(which))
+        # Only where every element of several sets is in the filter does one that isn't belong to this set alone.
+        alone = np.bincount(of, e < U(1) << U(63), len(which)) >= need if common is not None and common.complete else np.zeros(len(which), bool)
         ends = np.r_[0, np.cumsum(have)]
         small = n < SMALL
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -172,14 +197,14 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD,
         nth = np.arange(len(e)) - np.repeat(ends[:-1], have)
         is_own = scheme is band
         everything = small & is_own
-        take = (nth < need[of]) | everything[of]
-        keys.append(e[take])
+        take = ((nth < need[of]) | everything[of]) & ~alone[of]
+        keys.append(e[take] & U((1 << 63) - 1))
         sets.append(which[of[take]])
         # Neighbourhoods: all of a small set in its own band; below, those of the smallest subsets for what is missing.
         missing = np.maximum(0, need - have)
         multi = np.bincount(of, filled > 1, len(which)).astype(np.int64)
         short.append(which[(missing > 0) & (~small | (missing > multi))])
-        widen = small & (multi > 0) & (everything | (missing > 0))
+        widen = small & (multi > 0) & (everything | (missing > 0)) & ~alone
         if widen.any():
             pick = np.flatnonzero(widen[of] & (filled > 1))
             order = pick[np.lexsort((filled[pick], of[pick]))]
@@ -201,16 +226,38 @@ def code_reach(threshold: int) -> int:
     return int(np.ceil(CODE_STEPS * np.log2(100 / threshold))) + 1
 
 
+@dataclass
+class Filter:
+    """Which keys more than one set has.  ``complete``: it was filled with all of them."""
+
+    bits: np.ndarray
+    pieces: int
+    complete: bool
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = filter_place(*piece_of(keys, self.pieces))
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def piece_of(keys: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """The piece a key is dealt to, and its 32 bits there."""
+    scrambled = mix(keys)
+    return ((scrambled >> U(32)) % U(pieces)).astype(np.int64), scrambled.astype(np.uint32)
+
+
+def filter_place(piece: np.ndarray | int, low: np.ndarray) -> np.ndarray:
+    return (mix(low.astype(U) | np.asarray(piece).astype(U) << U(32)) % U(FILTER_BITS)).astype(np.int64)
+
+
 PIECE = "piece int, keys binary, ids binary, codes binary, docs binary, sizes binary, short long"
 FOUND = "kind int, x long, y long, code int"
 
 
 def _pack(pieces: int, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, owner: np.ndarray, short: int) -> pa.RecordBatch:
     """A row for each piece: its keys, their sets' ids and size codes, ids in steps from the one before."""
-    scrambled = mix(keys)
-    to = ((scrambled >> U(32)) % U(pieces)).astype(np.int64)
+    to, low = piece_of(keys, pieces)
     order = np.argsort(to, kind="stable")
-    to, owner, low = to[order], owner[order], scrambled[order].astype(np.uint32)
+    to, owner, low = to[order], owner[order], low[order]
     cut = np.searchsorted(to, np.arange(pieces + 1))
     code = code_of(sizes)
     home = (mix(ids.astype(U)) % U(pieces)).astype(np.int64)
@@ -228,8 +275,62 @@ def _pack(pieces: int, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, own
     return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
 
 
-def index(docs: DataFrame, pieces: int, fine: int, words: int, threshold: int) -> DataFrame:
-    """Keys of all sets, as rows of many keys for each piece."""
+def count_elements(docs: DataFrame, pieces: int, fine: int, words: int, threshold: int) -> Filter:
+    """The filter of elements that several sets have.  Elements are shuffled as 4 bytes each; what comes to the driver is the filter."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            to, low = piece_of(np.concatenate(held), pieces)
+            order = np.argsort(to, kind="stable")
+            cut, low = np.searchsorted(to[order], np.arange(pieces + 1)), low[order]
+            some = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([low[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], ["piece", "keys"])
+
+        for batch in batches:
+            for part in steps(batch, 0):
+                held.append(keys_of(*shingle_sets(texts_of(part.column(0)), words), threshold, fine, every=True)[0])
+                if sum(map(len, held)) >= FLUSH:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
+
+    def common(table: pa.Table) -> pa.Table:
+        """Elements of two sets or more, by the part of the filter they fall into, and by the power of two their count reaches."""
+        low, n = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32), return_counts=True)
+        low, n = low[n > 1], n[n > 1]
+        at = filter_place(table.column("piece")[0].as_py(), low)
+        level = np.floor(np.log2(n)).astype(np.int32)
+        order = np.lexsort((at, at // PART_BITS, level))
+        at, level = at[order], level[order]
+        cut = np.flatnonzero(np.r_[True, (level[1:] != level[:-1]) | (at[1:] // PART_BITS != at[:-1] // PART_BITS)]) if len(at) else np.zeros(0, np.int64)
+        ends = np.r_[cut[1:], len(at)] if len(at) else cut
+        places = (at % PART_BITS).astype(np.uint32)
+        return pa.table({"part": pa.array((at[cut] // PART_BITS).astype(np.int32)), "level": pa.array(level[cut]), "n": pa.array((ends - cut).astype(np.int64)), "places": pa.array([places[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
+
+    def fill(table: pa.Table) -> pa.Table:
+        bits = np.zeros(PART_BITS, np.uint8)
+        for places in table.column("places").to_pylist():
+            bits[np.frombuffer(places, np.uint32)] = 1
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    rows = docs.select("text").mapInArrow(elements, "piece int, keys binary")
+    found = written(rows.groupBy("piece").applyInArrow(common, "part int, level int, n long, places binary"), "common")
+    sizes = {r["level"]: r["n"] for r in found.groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    least = 1
+    while sum(n for k, n in sizes.items() if k >= least) > FILTER_BITS // 8:
+        least += 1
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    width = PART_BITS // 8
+    for r in found.where(F.col("level") >= least).select("part", "places").groupBy("part").applyInArrow(fill, "part int, bits binary").collect():
+        bits[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+    return Filter(bits, pieces, least == 1)
+
+
+def index(docs: DataFrame, pieces: int, fine: int, words: int, threshold: int, common: Broadcast) -> DataFrame:
+    """Keys of all sets that can have a partner, as rows of many keys for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -243,7 +344,7 @@ def index(docs: DataFrame, pieces: int, fine: int, words: int, threshold: int) -
         for batch in batches:
             for part in steps(batch, 1):
                 tokens, offsets = shingle_sets(texts_of(part.column(1)), words)
-                keys, owner, short = keys_of(tokens, offsets, threshold, fine)
+                keys, owner, short = keys_of(tokens, offsets, threshold, fine, common.value)
                 held.append((part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets), keys, owner, len(short)))
                 weight += len(keys)
                 if weight >= FLUSH:
@@ -317,7 +418,7 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) that link, by their whole sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")  # Spark broadcasts it if it is small
     sets = written(set_table(docs.join(needed, docs["doc"] == needed["id"], "left_semi"), words), "sets")
     first, second = (sets.select(F.col("doc").alias(f"doc_{k}"), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     both = pairs.join(first, F.col("a") == F.col("doc_a")).join(second, F.col("b") == F.col("doc_b"))
@@ -325,6 +426,65 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> D
     return both.where(100 * common >= threshold * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
+def test_blocks(table: pa.Table, threshold: int) -> pa.Table:
+    """Links between the sets of side 0 and side 1 (or within side 0, where there is no other) of different parts, one for each set and part."""
+    doc, part, side = (table.column(c).to_numpy() for c in ("doc", "part", "side"))
+    column = table.column("shingles").combine_chunks()
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    number = np.unique(column.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)[1]
+    offsets -= offsets[0]
+    size = np.diff(offsets)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    held = np.zeros(number.max(initial=-1) + 1, np.int64)
+    places = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in right])
+    starts = np.r_[0, np.cumsum(size[right])[:-1]]
+    theirs = number[places]
+    a, b = [], []
+    for i in left:
+        own = number[offsets[i] : offsets[i + 1]]
+        held[own] = 1
+        common = np.add.reduceat(held[theirs], starts)
+        held[own] = 0
+        hit = right[(100 * common >= threshold * (size[i] + size[right] - common)) & (part[right] != part[i])]
+        _, first = np.unique(part[hit], return_index=True)
+        a += [doc[i]] * len(first)
+        b += doc[hit[first]].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def rest_links(lists: DataFrame, parts: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Links (a, b) between components that share a key, as many as joining them needs.
+
+    A list's anchor is the component that most of its sets are in; the others are its guests.
+    Guests are tested against each other and against all sets of the anchor: in blocks of
+    ``BLOCK`` sets on either side, so what is shuffled is sets by block, never pairs.
+    """
+    of = lists.join(parts, lists["doc"] == parts["node"], "left").select("list", "doc", F.coalesce("root", "doc").alias("part"))
+    of = written(of, "lists")
+    most = of.groupBy("list", "part").agg(F.count("*").alias("n")).groupBy("list").agg(F.max_by("part", F.struct(F.col("n"), -F.col("part"))).alias("anchor"), F.count("*").alias("parts")).where("parts > 1")
+    most = written(most.select(F.col("list").alias("in"), "anchor"), "anchors")
+    guests = written(of.join(most, of["list"] == most["in"]).where("part <> anchor").select("anchor", "doc", "part").distinct(), "guests")
+    anchors = guests.groupBy("anchor").agg(F.count("*").alias("n"))
+    own = parts.join(anchors.select("anchor"), parts["root"] == F.col("anchor")).select("anchor", F.col("node").alias("doc")).unionByName(anchors.select("anchor", F.col("anchor").alias("doc")))
+    own = written(own, "hosts")
+    size = anchors.join(own.groupBy(F.col("anchor").alias("at")).agg(F.count("*").alias("m")), F.col("anchor") == F.col("at")).select("at", F.ceil(F.col("n") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"))
+    size = written(size, "blocks")
+    block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    g = guests.join(size, F.col("anchor") == F.col("at")).withColumn("b", block("nx"))
+    among = F.transform(upto("nx"), lambda k: task(0, F.least("b", k), F.greatest("b", k), (F.col("b") > k).cast("int")))
+    with_own = F.transform(upto("nm"), lambda k: task(1, F.col("b"), k, F.lit(0)))
+    g = g.select("anchor", "doc", "part", F.explode(F.concat(among, with_own)).alias("t"))
+    o = own.join(size, F.col("anchor") == F.col("at")).withColumn("b", block("nm"))
+    o = o.select("anchor", "doc", F.col("anchor").alias("part"), F.explode(F.transform(upto("nx"), lambda k: task(1, k, F.col("b"), F.lit(1)))).alias("t"))
+    needed = written(guests.select("doc").union(own.select("doc")).distinct().select(F.col("doc").alias("id")), "needed")
+    sets = written(set_table(docs.join(needed, docs["doc"] == needed["id"], "left_semi"), words), "sets").withColumnRenamed("doc", "of")
+    rows = g.unionByName(o).join(sets, F.col("doc") == F.col("of")).select("anchor", "t.kind", "t.i", "t.j", "t.side", "doc", "part", "shingles")
+    return rows.groupBy("anchor", "kind", "i", "j").applyInArrow(lambda t: test_blocks(t, threshold), "a long, b long").where("a <> b")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``doc``, ``least``: the least id of those whose texts have the same words in a row."""
 
@@ -346,27 +506,19 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     single = d.where("doc is not null").join(copies.select(F.col("doc").alias("copy")), F.col("doc") == F.col("copy"), "left_anti")
     pieces, fine = 4 * partitions(spark), 1
     while True:
-        found = written(meet(index(single, pieces, fine, words, threshold), threshold), "found")
+        common = spark.sparkContext.broadcast(count_elements(single, pieces, fine, words, threshold))
+        found = written(meet(index(single, pieces, fine, words, threshold, common), threshold), "found")
+        common.destroy()
         if not found.where("kind = 3").limit(1).count():
             break
         fine *= 2
     pairs = written(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     links = written(verified(pairs, single, words, threshold), "links")
     parts = components(links)
-    # Where a key's sets lie in different components, all their pairs not tried yet.
-    lists = found.where("kind = 1").select(F.col("x").alias("list"), F.col("y").alias("doc"), "code").distinct()
-    lists = lists.join(parts, lists["doc"] == parts["node"], "left").select("list", "doc", "code", F.coalesce("root", "doc").alias("part"))
-    lists = written(lists, "lists")
-    mixed = written(lists.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select(F.col("list").alias("of")), "mixed")
-    lists = lists.join(mixed, F.col("list") == F.col("of"), "left_semi")
-    one, two = (lists.select("list", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "code", "part"))) for k in "12")
-    more = one.join(two, "list").where((F.col("part_1") < F.col("part_2")) & (F.abs(F.col("code_1") - F.col("code_2")) <= code_reach(threshold)))
-    more = more.select(F.least("doc_1", "doc_2").alias("a"), F.greatest("doc_1", "doc_2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "more")
-    if more.limit(1).count():
-        rest = written(verified(more, single, words, threshold), "links")
-        if rest.limit(1).count():
-            parts = components(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest))
+    lists = found.where("kind = 1").select(F.col("x").alias("list"), F.col("y").alias("doc")).distinct()
+    rest = written(rest_links(lists, parts, single, words, threshold), "links")
+    if rest.limit(1).count():
+        parts = components(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest))
     sizes = found.where("kind = 2").select(F.col("x").alias("own"), F.col("y").alias("n_shingles"))
     base = sizes.join(parts, sizes["own"] == parts["node"], "left").select("own", "n_shingles", F.coalesce("root", "own").alias("component_id"))
     # Copies take over what their class has; empty sets link with nothing.
