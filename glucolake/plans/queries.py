@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glucolake.config import PredictiveParams
-from glucolake.operators import complexity, downsample, export, functional, imputation, metrics, missingness, predictive, quality, scope, stats
+from glucolake.operators import complexity, downsample, export, functional, imputation, metrics, missingness, predictive, quality, review, scope, stats
 from glucolake.plans.fixtures import DENSE, SPARSE, TEXT, plain, plain_sql, readings, text_readings
 from glucolake.sources import standardize as std
 
@@ -476,3 +476,56 @@ def export_analysis(spark, d):
 @query("complexity_export")
 def complexity_export(spark, d):
     return export.complete_complexity(readings(spark, d))
+
+
+@query("predictive_per_subject")
+def predictive_per_subject(spark, d):
+    return predictive.performance(predictive.per_subject_scores(predictive.examples(readings(spark, d))), by=("id",))
+
+
+@query("upload_summary")
+def upload_summary(spark, d):
+    return review.upload_summary(readings(spark, d))
+
+
+@query("validation_rows")
+def validation_rows(spark, d):
+    t = text_readings(spark, d)
+    return review.validation(std.parse_summary(t, "timestamp_text"), std.glucose_summary(t, "glucose_text"))
+
+
+@query("glucose_parse_summary", f"""WITH {TEXT}, n AS (SELECT glucose_text, try_cast(replace(glucose_text, ',', '') AS DOUBLE) AS v FROM x)
+FINAL SELECT count(*) AS rows, count_if(glucose_text <> '') AS non_missing, count(v) AS numeric, count_if(glucose_text = '') AS missing, count_if(v IS NULL) AS non_numeric, min(v) AS min_glucose, max(v) AS max_glucose,
+ count_if(v < 40 OR v > 400) AS implausible, quantile_cont(v, 0.5) < 25 AS suspicious_units FROM n""", "rows:i non_missing:i numeric:i missing:i non_numeric:i min_glucose:d max_glucose:d implausible:i suspicious_units:b")
+def glucose_parse_summary(spark, d):
+    return std.glucose_summary(text_readings(spark, d), "glucose_text")
+
+
+@query("overlay_days", f"WITH {DENSE}\nFINAL SELECT id, count(*) AS readings, count(DISTINCT CAST(timestamp AS DATE)) AS days, count(DISTINCT CAST(timestamp AS DATE)) <= 14 AS show_legend FROM g GROUP BY id", "id:s readings:i days:i show_legend:b")
+def overlay_days(spark, d):
+    return review.overlay_days(readings(spark, d))
+
+
+@query("regularized_series", f"""{SNAP}, u AS (SELECT id, anchor, CAST(round_even((us - anchor) / {MINUTES * 60_000_000}.0::DOUBLE, 0) AS BIGINT) AS slot, avg(glucose) AS glucose FROM (SELECT *, min(us) OVER (PARTITION BY id) AS anchor FROM g WHERE glucose IS NOT NULL) GROUP BY ALL),
+nb AS (SELECT *, lag(slot) OVER w AS s0, lag(glucose) OVER w AS g0 FROM u WINDOW w AS (PARTITION BY id ORDER BY slot)),
+mk AS (SELECT id, anchor, unnest(range(s0 + 1, slot)) AS k, s0, slot, g0, glucose FROM nb WHERE slot - s0 BETWEEN 2 AND 4)
+FINAL SELECT id, make_timestamp(anchor + slot * {MINUTES * 60_000_000}) AS timestamp, glucose, false AS interpolated FROM u UNION ALL SELECT id, make_timestamp(anchor + k * {MINUTES * 60_000_000}), g0 + (glucose - g0) * (k - s0) / (slot - s0)::DOUBLE, true FROM mk""",
+    "id:s timestamp:t glucose:d interpolated:b")
+def regularized_series(spark, d):
+    return review.regularize_series(readings(spark, d), MINUTES)
+
+
+@query("thin_evenly")
+def thin_evenly(spark, d):
+    return downsample.thin_evenly(readings(spark, d), 250).select("id", "timestamp", "glucose")
+
+
+@query("qc_cards")
+def qc_cards(spark, d):
+    return quality.qc_cards(quality.qc_summary(readings(spark, d)))
+
+
+@query("imputation_status")
+def imputation_status(spark, d):
+    r = readings(spark, d)
+    return imputation.status(r, imputation.impute(r, minutes=MINUTES), MINUTES)
