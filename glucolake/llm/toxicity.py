@@ -131,6 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Callable[[Column], Column]
         return Model()
     chance = F.pmod(F.xxhash64(F.col("__of").cast("string"), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     known = known.where(chance < F.when(F.col("__toxic") == 1, min(1.0, SAMPLE / counts[1])).otherwise(min(1.0, SAMPLE / counts[0])))
+    # The shares keep the sample at 2 * SAMPLE rows; the limit proves the bound of what is broadcast.
+    known = F.broadcast(known.limit(3 * SAMPLE))
     rows = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")).join(known, F.col("__id") == F.col("__of")).select("__id", "__text", "__toxic")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
