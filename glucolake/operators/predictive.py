@@ -59,7 +59,7 @@ def examples(df: DataFrame, params: PredictiveParams = PredictiveParams(), thres
     g, us = F.col("glucose"), F.col("us")
     out: dict[str, Column] = {"glucose_current": g}
     for k in p.lag_minutes:
-        lo, hi = span(Window.unboundedPreceding, -m(k)), span(-m(k), Window.unboundedFollowing)
+        lo, hi = span(Window.unboundedPreceding, -m(k)), span(-m(k), 0)  # the row itself is at or after t - k
         t0, g0, t1, g1 = F.last("us").over(lo), F.last("glucose").over(lo), F.first("us").over(hi), F.first("glucose").over(hi)
         out[f"lag_{k}_glucose"] = F.when(t1 == t0, g0).otherwise(g0 + (g1 - g0) * ((us - m(k) - t0) / F.nullif(t1 - t0, F.lit(0))))
     for w in p.window_minutes:
