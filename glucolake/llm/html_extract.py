@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,10 +56,10 @@ SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt"
 
 
 class Node:
-    __slots__ = ("tag", "up", "out", "points", "chars", "links", "weight", "good")
+    __slots__ = ("tag", "up", "out", "inside", "points", "chars", "links", "weight")
 
-    def __init__(self, tag: str, up: Node | None, out: bool, weight: int):
-        self.tag, self.up, self.out, self.weight = tag, up, out, weight
+    def __init__(self, tag: str, up: Node | None, out: bool, weight: int, inside: bool = False):
+        self.tag, self.up, self.out, self.weight, self.inside = tag, up, out, weight, inside
         self.points, self.chars, self.links = 0.0, 0, 0
 
 
@@ -87,6 +88,7 @@ def extract(page: str | None) -> str:
         return ""
     root = Node("#root", None, False, 0)
     nodes, stack, links = [root], [root], 0
+    opened: Counter[str] = Counter()  # open elements by name: the stack is searched only for what it has
     blocks: list[tuple[Node, list[str], list[int]]] = []  # element, text pieces, [characters in links]
     fresh = True  # the next text begins a block
 
@@ -107,8 +109,9 @@ def extract(page: str | None) -> str:
 
     def close_to(depth: int) -> None:
         nonlocal fresh
-        if any(n.tag in BLOCKS for n in stack[depth:]):
-            fresh = True
+        for x in stack[depth:]:
+            fresh = fresh or x.tag in BLOCKS
+            opened[x.tag] -= 1
         del stack[depth:]
 
     at, n = 0, len(page)
@@ -128,14 +131,14 @@ def extract(page: str | None) -> str:
         if m["end"] or m["end2"]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in BLOCKS or tag in DROPPED:
+            if opened[tag]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == tag:
                         close_to(depth)
                         break
                     if stack[depth].tag in ("article", "table") and tag in ("div", "p", "section"):
                         break
-                fresh = fresh or tag in BLOCKS
+            fresh = fresh or tag in BLOCKS
             if tag in SPACED:
                 text(" ")
             continue
@@ -157,7 +160,7 @@ def extract(page: str | None) -> str:
                 if judged(tag, m["rest"], True)[0] and (end := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)):
                     at = end.end()
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
                     close_to(depth)
@@ -166,7 +169,7 @@ def extract(page: str | None) -> str:
                     break
         if tag in SAME:
             ends, bound = SAME[tag]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[e] for e in ends) else ():
                 if stack[depth].tag in bound:
                     break
                 if stack[depth].tag in ends:
@@ -174,9 +177,10 @@ def extract(page: str | None) -> str:
                     if tag != "tr":
                         break
         up = stack[-1]
-        inside = any(x.tag in ("article", "main") for x in stack)
+        inside = up.inside or up.tag in ("article", "main")
         out, weight = (True, 0) if up.out or tag in DROPPED or tag == "header" and not inside else judged(tag, m["rest"] or "", inside)
-        node = Node(tag, up, out, weight)
+        node = Node(tag, up, out, weight, inside)
+        opened[tag] += 1
         nodes.append(node)
         stack.append(node)
         fresh = True
@@ -187,11 +191,9 @@ def extract(page: str | None) -> str:
         if not words:
             continue
         found.append((node, words))
-        size, x, level = len(words), node, 0
-        while x is not None:
-            x.chars += size
-            x.links += min(size, linked[0])
-            x = x.up
+        size, level = len(words), 0
+        node.chars += size
+        node.links += min(size, linked[0])
         if size >= 25:
             points = 1 + sum(words.count(c) for c in ",،、，") + min(size // 100, 3)
         else:
@@ -202,6 +204,9 @@ def extract(page: str | None) -> str:
             x, level = x.up, level + 1
     if not found:
         return ""
+    for x in reversed(nodes[1:]):  # elements come after those around them
+        x.up.chars += x.chars
+        x.up.links += x.links
 
     def score(x: Node) -> float:
         return (x.points + (BASE.get(x.tag, -5 if x.tag[0] == "h" and x.tag != "html" else 0) + x.weight) * min(1.0, x.points / 5)) * (1 - x.links / max(1, x.chars))
@@ -222,17 +227,11 @@ def extract(page: str | None) -> str:
                 density = s.links / s.chars
                 if score(s) >= least or s.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and density < 0.25:
                     kept.add(id(s))
-    texts = []
-    for node, words in found:
-        x, inside, going = node, False, True
-        while x is not None and not inside:
-            inside = id(x) in kept
-            if not inside and x.tag in CLEANED and x.links > 0.5 * x.chars:
-                going = False
-                break
-            x = x.up
-        if inside and going:
-            texts.append(words)
+    shown: set[int] = set()
+    for x in nodes:
+        if id(x) in kept or x.up is not None and id(x.up) in shown and not (x.tag in CLEANED and x.links > 0.5 * x.chars):
+            shown.add(id(x))
+    texts = [words for node, words in found if id(node) in shown]
     return "\n\n".join(texts)
 
 

@@ -57,3 +57,9 @@ def test_table_edges(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x", 2), (1, "u", "<p>x", 2)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, main_text(df).collect()), key=str) == [(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0)]
     assert main_text(df.where("false")).count() == 0
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    depth = 100_000
+    assert extract("<div>" * depth + f"<p>{LONG}</p>" + "</div>" * depth) == LONG
+    assert extract("<ul><li>" * depth + LONG) == LONG
