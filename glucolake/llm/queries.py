@@ -92,6 +92,19 @@ SELECT doc_id, size, source_size, target,
 FROM j
 """
 
+#: A group of five hexadecimal digits of the SHA-1 is four characters of base32.
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first_id FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + ((CAST('0x' || substr(x, CAST(1 + (i // 4) * 5 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
@@ -110,4 +123,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
