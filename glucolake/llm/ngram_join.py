@@ -145,6 +145,14 @@ def most_apart(r: np.ndarray, s: np.ndarray, threshold: int) -> np.ndarray:
     return total - 2 * -(-threshold * total // (100 + threshold))
 
 
+def furthest(r: np.ndarray, largest: np.ndarray, threshold: int) -> np.ndarray:
+    """The most tokens in which sets of size r differ from any partner of up to ``largest`` tokens.
+
+    A token more changes ``most_apart`` by 1 up or down, and never down twice in a row: the two largest sizes suffice.
+    """
+    return np.maximum(most_apart(r, largest, threshold), most_apart(r, largest - 1, threshold))
+
+
 def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, fine: int = 1, common=None, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index keys of sets, the set of each key, and the sets that couldn't reach their sum.
 
@@ -156,11 +164,11 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD,
     some = size > 0
     band[some] = np.floor(np.log2(size[some])).astype(np.int64)
     largest = 100 * size // threshold  # partner
-    own = most_apart(size, largest, threshold)
+    own = furthest(size, largest, threshold)
     top_below = (1 << band) - 1
     below = some & (-(-threshold * size // 100) <= top_below) & (top_below > 0)
     keys, sets, short = [], [], []
-    for scheme, chosen, apart in ((band, some, own), (band - 1, below, most_apart(size, top_below, threshold))):
+    for scheme, chosen, apart in ((band, some, own), (band - 1, below, furthest(size, top_below, threshold))):
         which = np.flatnonzero(chosen)
         if not len(which):
             continue

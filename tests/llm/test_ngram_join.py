@@ -92,3 +92,24 @@ def test_pairs_that_link_share_a_key():
                 continue
             keys, owner, short = N.keys_of(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
             assert len(short) or set(keys[owner == 0]) & set(keys[owner == 1]), (n, more, less)
+
+
+def test_contained_pairs_equal_brute_force(spark):
+    """A set and the first tokens of it, in the band below: the pair differs in as many tokens as its sizes allow."""
+    rng = random.Random(5)
+    texts = {}
+    for whole, part in [(18, 14), (20, 15), (17, 13), (16, 12), (19, 15), (36, 27), (37, 28), (34, 30), (70, 53), (81, 61), (134, 101)]:
+        for _ in range(12):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(whole + 4)]
+            for n in (whole, part):
+                texts[len(texts)] = " ".join(words[: n + 4])
+    assert got(spark, texts) == brute(texts)
+
+
+@pytest.mark.parametrize("threshold", [50, 60, 75, 80, 90])
+def test_bound_holds_for_all_partner_sizes(threshold):
+    for size in range(1, 300):
+        for largest in range(size * threshold // 100 + 1, 100 * size // threshold + 1):
+            sizes = np.arange(-(-threshold * size // 100), largest + 1)
+            if len(sizes):
+                assert N.furthest(np.array([size]), np.array([largest]), threshold)[0] >= N.most_apart(np.full(len(sizes), size), sizes, threshold).max()
