@@ -109,7 +109,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
     count = np.diff(first)
     n = len(h)
     s = np.zeros(n, U)
-    for k in range(words):
+    for k in range(min(words, n)):
         s[: n - k] += h[k:] * U(pow(0x9FB21C651E98DF25, k + 1, 1 << 64))
     s = mix(s)
     use = np.zeros(n + 1, np.int64)

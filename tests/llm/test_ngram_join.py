@@ -113,3 +113,12 @@ def test_bound_holds_for_all_partner_sizes(threshold):
             sizes = np.arange(-(-threshold * size // 100), largest + 1)
             if len(sizes):
                 assert N.furthest(np.array([size]), np.array([largest]), threshold)[0] >= N.most_apart(np.full(len(sizes), size), sizes, threshold).max()
+
+
+def test_short_texts_alone(spark):
+    """A slice of few words in all, in numpy and as partitions of one row."""
+    texts = {n: " ".join("abcdef"[:n]) for n in range(1, 7)}
+    for n, text in texts.items():
+        assert N.shingle_sets([text.encode()])[1].tolist() == [0, max(1, n - 4)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(texts.items()), len(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.jaccard_components(df).collect()} == brute(texts)
