@@ -1,12 +1,13 @@
 """The corpus pipeline: quality rules, exact dedup, n-gram Jaccard join, mixing, BPE.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each is written as Parquet
-and read again as the next one's docs.
+and read again as the next one's docs.  A stage decides on rows, by a key it gives them
+itself: ids may be null or repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glucolake.llm import bpe, exact_dedup, mixing, ngram_join, quality
@@ -14,26 +15,49 @@ from glucolake.llm.queries import table, tokenizer_file
 from glucolake.llm.shared import written
 
 
+ROW = "__row"
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row that all readers see the same: its file's number and its place there.
+
+    What isn't a bare table of files is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs, "rows")
+    rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+    files = rows.select(F.col("__path").alias("__file")).distinct()
+    files = written(files.select("__file", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("__file")).alias("__nth")), "files")  # a row per file
+    return rows.join(F.broadcast(files), F.col("__path") == F.col("__file")).select(*docs.columns, (F.shiftleft(F.col("__nth").cast("long"), 40) + F.col("__at")).alias(ROW))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return exact_dedup.keep_rows(docs, quality.quality_rules(docs, table(spark, sf_dir, "labels")))
+    rows = with_key(docs)
+    return exact_dedup.keep_rows(rows, quality.quality_rules(rows, table(spark, sf_dir, "labels"), also=(ROW,)), ROW).drop(ROW)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
-    return exact_dedup.keep_rows(docs, exact_dedup.exact_groups(docs))
+    """Of equal texts one row stays."""
+    rows = with_key(docs)
+    return exact_dedup.keep_rows(rows, exact_dedup.exact_groups(rows, row_column=ROW), ROW).drop(ROW)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id stays."""
-    groups = ngram_join.jaccard_components(docs)
-    return exact_dedup.keep_rows(docs, groups.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    """Of each group of near duplicates the row of the least id stays; null ids rank last."""
+    rows = with_key(docs)
+    groups = ngram_join.jaccard_components(rows, ROW).select(F.col(ROW).alias("__of"), "component_id")
+    ranked = rows.select(ROW, "doc_id").join(groups, F.col(ROW) == F.col("__of"))
+    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW))).alias("first"))
+    return exact_dedup.keep_rows(rows, first.select(f"first.{ROW}", F.lit(True).alias("kept")), ROW).drop(ROW)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each row as often as the mix takes it; rows of one id, or of none, are drawn by their texts as well."""
+    rows = with_key(docs)
+    drawn = rows.select(ROW, "text", "source", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+    copies = mixing.mix(drawn, "key", also=(ROW,)).where("copies > 0").select(F.col(ROW).alias("__of"), "copies")
+    return rows.join(copies, F.col(ROW) == F.col("__of")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,17 +56,19 @@ def _merge(runs: list[np.ndarray], largest: bool) -> np.ndarray:
     return out
 
 
-def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "largest", fan_in: int = FAN_IN) -> DataFrame:
-    """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` (of the normalised text)."""
+def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "largest", fan_in: int = FAN_IN, row_column: str | None = None) -> DataFrame:
+    """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` (of the normalised text); and ``row_column``, a key of the rows, where it is given."""
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
     largest, spark = keep == "largest", docs.sparkSession
     slices = max(8, partitions(spark))
 
     def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, digests, lengths = [], [], []
+        ids, digests, lengths, own = [], [], [], []
         for batch in batches:
             ids.append(pc.fill_null(batch.column(0), int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64))
+            if row_column:
+                own.append(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
             for part in steps(batch, 1):
                 texts = texts_of(part.column(1))
                 digests.append(b"".join(hashlib.sha256(t.lower()).digest() for t in texts))
@@ -76,16 +78,17 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         rows = np.zeros(len(lengths), RECORD)
         rows["digest"] = np.frombuffer(b"".join(digests), "S32")
         rows["keep"], rows["node"], rows["copies"], rows["length"] = np.concatenate(ids), TaskContext.get().partitionId(), 1, lengths
-        rows = rows[np.lexsort((~rows["keep"] if largest else rows["keep"], rows["digest"]))]
+        order = np.lexsort((~rows["keep"] if largest else rows["keep"], rows["digest"]))
+        rows, own = rows[order], np.concatenate(own)[order] if row_column else np.zeros(0, np.int64)
         head = np.frombuffer(rows["digest"].tobytes(), ">u4").reshape(-1, 8)[:, 0].astype(np.uint64)
         bounds = np.searchsorted((head * np.uint64(slices)) >> np.uint64(32), np.arange(slices + 1))
         found = [(s, rows[a:b]) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([s for s, _ in found], pa.int32()), pa.array([int(rows["node"][0])] * len(found), pa.int32()), pa.array([_blob(r) for _, r in found], pa.binary()), pa.array([_blob(_merge([r], largest)) for _, r in found], pa.binary())],
-            ["slice", "node", "members", "run"],
+            [pa.array([s for s, _ in found], pa.int32()), pa.array([int(rows["node"][0])] * len(found), pa.int32()), pa.array([_blob(r) for _, r in found], pa.binary()), pa.array([own[bounds[s] : bounds[s + 1]].tobytes() for s, _ in found], pa.binary()), pa.array([_blob(_merge([r], largest)) for _, r in found], pa.binary())],
+            ["slice", "node", "members", "own", "run"],
         )
 
-    runs = written(docs.select(F.col(id_column).cast("long"), text_column).mapInArrow(first_runs, "slice int, node int, members binary, run binary"), "runs")
+    runs = written(docs.select(F.col(id_column).cast("long"), text_column, *([F.col(row_column).cast("long").alias("__own")] if row_column else [])).mapInArrow(first_runs, "slice int, node int, members binary, own binary, run binary"), "runs")
 
     def merge_round(table: pa.Table) -> pa.Table:
         merged = _merge([np.frombuffer(b, RECORD) for b in table.column("run").to_pylist()], largest)
@@ -108,17 +111,19 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     found = written(level.select("run").mapInArrow(groups, "digest binary, keep long, keep_node int, copies long"), "groups")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each digest of a first run, its identifiers as a list in the order in which they would stay."""
+        """A row for each digest of a first run, its identifiers (and its rows' keys) as lists in the order in which they would stay."""
         for batch in batches:
-            for node, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for node, blob, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 r = np.frombuffer(blob, RECORD)
                 starts = np.flatnonzero(np.r_[True, r["digest"][1:] != r["digest"][:-1]])
                 digests = r["digest"][starts].tobytes()
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(r)].astype(np.int32)), pa.array(np.ascontiguousarray(r["keep"])))
-                yield pa.RecordBatch.from_arrays([pa.array([digests[i : i + 32] for i in range(0, len(digests), 32)], pa.binary()), pa.array([node] * len(starts), pa.int32()), lists], ["digest", "node", "ids"])
+                offsets = pa.array(np.r_[starts, len(r)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.ascontiguousarray(r["keep"]), *([np.frombuffer(own, np.int64)] if row_column else []))]
+                yield pa.RecordBatch.from_arrays([pa.array([digests[i : i + 32] for i in range(0, len(digests), 32)], pa.binary()), pa.array([node] * len(starts), pa.int32()), *lists], ["digest", "node", "ids", *owns])
 
-    lists = runs.select("node", "members").mapInArrow(members, "digest binary, node int, ids array<bigint>")
-    joined = lists.join(found, "digest", "left").select("digest", "node", "keep", "keep_node", "copies", F.posexplode("ids").alias("pos", "id"))
+    owns = ["owns"] if row_column else []
+    lists = runs.select("node", "members", "own").mapInArrow(members, ", ".join(["digest binary, node int, ids array<bigint>", *(f"{c} array<bigint>" for c in owns)]))
+    joined = lists.join(found, "digest", "left").select("digest", "node", "keep", "keep_node", "copies", *owns, F.posexplode("ids").alias("pos", "id"))
     null = lambda c: F.when(c != F.lit(int(NULL_ID)), c)
     kind = docs.schema[id_column].dataType
     return joined.select(
@@ -127,6 +132,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
         (F.col("copies").isNull() | ((F.col("node") == F.col("keep_node")) & (F.col("pos") == 0))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(F.get(c, F.col("pos")).cast(docs.schema[row_column].dataType).alias(row_column) for c in owns),
     )
 
 

@@ -54,9 +54,9 @@ def source_targets(sizes: DataFrame, source: str = "source", weights: tuple[floa
     return t.select(source, "source_size", F.when(F.col("open"), F.least("cap", F.col("final") * F.col("weight"))).otherwise(F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
-    """One row per document: id, source, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` (= copies * size)."""
-    d = docs.select(F.col(id_column).alias("__id"), F.col(source_column).alias("__source"), word_count(F.col(text_column)).alias("size"))
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: str = SEED, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, source, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` (= copies * size), beside the columns of ``also``."""
+    d = docs.select(F.col(id_column).alias("__id"), F.col(source_column).alias("__source"), word_count(F.col(text_column)).alias("size"), *also)
     d = written(d.withColumn("__u", uniform(F.col("__id"), seed)).withColumn("__bin", F.floor(F.col("__u") * BINS).cast("int")), "sizes")
     t = source_targets(d, "__source", weights, share, max_copies)
     t = t.withColumn("__whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -72,10 +72,10 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     d = d.join(plan, d["__source"].eqNullSafe(plan["__of"]), "left").drop("__of")
     rank = F.try_divide(F.col("__u") / (1 - F.col("__u")), F.col("__odds"))
     at_edge = F.coalesce(F.col("__bin") == F.col("__edge.__bin"), F.lit(False))
-    order = Window.partitionBy("__source", "__bin").orderBy("__rank", F.col("__id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("__source", "__bin").orderBy("__rank", F.col("__id").asc_nulls_first(), "size", *also).rowsBetween(Window.unboundedPreceding, -1)
     edge = d.where(at_edge).withColumn("__rank", rank)
     edge = edge.withColumn("__sum", F.col("__edge.__before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = edge.withColumn("__more", (F.col("__sum") + F.col("size") / 2 <= F.col("__rest")).cast("long")).drop("__rank", "__sum")
     rest = d.where(~at_edge).withColumn("__more", F.when(F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge.__bin")), (F.col("__rest") > 0).cast("long")).otherwise(F.lit(0).cast("long")))
     out = rest.unionByName(edge).withColumn("copies", F.col("__whole") + F.col("__more"))
-    return out.select(F.col("__id").alias(id_column), F.col("__source").alias(source_column), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("__id").alias(id_column), F.col("__source").alias(source_column), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *also)

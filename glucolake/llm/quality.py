@@ -156,7 +156,7 @@ def judged(table: DataFrame, cuts: dict[str | None, dict[str, float]], stratum:
     return table.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum: str = "lang") -> DataFrame:
-    """One row per document: id, stratum, base measures, ``base_failed``, ``rejected_by`` and ``kept``."""
-    table = written(measures(docs, id_column, text_column, (stratum,)), "measures")
+def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum: str = "lang", also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, stratum, base measures, ``base_failed``, ``rejected_by`` and ``kept``, beside the columns of ``also``."""
+    table = written(measures(docs, id_column, text_column, (stratum, *also)), "measures")
     return judged(table, cutoffs(table, labels, stratum, id_column), stratum)

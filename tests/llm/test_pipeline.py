@@ -49,3 +49,31 @@ def test_stages(spark):
 def test_run_equals_stages(spark):
     run = P.run(spark, SF)
     assert run.columns[:2] == ["doc_id", "n_tokens"] and run.count() > 0
+
+
+def test_stages_decide_by_row(spark):
+    """Exact copies with equal ids, several texts of one id, and a null id of many rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.where("text is not null").orderBy("doc_id").first().asDict()
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    texts = [(5, words(0))] * 4 + [(5, words(1)), (5, "short")] + [(None, words(2))] * 3 + [(None, words(3)), (None, words(3) + " end"), (7, words(3) + " last")] + [(None, words(k)) for k in range(10, 40)]
+    table = spark.createDataFrame([tuple((first | {"doc_id": i, "text": t}).values()) for i, t in texts], docs.schema).repartition(5)
+    got = lambda df: collections.Counter(tuple(r) for r in df.select("doc_id", "text").collect())
+    good = P.quality_stage(spark, table, SF)
+    assert got(good) == collections.Counter(x for x in texts if x[1] != "short")
+    single = P.written(P.exact_stage(spark, good, SF), "stage")
+    assert got(single) == collections.Counter(set(got(good)))
+    apart = P.written(P.ngram_stage(spark, single, SF), "stage")
+    assert got(apart) == collections.Counter(x for x in got(single) if x not in [(None, words(3)), (None, words(3) + " end")])
+    mixed = got(P.mixing_stage(spark, apart, SF))
+    total = sum(len(t.split()) for _, t in got(apart))
+    assert set(mixed) <= set(got(apart)) and max(mixed.values()) <= 2
+    assert total < sum(n * len(t.split()) for (_, t), n in mixed.items()) <= 2 * total
+
+
+def test_key_of_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for table in (docs, docs.union(docs).repartition(3), P.written(docs.repartition(4), "stage"), docs.where("false")):
+        rows = P.with_key(table)
+        first = {r[P.ROW]: r["doc_id"] for r in rows.select("doc_id", P.ROW).collect()}
+        assert len(first) == table.count() and first == {r[P.ROW]: r["doc_id"] for r in rows.repartition(5).collect()}
