@@ -6,8 +6,10 @@ stratum (``lang``): from the loosest to the tightest, a cutoff is accepted while
 (Clopper-Pearson) upper bound of its false rejection rate, on documents labelled good, stays
 at most ``ALPHA / rules``; the first failure ends the sequence, so a sequence spends its
 error level once, and the level ``DELTA`` is divided by strata times rules (Bonferroni).
-With probability 1 - DELTA no stratum loses more than ALPHA of its good documents.  A
-stratum with too few labelled documents to certify a cutoff rejects nothing by that rule.
+With probability 1 - DELTA no stratum loses more than ALPHA of its good documents.  Strata
+are tested while they have the good labels that even the loosest cutoff needs
+(``least_stratum``, a number fixed before any ratio is looked at); a stratum with fewer, or
+without labels, has no guarantee to give and no learned rule rejects its documents.
 
 Null texts have no words; a null stratum is a stratum of its own.  A document labelled more
 than once counts as good if any of its labels says so; null labels are ignored.  Without
@@ -28,8 +30,6 @@ from glucolake.llm.shared import steps, texts_of, written
 
 ALPHA, DELTA = 0.05, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Labelled documents that a stratum needs for cutoffs of its own; smaller ones are pooled.
-MIN_STRATUM = 100
 SYMBOLS = b"#*$%&|<>"
 #: Fixed sequence of cutoffs, loosest first; the ratios are at most 1 except the symbol ratio, which is cut at 1.
 GRID = [1.0, *(x / 100 for x in (90, 80, 70, 60, 50, 45, 40, 35, 30, 25, 20, 18, 16, 14, 12, 10, 8, 6, 5))]
@@ -37,6 +37,15 @@ RULES = ("symbol_ratio", "shout_ratio", "dup_line_ratio", "repeat_ratio")
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+def least_stratum(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Good labels with which a stratum, one of so many, can certify a cutoff that rejects none of them: (1 - alpha / rules) ^ n <= delta / (strata * rules)."""
+    return math.ceil(math.log(delta / (strata * len(RULES))) / math.log1p(-alpha / len(RULES)))
+
+
+#: Good labels below which no stratum has cutoffs, were it the only one.
+MIN_STRATUM = least_stratum(1)
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words that lie in a 3-word window which the text has twice or more."""
     n = len(words)
@@ -110,7 +119,7 @@ def certified(rejected: int, good: int, limit: float, level: float) -> bool:
 
 
 def cutoffs(table: DataFrame, labels: DataFrame, stratum: str = "lang", id_column: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
-    """Cutoff of each rule by stratum; the pool of small strata is under the key ``""``.
+    """Cutoff of each rule by stratum; strata that aren't here have none (the key ``""`` stands for them).
 
     What comes to the driver is a count for each stratum, rule and step of the grid.
     """
@@ -125,16 +134,21 @@ def cutoffs(table: DataFrame, labels: DataFrame, stratum: str = "lang", id_colum
     for r in counts:
         if r["rule"] == 0:
             size[r["s"]] = size.get(r["s"], 0) + r["count"]
-    pooled = {s: s if n >= MIN_STRATUM else "" for s, n in size.items()}
+    # As many of the largest strata as can all certify a cutoff at the level that so many leave to each.
+    by_size = sorted(size.values(), reverse=True)
+    strata = max((k for k, n in enumerate(by_size, 1) if n >= least_stratum(k, alpha, delta)), default=0)
+    tested = {s for s, n in size.items() if strata and n >= least_stratum(strata, alpha, delta)}
     total: dict[tuple, int] = {}
     seen: dict[tuple, np.ndarray] = {}
     for r in counts:
-        key = (pooled[r["s"]], r["rule"])
+        if r["s"] not in tested:
+            continue
+        key = (r["s"], r["rule"])
         total[key] = total.get(key, 0) + r["count"]
         over = seen.setdefault(key, np.zeros(len(GRID), np.int64))
         over[len(GRID) - r["n"] :] += r["count"]  # GRID falls, so the last n cutoffs reject it
-    out: dict[str | None, dict[str, float]] = {s: {} for s in {*pooled.values(), ""}}
-    level = delta / (max(1, len(out)) * len(RULES))
+    out: dict[str | None, dict[str, float]] = {s: {} for s in {*tested, ""}}
+    level = delta / (max(1, strata) * len(RULES))
     for (s, rule), over in seen.items():
         for cut, rejected in zip(GRID, over.tolist(), strict=True):
             if not certified(rejected, total[s, rule], alpha / len(RULES), level):
@@ -146,7 +160,7 @@ def cutoffs(table: DataFrame, labels: DataFrame, stratum: str = "lang", id_colum
 def judged(table: DataFrame, cuts: dict[str | None, dict[str, float]], stratum: str = "lang") -> DataFrame:
     """``table`` with ``rejected_by`` (rules that reject the row) and ``kept``."""
     def cut(rule: str):
-        own = F.lit(cuts.get("", {}).get(rule, 1.0))
+        own = F.lit(1.0)  # no ratio is above
         for s, by in cuts.items():
             if s != "":
                 own = F.when(F.col(stratum).eqNullSafe(F.lit(s)), F.lit(by.get(rule, 1.0))).otherwise(own)

@@ -88,3 +88,21 @@ def test_no_labels_and_empty(spark):
 def test_base_limits(spark, words, want):
     df = spark.createDataFrame([(1, " ".join(f"u{k}" for k in range(words)))], "doc_id long, text string")
     assert Q.measures(df).first()["base_failed"] is want
+
+
+def test_small_and_unlabelled_strata_lose_nothing(spark):
+    """Strata without a guarantee of their own aren't judged by the cutoffs of others."""
+    text = lambda i, up: " ".join((f"W{i}X{k}" if up else f"w{i}x{k}") for k in range(60))
+    size = {"big": 900, "none": 40, "capitals": 60, **{f"small{k}": 90 for k in range(6)}}
+    rows = [(s, f"{s}{i}") for s, n in size.items() for i in range(n)]
+    docs = spark.createDataFrame([(k, text(i, s in ("none", "capitals")), s) for k, (s, i) in enumerate(rows)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k, (s, _) in enumerate(rows) if s != "none"], "doc_id long, quality int")
+    cuts = Q.cutoffs(Q.measures(docs, also=("lang",)), labels)
+    assert {s for s, by in cuts.items() if by} == {"big"} and cuts["big"]["shout_ratio"] == min(Q.GRID)
+    assert Q.quality_rules(docs, labels).where("not kept").count() == 0
+
+
+def test_least_stratum_is_the_least():
+    for strata in (1, 2, 7, 100):
+        n = Q.least_stratum(strata)
+        assert Q.certified(0, n, Q.ALPHA / len(Q.RULES), Q.DELTA / (strata * len(Q.RULES))) and not Q.certified(0, n - 1, Q.ALPHA / len(Q.RULES), Q.DELTA / (strata * len(Q.RULES)))
