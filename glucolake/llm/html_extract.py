@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 The page becomes a tree of its block elements.  Parts that are never the article are left
-out: by element (menus, forms, scripts), by role, and by words of class and id.  Every
-paragraph passes points for its length and its commas to the elements around it, all to the
+out: by element (menus, forms, scripts), by role, and by words of class and id.  The words
+and the form don't count against a part that holds most of the page's paragraph text (nearly
+all, in several paragraphs, where nothing else speaks for it; comments never) unless it lies
+outside the page's ``article`` or ``main``, nor where no text were left.  Every paragraph passes points for its length and its commas to the elements around it, all to the
 nearest, less to those further out; an element's points are discounted by the share of its
 text that is links.  The best container is kept (the ``article`` or ``main`` around it where
 there is one), with those of its siblings that score well or are plain paragraphs; lists and
@@ -41,6 +43,11 @@ HARD = frozenset(
 SOFT = frozenset("sidebar header masthead banner widget toolbar tools search tags legal disclaimer meta byline rail side alert bar skip".split())
 GOOD = frozenset("article body content entry main page post text story blog column hentry".split())
 BASE = {"article": 10, "main": 10, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "address": -3}
+COMMENTS = frozenset("comment comments disqus respond replies reply discussion".split())
+#: Share of the page's paragraph text above which a part stays in spite of its class, id or form: where an element or a word speaks for it, where none does, and never.
+MOST, NEARLY_ALL, NEVER = 0.5, 0.8, 2.0
+#: Paragraphs of a part that only its share of the text speaks for.
+FEWEST = 3
 CLEANED = frozenset("ul ol dl div section table".split())
 
 TOKEN = re.compile(
@@ -56,30 +63,37 @@ SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt"
 
 
 class Node:
-    __slots__ = ("tag", "up", "out", "inside", "points", "chars", "links", "weight")
+    __slots__ = ("tag", "up", "out", "inside", "points", "chars", "links", "weight", "need", "prose", "paragraphs", "texts")
 
-    def __init__(self, tag: str, up: Node | None, out: bool, weight: int, inside: bool = False):
+    def __init__(self, tag: str, up: Node | None, out: bool, weight: int, inside: bool = False, need: float = 0.0):
         self.tag, self.up, self.out, self.weight, self.inside = tag, up, out, weight, inside
+        self.need = need  # share of the page's paragraph text without which the part is left out
         self.points, self.chars, self.links = 0.0, 0, 0
+        self.prose, self.paragraphs, self.texts = 0, 0, 0
 
 
-def judged(tag: str, rest: str, inside: bool) -> tuple[bool, int]:
-    """Whether an element is left out by its attributes, and the weight of its class and id."""
+def judged(tag: str, rest: str, inside: bool) -> tuple[bool, int, float]:
+    """Whether an element is left out by its attributes, the weight of its class and id, and the share of text without which these leave it out."""
     words: set[str] = set()
+    good = False  # a whole name, not the part of one that says comments or the like
     for m in ATTRIBUTE.finditer(rest):
         name, value = m["name"].lower(), m["a"] or m["b"] or m["c"] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, 0
+            return True, 0, 0.0
         if name == "role" and ROLES & set(value.lower().split()):
-            return True, 0
+            return True, 0, 0.0
         if name in ("class", "id"):
-            words.update(w.lower() for w in WORD.findall(value))
-    good = bool(words & GOOD)
-    if tag in ("html", "body", "article", "main") and not words & {"comment", "comments", "ad", "ads", "advert"}:
-        return False, 25 * good
-    if words & HARD or words & SOFT and not good and not inside:
-        return True, 0
-    return False, 25 * good - 25 * bool(words & SOFT)
+            for one in value.split():
+                found = {w.lower() for w in WORD.findall(one)}
+                words |= found
+                good = good or bool(found & GOOD) and not found & HARD
+    any_good = bool(words & GOOD)
+    weight = 25 * any_good - 25 * bool(words & SOFT)
+    if tag in ("html", "body") or tag in ("article", "main") and (good or not words & {"comment", "comments", "ad", "ads", "advert"}):
+        return False, 25 * any_good, 0.0
+    if words & HARD or words & SOFT and not any_good and not inside:
+        return False, weight, MOST if good or tag in ("article", "main") else NEVER if words & COMMENTS else NEARLY_ALL
+    return False, weight, 0.0
 
 
 def extract(page: str | None) -> str:
@@ -157,7 +171,8 @@ def extract(page: str | None) -> str:
         if tag not in BLOCKS and tag not in DROPPED:
             # Inline elements hold no block of their own, but one that is left out does so too.
             if m["rest"] and ("class" in m["rest"] or "id" in m["rest"] or "style" in m["rest"]) and tag in ("span", "small", "label", "ins") and not m[0].endswith("/>"):
-                if judged(tag, m["rest"], True)[0] and (end := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)):
+                hidden, _, need = judged(tag, m["rest"], True)
+                if (hidden or need) and (end := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)):
                     at = end.end()
             continue
         if tag in CLOSES_P and opened["p"]:
@@ -178,22 +193,54 @@ def extract(page: str | None) -> str:
                         break
         up = stack[-1]
         inside = up.inside or up.tag in ("article", "main")
-        out, weight = (True, 0) if up.out or tag in DROPPED or tag == "header" and not inside else judged(tag, m["rest"] or "", inside)
-        node = Node(tag, up, out, weight, inside)
+        out, weight, need = (True, 0, 0.0) if up.out or tag in DROPPED and tag != "form" or tag == "header" and not inside else judged(tag, m["rest"] or "", inside)
+        node = Node(tag, up, out, weight, inside, max(need, MOST) if tag == "form" else need)
         opened[tag] += 1
         nodes.append(node)
         stack.append(node)
         fresh = True
 
-    found = []
+    written = []
     for node, pieces, linked in blocks:
         words = " ".join("".join(pieces).split())
-        if not words:
+        if words:
+            written.append((node, words, linked[0]))
+            node.texts += 1
+            if len(words) >= 25:
+                node.prose += len(words) - min(len(words), linked[0])
+                node.paragraphs += 1
+    for x in reversed(nodes[1:]):  # elements come after those around them
+        x.up.prose += x.prose
+        x.up.paragraphs += x.paragraphs
+        x.up.texts += x.texts
+    always = [x.out for x in nodes]
+    doubted: set[int] = set()
+    has_article = False
+    for x in nodes[1:]:
+        if x.need or id(x.up) in doubted:
+            doubted.add(id(x))
+        elif x.tag in ("article", "main") and x.texts:
+            has_article = True
+    for x in nodes[1:]:
+        stays = x.prose > x.need * root.prose and (x.need < NEARLY_ALL or x.paragraphs >= FEWEST) and (not has_article or x.inside)
+        x.out = x.out or x.up.out or x.need > 0 and not stays
+    if best := main_part(root, nodes, written):
+        return best
+    for x, out in zip(nodes, always, strict=True):  # once more without the filter
+        x.out, x.points, x.chars, x.links = out, 0.0, 0, 0
+    return main_part(root, nodes, written)
+
+
+def main_part(root: Node, nodes: list[Node], written: list[tuple[Node, str, int]]) -> str:
+    """The text of the best container and its good siblings, of blocks (element, words, characters in links) that aren't left out."""
+    found = []
+    for node, words, linked in written:
+        if node.out:
             continue
         found.append((node, words))
         size, level = len(words), 0
         node.chars += size
-        node.links += min(size, linked[0])
+        node.links += min(size, linked)
         if size >= 25:
             points = 1 + sum(words.count(c) for c in ",،、，") + min(size // 100, 3)
         else:

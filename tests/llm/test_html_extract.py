@@ -63,3 +63,23 @@ def test_deep_nesting_takes_time_in_proportion():
     depth = 100_000
     assert extract("<div>" * depth + f"<p>{LONG}</p>" + "</div>" * depth) == LONG
     assert extract("<ul><li>" * depth + LONG) == LONG
+
+
+PROSE = [f"Paragraph {k} of the article says one thing, and then another, at some length so that it counts." for k in range(6)]
+
+
+@pytest.mark.parametrize("before,after", [
+    ("<body><div class='post has-comments'>", "</div>"), ("<body><div class='entry related-enabled'>", "</div>"), ("<body class='has-ads'><div>", "</div>"),
+    ("<body><article class='hentry comments-open'>", "</article>"), ("<body><form action='/page'><div class='content'>", "</div></form>"), ("<body><div class='site no-ads'><div>", "</div></div>"),
+    ("<body><div class='menu-open'><div class='comments-closed'>", "</div></div>"),
+])
+def test_article_stays_in_spite_of_its_class(before, after):
+    page = f"<html>{before}{''.join(f'<p>{p}</p>' for p in PROSE)}{after}<div class='comments'><p>A comment that is long enough to be a paragraph.</p></div><footer>Imprint</footer></body></html>"
+    assert extract(page) == "\n\n".join(PROSE)
+
+
+def test_comments_go_though_they_are_most_of_the_text():
+    for name in ("comments", "post-comments", "comment-body"):
+        page = f"<body><div class='content'><p>{PROSE[0]}</p><p>{PROSE[1]}</p></div><div class='{name}'>{''.join(f'<p>{p} I agree.</p>' for p in PROSE * 3)}</div></body>"
+        assert extract(page) == "\n\n".join(PROSE[:2])
+    assert extract(f"<body><div style='display:none'><p>{PROSE[0]}</p></div></body>") == ""
