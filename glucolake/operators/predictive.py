@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,34 +130,105 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> np.ndarray
     return w
 
 
+def training_rows(ex: DataFrame) -> DataFrame:
+    """``ex`` with ``total``, a subject's examples, and ``split``: the first 70 % by time train. Rows are numbered within days, days by their counts."""
+    days = ex.groupBy("id", "date").agg(F.count("*").alias("n"))
+    days = days.select(F.col("id").alias("__id"), F.col("date").alias("__date"), (F.sum("n").over(Window.partitionBy("id").orderBy("date")) - F.col("n")).alias("__before"), F.sum("n").over(Window.partitionBy("id")).alias("total"))
+    nth = F.col("__before") + F.row_number().over(Window.partitionBy("id", "date").orderBy("timestamp"))
+    rows = ex.join(days, (F.col("id") == F.col("__id")) & (F.col("date") == F.col("__date"))).withColumn("__nth", nth)
+    # As round() in Python, in whole numbers: half to even.
+    ten = 7 * F.col("total")
+    down = F.floor(ten / 10)
+    cut = F.when(ten % 10 == 5, down + down % 2).otherwise(F.floor((ten + 5) / 10))
+    return rows.withColumn("split", F.when(F.col("__nth") <= cut, "train").otherwise("test")).drop("__id", "__date", "__before", "__nth")
+
+
+def large_subject_weights(rows: DataFrame, params: PredictiveParams, ridge: float = 1e-6) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Mean, deviation and weights of each subject, fitted on all its training rows: ``fit_weights`` with every step's sums added up by Spark.
+
+    What comes to the driver is a row of sums for each subject and step.
+    """
+    import pandas as pd
+
+    p, names = params.normalized(), feature_columns(params)
+    train = rows.where("split = 'train'")
+    moments = train.groupBy("id").agg(F.count("*").alias("n"), F.sum("target").alias("events"), F.array(*map(F.avg, names)).alias("mean"), F.array(*map(F.stddev_pop, names)).alias("sd")).collect()
+    scale = {r["id"]: (np.array(r["mean"]), np.array([x if x > 0 else 1 for x in r["sd"]])) for r in moments if r["n"] >= p.min_examples and p.min_events <= r["events"] <= r["n"] - p.min_events}
+    width = len(names) + 1
+    weights = {i: np.zeros(width) for i in scale}
+    left = set(scale)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "sums": [sum(np.frombuffer(b) for b in pdf["sums"]).tobytes()]}, dtype=object)
+
+    for _ in range(50):
+        if not left:
+            break
+        now = {i: (*scale[i], weights[i]) for i in left}
+
+        def sums(batches, now=now):
+            held: dict[str, np.ndarray] = {}
+            for pdf in batches:
+                for i, part in pdf.groupby("id"):
+                    if i in now:
+                        mean, sd, w = now[i]
+                        x = np.column_stack([(part[names].to_numpy(float) - mean) / sd, np.ones(len(part))])
+                        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                        one = np.r_[((x * (q * (1 - q))[:, None]).T @ x).ravel(), x.T @ (part["target"].to_numpy(float) - q)]
+                        held[i] = held[i] + one if i in held else one
+            yield pd.DataFrame({"id": list(held), "sums": [v.tobytes() for v in held.values()]}, dtype=object)
+
+        for r in train.mapInPandas(sums, "id string, sums binary").groupBy("id").applyInPandas(add, "id string, sums binary").collect():
+            v = np.frombuffer(r["sums"])
+            w = weights[r["id"]]
+            step = np.linalg.solve(v[: width * width].reshape(width, width) + ridge * np.eye(width), v[width * width :] - ridge * w)
+            weights[r["id"]] = w + step
+            if np.abs(step).max() < 1e-8:
+                left.discard(r["id"])
+    return {i: (*scale[i], w) for i, w in weights.items()}
+
+
 def per_subject_scores(ex: DataFrame, params: PredictiveParams = PredictiveParams(), most: int = 100_000) -> DataFrame:
     """One logistic model per subject, tested on its last 30 % of rows by time; subjects with too little to learn from have no rows.
 
-    A model takes a subject's latest ``most`` examples (about a year at five minutes), so a task's rows are bounded.
+    Every example trains, is tested and scored. A subject of up to ``most`` examples is fitted in one task;
+    one with more (about a year at five minutes) by sums over all its rows, so a task's rows are bounded.
     """
     import pandas as pd
 
     p, names = params.normalized(), feature_columns(params)
-    days = ex.groupBy("id", "date").agg(F.count("*").alias("n"))
-    recent = Window.partitionBy("id").orderBy(F.desc("date"))
-    days = days.where("n > 0").withColumn("later", F.sum("n").over(recent) - F.col("n")).where(F.col("later") < most).select("id", "date")
+    rows = training_rows(ex).select("id", "timestamp", "target", *names, "split", "total").persist(StorageLevel.DISK_ONLY)  # read once a step
+    schema = "id string, timestamp timestamp, target int, split string, risk_probability double"
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp").reset_index(drop=True)
-        cut = int(round(0.7 * len(pdf)))
+        train = (pdf["split"] == "train").to_numpy()
         y = pdf["target"].to_numpy(float)
-        out = pdf[["id", "timestamp", "target"]].copy()
-        if cut < p.min_examples or not p.min_events <= y[:cut].sum() <= cut - p.min_events:
-            return out.iloc[:0].assign(split="", risk_probability=0.0)
+        out = pdf[["id", "timestamp", "target", "split"]].astype({"id": object, "split": object})
+        if train.sum() < p.min_examples or not p.min_events <= y[train].sum() <= train.sum() - p.min_events:
+            return out.iloc[:0].assign(risk_probability=0.0)
         x = pdf[names].to_numpy(float)
-        mean, sd = x[:cut].mean(axis=0), x[:cut].std(axis=0)
+        mean, sd = x[train].mean(axis=0), x[train].std(axis=0)
         x = (x - mean) / np.where(sd > 0, sd, 1)
-        w = fit_weights(x[:cut], y[:cut])
-        out["split"] = np.where(np.arange(len(pdf)) < cut, "train", "test")
+        w = fit_weights(x[train], y[train])
         out["risk_probability"] = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
         return out
 
-    return ex.join(days, ["id", "date"]).groupBy("id").applyInPandas(fit, "id string, timestamp timestamp, target int, split string, risk_probability double")
+    scores = rows.where(F.col("total") <= most).groupBy("id").applyInPandas(fit, schema)
+    large = rows.where(F.col("total") > most)
+    if not large.limit(1).count():
+        return scores
+    models = large_subject_weights(large, params)
+
+    def score(batches):
+        for pdf in batches:
+            for i, part in pdf.groupby("id"):
+                if i in models:
+                    mean, sd, w = models[i]
+                    z = ((part[names].to_numpy(float) - mean) / sd) @ w[:-1] + w[-1]
+                    yield part[["id", "timestamp", "target", "split"]].astype({"id": object, "split": object}).assign(risk_probability=1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    return scores.unionByName(large.mapInPandas(score, schema))
 
 
 def performance(scores: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:

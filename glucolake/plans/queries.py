@@ -400,7 +400,7 @@ def predictive_model(spark, d):
 
 @query("predictive_importance")
 def predictive_importance(spark, d):
-    found, _ = predictive.fit_and_score(predictive.examples(readings(spark, d)), PredictiveParams(model="random_forest", trees=20))
+    found, _ = predictive.fit_and_score(predictive.examples(readings(spark, d)), PredictiveParams(model="random_forest"))
     return found[1] if found else spark.createDataFrame([], "feature string, importance double")
 
 

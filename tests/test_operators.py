@@ -286,3 +286,27 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     assert sorted(map(tuple, spark.table("tir").collect())) == sorted(map(tuple, live.daily_time_in_range(df).collect()))
     assert spark.table("turns").count() == 358 - 60 or spark.table("turns").count() > 200
+
+
+def test_per_subject_scores_take_all_rows(spark):
+    """Also of a subject above the rows of one task: same split, weights and scores, and none of its rows is lost."""
+    rng = np.random.default_rng(8)
+    wave = lambda n, low: [130 + low * math.sin(4 * math.pi * i / 288) + rng.normal(0, 15) for i in range(n)]
+    ex = R.examples(series(spark, wave(288 * 5, 70)).unionByName(series(spark, wave(288 * 3, 65), id="B"))).cache()
+    rows = lambda most: {(r["id"], r["timestamp"]): r for r in R.per_subject_scores(ex, most=most).collect()}
+    whole, mixed, large = rows(10**6), rows(1000), rows(10)
+    assert len(whole) == ex.count() and whole.keys() == mixed.keys() == large.keys()
+    for other in (mixed, large):
+        assert all(r["split"] == other[k]["split"] and r["target"] == other[k]["target"] and r["risk_probability"] == pytest.approx(other[k]["risk_probability"], abs=1e-6) for k, r in whole.items())
+    for i in "AB":
+        split = [whole[k]["split"] for k in sorted(whole) if k[0] == i]
+        assert split == ["train"] * round(0.7 * len(split)) + ["test"] * (len(split) - round(0.7 * len(split)))
+
+
+def test_forest_of_the_query_has_the_reference_s_trees(spark, monkeypatch):
+    from glucolake.plans import queries
+
+    seen = []
+    monkeypatch.setattr(R, "fit_and_score", lambda ex, params: (seen.append(params.normalized().trees), (None, ""))[1])
+    queries.QUERIES["predictive_importance"](spark, "/root/testdata/sf0.001")
+    assert seen == [200]
