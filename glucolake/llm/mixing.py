@@ -7,6 +7,7 @@ the fraction left over is the inclusion probability p of a further copy, which d
 source to source; documents are ranked by u / (1 - u) over p / (1 - p), u a number in (0, 1)
 fixed by the document's id, and taken from the lowest rank until the source's words are as
 near the rest as whole documents allow (a sample of fixed size in words).
+As p is one number for a whole source, this Pareto order is the order of u there.
 
 The running sum by rank never gathers a source in one task: ranks fall into ``BINS`` bins
 whose sums are added up; only rows of the bin in which the target lies are ordered singly.
