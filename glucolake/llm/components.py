@@ -1,10 +1,11 @@
 """Connected components of a link table, by local forests and pointer jumping.
 
-A round has two steps.  Links are dealt by their larger end; each task joins what it holds
-into a forest whose nodes point at the least node of their tree.  Then pointers jump: where
-a node's target points further, so does the node.  Rounds go on until every node has one
-target and no target points further.  Both steps write their result to the shared folder,
-and no step gathers the links of a node of many: a hub is the smaller end of its links.
+Every task first joins the links it happens to hold into a forest whose nodes point at the
+least node of their tree, so that a node of many links is left with one row a task.  A round
+then has two steps.  Rows are dealt by node, and each task does the same again.  Then pointers
+jump: where a node's target points further, so does the node.  Rounds go on until every node
+has one target and no target points further.  All steps write their result to the shared
+folder, and none gathers the links of a node: it gathers a row for each task at most.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns
     e = links.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).where("node <> root")
+    e = e.mapInArrow(_forest, "node long, root long")
     while True:
         e = written(e.repartition("node").mapInArrow(_forest, "node long, root long"), "forest")
         up = e.select(F.col("node").alias("at"), F.col("root").alias("further"))

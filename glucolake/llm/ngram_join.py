@@ -2,38 +2,45 @@
 
 A document's set holds the hashes of its distinct 5-word shingles.  Two sets link when
 ``100 * intersection >= threshold * union``; their sets then differ in at most
-H = (|r| + |s|) / 7 tokens (at 75).  The hash range is cut into segments, as many as the
-size band (a power of two) asks for, and a set falls into one subset per segment.
-
-*Pigeonhole.*  Of any segments that are not empty in s, at most H differ from r.  Call
-(segment, subset) an element.  Both sets put their elements into the same order, cheapest to
-look up first, and index the first H + 1: as at most H elements of either set are missing in
-the other, the two prefixes share one.  A set is indexed in its own band, and in the band
-below if a partner can be there.
-
-*Cost.*  An element costs as many lookups as sets have it.  All elements are counted first,
-without ids, and those of several sets are noted in a filter of ``FILTER_BITS`` bits, from the
-least count for which they fill an eighth of it.  The order is: elements not in the filter,
-then fuller subsets, then by hash.  A set with H + 1 elements that no other set has links with
-nothing and isn't indexed at all.
-
-*One-deletion neighbourhoods.*  In small bands there may be fewer than H + 1 filled
-segments.  There a set indexes all its elements and each subset of two tokens or more with
-one token left out; a segment then stands for two differences.  Allocation is by cost: a
-probe of the band below takes single subsets first (one key a difference) and neighbourhoods
-of the smallest subsets for what is missing.  If a set still can't reach H + 1, everything
-is done again with twice as many segments, until all sets can.
-
-*Candidates.*  Sets that share a key meet in pieces dealt by key.  Each is paired with the
-least id there and the smallest set of compatible size, not with all others; these pairs
-are verified exactly on the whole sets and joined into components.  Then, where a key's
-sets still lie in different components, those outside the largest one are tested against it
-and each other, block by block, so no link between components is lost, while a group of
-copies never becomes all its pairs.
+H = (|r| + |s|) / 7 tokens (at 75).
+
+*Tokens of one set.*  Tokens are counted first, dealt by hash.  A token that one set alone
+has can't be in any intersection, so with u of them s has |s| - u tokens to share: that
+bounds the size of its partners, and leaves H - u differences for what is indexed.  A set
+without a possible partner goes no further.  What several sets have returns to the sets, with
+the power of two its count reaches.  A token that ``HOT`` sets of one flush have is known to
+be shared there: it is counted once a flush, and never gathers its sets in one task.
+
+*Pigeonhole.*  The hash range is cut into segments, as many as the size band (a power of two)
+asks for, and the shared tokens of a set fall into one subset per segment.  Of any filled
+segments of s, at most H - u differ from r.  Call (segment, subset) an element.  Both sets put
+their elements into the same order, cheapest to look up first (rarer, then fuller subsets,
+then by hash), and index the first H - u + 1: as at most H - u elements of either set are
+missing in the other, the two prefixes share one.  A set is indexed in its own band, and in
+the band below if a partner can be there.
+
+*One-deletion neighbourhoods.*  In small bands there may be fewer filled segments than that.
+There a set indexes all its elements and each subset of two tokens or more with one token
+left out; a segment then stands for two differences.  Allocation is by cost: a probe of the
+band below takes single subsets first (one key a difference) and neighbourhoods of the
+smallest subsets for what is missing.  If a set still can't reach its number, everything is
+done again with twice as many segments, until all sets can.
+
+*Candidates.*  Sets that share a key meet in pieces dealt by key; those that admit no
+partner's size there are left out.  Each is paired with the least id there and the smallest
+set of compatible size, not with all others; these pairs are verified exactly on the whole
+sets and joined into components.  Then, where a key's sets still lie in different components,
+those outside the largest one are tested against those in it that share the key and each
+other, block by block, so no link between components is lost, while a group of copies never
+becomes all its pairs.  Texts of one template whose other tokens are their own either link or
+are left out by their sizes; only sets that share most of a key's tokens, don't link and have
+few tokens of their own cost tests of each with each other.
 
 Texts with the same words in a row are one class and indexed once.  Null and empty texts
-have an empty set and link with nothing; ids are unique, rows with a null id get no
-component.  An empty table gives an empty result.  Extra columns are ignored.
+have an empty set and link with nothing.  Ids are whole numbers (``TypeError`` otherwise);
+rows that share an id are one document, whose set is the union of theirs, and each gets its
+row; rows with a null id get no component.  An empty table gives an empty result.  Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,13 +48,12 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from glucolake.llm.components import components
 from glucolake.llm.shared import partitions, steps, texts_of, written
@@ -55,14 +61,14 @@ from glucolake.llm.shared import partitions, steps, texts_of, written
 WORDS, THRESHOLD = 5, 75
 #: Sets below this size index one-deletion neighbourhoods as well.
 SMALL = 64
-#: Keys that a task gathers before it hands them on.
-FLUSH = 2_000_000
-#: Size codes are steps of an eighth of a power of two.
-CODE_STEPS = 8
+#: Tokens that a task gathers before it hands them on.
+FLUSH = 1_000_000
+#: Sets of one flush that make a token hot, and the level of such tokens.
+HOT, HOT_LEVEL = 32, 31
+#: Size codes are steps of so many to a power of two: they keep sizes up to some hundreds apart.
+CODE_STEPS = 512
 #: Sets on either side of one test of guests.
 BLOCK = 128
-#: Bits of the filter of common elements (it is broadcast: 16 MB), and of one part of it.
-FILTER_BITS, PART_BITS = 1 << 27, 1 << 20
 
 U = np.uint64
 _MULTIPLIER = 0x5851F42D4C957F2D
@@ -153,28 +159,31 @@ def furthest(r: np.ndarray, largest: np.ndarray, threshold: int) -> np.ndarray:
     return np.maximum(most_apart(r, largest, threshold), most_apart(r, largest - 1, threshold))
 
 
-def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, fine: int = 1, common=None, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index keys of sets, the set of each key, and the sets that couldn't reach their sum.
+def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, fine: int = 1, sizes: np.ndarray | None = None, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of sets, the set of each key, each set's largest partner, and the sets that couldn't reach their number.
 
-    ``common`` tells which keys many sets have; those come last in the order.  ``every``
-    gives the keys of all filled subsets, to be counted.
+    ``tokens`` are those that other sets have too, sorted by set, ``sizes`` the sizes of the
+    whole sets, ``levels`` how common each token is.
     """
-    size = np.diff(offsets)
+    held = np.diff(offsets)
+    size = held if sizes is None else sizes
+    levels = np.zeros(len(tokens), np.uint8) if levels is None else levels
     band = np.zeros(len(size), np.int64)
-    some = size > 0
+    some = held > 0
     band[some] = np.floor(np.log2(size[some])).astype(np.int64)
-    largest = 100 * size // threshold  # partner
-    own = furthest(size, largest, threshold)
+    single = size - held
+    least = -(-threshold * size // 100)  # partner
+    limit = np.where(some, np.minimum(100 * size // threshold, (100 + threshold) * held // threshold - size), 0)
     top_below = (1 << band) - 1
-    below = some & (-(-threshold * size // 100) <= top_below) & (top_below > 0)
+    upto_below = np.minimum(limit, top_below)
     keys, sets, short = [], [], []
-    for scheme, chosen, apart in ((band, some, own), (band - 1, below, furthest(size, top_below, threshold))):
-        which = np.flatnonzero(chosen)
+    for scheme, partner, apart in ((band, some & (limit >= np.maximum(least, top_below + 1)), furthest(size, limit, threshold) - single), (band - 1, some & (least <= upto_below) & (top_below > 0), furthest(size, upto_below, threshold) - single)):
+        which = np.flatnonzero(partner & (apart >= 0))
         if not len(which):
             continue
-        n = size[which]
+        n = held[which]
         place = np.repeat(offsets[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        token, owner = tokens[place], np.repeat(np.arange(len(which)), n)
+        token, level, owner = tokens[place], levels[place], np.repeat(np.arange(len(which)), n)
         m = segments(scheme[which], fine)
         seg = ((token >> U(32)) * m.astype(U)[owner]) >> U(32)
         cut = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (owner[1:] != owner[:-1])])
@@ -182,37 +191,23 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD,
         of, mixed = owner[cut], mix(token ^ U(0x6A09E667F3BCC909))
         total = np.add.reduceat(mixed, cut)
         base = mix(seg[cut] * U(64) + scheme[which].astype(U)[of])
-
-        def element(total: np.ndarray, base: np.ndarray, filled: np.ndarray) -> np.ndarray:
-            """Key of a subset: above all the emptiness, so that sorting puts the fullest first."""
-            return ((127 - np.minimum(filled, 127)).astype(U) << U(56)) | (mix(total + base) >> U(8))
-
-        e = element(total, base, filled)
-        if every:
-            keys.append(e)
-            sets.append(which[of])
-            continue
-        if common is not None:
-            e |= common(e).astype(U) << U(63)
-        need = apart[which] + 1
+        e = mix(total + base)
+        # A subset is as rare as its rarest token.
+        order = np.lexsort((e, -filled, np.minimum.reduceat(level, cut), of))
         have = np.bincount(of, minlength=len(which))
-        # Only where every element of several sets is in the filter does one that isn't belong to this set alone.
-        alone = np.bincount(of, e < U(1) << U(63), len(which)) >= need if common is not None and common.complete else np.zeros(len(which), bool)
         ends = np.r_[0, np.cumsum(have)]
-        small = n < SMALL
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            e[a:b].sort()
         nth = np.arange(len(e)) - np.repeat(ends[:-1], have)
-        is_own = scheme is band
-        everything = small & is_own
-        take = ((nth < need[of]) | everything[of]) & ~alone[of]
-        keys.append(e[take] & U((1 << 63) - 1))
+        need = apart[which] + 1
+        small = size[which] < SMALL
+        everything = small & (scheme is band)
+        take = order[(nth < need[of]) | everything[of]]  # sorting keeps each set's elements in its place
+        keys.append(e[take])
         sets.append(which[of[take]])
         # Neighbourhoods: all of a small set in its own band; below, those of the smallest subsets for what is missing.
         missing = np.maximum(0, need - have)
         multi = np.bincount(of, filled > 1, len(which)).astype(np.int64)
         short.append(which[(missing > 0) & (~small | (missing > multi))])
-        widen = small & (multi > 0) & (everything | (missing > 0)) & ~alone
+        widen = small & (multi > 0) & (everything | (missing > 0))
         if widen.any():
             pick = np.flatnonzero(widen[of] & (filled > 1))
             order = pick[np.lexsort((filled[pick], of[pick]))]
@@ -220,200 +215,215 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD,
             order = order[everything[of[order]] | (rank < missing[of[order]])]
             at = np.repeat(cut[order] - np.cumsum(filled[order]) + filled[order], filled[order]) + np.arange(filled[order].sum())
             back = np.repeat(order, filled[order])
-            keys.append(element(total[back] - mixed[at], base[back], filled[back] - 1))
+            keys.append(mix(total[back] - mixed[at] + base[back]))
             sets.append(which[of[back]])
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(keys, U), join(sets, np.int64), np.unique(join(short, np.int64))
+    return join(keys, U), join(sets, np.int64), np.maximum(limit, 0), np.unique(join(short, np.int64))
 
 
 def code_of(size: np.ndarray) -> np.ndarray:
-    return np.floor(CODE_STEPS * np.log2(np.maximum(size, 1))).astype(np.uint8)
+    return np.floor(CODE_STEPS * np.log2(np.maximum(size, 1))).astype(np.uint16)
 
 
 def code_reach(threshold: int) -> int:
     return int(np.ceil(CODE_STEPS * np.log2(100 / threshold))) + 1
 
 
-@dataclass
-class Filter:
-    """Which keys more than one set has.  ``complete``: it was filled with all of them."""
-
-    bits: np.ndarray
-    pieces: int
-    complete: bool
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = filter_place(*piece_of(keys, self.pieces))
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def piece_of(keys: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
     """The piece a key is dealt to, and its 32 bits there."""
     scrambled = mix(keys)
     return ((scrambled >> U(32)) % U(pieces)).astype(np.int64), scrambled.astype(np.uint32)
 
 
-def filter_place(piece: np.ndarray | int, low: np.ndarray) -> np.ndarray:
-    return (mix(low.astype(U) | np.asarray(piece).astype(U) << U(32)) % U(FILTER_BITS)).astype(np.int64)
+def home_of(ids: np.ndarray, pieces: int) -> np.ndarray:
+    """The piece at which what concerns a document comes together."""
+    return (mix(ids.astype(U)) % U(pieces)).astype(np.int64)
 
 
-PIECE = "piece int, keys binary, ids binary, codes binary, docs binary, sizes binary, short long"
-FOUND = "kind int, x long, y long, code int"
+def dealt(to: np.ndarray, pieces: int, *columns: np.ndarray) -> list[list[np.ndarray]]:
+    """Each column cut into what goes to each piece, in order."""
+    order = np.argsort(to.astype(np.uint16) if pieces <= 1 << 16 else to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(pieces + 1)).tolist()
+    return [[x[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (c[order] for c in columns)]
 
 
-def _pack(pieces: int, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, owner: np.ndarray, short: int) -> pa.RecordBatch:
-    """A row for each piece: its keys, their sets' ids and size codes, ids in steps from the one before."""
-    to, low = piece_of(keys, pieces)
-    order = np.argsort(to, kind="stable")
-    to, owner, low = to[order], owner[order], low[order]
-    cut = np.searchsorted(to, np.arange(pieces + 1))
-    code = code_of(sizes)
-    home = (mix(ids.astype(U)) % U(pieces)).astype(np.int64)
-    by_home = np.argsort(home, kind="stable")
-    docs = np.searchsorted(home[by_home], np.arange(pieces + 1))
-    rows: list[list] = [[] for _ in range(7)]
-    for p in range(pieces):
-        a, b, c, d = cut[p], cut[p + 1], docs[p], docs[p + 1]
-        if a == b and c == d:
-            continue
-        o, h = owner[a:b], by_home[c:d]
-        for row, x in zip(rows, (p, low[a:b].tobytes(), np.diff(ids[o], prepend=0).tobytes(), code[o].tobytes(), ids[h].tobytes(), sizes[h].astype(np.int64).tobytes(), short), strict=True):
-            row.append(x)
-    kinds = [pa.int32(), *[pa.binary()] * 5, pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
+def in_steps(ids: np.ndarray) -> bytes:
+    """Ids as differences to the one before, which compress well."""
+    return np.diff(ids, prepend=0).astype(np.int64).tobytes()
 
 
-def count_elements(docs: DataFrame, pieces: int, fine: int, words: int, threshold: int) -> Filter:
-    """The filter of elements that several sets have.  Elements are shuffled as 4 bytes each; what comes to the driver is the filter."""
+def from_steps(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in column.to_pylist()] or [np.zeros(0, np.int64)])
 
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            to, low = piece_of(np.concatenate(held), pieces)
-            order = np.argsort(to, kind="stable")
-            cut, low = np.searchsorted(to[order], np.arange(pieces + 1)), low[order]
-            some = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([low[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], ["piece", "keys"])
+def joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
-        for batch in batches:
-            for part in steps(batch, 0):
-                held.append(keys_of(*shingle_sets(texts_of(part.column(0)), words), threshold, fine, every=True)[0])
-                if sum(map(len, held)) >= FLUSH:
-                    yield flush()
-                    held = []
-        if held:
-            yield flush()
 
-    def common(table: pa.Table) -> pa.Table:
-        """Elements of two sets or more, by the part of the filter they fall into, and by the power of two their count reaches."""
-        low, n = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32), return_counts=True)
-        low, n = low[n > 1], n[n > 1]
-        at = filter_place(table.column("piece")[0].as_py(), low)
-        level = np.floor(np.log2(n)).astype(np.int32)
-        order = np.lexsort((at, at // PART_BITS, level))
-        at, level = at[order], level[order]
-        cut = np.flatnonzero(np.r_[True, (level[1:] != level[:-1]) | (at[1:] // PART_BITS != at[:-1] // PART_BITS)]) if len(at) else np.zeros(0, np.int64)
-        ends = np.r_[cut[1:], len(at)] if len(at) else cut
-        places = (at % PART_BITS).astype(np.uint32)
-        return pa.table({"part": pa.array((at[cut] // PART_BITS).astype(np.int32)), "level": pa.array(level[cut]), "n": pa.array((ends - cut).astype(np.int64)), "places": pa.array([places[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
-
-    def fill(table: pa.Table) -> pa.Table:
-        bits = np.zeros(PART_BITS, np.uint8)
-        for places in table.column("places").to_pylist():
-            bits[np.frombuffer(places, np.uint32)] = 1
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(elements, "piece int, keys binary")
-    found = written(rows.groupBy("piece").applyInArrow(common, "part int, level int, n long, places binary"), "common")
-    sizes = {r["level"]: r["n"] for r in found.groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    least = 1
-    while sum(n for k, n in sizes.items() if k >= least) > FILTER_BITS // 8:
-        least += 1
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    width = PART_BITS // 8
-    for r in found.where(F.col("level") >= least).select("part", "places").groupBy("part").applyInArrow(fill, "part int, bits binary").collect():
-        bits[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(bits, pieces, least == 1)
-
-
-def index(docs: DataFrame, pieces: int, fine: int, words: int, threshold: int, common: Broadcast) -> DataFrame:
-    """Keys of all sets that can have a partner, as rows of many keys for each piece."""
+def rows_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+#: What goes to a piece: its tokens and whose they are, hot tokens; and for documents at home there their hot tokens and sizes.
+TOKENS = "piece int, low binary, ids binary, marks binary, hot_ids binary, hot_tokens binary, docs binary, sizes binary"
+#: What a piece sends home: tokens that several sets have, their sets and levels.
+SHARED = "home int, source int, low binary, ids binary, levels binary, hot_ids binary, hot_tokens binary, docs binary, sizes binary"
+#: Keys of sets, their sizes and largest partners as codes; documents and sizes pass through.
+INDEX = "piece int, keys binary, ids binary, codes binary, limits binary, docs binary, sizes binary, short long"
+FOUND = "kind int, x long, y long, code int"
+
+
+def tokens_by_piece(docs: DataFrame, pieces: int, words: int) -> DataFrame:
+    """Every token of every set, dealt by token as 4 bytes and its set's id; a hot one once a flush."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         weight = 0
 
         def flush() -> pa.RecordBatch:
-            ids, sizes, keys, owner, short = zip(*held, strict=True)
-            shift = np.cumsum([0, *map(len, ids)])[:-1]
-            return _pack(pieces, np.concatenate(ids), np.concatenate(sizes), np.concatenate(keys), np.concatenate([o + s for o, s in zip(owner, shift, strict=True)]), sum(short))
+            ids, size, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+            owner = np.repeat(ids, size)
+            to, low = piece_of(tokens, pieces)
+            key = to.astype(U) << U(32) | low
+            ordered = np.sort(key)
+            starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+            hot = ordered[starts][np.diff(np.r_[starts, len(ordered)]) >= HOT]
+            is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
+            lows, owners = dealt(to[~is_hot], pieces, low[~is_hot], owner[~is_hot])
+            (marks,) = dealt((hot >> U(32)).astype(np.int64), pieces, hot.astype(np.uint32))
+            hot_ids, hot_tokens = dealt(home_of(owner[is_hot], pieces), pieces, owner[is_hot], key[is_hot])
+            docs_, sizes = dealt(home_of(ids, pieces), pieces, ids, size)
+            parts = zip(lows, owners, marks, hot_ids, hot_tokens, docs_, sizes, strict=True)
+            return rows_of(TOKENS, [(p, a.tobytes(), in_steps(b), c.tobytes(), in_steps(d), e.tobytes(), f.tobytes(), g.astype(np.int64).tobytes()) for p, (a, b, c, d, e, f, g) in enumerate(parts) if len(a) or len(c) or len(d) or len(f)])
 
         for batch in batches:
             for part in steps(batch, 1):
                 tokens, offsets = shingle_sets(texts_of(part.column(1)), words)
-                keys, owner, short = keys_of(tokens, offsets, threshold, fine, common.value)
-                held.append((part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets), keys, owner, len(short)))
-                weight += len(keys)
+                held.append((part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets), tokens))
+                weight += len(tokens) + part.num_rows
                 if weight >= FLUSH:
                     yield flush()
                     held, weight = [], 0
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, PIECE)
+    return docs.mapInArrow(run, TOKENS)
+
 
+def shared_tokens(dealt_tokens: DataFrame, pieces: int) -> DataFrame:
+    """The tokens of each piece that several sets have, sent to the homes of those sets."""
 
-def meet(pieces_of: DataFrame, threshold: int) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        piece = table.column("piece")[0].as_py()
+        low, ids, marks = joined(table, "low", np.uint32), from_steps(table.column("ids")), np.unique(joined(table, "marks", np.uint32))
+        order = np.argsort(low)
+        low, ids = low[order], ids[order]
+        starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[starts, len(low)])
+        marked = np.isin(low[starts], marks)
+        level = np.where(marked, HOT_LEVEL, np.minimum(np.floor(np.log2(np.maximum(count, 1))), HOT_LEVEL - 1)).astype(np.uint8)
+        use = np.repeat(marked | (count > 1), count)
+        low, ids, level = low[use], ids[use], np.repeat(level, count)[use]
+        order = np.argsort(ids, kind="stable")
+        lows, owners, levels = dealt(home_of(ids[order], pieces), pieces, low[order], ids[order], level[order])
+        rows = [(h, piece, a.tobytes(), in_steps(b), c.tobytes(), b"", b"", b"", b"") for h, (a, b, c) in enumerate(zip(lows, owners, levels, strict=True)) if len(a)]
+        rows.append((piece, piece, b"", b"", b"", in_steps(from_steps(table.column("hot_ids"))), *(b"".join(table.column(c).to_pylist()) for c in ("hot_tokens", "docs", "sizes"))))
+        return pa.Table.from_batches([rows_of(SHARED, rows)])
+
+    return dealt_tokens.groupBy("piece").applyInArrow(run, SHARED)
+
+
+def index(shared: DataFrame, pieces: int, fine: int, threshold: int) -> DataFrame:
+    """Keys of all sets that can have a partner, as rows of many keys for each piece."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, which = np.unique(joined(table, "docs", np.int64), return_inverse=True)
+        sizes = np.bincount(which, joined(table, "sizes", np.int64), len(docs)).astype(np.int64)
+        low = table.column("low").to_pylist()
+        source = np.repeat(table.column("source").to_numpy(), [len(b) // 4 for b in low])
+        token = np.r_[source.astype(U) << U(32) | joined(table, "low", np.uint32), joined(table, "hot_tokens", U)]
+        of = np.searchsorted(docs, np.r_[from_steps(table.column("ids")), from_steps(table.column("hot_ids"))])
+        level = joined(table, "levels", np.uint8)
+        level = np.r_[level, np.full(len(token) - len(level), HOT_LEVEL, np.uint8)]
+        token = mix(token)
+        order = np.lexsort((token, of))
+        token, of, level = token[order], of[order], level[order]
+        # Rows that share an id may share tokens; those are counted twice and so always here.
+        new = np.r_[True, (token[1:] != token[:-1]) | (of[1:] != of[:-1])] if len(token) else np.zeros(0, bool)
+        sizes -= np.bincount(of[~new], minlength=len(docs))
+        token, of, level = token[new], of[new], level[new]
+        keys, owner, limit, short = keys_of(token, np.searchsorted(of, np.arange(len(docs) + 1)), threshold, fine, sizes, level)
+        to, low_ = piece_of(keys, pieces)
+        parts = dealt(to, pieces, low_, docs[owner], code_of(sizes)[owner], code_of(limit)[owner])
+        rows = [(p, k.tobytes(), in_steps(i), c.tobytes(), m.tobytes(), b"", b"", 0) for p, (k, i, c, m) in enumerate(zip(*parts, strict=True)) if len(k)]
+        rows.append((table.column("home")[0].as_py(), b"", b"", b"", b"", docs.tobytes(), sizes.tobytes(), len(short)))
+        return pa.Table.from_batches([rows_of(INDEX, rows)])
+
+    return shared.groupBy("home").applyInArrow(run, INDEX)
+
+
+def meet(keys_by_piece: DataFrame, threshold: int) -> DataFrame:
     """What each piece finds: 0 pairs (x, y), 1 members y of a key's list x of three or more, 2 documents x of size y, 3 sets that fell short."""
     reach = code_reach(threshold)
 
     def run(table: pa.Table) -> pa.Table:
-        read = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        key, code, docs, sizes = read("keys", np.uint32), read("codes", np.uint8), read("docs", np.int64), read("sizes", np.int64)
-        ids = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in table.column("ids").to_pylist()] or [np.zeros(0, np.int64)])
+        key, docs, sizes = joined(table, "keys", np.uint32).astype(np.int64), joined(table, "docs", np.int64), joined(table, "sizes", np.int64)
+        code, limit, ids = joined(table, "codes", np.uint16).astype(np.int64), joined(table, "limits", np.uint16).astype(np.int64), from_steps(table.column("ids"))
         out = [(np.full(len(docs), 2), docs, sizes, np.zeros(len(docs), np.int64))]
         if short := sum(table.column("short").to_pylist()):
             out.append(tuple(np.array([v]) for v in (3, short, 0, 0)))
-        order = np.argsort(key)
-        key = key[order]
-        same = key[1:] == key[:-1]
-        order = order[np.r_[False, same] | np.r_[same, False]] if len(key) else order
-        key, code, ids = (table_ for table_ in (read("keys", np.uint32)[order], code[order], ids[order]))
         order = np.lexsort((ids, code, key))
-        key, code, ids = key[order], code[order], ids[order]
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])] if len(key) else np.zeros(0, bool)
-        key, code, ids = key[fresh], code[fresh], ids[fresh]
-        if len(key):
+        key, code, limit, ids = key[order], code[order], limit[order], ids[order]
+
+        def runs() -> tuple[np.ndarray, np.ndarray]:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            count = np.diff(np.r_[starts, len(key)])
-            least = np.repeat(np.minimum.reduceat(ids, starts), count)
-            whole = (key.astype(np.int64) << 8) | code
-            leader = ids[np.searchsorted(whole, (key.astype(np.int64) << 8) | np.maximum(code.astype(np.int64) - reach, 0))]
-            # The least id's size code, to leave out pairs of sizes that can't link.
-            code_of_least = np.repeat(np.minimum.reduceat(np.where(ids == least, code, 255), starts), count).astype(np.int64)
-            near = np.abs(code_of_least - code) <= reach
-            x, y = np.r_[least[near], leader], np.r_[ids[near], ids]
-            a, b = np.minimum(x, y), np.maximum(x, y)
-            pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+            return starts, np.diff(np.r_[starts, len(key)])
+
+        if len(key):  # a set once in a list, and only where others are
+            use = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
+            key, code, limit, ids = key[use], code[use], limit[use], ids[use]
+            _, count = runs()
+            use = np.repeat(count > 1, count)
+            key, code, limit, ids = key[use], code[use], limit[use], ids[use]
+        if len(key):  # a set that can't have one of its size needs a smaller one here that admits its size
+            starts, count = runs()
+            nth = np.repeat(np.arange(len(starts)), count)
+            whole = key << 16 | code
+            widest = np.maximum.accumulate(nth << 20 | limit) & (1 << 20) - 1
+            last = np.searchsorted(whole, key << 16 | limit, side="right") - 1
+            use = (limit >= code) | ((last >= starts[nth]) & (widest[np.maximum(last, 0)] >= code))
+            key, code, limit, ids = key[use], code[use], limit[use], ids[use]
+        if len(key):
+            starts, count = runs()
+            whole = key << 16 | code
+            first = np.repeat(np.lexsort((ids, key))[starts], count)
+            leader = np.searchsorted(whole, key << 16 | np.maximum(code - reach, 0))
+            pairs = []
+            for other in (first, leader):
+                near = (code[other] <= limit) & (code <= limit[other]) & (ids != ids[other])
+                pairs.append(np.sort(np.stack([ids[near], ids[other][near]], axis=1), axis=1))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
             out.append((np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)))
             many = count > 2
             if many.any():
                 name = np.add.reduceat(mix(ids.astype(U)), starts)
                 name[~many] = 0
-                _, first = np.unique(name, return_index=True)
+                _, once = np.unique(name, return_index=True)
                 keep = np.zeros(len(starts), bool)
-                keep[first] = True
+                keep[once] = True
                 keep = np.repeat(keep & many, count)
                 out.append((np.ones(keep.sum(), np.int64), np.repeat(name, count)[keep].view(np.int64), ids[keep], code[keep]))
         kind, x, y, c = (np.concatenate(v) for v in zip(*out, strict=True))
         return pa.table({"kind": pa.array(kind.astype(np.int32)), "x": pa.array(x.astype(np.int64)), "y": pa.array(y.astype(np.int64)), "code": pa.array(c.astype(np.int32))})
 
-    return pieces_of.groupBy("piece").applyInArrow(run, FOUND)
+    return keys_by_piece.groupBy("piece").applyInArrow(run, FOUND)
 
 
-def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """``doc`` and its sorted shingle hashes."""
+def set_table(docs: DataFrame, ids: DataFrame, repeats: DataFrame, words: int) -> DataFrame:
+    """``doc`` and its shingle hashes, of documents whose id is in ``ids``; ids of ``repeats`` have the union of their rows' sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,13 +431,17 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
                 tokens, offsets = shingle_sets(texts_of(part.column(1)), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int64)))], ["doc", "shingles"])
 
-    return docs.mapInArrow(run, "doc long, shingles array<bigint>")
+    needed = written(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), "needed")  # Spark broadcasts it if it is small
+    sets = written(docs.join(needed, docs["doc"] == needed["id"], "left_semi").mapInArrow(run, "doc long, shingles array<bigint>"), "sets")
+    if not repeats.limit(1).count():
+        return sets
+    several = sets.join(repeats, sets["doc"] == repeats["again"], "left_semi").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
+    return sets.join(repeats, sets["doc"] == repeats["again"], "left_anti").unionByName(several)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, repeats: DataFrame, words: int, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) that link, by their whole sets."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")  # Spark broadcasts it if it is small
-    sets = written(set_table(docs.join(needed, docs["doc"] == needed["id"], "left_semi"), words), "sets")
+    sets = set_table(docs, pairs.select(F.explode(F.array("a", "b"))), repeats, words)
     first, second = (sets.select(F.col("doc").alias(f"doc_{k}"), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     both = pairs.join(first, F.col("a") == F.col("doc_a")).join(second, F.col("b") == F.col("doc_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -461,21 +475,21 @@ def test_blocks(table: pa.Table, threshold: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def rest_links(lists: DataFrame, parts: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+def rest_links(lists: DataFrame, parts: DataFrame, docs: DataFrame, repeats: DataFrame, words: int, threshold: int) -> DataFrame:
     """Links (a, b) between components that share a key, as many as joining them needs.
 
     A list's anchor is the component that most of its sets are in; the others are its guests.
-    Guests are tested against each other and against all sets of the anchor: in blocks of
-    ``BLOCK`` sets on either side, so what is shuffled is sets by block, never pairs.
+    Guests are tested against each other and against the sets of the anchor that are in a list
+    with guests: in blocks of ``BLOCK`` sets on either side, so what is shuffled is sets by
+    block, never pairs.
     """
     of = lists.join(parts, lists["doc"] == parts["node"], "left").select("list", "doc", F.coalesce("root", "doc").alias("part"))
     of = written(of, "lists")
     most = of.groupBy("list", "part").agg(F.count("*").alias("n")).groupBy("list").agg(F.max_by("part", F.struct(F.col("n"), -F.col("part"))).alias("anchor"), F.count("*").alias("parts")).where("parts > 1")
     most = written(most.select(F.col("list").alias("in"), "anchor"), "anchors")
-    guests = written(of.join(most, of["list"] == most["in"]).where("part <> anchor").select("anchor", "doc", "part").distinct(), "guests")
+    met = written(of.join(most, of["list"] == most["in"]).select("anchor", "doc", "part").distinct(), "guests")
+    guests, own = met.where("part <> anchor"), met.where("part = anchor").select("anchor", "doc")
     anchors = guests.groupBy("anchor").agg(F.count("*").alias("n"))
-    own = parts.join(anchors.select("anchor"), parts["root"] == F.col("anchor")).select("anchor", F.col("node").alias("doc")).unionByName(anchors.select("anchor", F.col("anchor").alias("doc")))
-    own = written(own, "hosts")
     size = anchors.join(own.groupBy(F.col("anchor").alias("at")).agg(F.count("*").alias("m")), F.col("anchor") == F.col("at")).select("at", F.ceil(F.col("n") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"))
     size = written(size, "blocks")
     block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
@@ -487,44 +501,45 @@ def rest_links(lists: DataFrame, parts: DataFrame, docs: DataFrame, words: int,
     g = g.select("anchor", "doc", "part", F.explode(F.concat(among, with_own)).alias("t"))
     o = own.join(size, F.col("anchor") == F.col("at")).withColumn("b", block("nm"))
     o = o.select("anchor", "doc", F.col("anchor").alias("part"), F.explode(F.transform(upto("nx"), lambda k: task(1, k, F.col("b"), F.lit(1)))).alias("t"))
-    needed = written(guests.select("doc").union(own.select("doc")).distinct().select(F.col("doc").alias("id")), "needed")
-    sets = written(set_table(docs.join(needed, docs["doc"] == needed["id"], "left_semi"), words), "sets").withColumnRenamed("doc", "of")
+    sets = set_table(docs, met.select("doc"), repeats, words).withColumnRenamed("doc", "of")
     rows = g.unionByName(o).join(sets, F.col("doc") == F.col("of")).select("anchor", "t.kind", "t.i", "t.j", "t.side", "doc", "part", "shingles")
     return rows.groupBy("anchor", "kind", "i", "j").applyInArrow(lambda t: test_blocks(t, threshold), "a long, b long").where("a <> b")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``doc``, ``least``: the least id of those whose texts have the same words in a row."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copies: ``doc``, ``least``, the least id of those whose texts have the same words in a row; and ids of several rows: ``again``, ``n``.  The latter are no copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in texts_of(batch.column(1))], pa.binary())], ["doc", "digest"])
 
     rows = written(docs.mapInArrow(run, "doc long, digest binary"), "digests")
+    repeats = written(rows.groupBy(F.col("doc").alias("again")).agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    rows = rows.join(repeats, F.col("doc") == F.col("again"), "left_anti")
     groups = written(rows.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
-    return rows.join(groups, "digest").where("doc <> least").select("doc", "least")
+    return written(rows.join(groups, "digest").where("doc <> least").select("doc", "least"), "copies"), repeats
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (the least id reachable by links)."""
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"ids are whole numbers, {id_column} is {kind.simpleString()}")
     d = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    copies = written(classes(d.where("doc is not null")), "copies")  # ids only; Spark broadcasts them if few
+    copies, repeats = classes(d.where("doc is not null"))
     single = d.where("doc is not null").join(copies.select(F.col("doc").alias("copy")), F.col("doc") == F.col("copy"), "left_anti")
     pieces, fine = 4 * partitions(spark), 1
     while True:
-        common = spark.sparkContext.broadcast(count_elements(single, pieces, fine, words, threshold))
-        found = written(meet(index(single, pieces, fine, words, threshold, common), threshold), "found")
-        common.destroy()
+        found = written(meet(index(shared_tokens(tokens_by_piece(single, pieces, words), pieces), pieces, fine, threshold), threshold), "found")
         if not found.where("kind = 3").limit(1).count():
             break
         fine *= 2
     pairs = written(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    links = written(verified(pairs, single, words, threshold), "links")
+    links = written(verified(pairs, single, repeats, words, threshold), "links")
     parts = components(links)
     lists = found.where("kind = 1").select(F.col("x").alias("list"), F.col("y").alias("doc")).distinct()
-    rest = written(rest_links(lists, parts, single, words, threshold), "links")
+    rest = written(rest_links(lists, parts, single, repeats, words, threshold), "links")
     if rest.limit(1).count():
         parts = components(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest))
     sizes = found.where("kind = 2").select(F.col("x").alias("own"), F.col("y").alias("n_shingles"))
@@ -532,5 +547,6 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     # Copies take over what their class has; empty sets link with nothing.
     same = copies.join(base, copies["least"] == base["own"]).select("doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
     lost = d.where("doc is null").select("doc", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    out = base.select(F.col("own").alias("doc"), "n_shingles", "component_id").unionByName(same).unionByName(lost)
+    times = base.join(repeats, base["own"] == repeats["again"], "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1)).cast("int"))))
+    out = times.select(F.col("own").alias("doc"), "n_shingles", "component_id").unionByName(same).unionByName(lost)
     return out.select(F.col("doc").cast(kind).alias(id_column), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))

@@ -6,6 +6,7 @@ that the cluster names in ``spark.checkpoint.dir`` (never ``localCheckpoint``).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,10 +23,12 @@ _own_folder: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset and the driver is the only machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="shared-"))
     return _own_folder[0]
@@ -44,11 +47,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of ``written`` or an archive folder, by Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application's operators wrote into the shared folder.  Results that were not yet written are lost with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def steps(batch: pa.RecordBatch, column: int | str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

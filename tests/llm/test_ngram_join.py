@@ -76,6 +76,51 @@ def test_null_ids_and_empty_table(spark):
     assert N.jaccard_components(df.where("false")).count() == 0
 
 
+def test_text_ids_are_refused(spark):
+    with pytest.raises(TypeError):
+        N.jaccard_components(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
+
+
+def test_repeated_rows(spark):
+    """Rows of one id are one document with all their shingles."""
+    x, y = " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(8))
+    rows = [(3, x), (7, x), (7, y), (9, y), (9, y), (11, x), (12, y)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, N.jaccard_components(df).collect())) == [(3, 26, 3), (7, 30, 3), (7, 30, 3), (9, 4, 9), (9, 4, 9), (11, 26, 3), (12, 4, 9)]
+
+
+def templated(n: int, own: int = 2) -> dict[int, str]:
+    """Texts of one template of 40 words with own words in the middle: no two link, all share most of their shingles."""
+    return {i: " ".join([*(f"t{k}" for k in range(20 - own)), *(f"own{k}x{i}" for k in range(own)), *(f"t{k}" for k in range(20, 40))]) for i in range(n)}
+
+
+def test_templates_cost_in_proportion(spark, monkeypatch):
+    """Sets that a template makes meet in long lists are left out by their sizes, not tested with each other."""
+    assert got(spark, templated(200)) == brute(templated(200))
+    tested = []
+    real = N.rest_links
+
+    def counted(lists, *rest):
+        tested.append(lists.count())
+        return real(lists, *rest)
+
+    monkeypatch.setattr(N, "rest_links", counted)
+    for n in (1000, 8000):
+        texts = templated(n) | {n + i: t for i, t in enumerate(templated(40, 1).values())}
+        assert {c for i, (_, c) in got(spark, texts).items() if i < n} == set(range(n))
+    assert tested[1] <= 8 * max(tested[0], 100)
+
+
+@pytest.mark.parametrize("flush", [300, 10**6])
+def test_hot_tokens_and_small_flushes(spark, monkeypatch, flush):
+    """Tokens that many sets of a flush have, in one flush or several."""
+    monkeypatch.setattr(N, "FLUSH", flush)
+    rng = random.Random(9)
+    line = [f"c{i}" for i in range(25)]
+    texts = {i: " ".join(near(rng, line, rng.randrange(3)) + [f"z{rng.randrange(40)}" for _ in range(rng.randrange(12))]) for i in range(150)}
+    assert got(spark, texts) == brute(texts)
+
+
 def test_pairs_that_link_share_a_key():
     """Also where most segments of a set are empty: the pigeonhole holds with neighbourhoods, and what falls short is told."""
     rng = np.random.default_rng(3)
@@ -90,7 +135,7 @@ def test_pairs_that_link_share_a_key():
             both = len(np.intersect1d(a, b))
             if 100 * both < 75 * (len(a) + len(b) - both):
                 continue
-            keys, owner, short = N.keys_of(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
+            keys, owner, _, short = N.keys_of(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
             assert len(short) or set(keys[owner == 0]) & set(keys[owner == 1]), (n, more, less)
 
 
