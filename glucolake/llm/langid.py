@@ -5,12 +5,15 @@ digits, space, the rest).  Filters of widths 2, 3 and 4 slide over windows of fi
 the maximum of each filter over a window goes through a rectifier and a linear layer, whose
 outputs are averaged over all windows of the whole text and turned into shares by a softmax.
 
-Training takes windows of a bounded sample: at most ``SAMPLE`` documents for each of the
-``MAX_LABELS`` most frequent labels, those of the least hash of the id.  Only the text and
-the label are seen; the caller says by ``train_on`` which rows may be learned from.
+Training takes a bounded sample of the windows of all labelled texts, wherever in a text they
+lie: at most some ``SAMPLE`` for each label, less where labels are so many that it would be
+more than ``ALL_SAMPLES`` together, those of the least hash of id and place.  Every label is
+learned.  Only the text and the label are seen; the caller says by ``train_on`` which rows
+may be learned from.
 
 A null text or one without a letter is ``und`` with score 0; with no labelled rows every
-text is.  Texts shorter than a window are padded.  Extra columns are ignored.
+text is.  Any other text gets a learned label, however short.  Texts shorter than a window are
+padded.  Rows that repeat are each predicted; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glucolake.llm.shared import steps
+from glucolake.llm.shared import steps, texts_of
 
 WINDOW, FILTERS, WIDTHS, CLASSES = 256, 16, (2, 3, 4), 64
-SAMPLE, MAX_LABELS, WINDOWS_PER_TEXT = 500, 64, 4
-EPOCHS, BATCH, RATE, SEED = 10, 64, 0.01, 7
+SAMPLE, ALL_SAMPLES = 2000, 120_000
+#: Passes over the sample, more where they would be fewer than ``LEAST_STEPS`` steps.
+EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 10, 1000, 64, 0.01, 7
 UNDETERMINED = "und"
 
 
@@ -99,7 +103,7 @@ def train(windows: np.ndarray, label: np.ndarray, labels: list[str]) -> Network:
     net = Network(labels, {w: (rng.normal(size=(w, CLASSES, FILTERS)) * 0.3).astype(np.float32) for w in WIDTHS}, np.zeros(FILTERS * len(WIDTHS), np.float32), (rng.normal(size=(FILTERS * len(WIDTHS), len(labels))) * 0.1).astype(np.float32), np.zeros(len(labels), np.float32))
     weights = [*net.filters.values(), net.bias, net.out, net.out_bias]
     means, squares, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(windows))) if len(windows) else 0):
         order = rng.permutation(len(windows))
         for start in range(0, len(order), BATCH):
             x, y = windows[order[start : start + BATCH]], label[order[start : start + BATCH]]
@@ -132,38 +136,36 @@ def train(windows: np.ndarray, label: np.ndarray, labels: list[str]) -> Network:
 
 
 def sample_windows(docs: DataFrame, train_on: Column, id_column: str, text_column: str, label_column: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of a bounded sample of labelled rows, their labels by number, and the labels."""
-    rows = docs.where(train_on & F.col(label_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"), F.col(label_column).cast("string").alias("__label"))
-    counts = rows.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(MAX_LABELS).collect()
-    labels = sorted(r["__label"] for r in counts)
+    """A bounded sample of the windows of labelled rows, their labels by number, and all labels."""
+    rows = docs.where(train_on & F.col(label_column).isNotNull()).select(F.col(id_column).alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"), F.col(label_column).cast("string").alias("__label"))
+    rows = rows.withColumn("__n", F.ceil(F.octet_length("__text") / WINDOW).cast("int"))
+    counts = {r["__label"]: r["n"] for r in rows.groupBy("__label").agg(F.sum("__n").alias("n")).collect()}
+    labels = sorted(counts)
     if not labels:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("__label") == r["__label"], F.lit(min(1.0, 1.1 * SAMPLE / r["count"]))).otherwise(share)
-    chance = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    each = min(SAMPLE, ALL_SAMPLES // len(labels))
+    shares = docs.sparkSession.createDataFrame([(i, c, min(1.0, each / max(1, counts[c]))) for i, c in enumerate(labels)], "__of int, __name string, __share double")
+    chance = lambda k: F.pmod(F.xxhash64(F.col("__id").cast("string"), k, F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = F.filter(F.sequence(F.lit(0), F.col("__n") - 1), lambda k: chance(k) < F.col("__share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, 0):
-                out = []
-                for t in part.column(0).cast(pa.binary()).to_pylist():
-                    w = windows_of(t or b"")
-                    out.append(w[np.unique(np.linspace(0, len(w) - 1, WINDOWS_PER_TEXT).astype(int))].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), part.column(1)], ["windows", "label"])
-
-    rows = rows.where(chance < share).select("__text", "__label").mapInArrow(run, "windows binary, label string")
-    found = rows.limit(2 * SAMPLE * len(labels)).collect()  # the shares keep it below; the limit is a bound
+                out = [windows_of(t)[at].tobytes() for t, at in zip(texts_of(part.column(0)), part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), part.column(2)], ["windows", "label"])
+
+    rows = rows.where("__n > 0").join(shares, F.col("__label") == F.col("__name")).select("__text", chosen.alias("__at"), "__of").where(F.size("__at") > 0)
+    found = rows.mapInArrow(run, "windows binary, label int").collect()
     x = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in found]
-    of = {c: i for i, c in enumerate(labels)}
-    return np.concatenate(x), np.repeat([of[r["label"]] for r in found], [len(w) for w in x]), labels
+    return np.concatenate([np.zeros((0, WINDOW), np.uint8), *x]), np.repeat(np.array([r["label"] for r in found], np.int64), [len(w) for w in x]), labels
 
 
 def fit(docs: DataFrame, train_on: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Network | None:
     x, y, labels = sample_windows(docs, train_on, id_column, text_column, label_column)
-    keep = (x != 0).sum(axis=1) >= 16 if len(x) else np.zeros(0, bool)
-    order = np.lexsort((*x[keep].T[:32], y[keep])) if keep.any() else np.zeros(0, int)  # the same whatever order the rows came in
-    return train(x[keep][order], y[keep][order], labels) if keep.any() else None
+    if not labels:
+        return None
+    order = np.lexsort((np.ascontiguousarray(x).view(f"S{WINDOW}").ravel(), y))  # the same whatever order the rows came in
+    return train(x[order], y[order], labels)
 
 
 def predict(docs: DataFrame, net: Network | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

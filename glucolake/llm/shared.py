@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of an Arrow function works on at a time.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 _own_folder: list[str] = []
 
