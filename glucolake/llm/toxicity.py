@@ -1,15 +1,17 @@
 """Toxicity by a linear classifier that is indifferent to which group a sentence names.
 
 Features are the distinct words of the whole text, without case, and their beginnings of 4
-to 6 letters.  Spark counts them over a bounded sample of labelled rows (at most ``SAMPLE``
-of each label, those of the least hash of the id) and keeps the ``FEATURES`` that tell the
-labels apart best.  Weights come from logistic regression in numpy.
+to 6 letters.  Spark counts them over a bounded sample of labelled rows (some ``SAMPLE`` of
+each label, those of the least hash of the id) and keeps those whose log-likelihood ratio
+between the labels is at least ``SURE``.  Weights come from logistic regression in numpy.
 
 *Counterfactuals.*  In each sampled text that names a group, the identity term is swapped for
 every other term of its list, and the squared difference of the scores before and after is
 part of the loss, so no weight can rest on the group that is named.  Identity terms stand
 for a sentence each as well, without any label, so terms the sample never has are tied too.
 
+Of a swap only the features that change are kept.
+
 A null or empty text scores like a text without any feature.  A document with more than one
 label counts as toxic if any says so; null labels are ignored.  Without rows of both labels
 every score is 0.  Extra columns are ignored.
@@ -18,6 +20,7 @@ every score is 0.  Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -28,11 +31,11 @@ from pyspark.sql import functions as F
 
 from glucolake.llm.shared import steps, written
 
-SAMPLE, FEATURES, LEAST_TEXTS = 6000, 4096, 8
+SAMPLE, SURE = 6000, 6.63  # by chance one feature in a hundred is as sure
 RIDGE, PENALTY, ROUNDS, SEED = 2e-4, 1.0, 300, 11
 PREFIXES = (4, 5, 6)
-#: Words whose features a worker remembers; when as many are known the memory is emptied.
-MEMORY_WORDS = 300_000
+#: Words whose features a worker remembers, and their length; when as many are known the memory is emptied.
+MEMORY_WORDS, MEMORY_LENGTH = 200_000, 64
 #: Terms that name a group; within a list each can stand for any other.
 IDENTITIES = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -76,7 +79,9 @@ class Model:
             for w in words_of(text):
                 ids = memory.get(w)
                 if ids is None:
-                    ids = memory[w] = tuple(of[f] for f in features_of(w) if f in of)
+                    ids = tuple(of[f] for f in features_of(w) if f in of)
+                    if len(w) <= MEMORY_LENGTH:
+                        memory[w] = ids
                 if ids:
                     found.update(ids)
             z = self.bias + float(self.weights[list(found)].sum())
@@ -85,37 +90,42 @@ class Model:
         return score
 
 
-def swaps(found: set[str]) -> list[set[str]]:
-    """A text's words with one identity term swapped, for each such term and each other of its list."""
-    return [found - {t} | {o} for terms in IDENTITIES for t in terms if t in found for o in terms if o != t]
+def swaps(x: set[int], own: dict[str, set[int]], term_features: dict[str, set[int]]) -> list[tuple[list[int], list[int]]]:
+    """Features that come and that go when one identity term of a text is swapped, for each such term and each other of its list.
 
+    ``x`` has the text's features, ``own`` for each of its terms those that no other word has.
+    """
+    return [(sorted(term_features[o] - (x - own[t])), sorted(own[t] - term_features[o])) for terms in IDENTITIES for t in terms if t in own for o in terms if o != t]
 
-def _matrix(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse rows as flat feature numbers and offsets."""
-    return np.fromiter((i for r in rows for i in r), np.int64), np.cumsum([0, *map(len, rows)])
 
+def train(flat: np.ndarray, offset: np.ndarray, toxic: np.ndarray, changes: list[tuple[int, list[int], list[int]]], width: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on all rows at once: mean log loss of each label, ridge, and the mean squared score change over counterfactual swaps.
 
-def train(rows: list[list[int]], toxic: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on all rows at once: mean log loss of each label, ridge, and the mean squared score change over counterfactual pairs."""
-    flat, offset = _matrix(rows)
-    row = np.repeat(np.arange(len(rows)), np.diff(offset))
-    share = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
-    both = [_matrix([p[k] for p in pairs]) for k in (0, 1)]
-    at = [np.repeat(np.arange(len(pairs)), np.diff(o)) for _, o in both]
+    Row i has the features ``flat[offset[i]:offset[i + 1]]``; ``toxic`` is 1, 0 or -1 for a row without a label.
+    A change is a row, the features that come and those that go.
+    """
+    n = len(toxic)
+    row = np.repeat(np.arange(n), np.diff(offset))
+    share = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), np.where(toxic == 0, 0.5 / max(1, (toxic == 0).sum()), 0.0))
+    of = np.array([c[0] for c in changes], np.int64)
+    sign = np.concatenate([np.r_[np.ones(len(c[1])), -np.ones(len(c[2]))] for c in changes]) if changes else np.zeros(0)
+    moved = np.fromiter((f for c in changes for part in c[1:] for f in part), np.int64)
+    at = np.repeat(np.arange(len(changes)), [len(c[1]) + len(c[2]) for c in changes])
     w, mean, square = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, ROUNDS + 1):
-        z = np.bincount(row, w[flat], len(rows)) + w[-1]
+        z = np.bincount(row, w[flat], n) + w[-1]
         error = (sigmoid(z) - toxic) * share
-        g = np.bincount(flat, error[row], width + 1) + RIDGE * w
+        g = RIDGE * w
+        g[-1] = 0.0
+        if changes:
+            before, after = sigmoid(z[of]), sigmoid(z[of] + np.bincount(at, sign * w[moved], len(changes)))
+            change = 2 * PENALTY * (before - after) / len(changes)
+            slope = change * after * (1 - after)
+            error += np.bincount(of, change * before * (1 - before) - slope, n)
+            g += np.bincount(moved, -sign * slope[at], width + 1)
+        g += np.bincount(flat, error[row], width + 1)
         g[-1] = error.sum()
-        if pairs:
-            s = [sigmoid(np.bincount(a, w[f], len(pairs)) + w[-1]) for a, (f, _) in zip(at, both, strict=True)]
-            change = 2 * PENALTY * (s[0] - s[1]) / len(pairs)
-            for sign, p, a, (f, _) in ((1, s[0], at[0], both[0]), (-1, s[1], at[1], both[1])):
-                slope = sign * change * p * (1 - p)
-                g += np.bincount(f, slope[a], width + 1)
-                g[-1] += slope.sum()
         mean += 0.1 * (g - mean)
         square += 0.01 * (g * g - square)
         w -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
@@ -147,30 +157,37 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Callable[[Column], Column]
     beginnings = F.flatten(F.array(F.array("w"), *(F.when(F.length("w") > n, F.array(F.concat(F.substring("w", 1, n), F.lit("*")))).otherwise(F.array().cast("array<string>")) for n in PREFIXES)))
     by_feature = (
         texts.select("id", "toxic", F.explode("words").alias("w")).select("id", "toxic", F.explode(beginnings).alias("f")).distinct()
-        .groupBy("f").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine")).where(F.col("bad") + F.col("fine") >= LEAST_TEXTS)
+        .groupBy("f").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
     )
-    odds = F.abs(F.log((F.col("bad") + 0.5) / (total[1] + 1)) - F.log((F.col("fine") + 0.5) / (total[0] + 1)))
-    # How surely a feature tells the labels apart: its log odds over their standard error.
-    sure = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("fine") + 0.5))
-    chosen = [r["f"] for r in by_feature.orderBy(sure.desc(), "f").limit(FEATURES).collect()]
-    features = list(dict.fromkeys([*chosen, *(f for terms in IDENTITIES for t in terms for f in features_of(t))]))
+    # Dunning's log-likelihood ratio of a feature's counts against equal shares in both labels.
+    n = F.col("bad") + F.col("fine")
+    told = lambda seen, of: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) * (total[0] + total[1]) / (n * of))).otherwise(0.0)
+    g = 2 * (told("bad", total[1]) + told("fine", total[0]) + sum(F.when(of > F.col(seen), (of - F.col(seen)) * F.log((of - F.col(seen)) * F.lit(float(total[0] + total[1])) / ((total[0] + total[1] - n) * of))).otherwise(0.0) for seen, of in (("bad", total[1]), ("fine", total[0]))))
+    chosen = [r["f"] for r in by_feature.where(g >= SURE).select("f").collect()]  # of a bounded sample
+    features = sorted({*chosen, *(f for terms in IDENTITIES for t in terms for f in features_of(t))})
     of = {f: i for i, f in enumerate(features)}
-    numbers = lambda ws: sorted({of[f] for w in ws for f in features_of(w) if f in of})
-    names = frozenset(t for terms in IDENTITIES for t in terms)
+    numbers = lambda w: {of[f] for f in features_of(w) if f in of}
+    names = {t: numbers(t) for terms in IDENTITIES for t in terms}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features of each text as 4 bytes each, its identity terms, and for each of them how many of its features no other word has, and which."""
         for batch in batches:
-            out = [(i, y, numbers(ws), [t for t in ws if t in names]) for i, y, ws in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True)], ["id", "toxic", "x", "terms"]) if out else batch
-
-    encoded = sorted(texts.mapInArrow(encode, "id string, toxic int, x array<bigint>, terms array<string>").collect(), key=lambda r: (r["id"] or "", r["toxic"], r["x"]))
-    rows = [r["x"] for r in encoded]
-    pairs = [(numbers([t]), numbers([o])) for terms in IDENTITIES for t in terms for o in terms if t < o]
-    for r in encoded:
-        own = set(r["terms"])
-        rest = set(r["x"]) - set(numbers(own))
-        pairs += [(r["x"], sorted(rest | set(numbers(s)))) for s in swaps(own)]
-    weights, bias = train(rows, np.array([r["toxic"] for r in encoded]), pairs, len(features))
+            out = []
+            for i, y, ws in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                times = Counter(f for w in ws for f in numbers(w))
+                out.append((i, y, np.array(sorted(times), np.int32).tobytes(), [t for t in ws if t in names], [sorted(f for f in names[t] if times[f] == 1) for t in ws if t in names]))
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["id", "toxic", "x", "terms", "own"])
+
+    encoded = sorted(texts.mapInArrow(encode, "id string, toxic int, x binary, terms array<string>, own array<array<int>>").collect(), key=lambda r: (r["id"] or "", r["toxic"], bytes(r["x"])))
+    rows = [np.frombuffer(r["x"], np.int32) for r in encoded]
+    changes = [(i, *s) for i, r in enumerate(encoded) if r["terms"] for s in swaps(set(rows[i].tolist()), dict(zip(r["terms"], map(set, r["own"]), strict=True)), names)]
+    # Each term as a text of its own, without a label.
+    alone = sorted(names)
+    changes += [(len(rows) + i, *s) for i, t in enumerate(alone) for s in swaps(names[t], {t: names[t]}, names)]
+    rows += [np.array(sorted(names[t]), np.int32) for t in alone]
+    toxic = np.array([r["toxic"] for r in encoded] + [-1] * len(alone))
+    weights, bias = train(np.concatenate(rows).astype(np.int64), np.cumsum([0, *map(len, rows)]), toxic, changes, len(features))
     return Model(features, weights, bias)
 
 
