@@ -62,13 +62,13 @@ WORDS, THRESHOLD = 5, 75
 #: Sets below this size index one-deletion neighbourhoods as well.
 SMALL = 64
 #: Tokens that a task gathers before it hands them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Sets of one flush that make a token hot, and the level of such tokens.
 HOT, HOT_LEVEL = 32, 31
 #: Size codes are steps of so many to a power of two: they keep sizes up to some hundreds apart.
 CODE_STEPS = 512
 #: Sets on either side of one test of guests.
-BLOCK = 128
+BLOCK = 64
 
 U = np.uint64
 _MULTIPLIER = 0x5851F42D4C957F2D
@@ -529,7 +529,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     d = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     copies, repeats = classes(d.where("doc is not null"))
     single = d.where("doc is not null").join(copies.select(F.col("doc").alias("copy")), F.col("doc") == F.col("copy"), "left_anti")
-    pieces, fine = 4 * partitions(spark), 1
+    pieces, fine = 2 * partitions(spark), 1
     while True:
         found = written(meet(index(shared_tokens(tokens_by_piece(single, pieces, words), pieces), pieces, fine, threshold), threshold), "found")
         if not found.where("kind = 3").limit(1).count():
