@@ -82,13 +82,20 @@ c AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER
       FROM w WINDOW upto AS (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, (SELECT arg_min(level, cap / weight * 1000000 + nth) FROM c WHERE cap > level * weight) AS final FROM c),
 t AS (SELECT source, source_size, CASE WHEN cap > level * weight THEN least(cap, final * weight) ELSE cap END AS target FROM f),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
-r AS (SELECT *, target - whole * source_size AS rest FROM p),
-j AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, r.rest,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+k AS (SELECT d.source, length(bin(d.size)) AS digits, CAST(sum(d.size) AS BIGINT) AS words, any_value(t.target) AS target, any_value(t.source_size) AS source_size
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.source, length(bin(d.size))),
+l AS (SELECT *, (target - 2 * coalesce(sum(words) OVER (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / CAST(sum(words * digits) OVER (PARTITION BY source ORDER BY digits ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS level FROM k),
+m AS (SELECT *, max(CASE WHEN level * digits <= 2 THEN digits END) OVER (PARTITION BY source) AS top,
+             arg_max(level, digits) FILTER (WHERE level * digits <= 2) OVER (PARTITION BY source) AS scale FROM l),
+p AS (SELECT *, CASE WHEN digits <= top THEN least(2.0::DOUBLE, scale * digits) ELSE 2.0::DOUBLE END AS copies FROM m),
+r AS (SELECT *, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS odds,
+             target - sum(CAST(floor(copies) AS BIGINT) * words) OVER (PARTITION BY source) AS rest FROM p),
+q AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.whole, r.rest, CASE WHEN r.odds > 0 THEN d.u / (1 - d.u) / (r.odds / (1 - r.odds)) END AS pareto
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND length(bin(d.size)) = r.digits),
+j AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, pareto IS NULL ORDER BY pareto, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN rest > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN pareto IS NOT NULL AND rest > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM j
 """
 

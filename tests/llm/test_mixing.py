@@ -39,16 +39,52 @@ def test_targets_and_sample_equal_brute_force(spark, monkeypatch, bins):
     want = targets(total)
     u = {i: (int(hashlib.md5(f"{i}:{M.SEED}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in size}
     for s in total:
-        whole = math.floor(want[s] / total[s])
-        rest, run = want[s] - whole * total[s], 0
-        for i in sorted((i for i in size if source[i] == s), key=lambda i: u[i]):
+        e = expected({i: size[i] for i in size if source[i] == s}, want[s])
+        rest, run = want[s] - sum(math.floor(e[i]) * size[i] for i in e), 0
+        odds = {i: e[i] - math.floor(e[i]) for i in e}
+        rank = {i: u[i] / (1 - u[i]) / (odds[i] / (1 - odds[i])) for i in e if odds[i] > 0}
+        for i in sorted(rank, key=lambda i: rank[i]):
             more = run + size[i] / 2 <= rest and rest > 0
             run += size[i]
             if size[i]:
-                assert got[i]["copies"] == whole + more, (s, i)
+                assert got[i]["copies"] == math.floor(e[i]) + more, (s, i)
+        for i in e:
             assert got[i]["taken"] == size[i] * got[i]["copies"] <= 2 * size[i]
             assert got[i]["target"] == pytest.approx(want[s]) and got[i]["source_size"] == total[s]
-        assert abs(sum(got[i]["taken"] for i in size if source[i] == s) - want[s]) <= max(size.values()) / 2 + 1
+            assert i in rank or not size[i] or got[i]["copies"] == math.floor(e[i])
+        assert abs(sum(got[i]["taken"] for i in e) - want[s]) <= max(size.values()) / 2 + 1
+
+
+def expected(size: dict[int, int], target: float) -> dict[int, float]:
+    """Copies in proportion to the binary digits of the size, at most 2, whose words are the target."""
+    capped = set()
+    while True:
+        left = target - 2 * sum(size[i] for i in capped)
+        scale = left / max(1, sum(size[i] * size[i].bit_length() for i in size if i not in capped))
+        over = {i for i in size if i not in capped and scale * max(1, size[i].bit_length()) > 2}
+        if not over:
+            return {i: 2.0 if i in capped else min(2.0, scale * max(1, size[i].bit_length())) for i in size}
+        most = max(size[i].bit_length() for i in over)
+        capped |= {i for i in over if size[i].bit_length() == most}
+
+
+def test_mean_copies_over_seeds_are_the_expected_ones(spark):
+    """Documents of different size are drawn with different probabilities, each its own."""
+    rows = [(i, " ".join(["w"] * (3, 20, 150)[i % 3]), "s0" if i < 900 else "s1") for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2).cache()
+    size = {i: len(t.split()) for i, t, _ in rows}
+    own = {i for i, _, s in rows if s == "s1"}
+    seeds = 12
+    times = dict.fromkeys(size, 0)
+    for k in range(seeds):
+        for r in M.mix(df, weights=(3.0, 0.6), share=0.75, seed=f"try-{k}").collect():
+            times[r["doc_id"]] += r["copies"]
+    want = expected({i: size[i] for i in own}, 0.75 * sum(size.values()) * 0.6 / 3.6)
+    for n in (3, 20, 150):
+        ids = [i for i in own if size[i] == n]
+        mean, p = sum(times[i] for i in ids) / len(ids) / seeds, want[ids[0]]
+        assert 0 < p < 1 and abs(mean - p) < 4 * math.sqrt(p * (1 - p) / len(ids) / seeds) + 0.01, (n, mean, p)
+    assert want[[i for i in own if size[i] == 150][0]] > 1.5 * want[[i for i in own if size[i] == 3][0]]
 
 
 def test_reruns_agree_whatever_the_partitions(spark):
