@@ -4,8 +4,9 @@ The page becomes a tree of its block elements.  Parts that are never the article
 out: by element (menus, forms, scripts), by role, and by words of class and id.  The words
 and the form don't count against a part that holds most of the page's paragraph text (nearly
 all, in several paragraphs, where nothing else speaks for it; comments never) unless it lies
-outside the page's ``article`` or ``main``, nor where no text were left.  Every paragraph passes points for its length and its commas to the elements around it, all to the
-nearest, less to those further out; an element's points are discounted by the share of its
+outside the page's ``article`` or ``main``, nor where no text were left.  Every paragraph
+passes points for its length and its commas to all elements around it, all of them to the
+nearest, half to the next and a third of that with each further one; an element's points are discounted by the share of its
 text that is links.  The best container is kept (the ``article`` or ``main`` around it where
 there is one), with those of its siblings that score well or are plain paragraphs; lists and
 boxes inside that are mostly links go.
@@ -49,6 +50,8 @@ MOST, NEARLY_ALL, NEVER = 0.5, 0.8, 2.0
 #: Paragraphs of a part that only its share of the text speaks for.
 FEWEST = 3
 CLEANED = frozenset("ul ol dl div section table".split())
+#: Inline elements that class, id and style can leave out.
+INLINE = frozenset("span small label ins".split())
 
 TOKEN = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)"""
@@ -57,18 +60,19 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?P<name>class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+INLINE_TAGS = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in INLINE}
 CLOSERS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 #: Start tags that end an open element of the same kind, up to the element that bounds it.
 SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
 class Node:
-    __slots__ = ("tag", "up", "out", "inside", "points", "chars", "links", "weight", "need", "prose", "paragraphs", "texts")
+    __slots__ = ("tag", "up", "out", "inside", "points", "passed", "chars", "links", "weight", "need", "prose", "paragraphs", "texts")
 
     def __init__(self, tag: str, up: Node | None, out: bool, weight: int, inside: bool = False, need: float = 0.0):
         self.tag, self.up, self.out, self.weight, self.inside = tag, up, out, weight, inside
         self.need = need  # share of the page's paragraph text without which the part is left out
-        self.points, self.chars, self.links = 0.0, 0, 0
+        self.points, self.passed, self.chars, self.links = 0.0, 0.0, 0, 0
         self.prose, self.paragraphs, self.texts = 0, 0, 0
 
 
@@ -96,6 +100,17 @@ def judged(tag: str, rest: str, inside: bool) -> tuple[bool, int, float]:
     return False, weight, 0.0
 
 
+def ended(page: str, tag: str) -> set[int]:
+    """Where start tags of this name are that have an end tag of their own."""
+    open_, found = [], set()
+    for m in INLINE_TAGS[tag].finditer(page):
+        if not m[1]:
+            open_.append(m.start())
+        elif open_:
+            found.add(open_.pop())
+    return found
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
@@ -105,6 +120,7 @@ def extract(page: str | None) -> str:
     opened: Counter[str] = Counter()  # open elements by name: the stack is searched only for what it has
     blocks: list[tuple[Node, list[str], list[int]]] = []  # element, text pieces, [characters in links]
     fresh = True  # the next text begins a block
+    pairs: dict[str, set[int]] = {}
 
     def text(piece: str) -> None:
         nonlocal fresh
@@ -169,18 +185,27 @@ def extract(page: str | None) -> str:
             at = end.end() if end else n
             continue
         if tag not in BLOCKS and tag not in DROPPED:
-            # Inline elements hold no block of their own, but one that is left out does so too.
-            if m["rest"] and ("class" in m["rest"] or "id" in m["rest"] or "style" in m["rest"]) and tag in ("span", "small", "label", "ins") and not m[0].endswith("/>"):
-                hidden, _, need = judged(tag, m["rest"], True)
-                if (hidden or need) and (end := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)):
-                    at = end.end()
+            # Inline elements are no part of the tree, but for those that are left out and what they hold.
+            if tag in INLINE and not m[0].endswith("/>"):
+                out = bool(stack[-1].out and opened[tag])
+                if not out and m["rest"] and ("class" in m["rest"] or "id" in m["rest"] or "style" in m["rest"]):
+                    hidden, _, need = judged(tag, m["rest"], True)
+                    if hidden or need:
+                        if tag not in pairs:
+                            pairs[tag] = ended(page, tag)
+                        out = m.start() in pairs[tag]
+                if out:
+                    node = Node(tag, stack[-1], True, 0)
+                    opened[tag] += 1
+                    nodes.append(node)
+                    stack.append(node)
             continue
         if tag in CLOSES_P and opened["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
                     close_to(depth)
                     break
-                if stack[depth].tag in ("td", "th", "table", "button"):
+                if stack[depth].tag in ("td", "th", "table", "button") or stack[depth].tag in INLINE:
                     break
         if tag in SAME:
             ends, bound = SAME[tag]
@@ -227,7 +252,7 @@ def extract(page: str | None) -> str:
     if best := main_part(root, nodes, written):
         return best
     for x, out in zip(nodes, always, strict=True):  # once more without the filter
-        x.out, x.points, x.chars, x.links = out, 0.0, 0, 0
+        x.out, x.points, x.passed, x.chars, x.links = out, 0.0, 0.0, 0, 0
     return main_part(root, nodes, written)
 
 
@@ -238,7 +263,7 @@ def main_part(root: Node, nodes: list[Node], written: list[tuple[Node, str, int]
         if node.out:
             continue
         found.append((node, words))
-        size, level = len(words), 0
+        size = len(words)
         node.chars += size
         node.links += min(size, linked)
         if size >= 25:
@@ -246,14 +271,16 @@ def main_part(root: Node, nodes: list[Node], written: list[tuple[Node, str, int]
         else:
             points = 0.2
         x = node if node.tag not in ("p", "pre", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "figcaption") else node.up
-        while x is not None and x.tag != "#root" and level < 6:
-            x.points += points / (1, 2, 6, 9, 12, 15)[level]
-            x, level = x.up, level + 1
+        if x is not None:
+            x.points += points
     if not found:
         return ""
     for x in reversed(nodes[1:]):  # elements come after those around them
         x.up.chars += x.chars
         x.up.links += x.links
+        x.up.passed += x.points / 2 + x.passed / 3
+        x.points += x.passed
+    root.points = 0.0
 
     def score(x: Node) -> float:
         return (x.points + (BASE.get(x.tag, -5 if x.tag[0] == "h" and x.tag != "html" else 0) + x.weight) * min(1.0, x.points / 5)) * (1 - x.links / max(1, x.chars))

@@ -53,6 +53,35 @@ def test_driver_pages(spark):
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
+@pytest.mark.parametrize("names", ["article", "article|main", "article|main|section"])
+def test_driver_pages_by_score_alone(spark, names):
+    """The same text where no element tells which part is the article."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert extract(re.sub(rf"(</?)(?:{names})\b", r"\1div", r["html"])) == extract(r["html"])
+
+
+@pytest.mark.parametrize("body,want", [
+    ('<p>a <span class="ad">Buy <span>now</span> cheap pills</span> b</p>', "a b"),
+    ('<p>a <span class="ad">Buy <span>now <span>or</span></span> never</span> b <span>c</span></p>', "a b c"),
+    ('<p>a <span class="ad">no end</p><p>b</p>', "a no end\n\nb"),
+    ('<p>a <span class="ad"><div>Buy <span>x</span></div> more</span> b</p><p>c</p>', "a\n\nb\n\nc"),
+    ('<p>a <small style="display:none">x</small><span>y</span> <ins hidden class="c">z</ins></p>', "a y"),
+])
+def test_inline_parts_are_left_out_to_their_own_end(body, want):
+    assert extract(f"<article>{body}</article>") == want
+
+
+def test_many_inline_parts_without_an_end_take_linear_time():
+    assert extract("<article><p>" + '<span class="ad">x ' * 20000 + "</article>").count("x") == 20000
+
+
+def test_points_reach_every_element_around():
+    """A container ten levels above its paragraphs still gets their points."""
+    deep = lambda x: "<div>" * 9 + f"<p>{x}</p>" + "</div>" * 9
+    got = extract(page(f"<div id=a><div><ul><li><a href=/>one link, or two</a></li></ul></div></div><div id=b>{deep(LONG)}</div>"))
+    assert got == LONG
+
+
 def test_table_edges(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x", 2), (1, "u", "<p>x", 2)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, main_text(df).collect()), key=str) == [(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0)]
