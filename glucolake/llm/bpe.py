@@ -32,8 +32,8 @@ from glucolake.llm.shared import steps
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WIDE = 32
 NO_RANK = np.int32(1 << 30)
-#: Words kept by a worker; when as many are known the memory is emptied.
-MEMORY_WORDS = 300_000
+#: Bytes of words that a worker keeps with their ids; when they are more the memory is emptied.  What a word takes besides its bytes.
+MEMORY_BYTES, WORD_BYTES = 96 << 20, 300
 
 
 def byte_characters() -> dict[str, int]:
@@ -50,6 +50,11 @@ class SegmentTreeBPE:
         kind = spec["pre_tokenizer"]
         if spec.get("normalizer") or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or spec["model"]["type"] != "BPE" or spec["model"].get("ignore_merges"):
             raise ValueError("only plain byte-level BPE files are supported")
+        # What would change ids and isn't done here is refused.
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback") if spec["model"].get(k)]
+        odd += [k for k in ("lstrip", "rstrip", "single_word") for x in spec["added_tokens"] if x.get(k)] + ["use_regex"] * (not kind.get("use_regex", True))
+        if odd:
+            raise ValueError(f"options of the file that are not supported: {', '.join(sorted(set(odd)))}")
         chars = byte_characters()
         vocab: dict[str, int] = spec["model"]["vocab"]
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -72,7 +77,7 @@ class SegmentTreeBPE:
         self.rank = {int(k): r for r, k in reversed(list(enumerate(keys)))}
         self.merged = into
         # Open addressing by a multiplicative hash: pair key to rank.
-        bits = 18
+        bits = max(10, (4 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slot_key = np.full(1 << bits, -1, np.int64)
         self.slot_rank = np.full(1 << bits, NO_RANK, np.int32)
@@ -98,6 +103,7 @@ class SegmentTreeBPE:
         self.token_start = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         self.token_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.memory: dict[str, bytes] = {}
+        self.held = 0
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -227,6 +233,7 @@ class SegmentTreeBPE:
             for start in range(0, len(group), 8192):
                 part = group[start : start + 8192]
                 coded = [w.encode() for w in part]
+                self.held += 2 * sum(map(len, coded)) + WORD_BYTES * len(part)
                 self.memory.update(zip(part, self.merge_many(coded, width) if width else map(self.merge_one, coded), strict=True))
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
@@ -245,8 +252,8 @@ class SegmentTreeBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
-        if len(self.memory) > MEMORY_WORDS:
-            self.memory = {}
+        if self.held > MEMORY_BYTES:
+            self.memory, self.held = {}, 0
         cut, new = [], set()
         for text in texts:
             parts = [(special, [p] if special else self.words.findall(p)) for special, p in self.pieces(text)]

@@ -1,6 +1,7 @@
 """BPE against the tokenizers library, word by word and through Spark."""
 
 import hashlib
+import json
 
 import numpy as np
 import public_tokenizers
@@ -53,6 +54,41 @@ def test_both_trees_agree():
         assert b.merge_many(words, width) == [b.merge_one(w) for w in words]
 
 
+def wide_file(path, merges: int, **model):
+    """A tokenizer file of that many merges: all pairs of bytes, then such pairs with one byte more."""
+    chars = list(bpe.byte_characters())
+    pairs = [(a, b) for a in chars for b in chars]
+    pairs += [(a + b, c) for a, b in pairs[: 1 + (merges - len(pairs)) // len(chars)] for c in chars]
+    pairs = pairs[:merges]
+    vocab = {t: i for i, t in enumerate([*chars, *(a + b for a, b in pairs)])}
+    kind = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    spec = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": kind, "post_processor": None, "decoder": kind}
+    spec["model"] = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": vocab, "merges": [f"{a} {b}" for a, b in pairs]} | model
+    path.write_text(json.dumps(spec))
+    return str(path)
+
+
+def test_tables_of_any_number_of_merges(tmp_path):
+    file = wide_file(tmp_path / "wide.json", 300_000)
+    own, library = bpe.SegmentTreeBPE(file), Tokenizer.from_file(file)
+    texts = ["hello wide world 123", "\x00\x01\x02\x03 !!??", "日本語 é"]
+    assert [ids(c) for c in own.encode(texts)] == [library.encode(t).ids for t in texts]
+    assert own.decode(own.encode(texts)[0]) == texts[0]
+
+
+def test_options_that_change_ids_are_refused(tmp_path):
+    with pytest.raises(ValueError, match="dropout"):
+        bpe.SegmentTreeBPE(wide_file(tmp_path / "odd.json", 100, dropout=0.1))
+
+
+def test_memory_is_emptied_by_bytes(monkeypatch):
+    b = bpe.SegmentTreeBPE(FILE)
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 5000)
+    for k in range(30):
+        b.encode([f"{chr(97 + k % 26) * 200} and {k}"])
+        assert b.held <= 5000 + 5000 and len(b.memory) < 40
+
+
 def test_decode_of_partial_characters(library):
     some = library.encode("日本語é", add_special_tokens=False).ids
     for cut in range(len(some)):
