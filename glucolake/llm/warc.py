@@ -1,14 +1,15 @@
 """WARC archives in Zstandard: one frame a record, a dictionary in a leading skippable frame.
 
-*Writing.*  Each partition trains a dictionary on a bounded sample of its first payloads and
-yields binary rows: a skippable frame with the dictionary, then one frame per record.  Spark's
-text writer lays them down (through its committer and any file system it knows) with an empty
+*Writing.*  Each partition makes archives of about ``ARCHIVE_BYTES``: for each it trains a
+dictionary on a bounded sample of the archive's first payloads and yields one binary row, a
+skippable frame with the dictionary and then one frame per record.  Spark's text writer lays
+rows down, one to a file (through its committer and any file system it knows), with an empty
 skippable frame as line separator, so a part file is a valid archive, byte for byte.
 
-*Reading.*  Archives come in as binary files.  The dictionary is loaded from the leading
-skippable frame (itself compressed or not), frames are found by walking their block headers,
-each frame is decoded by itself, and record and HTTP headers, lengths and digests are checked.
-Archives are as large as a partition, so a file fits a task.
+*Reading.*  Archives come in as binary files, so one must be below 2 GB.  The dictionary is
+loaded from the leading skippable frame (itself compressed or not), frames are found by walking
+their block headers, each frame is decoded by itself, and record and HTTP headers, lengths and
+digests are checked.
 
 Null payloads count as empty.  Records with equal payloads: the least id is the response, the
 others revisit it; rows that share that id are all responses; null ids come last.  Empty tables
@@ -37,6 +38,8 @@ FRAME_MAGIC, DICTIONARY_MAGIC, SKIPPABLE_MAGIC = 0xFD2FB528, 0x184D2A5D, 0x184D2
 SEPARATOR = struct.pack("<II", SKIPPABLE_MAGIC, 0)
 #: Bound of the sample a dictionary is trained on, and of the dictionary.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 256, 1 << 20, 16 << 10, 3
+#: Bytes of records from which an archive is closed.
+ARCHIVE_BYTES = 32 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 
@@ -186,9 +189,10 @@ def records(archive: bytes) -> Iterator[Record]:
 def first_of_equal(pages: DataFrame, id_column: str, payload: str) -> DataFrame:
     """``pages`` with ``refers_to``: the least id of rows with an equal payload, null in rows that have it.
 
+    Payloads are equal by their SHA-256: the SHA-1 of the format can be made to collide.
     Only digests of payloads held more than once are shuffled and written; Spark broadcasts them if they are few, else it joins by digest and splits hot ones.
     """
-    sha = F.unhex(F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary")))
+    sha = F.unhex(F.sha2(F.coalesce(F.col(payload), F.lit("")).cast("binary"), 256))
     groups = pages.groupBy(sha.alias("__digest")).agg(F.min(id_column).alias("__first"), F.count("*").alias("__n"))
     groups = written(groups.where("__n > 1").drop("__n"), "equal")
     joined = pages.withColumn("__sha", sha).join(groups, F.col("__sha") == F.col("__digest"), "left")
@@ -196,11 +200,15 @@ def first_of_equal(pages: DataFrame, id_column: str, payload: str) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> None:
-    """Write one archive per partition of ``pages`` under ``path``, a record per row."""
+    """Write archives of the rows of ``pages``, a record per row, under ``path``."""
     rows = first_of_equal(pages.select(id_column, url_column, payload_column), id_column, payload_column).select(id_column, url_column, payload_column, "refers_to")
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = None
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor, out, weight = None, [], 0
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+
         for batch in batches:
             for part in steps(batch, 2):
                 name = lambda x: f"urn:record:{'' if x is None else x}"
@@ -208,22 +216,27 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
                     record(name(i), url or "", payload, None if refers is None else name(refers))
                     for i, url, payload, refers in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_of(part.column(2)), part.column(3).to_pylist(), strict=True)
                 ]
-                out = []
-                if compressor is None:
-                    sample, room = [], SAMPLE_BYTES
-                    for m in made[:SAMPLE_RECORDS]:
-                        sample.append(m[: min(room, 8192)])
-                        room -= len(sample[-1])
-                        if room <= 0:
-                            break
-                    content = trained(sample)
-                    out.append(dictionary_frame(content))
-                    compressor = zstd.ZstdCompressor(level=LEVEL, dict_data=zstd.ZstdCompressionDict(content), write_checksum=True) if content else zstd.ZstdCompressor(level=LEVEL, write_checksum=True)
-                out += map(compressor.compress, made)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                for at, m in enumerate(made):
+                    if compressor is None:
+                        sample, room = [], SAMPLE_BYTES
+                        for x in made[at : at + SAMPLE_RECORDS]:
+                            sample.append(x[: min(room, 8192)])
+                            room -= len(sample[-1])
+                            if room <= 0:
+                                break
+                        content = trained(sample)
+                        out.append(dictionary_frame(content))
+                        compressor = zstd.ZstdCompressor(level=LEVEL, dict_data=zstd.ZstdCompressionDict(content), write_checksum=True) if content else zstd.ZstdCompressor(level=LEVEL, write_checksum=True)
+                    out.append(compressor.compress(m))
+                    weight += len(out[-1])
+                    if weight >= ARCHIVE_BYTES:
+                        yield closed()
+                        compressor, out, weight = None, [], 0
+        if out:
+            yield closed()
 
     # A cast of binary to string keeps the bytes as they are.
-    rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
+    rows.mapInArrow(archives, "archive binary").select(F.col("archive").cast("string")).write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:

@@ -70,3 +70,16 @@ def test_payloads_come_back(spark):
         if f"urn:record:{r['page_id']}" in back:
             assert back[f"urn:record:{r['page_id']}"] == r["html"].encode()
     assert back
+
+
+def test_archives_roll_over_at_a_bound(spark, monkeypatch):
+    """Each archive has its own dictionary and is read by itself."""
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 20_000)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").coalesce(1)
+    path = W.fresh_path(spark, "test-rolled")
+    W.write_archives(pages, path)
+    files = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert len(files) > 2 and all(f[:4] == struct.pack("<I", W.DICTIONARY_MAGIC) for f in files)
+    read = [r.record_id for f in files for r in W.records(f)]
+    assert sorted(read) == sorted(f"urn:record:{r['page_id']}" for r in pages.collect())
+    assert max(map(len, files)) < 20_000 + 40_000
