@@ -9,7 +9,8 @@ one run; the groups of two or more rows found there are joined back to the first
 where a digest appears once a partition, so a hot text never gathers in one task.
 
 Which row stays: ``keep="largest"`` or ``"smallest"`` identifier.  Null texts count as empty;
-null identifiers rank as the smallest; of repeated rows with the same identifier one stays.
+identifiers are whole numbers (``TypeError`` otherwise), null ones rank as the smallest; of
+repeated rows with the same identifier one stays.
 An empty table gives an empty result.  Extra columns are ignored.
 """
 
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from glucolake.llm.shared import partitions, steps, texts_of, written
 
@@ -60,6 +62,8 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` (of the normalised text); and ``row_column``, a key of the rows, where it is given."""
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
+    if not isinstance(docs.schema[id_column].dataType, IntegralType):
+        raise TypeError(f"ids are whole numbers, {id_column} is {docs.schema[id_column].dataType.simpleString()}")
     largest, spark = keep == "largest", docs.sparkSession
     slices = max(8, partitions(spark))
 

@@ -40,6 +40,11 @@ def test_nulls_ties_and_empty(spark):
     assert exact_groups(df.where("false")).count() == 0
 
 
+def test_text_ids_are_refused(spark):
+    with pytest.raises(TypeError):
+        exact_groups(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
 def test_keep_rows(spark):
     df = spark.createDataFrame([(1, "a", 7), (2, "A", 8), (None, "c", 9)], "doc_id long, text string, kept int")
     assert sorted((r["doc_id"] or 0, r["kept"]) for r in keep_rows(df, exact_groups(df)).collect()) == [(0, 9), (2, 8)]

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -41,14 +42,25 @@ def test_stages(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     text = dict(apart)
     assert collections.Counter(r["doc_id"] for r in coded) == collections.Counter(i for i, _ in mixed)
+    # run() is these stages, one after the other
+    assert collections.Counter((r["doc_id"], r["ids_sha256"]) for r in P.run(spark, SF).collect()) == collections.Counter((r["doc_id"], r["ids_sha256"]) for r in coded)
     for r in coded[:40]:
         ids = library.encode(text[r["doc_id"]], add_special_tokens=False).ids
         assert r["ids"] == ids and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
-def test_run_equals_stages(spark):
-    run = P.run(spark, SF)
-    assert run.columns[:2] == ["doc_id", "n_tokens"] and run.count() > 0
+def test_empty_tables_and_clashing_columns(spark):
+    """Columns named as the stages name their own stay as they are; empty tables stay empty."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ("copies", "row", "of", "kept", "size", "taken", "component_id", "__row", "__of", "__times", "__copy", "__path", "digest")
+    odd = P.written(docs.select("*", *(F.col("doc_id").cast("string").alias(c) for c in names)), "odd")
+    for table in (odd, odd.where("false")):
+        for _, stage in P.STAGES[:-1]:
+            table = P.written(stage(spark, table, SF), "stage")
+            assert table.columns == odd.columns
+            assert table.where(" or ".join(f"`{c}` <> cast(doc_id as string)" for c in names)).count() == 0
+        assert P.bpe_stage(spark, table, SF).count() == table.count()
+    assert table.count() == 0
 
 
 def test_stages_decide_by_row(spark):
@@ -74,6 +86,6 @@ def test_stages_decide_by_row(spark):
 def test_key_of_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for table in (docs, docs.union(docs).repartition(3), P.written(docs.repartition(4), "stage"), docs.where("false")):
-        rows = P.with_key(table)
-        first = {r[P.ROW]: r["doc_id"] for r in rows.select("doc_id", P.ROW).collect()}
-        assert len(first) == table.count() and first == {r[P.ROW]: r["doc_id"] for r in rows.repartition(5).collect()}
+        rows, row = P.with_key(table)
+        first = {r[row]: r["doc_id"] for r in rows.select("doc_id", row).collect()}
+        assert len(first) == table.count() and first == {r[row]: r["doc_id"] for r in rows.repartition(5).collect()}
