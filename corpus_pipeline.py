@@ -15,53 +15,76 @@ from glucolake.llm.queries import table, tokenizer_file
 from glucolake.llm.shared import written
 
 
-ROW = "__row"
+def free(name: str, docs: DataFrame) -> str:
+    """A column name like this that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row that all readers see the same: its file's number and its place there.
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row that all readers see the same, and the key's name: its file's number and its place there.
 
     What isn't a bare table of files is written first.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = written(docs, "rows")
-    rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
-    files = rows.select(F.col("__path").alias("__file")).distinct()
-    files = written(files.select("__file", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("__file")).alias("__nth")), "files")  # a row per file
-    return rows.join(F.broadcast(files), F.col("__path") == F.col("__file")).select(*docs.columns, (F.shiftleft(F.col("__nth").cast("long"), 40) + F.col("__at")).alias(ROW))
+    row, path, at, file, nth = (free(f"__{c}", docs) for c in ("row", "path", "at", "file", "nth"))
+    rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+    files = rows.select(F.col(path).alias(file)).distinct()
+    files = written(files.select(file, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(file)).alias(nth)), "files")  # a row per file
+    return rows.join(F.broadcast(files), F.col(path) == F.col(file)).select(*docs.columns, (F.shiftleft(F.col(nth).cast("long"), 40) + F.col(at)).alias(row)), row
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    rows = with_key(docs)
-    return exact_dedup.keep_rows(rows, quality.quality_rules(rows, table(spark, sf_dir, "labels"), also=(ROW,)), ROW).drop(ROW)
+    """Documents that the quality rules reject go.
+
+    A null or empty text has no words and goes; a null ``lang`` is a stratum of its own; rows that
+    repeat share their fate; an empty table stays empty.
+    """
+    rows, row = with_key(docs)
+    return exact_dedup.keep_rows(rows, quality.quality_rules(rows, table(spark, sf_dir, "labels"), also=(row,)), row).drop(row)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
-    rows = with_key(docs)
-    return exact_dedup.keep_rows(rows, exact_dedup.exact_groups(rows, row_column=ROW), ROW).drop(ROW)
+    """Of equal texts (A-Z lower-cased) one row stays, that of the largest id.
+
+    Null texts equal empty ones; a null id is the smallest; of rows with the same text and id one
+    stays; an empty table stays empty.
+    """
+    rows, row = with_key(docs)
+    return exact_dedup.keep_rows(rows, exact_dedup.exact_groups(rows, row_column=row), row).drop(row)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row of the least id stays; null ids rank last."""
-    rows = with_key(docs)
-    groups = ngram_join.jaccard_components(rows, ROW).select(F.col(ROW).alias("__of"), "component_id")
-    ranked = rows.select(ROW, "doc_id").join(groups, F.col(ROW) == F.col("__of"))
-    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW))).alias("first"))
-    return exact_dedup.keep_rows(rows, first.select(f"first.{ROW}", F.lit(True).alias("kept")), ROW).drop(ROW)
+    """Of each group of near duplicates the row of the least id stays.
+
+    Null ids rank last, equal ids by their place in the table; null and empty texts are in no
+    group and stay; an empty table stays empty.
+    """
+    rows, row = with_key(docs)
+    groups = ngram_join.jaccard_components(rows.select(F.col(row).alias("of"), "text"), "of")
+    ranked = rows.select(F.col(row).alias("row"), "doc_id").join(groups, F.col("row") == F.col("of"))
+    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"))
+    return exact_dedup.keep_rows(rows, first.select(F.col("first.row").alias(row), F.lit(True).alias("kept")), row).drop(row)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it; rows of one id, or of none, are drawn by their texts as well."""
-    rows = with_key(docs)
-    drawn = rows.select(ROW, "text", "source", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("key"))
-    copies = mixing.mix(drawn, "key", also=(ROW,)).where("copies > 0").select(F.col(ROW).alias("__of"), "copies")
-    return rows.join(copies, F.col(ROW) == F.col("__of")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each row as often as the mix takes it.
+
+    Rows of one id, or of none, are drawn by their texts as well; a null source is a source; a
+    text without words weighs nothing; an empty table stays empty.
+    """
+    rows, row = with_key(docs)
+    drawn = rows.select(F.col(row).alias("row"), "text", "source", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+    of, times, copy = (free(f"__{c}", rows) for c in ("of", "times", "copy"))
+    copies = mixing.mix(drawn, "key", also=("row",)).where("copies > 0").select(F.col("row").alias(of), F.col("copies").cast("int").alias(times))
+    return rows.join(copies, F.col(row) == F.col(of)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, with their count and digests."""
+    """Ids of each row's whole text, with their count and digests; a null text has none, an empty table gives no row."""
     return bpe.encode_documents(docs, tokenizer_file())
 
 
