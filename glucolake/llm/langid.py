@@ -143,6 +143,8 @@ def sample_windows(docs: DataFrame, train_on: Column, id_column: str, text_colum
     labels = sorted(counts)
     if not labels:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
+    if len(labels) > ALL_SAMPLES:
+        raise ValueError(f"more than {ALL_SAMPLES} labels")
     each = min(SAMPLE, ALL_SAMPLES // len(labels))
     shares = docs.sparkSession.createDataFrame([(i, c, min(1.0, each / max(1, counts[c]))) for i, c in enumerate(labels)], "__of int, __name string, __share double")
     chance = lambda k: F.pmod(F.xxhash64(F.col("__id").cast("string"), k, F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
@@ -154,7 +156,7 @@ def sample_windows(docs: DataFrame, train_on: Column, id_column: str, text_colum
                 out = [windows_of(t)[at].tobytes() for t, at in zip(texts_of(part.column(0)), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), part.column(2)], ["windows", "label"])
 
-    rows = rows.where("__n > 0").join(shares, F.col("__label") == F.col("__name")).select("__text", chosen.alias("__at"), "__of").where(F.size("__at") > 0)
+    rows = rows.where("__n > 0").join(F.broadcast(shares), F.col("__label") == F.col("__name")).select("__text", chosen.alias("__at"), "__of").where(F.size("__at") > 0)
     found = rows.mapInArrow(run, "windows binary, label int").collect()
     x = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in found]
     return np.concatenate([np.zeros((0, WINDOW), np.uint8), *x]), np.repeat(np.array([r["label"] for r in found], np.int64), [len(w) for w in x]), labels
