@@ -42,6 +42,25 @@ def real_subject(c: Column | str = "id") -> Column:
     return c.isNotNull() & (c != "")
 
 
+def with_sum_below(counts: DataFrame, value: str, n: str, by: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
+    """``counts`` with ``below``: the sum of ``n`` over the rows of ``by`` with a smaller ``value`` (a number, once for each of ``by``).
+
+    Values are cut into buckets at approximate quantiles.  Sums run over buckets, of which there
+    are few, and over the rows of a bucket, so no task has to order all values.
+    """
+    edges = sorted(set(counts.select(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
+    d = counts.withColumn("__bucket", F.size(F.filter(F.lit(edges), lambda e: e < F.col(value))) if edges else F.lit(0))
+    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*by, "__bucket").agg(F.sum(n).alias("__sum"))
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(upto(*(by or (F.lit(1),))).orderBy("__bucket")), F.lit(0)))
+    sums = sums.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__bucket").alias("__at"), "__before")
+    same = F.col("__bucket") == F.col("__at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = d.join(sums, same).withColumn("below", F.col("__before") + F.coalesce(F.sum(n).over(upto(*by, "__bucket").orderBy(value)), F.lit(0)))
+    return out.drop("__bucket", "__at", "__before", *(f"__{c}" for c in by))
+
+
 def with_previous(df: DataFrame, columns: dict[str, Column], order: tuple[str, ...] = ("timestamp", "_ord"), key: str = "id", chunk: Column | None = None) -> DataFrame:
     """``df`` with the values that ``columns`` have in the key's row before, null in its first.
 

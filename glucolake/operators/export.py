@@ -8,10 +8,11 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glucolake.config import Settings, Thresholds
+from glucolake.config import PredictiveParams, Settings, Thresholds
 from glucolake.operators import complexity as cx
 from glucolake.operators import functional as fx
 from glucolake.operators import metrics as mx
+from glucolake.operators import predictive as px
 
 PLOT_TYPES = ("trace", "daily-overlay", "agp", "time-in-range")
 
@@ -42,6 +43,13 @@ def complete_functional(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return b["features"], b["subject_curves"]
 
 
+def complete_predictive(examples: DataFrame, params: PredictiveParams = PredictiveParams(), thresholds: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores, performance and importances of every subject's own model."""
+    scores, importance = px.per_subject_models(examples, params)
+    perf = px.performance(scores, params.normalized().threshold, by=("id",))
+    return px.scores_export(scores, params, thresholds), px.performance_export(perf, params, thresholds), px.importance_export(importance, params, thresholds)
+
+
 def status_rows(results: DataFrame, subjects: DataFrame) -> DataFrame:
     """Every subject with whether it has results: ``Generated`` or ``Not generated``."""
     done = results.select(F.col("id").alias("did")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucolake.config import PredictiveParams, Thresholds
-from glucolake.functions.columns import MICROS_PER_MINUTE, finite, micros, minute_of_day, real_subject
+from glucolake.functions.columns import MICROS_PER_MINUTE, finite, micros, minute_of_day, real_subject, with_sum_below
 
 DAY = 1440 * MICROS_PER_MINUTE
 
@@ -81,18 +81,30 @@ def examples(df: DataFrame, params: PredictiveParams = PredictiveParams(), thres
 
 
 def split(ex: DataFrame, share: float = 0.3) -> DataFrame:
-    """``ex`` with ``split``: with two subjects or more the test set is the subjects of the least hashes, else the last days, else the last rows."""
-    subjects = ex.select("id").distinct()
-    n = subjects.limit(2).count()
+    """``ex`` with ``split``: with two subjects or more the test set is ``share`` of them (rounded up), those of the least hashes, else as many of the last days, else the last rows (rounded down); one at least."""
+    subjects = ex.select("id").distinct().withColumns({"hash": F.xxhash64("id", F.lit(1)), "one": F.lit(1)})
+    n = subjects.count()
     if n >= 2:
-        k = subjects.withColumn("nth", F.percent_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("id", F.lit(1)), "id")))  # a row per subject
-        return ex.join(k.select("id", F.when(F.col("nth") < share, "test").otherwise("train").alias("split")), "id")
-    days = ex.select("date").distinct()
-    if days.limit(2).count() >= 2:
-        k = days.withColumn("nth", F.percent_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("date"))))  # a row per day
-        return ex.join(k.select("date", F.when(F.col("nth") < share, "test").otherwise("train").alias("split")), "date")
-    limit = ex.agg(F.percentile(micros(), 1 - share)).first()[0]  # one subject, one day
-    return ex.withColumn("split", F.when(micros() > F.lit(limit), "test").otherwise("train"))
+        test = with_sum_below(subjects, "hash", "one").where(F.col("below") < max(1, math.ceil(n * share))).select(F.col("id").alias("__id"))
+        return ex.join(test, F.col("id") == F.col("__id"), "left").withColumn("split", F.when(F.col("__id").isNotNull(), "test").otherwise("train")).drop("__id")
+    return training_rows(ex, share).drop("total")
+
+
+def fit_status(total: int, events: int, others: int, params: PredictiveParams = PredictiveParams()) -> tuple[str, str]:
+    """Whether ``total`` examples, with so many training rows with and without an event, are enough: a status and what to tell."""
+    if total < params.min_examples:
+        return "insufficient_examples", f"Needs at least {params.min_examples} examples."
+    if not events + others:
+        return "insufficient_features", "No complete predictive feature rows are available."
+    if min(events, others) < params.min_events:
+        return "insufficient_events", f"Training data needs at least {params.min_events} events and non-events."
+    return "ready", "Predictive model trained for retrospective risk scoring."
+
+
+def example_counts(ex: DataFrame) -> tuple[int, int, int]:
+    """All examples of a table with ``split``, its training rows with an event and those without."""
+    train = F.col("split") == "train"
+    return tuple(ex.agg(F.count("*"), F.count_if(train & (F.col("target") == 1)), F.count_if(train & (F.col("target") == 0))).first())
 
 
 def fit_and_score(ex: DataFrame, params: PredictiveParams = PredictiveParams()):
@@ -103,9 +115,9 @@ def fit_and_score(ex: DataFrame, params: PredictiveParams = PredictiveParams()):
 
     p = params.normalized()
     s = split(ex)
-    n, events = s.where("split = 'train'").agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0))).first()
-    if n < p.min_examples or events < p.min_events or n - events < p.min_events:
-        return None, f"{n} training examples with {events} events; {p.min_examples} and {p.min_events} are needed"
+    status, message = fit_status(*example_counts(s), p)
+    if status != "ready":
+        return None, message
     names = feature_columns(p)
     x = VectorAssembler(inputCols=names, outputCol="x").transform(s)
     model = RandomForestClassifier(numTrees=p.trees, seed=1, featuresCol="x", labelCol="target") if p.model == "random_forest" else LogisticRegression(regParam=0.0, featuresCol="x", labelCol="target")
@@ -130,17 +142,15 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> np.ndarray
     return w
 
 
-def training_rows(ex: DataFrame) -> DataFrame:
-    """``ex`` with ``total``, a subject's examples, and ``split``: the first 70 % by time train. Rows are numbered within days, days by their counts."""
+def training_rows(ex: DataFrame, share: float = 0.3) -> DataFrame:
+    """``ex`` with ``total``, a subject's examples, and ``split``: of each subject by itself, ``share`` of its days, the last ones (rounded up), are the test set; of a subject of one day the last rows (rounded down); one at least."""
+    by = Window.partitionBy("id")  # a row per day
     days = ex.groupBy("id", "date").agg(F.count("*").alias("n"))
-    days = days.select(F.col("id").alias("__id"), F.col("date").alias("__date"), (F.sum("n").over(Window.partitionBy("id").orderBy("date")) - F.col("n")).alias("__before"), F.sum("n").over(Window.partitionBy("id")).alias("total"))
-    nth = F.col("__before") + F.row_number().over(Window.partitionBy("id", "date").orderBy("timestamp"))
-    rows = ex.join(days, (F.col("id") == F.col("__id")) & (F.col("date") == F.col("__date"))).withColumn("__nth", nth)
-    # As round() in Python, in whole numbers: half to even.
-    ten = 7 * F.col("total")
-    down = F.floor(ten / 10)
-    cut = F.when(ten % 10 == 5, down + down % 2).otherwise(F.floor((ten + 5) / 10))
-    return rows.withColumn("split", F.when(F.col("__nth") <= cut, "train").otherwise("test")).drop("__id", "__date", "__before", "__nth")
+    days = days.select(F.col("id").alias("__id"), F.col("date").alias("__date"), F.count("*").over(by).alias("__days"), F.row_number().over(by.orderBy(F.desc("date"))).alias("__back"), F.sum("n").over(by).alias("total"))
+    rows = ex.join(days, (F.col("id") == F.col("__id")) & (F.col("date") == F.col("__date")))
+    late = F.row_number().over(Window.partitionBy("id", "date").orderBy(F.desc("timestamp")))
+    test = F.when(F.col("__days") > 1, F.col("__back") <= F.greatest(F.lit(1), F.ceil(F.col("__days") * F.lit(share)))).otherwise(late <= F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(share))))
+    return rows.withColumn("split", F.when(test, "test").otherwise("train")).drop("__id", "__date", "__days", "__back")
 
 
 def large_subject_weights(rows: DataFrame, params: PredictiveParams, ridge: float = 1e-6) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -152,8 +162,8 @@ def large_subject_weights(rows: DataFrame, params: PredictiveParams, ridge: floa
 
     p, names = params.normalized(), feature_columns(params)
     train = rows.where("split = 'train'")
-    moments = train.groupBy("id").agg(F.count("*").alias("n"), F.sum("target").alias("events"), F.array(*map(F.avg, names)).alias("mean"), F.array(*map(F.stddev_pop, names)).alias("sd")).collect()
-    scale = {r["id"]: (np.array(r["mean"]), np.array([x if x > 0 else 1 for x in r["sd"]])) for r in moments if r["n"] >= p.min_examples and p.min_events <= r["events"] <= r["n"] - p.min_events}
+    moments = train.groupBy("id").agg(F.count("*").alias("n"), F.first("total").alias("total"), F.sum("target").alias("events"), F.array(*map(F.avg, names)).alias("mean"), F.array(*map(F.stddev_pop, names)).alias("sd")).collect()
+    scale = {r["id"]: (np.array(r["mean"]), np.array([x if x > 0 else 1 for x in r["sd"]])) for r in moments if fit_status(r["total"], r["events"], r["n"] - r["events"], p)[0] == "ready"}
     width = len(names) + 1
     weights = {i: np.zeros(width) for i in scale}
     left = set(scale)
@@ -188,62 +198,153 @@ def large_subject_weights(rows: DataFrame, params: PredictiveParams, ridge: floa
     return {i: (*scale[i], w) for i, w in weights.items()}
 
 
-def per_subject_scores(ex: DataFrame, params: PredictiveParams = PredictiveParams(), most: int = 100_000) -> DataFrame:
-    """One logistic model per subject, tested on its last 30 % of rows by time; subjects with too little to learn from have no rows.
+SCORED = ("date", "glucose_current", "target_value", "target")
+
+
+def fitted_subject(pdf, params: PredictiveParams) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Mean, deviation and weights of one subject's model; None where there is too little to learn from."""
+    train = pdf[pdf["split"] == "train"]
+    y = train["target"].to_numpy(float)
+    if fit_status(len(pdf), int(y.sum()), int(len(y) - y.sum()), params)[0] != "ready":
+        return None
+    x = train[feature_columns(params)].to_numpy(float)
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.where(sd > 0, sd, 1)
+    return mean, sd, fit_weights((x - mean) / sd, y)
+
 
-    Every example trains, is tested and scored. A subject of up to ``most`` examples is fitted in one task;
-    one with more (about a year at five minutes) by sums over all its rows, so a task's rows are bounded.
+def per_subject_models(ex: DataFrame, params: PredictiveParams = PredictiveParams(), most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """One logistic model per subject: its scores for all the subject's examples, and the size of its coefficients (``id``, ``feature``, ``importance``).
+
+    A subject with too little to learn from has null scores and no importances.  Every example
+    trains, is tested and scored. A subject of up to ``most`` examples is fitted in one task; one with
+    more (about a year at five minutes) by sums over all its rows, so a task's rows are bounded.
     """
     import pandas as pd
 
     p, names = params.normalized(), feature_columns(params)
-    rows = training_rows(ex).select("id", "timestamp", "target", *names, "split", "total").persist(StorageLevel.DISK_ONLY)  # read once a step
-    schema = "id string, timestamp timestamp, target int, split string, risk_probability double"
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp").reset_index(drop=True)
-        train = (pdf["split"] == "train").to_numpy()
-        y = pdf["target"].to_numpy(float)
-        out = pdf[["id", "timestamp", "target", "split"]].astype({"id": object, "split": object})
-        if train.sum() < p.min_examples or not p.min_events <= y[train].sum() <= train.sum() - p.min_events:
-            return out.iloc[:0].assign(risk_probability=0.0)
-        x = pdf[names].to_numpy(float)
-        mean, sd = x[train].mean(axis=0), x[train].std(axis=0)
-        x = (x - mean) / np.where(sd > 0, sd, 1)
-        w = fit_weights(x[train], y[train])
-        out["risk_probability"] = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        return out
-
-    scores = rows.where(F.col("total") <= most).groupBy("id").applyInPandas(fit, schema)
-    large = rows.where(F.col("total") > most)
-    if not large.limit(1).count():
-        return scores
-    models = large_subject_weights(large, params)
-
-    def score(batches):
-        for pdf in batches:
-            for i, part in pdf.groupby("id"):
-                if i in models:
-                    mean, sd, w = models[i]
-                    z = ((part[names].to_numpy(float) - mean) / sd) @ w[:-1] + w[-1]
-                    yield part[["id", "timestamp", "target", "split"]].astype({"id": object, "split": object}).assign(risk_probability=1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-    return scores.unionByName(large.mapInPandas(score, schema))
+    spark = ex.sparkSession
+    rows = training_rows(ex).select("id", "timestamp", *SCORED, *names[1:], "split", "total").persist(StorageLevel.DISK_ONLY)  # read once a step
+    schema = "id string, timestamp timestamp, date date, glucose_current double, target_value double, target int, split string, risk_probability double"
+    columns = ["id", "timestamp", *SCORED, "split"]
+
+    def scored(pdf: pd.DataFrame, model) -> pd.DataFrame:
+        out = pdf[columns].astype({"id": object, "split": object})
+        if model is None:
+            return out.assign(risk_probability=np.nan)
+        mean, sd, w = model
+        z = ((pdf[names].to_numpy(float) - mean) / sd) @ w[:-1] + w[-1]
+        return out.assign(risk_probability=1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    def sizes(i: str, model) -> pd.DataFrame:
+        found = np.abs(model[2][:-1] / model[1]) if model else []
+        return pd.DataFrame({"id": [i] * len(found), "feature": names[: len(found)], "importance": found}).astype({"id": object, "feature": object, "importance": float})
+
+    small, large = rows.where(F.col("total") <= most), rows.where(F.col("total") > most)
+    scores = small.groupBy("id").applyInPandas(lambda pdf: scored(pdf, fitted_subject(pdf, p)), schema)
+    kinds = "id string, feature string, importance double"
+    importance = small.groupBy("id").applyInPandas(lambda pdf: sizes(pdf["id"].iloc[0], fitted_subject(pdf, p)), kinds)
+    if large.limit(1).count():
+        models = large_subject_weights(large, params)
+
+        def score(batches):
+            for pdf in batches:
+                for i, part in pdf.groupby("id"):
+                    yield scored(part, models.get(i))
+
+        scores = scores.unionByName(large.mapInPandas(score, schema))
+        if models:
+            importance = importance.unionByName(spark.createDataFrame(pd.concat([sizes(i, m) for i, m in models.items()]), kinds))
+    return scores.withColumn("risk_probability", finite("risk_probability")), importance
+
+
+def per_subject_scores(ex: DataFrame, params: PredictiveParams = PredictiveParams(), most: int = 100_000) -> DataFrame:
+    """The scores of ``per_subject_models``."""
+    return per_subject_models(ex, params, most)[0]
 
 
 def performance(scores: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
-    """Of the test rows: events, AUC (by midranks), sensitivity, specificity, Brier score."""
-    t = scores.where(F.col("split") == "test")
-    w = Window.partitionBy(*(by or (F.lit(1),))).orderBy("risk_probability").rowsBetween(Window.unboundedPreceding, -1)
+    """Of the test rows with a score: events, AUC (by midranks), sensitivity, specificity, Brier score; no row where there are none."""
+    t = scores.where((F.col("split") == "test") & finite("risk_probability").isNotNull() & F.col("target").isNotNull())
     values = t.groupBy(*by, "risk_probability").agg(F.count("*").alias("n"), F.sum("target").alias("events"), F.sum(F.pow(F.col("risk_probability") - F.col("target"), 2)).alias("error"))
-    values = values.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    values = with_sum_below(values, "risk_probability", "n", by).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     hit = F.col("risk_probability") >= threshold
     n, e = F.sum("n"), F.sum("events")
     return values.groupBy(*by).agg(
         n.alias("test_rows"), e.alias("test_events"), ((F.sum(F.col("rank") * F.col("events")) - e * (e + 1) / 2) / F.nullif(e * (n - e), F.lit(0))).alias("auc"),
         (F.coalesce(F.sum(F.when(hit, F.col("events"))), F.lit(0)) / F.nullif(e, F.lit(0))).alias("sensitivity"),
         (F.coalesce(F.sum(F.when(~hit, F.col("n") - F.col("events"))), F.lit(0)) / F.nullif(n - e, F.lit(0))).alias("specificity"), (F.sum("error") / n).alias("brier_score"), F.lit(threshold).alias("threshold"),
-    )
+    ).where("test_rows > 0")
+
+
+#: How exports and cards name models, states and features.
+MODEL_LABELS = {"logistic": "Logistic regression", "random_forest": "Random forest"}
+STATUS_LABELS = {"ready": "Ready", "insufficient_examples": "Needs more rows", "insufficient_features": "Needs features", "insufficient_events": "Needs events"}
+FEATURE_LABELS = {"glucose_current": "Current glucose", "time_sin": "Time of day pattern (sine)", "time_cos": "Time of day pattern (cosine)"}
+WINDOW_LABELS = {
+    "mean": "Mean glucose over previous {} min", "sd": "Glucose variability over previous {} min", "min": "Minimum glucose over previous {} min",
+    "max": "Maximum glucose over previous {} min", "slope": "Glucose trend over previous {} min",
+}
+
+
+def feature_label(name: str) -> str:
+    """What an export calls a feature; a name that is none of them stays."""
+    kind, _, rest = name.partition("_")
+    minutes, _, what = rest.partition("_")
+    if kind == "lag" and minutes.isdigit() and what == "glucose":
+        return f"Glucose {minutes} min ago"
+    if kind == "window" and minutes.isdigit() and what in WINDOW_LABELS:
+        return WINDOW_LABELS[what].format(minutes)
+    return FEATURE_LABELS.get(name, name)
+
+
+def model_columns(params: PredictiveParams, thresholds: Thresholds) -> dict[str, Column]:
+    p = params.normalized()
+    return {"Model": F.lit(MODEL_LABELS[p.model]), "Target": F.lit(target_label(p, thresholds)), "Horizon": F.lit(f"{p.horizon_minutes} minutes")}
+
+
+def scores_export(scores: DataFrame, params: PredictiveParams = PredictiveParams(), thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Scored examples under the names of the export."""
+    names = {"id": "Subject ID", "timestamp": "Timestamp", "date": "Date", "split": "Split", "glucose_current": "Current glucose", "target": "Observed event", "target_value": "Future glucose summary", "risk_probability": "Risk probability"}
+    m = model_columns(params, thresholds)
+    return scores.select(*(F.col(c).alias(n) for c, n in names.items()), m["Target"].alias("Target"), m["Model"].alias("Model"), m["Horizon"].alias("Horizon"))
+
+
+def performance_export(perf: DataFrame, params: PredictiveParams = PredictiveParams(), thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Performance, by ``id`` or of all subjects together (a null subject), rounded as shown."""
+    names = {"test_rows": ("Test rows", None), "test_events": ("Test events", None), "auc": ("AUC", 3), "sensitivity": ("Sensitivity", 3), "specificity": ("Specificity", 3), "brier_score": ("Brier score", 3), "threshold": ("Threshold", 2)}
+    subject = F.col("id") if "id" in perf.columns else F.lit(None).cast("string")
+    return perf.select(subject.alias("Subject ID"), *(c.alias(n) for n, c in model_columns(params, thresholds).items()), *((F.col(c) if d is None else F.round(c, d)).alias(n) for c, (n, d) in names.items()))
+
+
+def importance_export(importance: DataFrame, params: PredictiveParams = PredictiveParams(), thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Importances under readable names, largest first within a subject."""
+    labels = F.create_map(*(F.lit(x) for f in feature_columns(params) for x in (f, feature_label(f))))
+    subject = F.col("id") if "id" in importance.columns else F.lit(None).cast("string")
+    return importance.select(subject.alias("Subject ID"), *(c.alias(n) for n, c in model_columns(params, thresholds).items()), F.coalesce(labels[F.col("feature")], "feature").alias("Feature"), F.col("feature").alias("Model input"), F.round("importance", 4).alias("Importance"))
+
+
+def risk_bundle(ex: DataFrame, params: PredictiveParams = PredictiveParams(), thresholds: Thresholds = Thresholds()) -> dict:
+    """All that one selection of examples gives: ``status``, ``message``, ``scores`` (null probabilities where there is no model), ``performance``, ``importance`` and ``cards``."""
+    p = params.normalized()
+    s = split(ex)
+    counts = example_counts(s)
+    status, message = fit_status(*counts, p)
+    if status == "ready":
+        scores, importance = fit_and_score(ex, p)[0]
+    else:
+        scores, importance = s.withColumn("risk_probability", F.lit(None).cast("double")), ex.sparkSession.createDataFrame([], "feature string, importance double")
+    perf = performance(scores, p.threshold)
+    return {"status": status, "message": message, "scores": scores, "performance": perf, "importance": importance, "cards": summary_cards(status, counts[0], perf)}
+
+
+def summary_cards(status: str, examples_: int, perf: DataFrame) -> DataFrame:
+    """``Label`` and ``Value``, as text, of five cards."""
+    found = perf.limit(1).collect()  # one row, or none
+    shown = lambda name, form: form(found[0][name]) if found and found[0][name] is not None and math.isfinite(found[0][name]) else "Not available"
+    digits = lambda x: f"{round(x, 3):g}"
+    cards = [("Status", STATUS_LABELS.get(status, "Not ready")), ("Examples", f"{examples_:,}"), ("Test events", shown("test_events", "{:,}".format)), ("AUC", shown("auc", digits)), ("Brier", shown("brier_score", digits))]
+    return perf.sparkSession.createDataFrame(cards, "Label string, Value string")
 
 
 def risk_band(probability: Column, threshold: float = 0.5) -> Column:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glucolake.functions.columns import with_sum_below
+
+#: Groups that a comparison lists by name; of more it gives the number.
+NAMED_GROUPS = 1000
 NOT_GROUPING = frozenset("id id_source timestamp glucose units device source_file imputed_flag metric_period metric_engine lag_status risk_status _ord".split())
 
 
@@ -33,12 +37,11 @@ def moments(metrics: DataFrame, metric: str, grouping: str = "group", period: st
 def rank_sums(metrics: DataFrame, metric: str, grouping: str = "group", period: str = "full_day") -> DataFrame:
     """What the rank sum test needs: size, sum of midranks and the tie term by group.
 
-    Values are counted by distinct value first; ranks run over those counts.
+    Values are counted by distinct value first; ranks are sums of those counts.
     """
     rows = analysis_rows(metrics, metric, grouping, period)
     ties = rows.groupBy("value").agg(F.count("*").alias("t"))
-    upto = Window.partitionBy(F.lit(1)).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ties = ties.withColumn("midrank", F.coalesce(F.sum("t").over(upto), F.lit(0)) + (F.col("t") + 1) / 2)
+    ties = with_sum_below(ties, "value", "t").withColumn("midrank", F.col("below") + (F.col("t") + 1) / 2).drop("below")
     term = ties.agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term"))
     return rows.join(ties, "value").groupBy("group").agg(F.count("*").alias("n"), F.sum("midrank").alias("rank_sum")).crossJoin(F.broadcast(term))
 
@@ -90,7 +93,12 @@ def compare_groups(metrics: DataFrame, metric: str, grouping: str = "group", tes
     schema = "metric string, grouping string, test string, groups string, n string, statistic double, p_value double, note string"
     if grouping not in metrics.columns:
         return spark.createDataFrame([(metric, grouping, test, "", "", None, None, "Selected grouping variable is not available.")], schema)
-    rows = sorted((moments if test == "welch_t" else rank_sums)(metrics, metric, grouping, period).limit(1000).collect(), key=lambda r: r["group"])
+    sizes = analysis_rows(metrics, metric, grouping, period).groupBy("group").agg(F.count("*").alias("n"))
+    if (groups := sizes.count()) > NAMED_GROUPS:
+        return spark.createDataFrame([(metric, grouping, test, f"{groups} groups", "", None, None, "Select a grouping variable with exactly two groups for this test.")], schema)
+    # Ranks are taken only where there is a test to make.
+    found = rank_sums if test == "wilcoxon" and groups == 2 else moments
+    rows = sorted(found(metrics, metric, grouping, period).collect(), key=lambda r: r["group"])
     names, sizes = " vs ".join(r["group"] for r in rows), " / ".join(str(r["n"]) for r in rows)
     note = "Select a grouping variable with exactly two groups for this test." if len(rows) != 2 else "At least two observations per group are required." if min(r["n"] for r in rows) < 2 else ""
     if note:

@@ -1,5 +1,6 @@
 """Operators on small literal tables with known answers, and pairs of forms that must agree."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glucolake.config import FunctionalParams, PredictiveParams, Settings, Thresholds, interval
+from glucolake.functions.columns import with_sum_below
 from glucolake.operators import complexity as C
 from glucolake.operators import downsample as D
 from glucolake.operators import export as E
@@ -299,8 +301,60 @@ def test_per_subject_scores_take_all_rows(spark):
     for other in (mixed, large):
         assert all(r["split"] == other[k]["split"] and r["target"] == other[k]["target"] and r["risk_probability"] == pytest.approx(other[k]["risk_probability"], abs=1e-6) for k, r in whole.items())
     for i in "AB":
-        split = [whole[k]["split"] for k in sorted(whole) if k[0] == i]
-        assert split == ["train"] * round(0.7 * len(split)) + ["test"] * (len(split) - round(0.7 * len(split)))
+        days = sorted({k[1].date() for k in whole if k[0] == i})
+        test = days[-max(1, math.ceil(0.3 * len(days))) :]
+        assert all(r["split"] == ("test" if k[1].date() in test else "train") for k, r in whole.items() if k[0] == i)
+    few = R.per_subject_scores(ex.where("timestamp < '2026-01-01 03:00:00'"))
+    assert few.count() > 0 and few.where("risk_probability is not null").count() == 0 and R.performance(few, by=("id",)).count() == 0
+
+
+@pytest.mark.parametrize("n,test", [(2, 1), (3, 1), (4, 2), (7, 3), (10, 3), (11, 4)])
+def test_split_sizes(spark, n, test):
+    """A share of subjects or days, rounded up; of one day's rows, rounded down."""
+    row = lambda i, day, k: (i, dt.datetime(2026, 1, day, 0, k), dt.date(2026, 1, day))
+    frame = lambda rows: spark.createDataFrame(rows, "id string, timestamp timestamp, date date")
+    assert R.split(frame([row(f"s{i}", 1, k) for i in range(n) for k in range(3)])).where("split = 'test'").select("id").distinct().count() == test
+    got = R.split(frame([row("s", 1 + i, k) for i in range(n) for k in range(3)]))
+    assert sorted(r["date"].day for r in got.where("split = 'test'").select("date").distinct().collect()) == list(range(n - test + 1, n + 1))
+    got = R.split(frame([row("s", 1, k) for k in range(n)]))
+    assert sorted(r["timestamp"].minute for r in got.where("split = 'test'").collect()) == list(range(n - max(1, int(0.3 * n)), n))
+
+
+def test_gate_counts_all_examples_and_training_events():
+    assert R.fit_status(79, 30, 30)[0] == "insufficient_examples" and R.fit_status(80, 5, 5)[0] == "ready"
+    assert R.fit_status(80, 4, 60)[0] == R.fit_status(80, 60, 4)[0] == "insufficient_events" and R.fit_status(80, 0, 0)[0] == "insufficient_features"
+
+
+def test_sums_below_equal_one_window(spark):
+    rng = np.random.default_rng(3)
+    rows = [(str(g), float(v), int(n)) for g in range(3) for v, n in zip(np.unique(rng.normal(size=700).round(2)), rng.integers(1, 9, 700))]
+    df = spark.createDataFrame(rows, "g string, v double, n int").repartition(5)
+    for by in ((), ("g",)):
+        d = df if by else df.groupBy("v").agg(F.sum("n").alias("n"))
+        got = {(r["g"] if by else "", r["v"]): r["below"] for r in with_sum_below(d, "v", "n", by, 16).collect()}
+        all_rows = [tuple(r) for r in d.select(*by, "v", "n").collect()]
+        for key, below in got.items():
+            assert below == sum(r[-1] for r in all_rows if r[-2] < key[1] and (not by or r[0] == key[0]))
+    assert with_sum_below(df.where("false"), "v", "n").count() == 0
+
+
+def test_predictive_exports_and_cards(spark):
+    rng = np.random.default_rng(4)
+    wave = lambda n, low: [130 + low * math.sin(4 * math.pi * i / 288) + rng.normal(0, 15) for i in range(n)]
+    ex = R.examples(series(spark, wave(288 * 4, 70)).unionByName(series(spark, wave(30, 65), id="B"))).cache()
+    scores, perf, importance = E.complete_predictive(ex)
+    assert scores.columns == ["Subject ID", "Timestamp", "Date", "Split", "Current glucose", "Observed event", "Future glucose summary", "Risk probability", "Target", "Model", "Horizon"]
+    assert scores.count() == ex.count() and scores.where("`Subject ID` = 'B' and `Risk probability` is not null").count() == 0
+    row = one(perf)
+    assert row["Subject ID"] == "A" and row["Model"] == "Logistic regression" and row["Horizon"] == "30 minutes" and 0.5 < row["AUC"] <= 1 and row["AUC"] == round(row["AUC"], 3)
+    labels = {r["Model input"]: r["Feature"] for r in importance.collect()}
+    assert set(labels) == set(R.feature_columns()) and labels["lag_15_glucose"] == "Glucose 15 min ago" and labels["window_30_sd"] == "Glucose variability over previous 30 min"
+    bundle = R.risk_bundle(ex.where("id = 'A'"))
+    cards = {r["Label"]: r["Value"] for r in bundle["cards"].collect()}
+    assert list(cards) == ["Status", "Examples", "Test events", "AUC", "Brier"] and cards["Status"] == "Ready" and cards["Examples"] == f"{ex.where('id = \'A\'').count():,}"
+    none = R.risk_bundle(ex.where("id = 'B'"))
+    assert {r["Label"]: r["Value"] for r in none["cards"].collect()} | {"Examples": ""} == {"Status": "Needs more rows", "Examples": "", "Test events": "Not available", "AUC": "Not available", "Brier": "Not available"}
+    assert none["message"] == "Needs at least 80 examples." and none["scores"].where("risk_probability is not null").count() == 0
 
 
 def test_forest_of_the_query_has_the_reference_s_trees(spark, monkeypatch):
