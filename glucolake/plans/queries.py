@@ -92,7 +92,23 @@ def lag_metrics(spark, d):
     return metrics.lag_metrics(readings(spark, d), ["id"])
 
 
-@query("core_metrics")
+RISK = f"""SELECT {KEYS}, coalesce(sum(CASE WHEN f < 0 THEN 10 * f * f END), 0) / nullif(count(x), 0) AS lbgi, coalesce(sum(CASE WHEN f > 0 THEN 10 * f * f END), 0) / nullif(count(x), 0) AS hbgi, 0.001::DOUBLE * pow(avg(x) + stddev_samp(x), 2) AS j_index
+ FROM (SELECT {KEYS}, CASE WHEN glucose > 0 THEN glucose END AS x, CASE WHEN glucose > 1 THEN 1.509::DOUBLE * (pow(ln(glucose), 1.084) - 5.381) END AS f FROM p) GROUP BY {KEYS}"""
+CORE = f"""{PERIODS}, base AS ({BASE}), risk AS ({RISK}), v AS (SELECT {KEYS}, us, timestamp, glucose, _ord FROM p WHERE glucose IS NOT NULL),
+nb AS (SELECT *, lag(glucose) OVER w AS a, lead(glucose) OVER w AS b, (us - lag(us) OVER (PARTITION BY {KEYS} ORDER BY us, glucose)) / 1e6::DOUBLE AS gap FROM v WINDOW w AS (PARTITION BY {KEYS} ORDER BY timestamp, _ord)),
+tn AS (SELECT {KEYS}, abs(glucose - lag(glucose) OVER (PARTITION BY {KEYS} ORDER BY timestamp, _ord)) AS step FROM nb WHERE a IS NOT NULL AND b IS NOT NULL AND ((glucose >= a AND glucose > b) OR (glucose <= a AND glucose < b))),
+mg AS (SELECT {KEYS}, avg(CASE WHEN readings >= 4 AND step >= sd_glucose THEN step END) AS mage FROM base LEFT JOIN tn USING ({KEYS}) GROUP BY {KEYS}),
+md AS (SELECT {KEYS}, quantile_cont(CASE WHEN gap > 0 THEN gap END, 0.5) AS md, min(gap) AS lo, max(gap) AS hi FROM nb GROUP BY {KEYS}),
+tl AS (SELECT {KEYS}, CASE WHEN greatest(hi - md, md - lo) <= greatest(1, 1e-6 * md) THEN 0 ELSE greatest(60, 0.51::DOUBLE * md) END AS tol FROM md),
+lt AS (SELECT v.*, tol, lag, us + lag::BIGINT * 1000000 AS target FROM v JOIN tl USING ({KEYS}), (VALUES (43200), (86400)) AS x(lag)),
+nr AS (SELECT l.id, l.id_source, l."group", l.metric_period, l.lag, l.glucose, arg_min(r.glucose, abs(r.us - l.target) * 2 + CASE WHEN r.us > l.target THEN 1 ELSE 0 END) AS later FROM lt l JOIN v r ON l.id = r.id AND l.metric_period = r.metric_period AND abs(r.us - l.target) <= l.tol * 1000000 GROUP BY l.id, l.id_source, l."group", l.metric_period, l.lag, l.us, l._ord, l.glucose),
+lg AS (SELECT {KEYS}, stddev_samp(CASE WHEN lag = 43200 THEN later - glucose END) AS conga_12h, stddev_samp(CASE WHEN lag = 86400 THEN later - glucose END) AS conga_24h, avg(CASE WHEN lag = 86400 THEN abs(later - glucose) END) AS modd FROM nr GROUP BY {KEYS})"""
+
+
+@query("core_metrics", f"""{CORE}
+FINAL SELECT *, CASE WHEN coalesce(conga_12h, conga_24h, modd) IS NULL THEN 'unavailable' ELSE 'ok' END AS lag_status, CASE WHEN lbgi IS NULL THEN 'unavailable' ELSE 'ok' END AS risk_status, 'base+lag+risk' AS metric_engine
+ FROM base LEFT JOIN lg USING ({KEYS}) LEFT JOIN risk USING ({KEYS}) LEFT JOIN mg USING ({KEYS})""",
+    f"{BASE_COLUMNS} conga_12h:d conga_24h:d modd:d lbgi:d hbgi:d j_index:d mage:d lag_status:s risk_status:s metric_engine:s")
 def core_metrics(spark, d):
     return metrics.core_metrics(readings(spark, d))
 
@@ -236,7 +252,20 @@ def missingness_summary(spark, d):
     return missingness.missingness_summary(readings(spark, d), MINUTES)
 
 
-@query("missingness_compare")
+IMPUTED = f"""{SNAP}, md AS (SELECT id, CASE WHEN missing_glucose = 0 THEN 'none' WHEN missing_glucose_rate <= 5 THEN 'arima' ELSE 'xgboost' END AS imputation_model FROM gs),
+o AS (SELECT *, hour(timestamp) AS hour, last(CASE WHEN glucose IS NOT NULL THEN slot END IGNORE NULLS) OVER b AS s0, last(glucose IGNORE NULLS) OVER b AS g0, first(CASE WHEN glucose IS NOT NULL THEN slot END IGNORE NULLS) OVER a AS s1, first(glucose IGNORE NULLS) OVER a AS g1 FROM e
+ WINDOW b AS (PARTITION BY id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY id ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+us_ AS (SELECT id, hour, avg(glucose) AS at_hour FROM o WHERE glucose IS NOT NULL GROUP BY id, hour), ov AS (SELECT id, avg(glucose) AS overall FROM e GROUP BY id),
+im AS (SELECT o.id, o.timestamp, imputation_model, CASE WHEN inserted THEN 'timestamp_gap' WHEN explicit THEN 'explicit_na' ELSE 'observed' END AS missing_source, glucose IS NULL AND g0 IS NOT NULL AND g1 IS NOT NULL AS imputed_flag,
+ CASE WHEN glucose IS NOT NULL THEN glucose WHEN g0 IS NOT NULL AND g1 IS NOT NULL THEN least(500, greatest(39, g0 + (g1 - g0) * (slot - s0) / (s1 - s0)::DOUBLE
+ + CASE WHEN imputation_model = 'xgboost' AND least(slot - s0, s1 - slot) >= 3 THEN 0.5::DOUBLE * coalesce(at_hour - overall, 0) ELSE 0 END)) END AS glucose
+ FROM o JOIN md USING (id) JOIN ov USING (id) LEFT JOIN us_ ON us_.id = o.id AND us_.hour = o.hour)"""
+
+
+@query("missingness_compare", f"""{IMPUTED}, af AS (SELECT id, count(*) AS rows, count_if(glucose IS NULL) AS missing, count_if(imputed_flag AND glucose IS NOT NULL) AS filled FROM im GROUP BY id)
+FINAL SELECT id, expanded_rows AS original_expanded_rows, missing_glucose AS original_missing_glucose, missing_glucose_rate AS original_missing_glucose_rate, rows AS analysis_expanded_rows, missing AS analysis_missing_glucose,
+ round(100.0::DOUBLE * missing / rows, 2) AS analysis_missing_glucose_rate, filled AS filled_glucose, missing - missing_glucose AS missing_change FROM gs JOIN af USING (id)""",
+    "id:s original_expanded_rows:i original_missing_glucose:i original_missing_glucose_rate:d analysis_expanded_rows:i analysis_missing_glucose:i analysis_missing_glucose_rate:d filled_glucose:i missing_change:i")
 def missingness_compare(spark, d):
     r = readings(spark, d)
     return missingness.compare(r, imputation.impute(r, minutes=MINUTES), MINUTES)
@@ -309,12 +338,24 @@ def higuchi(spark, d):
     return complexity.higuchi(readings(spark, d))
 
 
-@query("multiscale_entropy")
+@query("multiscale_entropy", f"""{SERIES}, k AS (SELECT id, i, x FROM v WHERE n <= 1000 UNION SELECT v.id, v.i, v.x FROM v JOIN (SELECT DISTINCT id, n, CAST(floor(j * (n - 1) / 999.0::DOUBLE + 0.5) AS BIGINT) AS i FROM (SELECT DISTINCT id, n FROM v WHERE n > 1000), range(1000) AS r(j)) p ON p.id = v.id AND p.i = v.i),
+j AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY id) AS n FROM k),
+c AS (SELECT id, scale, j // scale AS c, avg(x) AS y FROM j, range(1, 6) AS r(scale) WHERE j // scale < n // scale GROUP BY ALL),
+t AS (SELECT id, scale, c, y, lead(y) OVER w AS y1, lead(y, 2) OVER w AS y2, 0.15::DOUBLE * stddev_samp(y) OVER (PARTITION BY id, scale) AS r FROM c WINDOW w AS (PARTITION BY id, scale ORDER BY c)),
+h AS (SELECT a.id, a.scale, count(*) AS hits, count_if(abs(a.y2 - b.y2) <= a.r) AS more FROM t a JOIN t b ON a.id = b.id AND a.scale = b.scale AND a.c < b.c AND abs(a.y - b.y) <= a.r AND abs(a.y1 - b.y1) <= a.r WHERE a.y2 IS NOT NULL AND b.y2 IS NOT NULL GROUP BY ALL)
+FINAL SELECT id, scale, -ln(more / hits::DOUBLE) AS sample_entropy FROM h WHERE more > 0""", "id:s scale:i sample_entropy:d")
 def multiscale_entropy(spark, d):
     return complexity.mse(readings(spark, d))
 
 
-@query("hurst")
+HURST = """q AS (SELECT id, unnest(list_filter([n >> k for k in range(40)], lambda w: w >= 16)) AS scale FROM (SELECT id, max(n) AS n FROM v GROUP BY id HAVING max(x) > min(x))),
+sg AS (SELECT v.id, scale, i // scale AS seg, i, x, avg(x) OVER s AS m, stddev_pop(x) OVER s AS sd FROM v JOIN q USING (id) WHERE i < (n // scale) * scale WINDOW s AS (PARTITION BY v.id, scale, i // scale)),
+rz AS (SELECT *, sum(x - m) OVER (PARTITION BY id, scale, seg ORDER BY i) AS z FROM sg), rs AS (SELECT id, scale, avg(rs) AS rs FROM (SELECT id, scale, seg, (max(z) - min(z)) / nullif(max(sd), 0) AS rs FROM rz GROUP BY ALL) GROUP BY id, scale),
+hu AS (SELECT id, 0.5 + regr_slope(ln(rs) - ln((scale - 0.5) / scale * CASE WHEN scale <= 340 THEN exp(lgamma((scale - 1) / 2.0::DOUBLE) - lgamma(scale / 2.0::DOUBLE)) / sqrt(pi()) ELSE 1 / sqrt(scale * pi() / 2) END
+ * list_sum(list_transform(range(1, scale), lambda k: sqrt((scale - k) / k::DOUBLE)))), ln(scale)) AS hurst FROM rs WHERE rs > 0 GROUP BY id)"""
+
+
+@query("hurst", f"{SERIES}, {HURST}\nFINAL SELECT * FROM hu", "id:s hurst:d")
 def hurst(spark, d):
     return complexity.hurst(readings(spark, d))
 
@@ -392,6 +433,29 @@ def predictive_examples(spark, d):
     return predictive.examples(readings(spark, d)).drop("date", "target_label")
 
 
+EXAMPLES = ", ex AS (".join(_example_sql().split("\nFINAL ")) + f"""), dy AS (SELECT id, CAST(timestamp AS DATE) AS date, row_number() OVER (PARTITION BY id ORDER BY CAST(timestamp AS DATE) DESC) AS back, count(*) OVER (PARTITION BY id) AS days FROM ex GROUP BY id, CAST(timestamp AS DATE)),
+sp AS (SELECT ex.*, dy.date, CASE WHEN CASE WHEN days > 1 THEN back <= greatest(1, ceil(days * 0.3::DOUBLE)) ELSE row_number() OVER (PARTITION BY ex.id ORDER BY timestamp DESC) <= greatest(1, floor(0.3::DOUBLE * count(*) OVER (PARTITION BY ex.id))) END THEN 'test' ELSE 'train' END AS split
+ FROM ex JOIN dy ON dy.id = ex.id AND dy.date = CAST(ex.timestamp AS DATE))"""
+
+
+@query("predictive_split", f"{EXAMPLES}\nFINAL SELECT id, split, count(*) AS n, count(DISTINCT date) AS days, sum(target) AS events, min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp FROM sp GROUP BY id, split",
+    "id:s split:s n:i days:i events:i first_timestamp:t last_timestamp:t")
+def predictive_split(spark, d):
+    rows = predictive.training_rows(predictive.examples(readings(spark, d)))
+    return rows.groupBy("id", "split").agg(F.count("*").alias("n"), F.count_distinct("date").alias("days"), F.sum("target").alias("events"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"))
+
+
+@query("predictive_performance", f"""{EXAMPLES}, sc AS (SELECT id, target, 1 / (1 + exp((round(glucose_current) - 100) / 20::DOUBLE)) AS p FROM sp WHERE split = 'test'),
+rk AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY p) + (count(*) OVER (PARTITION BY id, p) - 1) / 2.0::DOUBLE AS mr FROM sc)
+FINAL SELECT id, count(*) AS test_rows, sum(target) AS test_events, (sum(CASE WHEN target = 1 THEN mr END) - sum(target) * (sum(target) + 1) / 2.0::DOUBLE) / nullif(sum(target) * (count(*) - sum(target)), 0) AS auc,
+ count_if(target = 1 AND p >= 0.5) / nullif(sum(target), 0)::DOUBLE AS sensitivity, count_if(target = 0 AND p < 0.5) / nullif(count(*) - sum(target), 0)::DOUBLE AS specificity, avg(pow(p - target, 2)) AS brier_score, 0.5 AS threshold FROM rk GROUP BY id""",
+    "id:s test_rows:i test_events:i auc:d sensitivity:d specificity:d brier_score:d threshold:d")
+def predictive_performance(spark, d):
+    """Of a given score, so that nothing but the measures is compared."""
+    rows = predictive.training_rows(predictive.examples(readings(spark, d)))
+    return predictive.performance(rows.withColumn("risk_probability", 1 / (1 + F.exp((F.round("glucose_current") - 100) / 20))), by=("id",))
+
+
 @query("predictive_model")
 def predictive_model(spark, d):
     found, _ = predictive.fit_and_score(predictive.examples(readings(spark, d)))
@@ -410,7 +474,7 @@ def risk_bands(spark, d):
     return readings(spark, d).where("glucose is not null").select(F.col("_ord").alias("event_id"), predictive.risk_band(F.least(F.lit(1.0), F.col("glucose") / 400)).alias("band"))
 
 
-@query("impute")
+@query("impute", f"{IMPUTED}\nFINAL SELECT * FROM im", "id:s timestamp:t glucose:d imputed_flag:b missing_source:s imputation_model:s")
 def impute(spark, d):
     return imputation.impute(readings(spark, d), minutes=MINUTES).select("id", "timestamp", "glucose", "imputed_flag", "missing_source", "imputation_model")
 
@@ -423,7 +487,15 @@ def impute_linear(spark, d):
     return imputation.impute(readings(spark, d), "linear", MINUTES).select("id", "timestamp", "glucose", "imputed_flag")
 
 
-@query("lttb")
+@query("lttb", f"""WITH RECURSIVE {DENSE}, v AS (SELECT id, timestamp, us, glucose, row_number() OVER (PARTITION BY id ORDER BY timestamp, _ord) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM g WHERE glucose IS NOT NULL),
+ed AS (SELECT id, n, b, CAST(floor(b * ((n - 2) / 248.0::DOUBLE)) AS BIGINT) + 1 AS a FROM (SELECT DISTINCT id, n FROM v WHERE n > 250), range(249) AS r(b)),
+bk AS (SELECT id, n, b, a, least(lead(a) OVER w, n - 1) AS z, coalesce(lead(a, 2) OVER w, n) AS c FROM ed WINDOW w AS (PARTITION BY id ORDER BY b)),
+bm AS (SELECT bk.id, bk.b, bk.a, bk.z, avg(v.us) AS mx, avg(v.glucose) AS my FROM bk JOIN v ON v.id = bk.id AND v.i >= bk.z AND v.i < bk.c WHERE bk.z IS NOT NULL GROUP BY ALL),
+kept AS (SELECT id, CAST(-1 AS BIGINT) AS b, i, CAST(us AS DOUBLE) AS px, glucose AS py FROM v WHERE i = 0 AND n > 250
+ UNION ALL SELECT id, b, best.i, best.x, best.y FROM (SELECT k.id, bm.b, arg_max({{'i': v.i, 'x': CAST(v.us AS DOUBLE), 'y': v.glucose}}, (abs((k.px - bm.mx) * (v.glucose - k.py) - (k.px - v.us) * (bm.my - k.py)) / 2, -v.i)) AS best
+  FROM kept k JOIN bm ON bm.id = k.id AND bm.b = k.b + 1 JOIN v ON v.id = k.id AND v.i >= bm.a AND v.i < bm.z GROUP BY k.id, bm.b)),
+al AS (SELECT id, i FROM kept UNION SELECT id, i FROM v WHERE n <= 250 OR i = n - 1 UNION SELECT id, arg_min(i, (glucose, i)) FROM v GROUP BY id UNION SELECT id, arg_max(i, (glucose, -i)) FROM v GROUP BY id)
+FINAL SELECT v.id, timestamp, glucose, false AS imputed_flag FROM v JOIN al ON al.id = v.id AND al.i = v.i""", "id:s timestamp:t glucose:d imputed_flag:b")
 def lttb(spark, d):
     return downsample.lttb(readings(spark, d), 250)
 
@@ -488,12 +560,19 @@ def predictive_per_subject(spark, d):
     return predictive.performance(predictive.per_subject_scores(predictive.examples(readings(spark, d))), by=("id",))
 
 
-@query("upload_summary")
+@query("upload_summary", f"""WITH {DENSE}, o AS (SELECT count(*) AS n, count(DISTINCT id) AS subjects, CAST(min(timestamp) AS DATE) AS a, CAST(max(timestamp) AS DATE) AS b FROM g)
+FINAL SELECT position, ['Files', 'Rows', 'Subjects', 'Date span'][position + 1] AS label, ['1', format('{{:,}}', n), format('{{:,}}', subjects), a || ' to ' || b][position + 1] AS value FROM o, range(4) AS r(position)""", "position:i label:s value:s")
 def upload_summary(spark, d):
     return review.upload_summary(readings(spark, d))
 
 
-@query("validation_rows")
+@query("validation_rows", f"""WITH {TEXT}, t AS (SELECT count_if(k = 4) AS failed, count_if(k <> 4) AS parsed, count_if(k = 2 AND day(ts) <= 12 AND day(ts) <> month(ts)) AS ambiguous, count_if(k = 3) AS date_only FROM (SELECT *, event_id % 5 AS k FROM x ORDER BY event_id LIMIT 5000)),
+n AS (SELECT try_cast(replace(glucose_text, ',', '') AS DOUBLE) AS v FROM x), u AS (SELECT count(v) AS numeric, count(*) - count(v) AS odd, count_if(v < 40 OR v > 400) AS implausible, quantile_cont(v, 0.5) < 25 AS suspicious FROM n)
+FINAL SELECT position, ['Timestamps parse', 'Date order', 'Times of day', 'Glucose is numeric', 'Glucose is plausible', 'Units'][position + 1] AS check,
+ CASE WHEN [parsed > 0 AND failed = 0, ambiguous = 0, date_only = 0, numeric > 0 AND odd = 0, implausible = 0, NOT suspicious][position + 1] THEN 'Ready' ELSE 'Needs attention' END AS status,
+ [format('{{:,}}', failed) || ' invalid timestamp(s)', format('{{:,}}', ambiguous) || ' ambiguous date value(s)', format('{{:,}}', date_only) || ' value(s) without a time', format('{{:,}}', odd) || ' non-numeric value(s)',
+  format('{{:,}}', implausible) || ' value(s) outside review range', CASE WHEN suspicious THEN 'Values don''t look like the chosen units' ELSE '' END][position + 1] AS detail FROM t, u, range(6) AS r(position)""",
+    "position:i check:s status:s detail:s")
 def validation_rows(spark, d):
     t = text_readings(spark, d)
     return review.validation(std.parse_summary(t, "timestamp_text"), std.glucose_summary(t, "glucose_text"))
@@ -533,7 +612,9 @@ def qc_cards(spark, d):
     return quality.qc_cards(quality.qc_summary(readings(spark, d)))
 
 
-@query("imputation_status")
+@query("imputation_status", f"""{IMPUTED}, af AS (SELECT id, count_if(imputed_flag AND glucose IS NOT NULL) AS filled, count_if(glucose IS NULL) AS missing_after, max(imputation_model) AS imputation_model FROM im GROUP BY id)
+FINAL SELECT gs.id, missing_glucose AS missing_before, filled, missing_after, imputation_model, CASE WHEN missing_glucose = 0 THEN 'No missing glucose' WHEN missing_after = 0 THEN 'Complete' WHEN filled > 0 THEN 'Partly filled' ELSE 'Nothing filled' END AS status
+ FROM gs JOIN af USING (id)""", "id:s missing_before:i filled:i missing_after:i imputation_model:s status:s")
 def imputation_status(spark, d):
     r = readings(spark, d)
     return imputation.status(r, imputation.impute(r, minutes=MINUTES), MINUTES)
