@@ -118,6 +118,20 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+#: Shingles as text; a shorter text's whole sequence has fewer blanks than any shingle.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i, len(words) AS n FROM w WHERE len(words) >= 5),
+g AS (SELECT doc_id, i, n, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+t AS MATERIALIZED (SELECT DISTINCT doc_id, shingle FROM g WHERE i <= n - 5 UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4),
+s AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM both_ JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * both_.n >= 75 * (x.n + y.n - both_.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT w.doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles, coalesce(min(reach.b), w.doc_id) AS component_id FROM w LEFT JOIN s ON s.doc_id = w.doc_id LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
@@ -130,4 +144,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_ngram_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
