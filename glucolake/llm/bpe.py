@@ -26,14 +26,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from glucolake.llm.shared import steps
+from glucolake.llm.shared import batched, steps
 
 #: Fixed value: the word pattern of byte-level BPE tokenizers of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WIDE = 32
 NO_RANK = np.int32(1 << 30)
 #: Bytes of words that a worker keeps with their ids; when they are more the memory is emptied.  What a word takes besides its bytes.
-MEMORY_BYTES, WORD_BYTES = 96 << 20, 300
+MEMORY_BYTES, WORD_BYTES = 64 << 20, 300
 
 
 def byte_characters() -> dict[str, int]:
@@ -308,7 +308,7 @@ def encode_documents(docs: DataFrame, file: str, id_column: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return batched(docs.select(id_column, text_column)).mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def decode_ids(df: DataFrame, file: str, ids_column: str = "ids", out_column: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from glucolake.llm.shared import partitions, steps, texts_of, written
+from glucolake.llm.shared import batched, partitions, steps, texts_of, written
 
 FAN_IN = 8
 NULL_ID = np.iinfo(np.int64).min
@@ -92,7 +92,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             ["slice", "node", "members", "own", "run"],
         )
 
-    runs = written(docs.select(F.col(id_column).cast("long"), text_column, *([F.col(row_column).cast("long").alias("__own")] if row_column else [])).mapInArrow(first_runs, "slice int, node int, members binary, own binary, run binary"), "runs")
+    runs = written(batched(docs.select(F.col(id_column).cast("long"), text_column, *([F.col(row_column).cast("long").alias("__own")] if row_column else []))).mapInArrow(first_runs, "slice int, node int, members binary, own binary, run binary"), "runs")
 
     def merge_round(table: pa.Table) -> pa.Table:
         merged = _merge([np.frombuffer(b, RECORD) for b in table.column("run").to_pylist()], largest)

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glucolake.llm.shared import steps
+from glucolake.llm.shared import batched, steps
 
 # Names of elements and words of class, id and role that tell what a part is.
 DROPPED = frozenset("nav aside footer form script style noscript template button select textarea input dialog iframe object embed svg canvas audio video map menu head title".split())
@@ -319,4 +319,4 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
                 texts = [extract(p) for p in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [id_column, url_column, "text", "n_chars"])
 
-    return pages.select(id_column, url_column, html_column).mapInArrow(run, f"`{id_column}` {kinds[id_column]}, `{url_column}` {kinds[url_column]}, text string, n_chars long")
+    return batched(pages.select(id_column, url_column, html_column)).mapInArrow(run, f"`{id_column}` {kinds[id_column]}, `{url_column}` {kinds[url_column]}, text string, n_chars long")

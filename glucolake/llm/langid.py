@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glucolake.llm.shared import steps, texts_of
+from glucolake.llm.shared import batched, steps, texts_of
 
 WINDOW, FILTERS, WIDTHS, CLASSES = 256, 16, (2, 3, 4), 64
 SAMPLE, ALL_SAMPLES = 2000, 120_000
@@ -157,7 +157,7 @@ def sample_windows(docs: DataFrame, train_on: Column, id_column: str, text_colum
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), part.column(2)], ["windows", "label"])
 
     rows = rows.where("__n > 0").join(F.broadcast(shares), F.col("__label") == F.col("__name")).select("__text", chosen.alias("__at"), "__of").where(F.size("__at") > 0)
-    found = rows.mapInArrow(run, "windows binary, label int").collect()
+    found = batched(rows).mapInArrow(run, "windows binary, label int").collect()
     x = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in found]
     return np.concatenate([np.zeros((0, WINDOW), np.uint8), *x]), np.repeat(np.array([r["label"] for r in found], np.int64), [len(w) for w in x]), labels
 
@@ -193,4 +193,4 @@ def predict(docs: DataFrame, net: Network | None, id_column: str = "doc_id", tex
                         label[i], score[i] = net.labels[k], float(row[k])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(label), pa.array(score, pa.float64())], [id_column, "lang_pred", "score"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, lang_pred string, score double")
+    return batched(docs.select(id_column, text_column)).mapInArrow(run, f"`{id_column}` {kind}, lang_pred string, score double")

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from glucolake.llm.components import components
-from glucolake.llm.shared import partitions, steps, texts_of, written
+from glucolake.llm.shared import batched, partitions, steps, texts_of, written
 
 WORDS, THRESHOLD = 5, 75
 #: Sets below this size index one-deletion neighbourhoods as well.
@@ -310,7 +310,7 @@ def tokens_by_piece(docs: DataFrame, pieces: int, words: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, TOKENS)
+    return batched(docs).mapInArrow(run, TOKENS)
 
 
 def shared_tokens(dealt_tokens: DataFrame, pieces: int) -> DataFrame:
@@ -432,7 +432,7 @@ def set_table(docs: DataFrame, ids: DataFrame, repeats: DataFrame, words: int) -
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int64)))], ["doc", "shingles"])
 
     needed = written(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), "needed")  # Spark broadcasts it if it is small
-    sets = written(docs.join(needed, docs["doc"] == needed["id"], "left_semi").mapInArrow(run, "doc long, shingles array<bigint>"), "sets")
+    sets = written(batched(docs.join(needed, docs["doc"] == needed["id"], "left_semi")).mapInArrow(run, "doc long, shingles array<bigint>"), "sets")
     if not repeats.limit(1).count():
         return sets
     several = sets.join(repeats, sets["doc"] == repeats["again"], "left_semi").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
@@ -513,7 +513,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in texts_of(batch.column(1))], pa.binary())], ["doc", "digest"])
 
-    rows = written(docs.mapInArrow(run, "doc long, digest binary"), "digests")
+    rows = written(batched(docs).mapInArrow(run, "doc long, digest binary"), "digests")
     repeats = written(rows.groupBy(F.col("doc").alias("again")).agg(F.count("*").alias("n")).where("n > 1"), "repeats")
     rows = rows.join(repeats, F.col("doc") == F.col("again"), "left_anti")
     groups = written(rows.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glucolake.llm.shared import steps, texts_of, written
+from glucolake.llm.shared import batched, steps, texts_of, written
 
 ALPHA, DELTA = 0.05, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -100,7 +100,7 @@ def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], [*keep, *names])
 
     names = [*(x.split()[0] for x in BASE.split(", ")), "n_lines", "n_capitals", "n_letters"]
-    out = docs.select(text_column, *keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in names)]))
+    out = batched(docs.select(text_column, *keep)).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in names)]))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.least(F.lit(1.0), F.col(a) / F.col(b))).otherwise(F.lit(0.0))
     return out.withColumns({
         "symbol_ratio": ratio("n_symbols", "word_chars"), "shout_ratio": ratio("n_capitals", "n_letters"),

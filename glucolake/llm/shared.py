@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that goes to a worker; Spark's own bound is a number of rows, however long these are.
+BATCH_BYTES = "4m"
 #: Bytes of text that one step of an Arrow function works on at a time.
 STEP_BYTES = 1 << 20
 
@@ -53,6 +55,14 @@ def clean_up(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """``df`` to be handed to Arrow functions in batches of about ``BATCH_BYTES``, unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df
+
+
 def steps(batch: pa.RecordBatch, column: int | str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose string ``column`` holds about ``limit`` bytes each (one row at least)."""
     n = batch.num_rows

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glucolake.llm.shared import steps, written
+from glucolake.llm.shared import batched, steps, written
 
 SAMPLE, SURE = 6000, 6.63  # by chance one feature in a hundred is as sure
 RIDGE, PENALTY, ROUNDS, SEED = 2e-4, 1.0, 300, 11
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Callable[[Column], Column]
             for part in steps(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), pa.array([sorted(words_of(t)) for t in part.column(1).to_pylist()], pa.list_(pa.string()))], ["id", "toxic", "words"])
 
-    texts = written(rows.mapInArrow(words, "id string, toxic int, words array<string>"), "sample")
+    texts = written(batched(rows).mapInArrow(words, "id string, toxic int, words array<string>"), "sample")
     total = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(total) < 2:
         return Model()
@@ -202,4 +202,4 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
                 s = [score(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], [id_column, "score", "predicted"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, score double, predicted int")
+    return batched(docs.select(id_column, text_column)).mapInArrow(run, f"`{id_column}` {kind}, score double, predicted int")

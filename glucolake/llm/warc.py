@@ -30,7 +30,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucolake.llm.shared import fresh_path, steps, texts_of, written
+from glucolake.llm.shared import batched, fresh_path, steps, texts_of, written
 
 #: Fixed values of the Zstandard format and of its use for WARC.
 FRAME_MAGIC, DICTIONARY_MAGIC, SKIPPABLE_MAGIC = 0xFD2FB528, 0x184D2A5D, 0x184D2A50
@@ -236,7 +236,7 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
             yield closed()
 
     # A cast of binary to string keeps the bytes as they are.
-    rows.mapInArrow(archives, "archive binary").select(F.col("archive").cast("string")).write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", 1).text(path)
+    batched(rows).mapInArrow(archives, "archive binary").select(F.col("archive").cast("string")).write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
