@@ -61,20 +61,29 @@ def with_sum_below(counts: DataFrame, value: str, n: str, by: tuple[str, ...] =
     return out.drop("__bucket", "__at", "__before", *(f"__{c}" for c in by))
 
 
-def with_previous(df: DataFrame, columns: dict[str, Column], order: tuple[str, ...] = ("timestamp", "_ord"), key: str = "id", chunk: Column | None = None) -> DataFrame:
+def with_previous(df: DataFrame, columns: dict[str, Column], order: tuple[str, ...] = ("timestamp", "_ord"), key: str = "id", chunk: Column | None = None, second: dict[str, str] | None = None) -> DataFrame:
     """``df`` with the values that ``columns`` have in the key's row before, null in its first.
 
+    ``second`` gives for some of ``columns`` the name of a column with the value two rows before.
     The rows of a key are taken in the order of ``order``, whose first column is a timestamp;
     they are worked on by key and day, so the readings of one key never have to meet in one
-    task.  Only one row per key and day, its last, is carried over to the next day.
+    task.  Only the last rows of a key's day are carried over to the next.
     """
     chunk = F.to_date(order[0]) if chunk is None else chunk
     d = df.withColumns({"__day": chunk, "__now": F.struct(*(c.alias(n) for n, c in columns.items()))})
     by_day = Window.partitionBy(key, "__day").orderBy(*order)
     d = d.withColumn("__before", F.lag("__now").over(by_day))
-    last = d.groupBy(key, "__day").agg(F.max_by("__now", F.struct(*order)).alias("__last"))
-    last = last.withColumn("__carry", F.lag("__last").over(Window.partitionBy(key).orderBy("__day"))).drop("__last")
-    last = last.select(F.col(key).alias("__key"), F.col("__day").alias("__at"), "__carry")
+    if second:
+        d = d.withColumn("__earlier", F.lag("__now", 2).over(by_day))
+    last = d.groupBy(key, "__day").agg(F.max_by(F.struct("__now", "__before"), F.struct(*order)).alias("__last"))
+    days = Window.partitionBy(key).orderBy("__day")
+    last = last.withColumns({"__carry": F.lag("__last").over(days), "__far": F.lag("__last", 2).over(days)}).drop("__last")
+    last = last.select(F.col(key).alias("__key"), F.col("__day").alias("__at"), "__carry", "__far")
     d = d.join(last, d[key].eqNullSafe(last["__key"]) & d["__day"].eqNullSafe(last["__at"]), "left")
-    before = F.coalesce("__before", "__carry")
-    return d.withColumns({n: before[n] for n in columns}).drop("__day", "__now", "__before", "__key", "__at", "__carry")
+    before = F.coalesce("__before", "__carry.__now")
+    out = {n: before[n] for n in columns}
+    if second:
+        # The second row of a day has the last row carried over before its first; the first has the two last ones.
+        earlier = F.coalesce("__earlier", F.when(F.col("__before").isNotNull(), F.col("__carry.__now")).otherwise(F.coalesce("__carry.__before", "__far.__now")))
+        out |= {name: earlier[n] for n, name in second.items()}
+    return d.withColumns(out).drop("__day", "__now", "__before", "__earlier", "__key", "__at", "__carry", "__far")

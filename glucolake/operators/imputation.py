@@ -1,13 +1,14 @@
 """Filling missing glucose: candidates, estimators of our own, provenance flags.
 
 Only rows that were missing are filled.  Estimators work between two observed neighbours, so
-a subject's rows never have to meet in a task.  The models named by other tools keep their
-labels, but the numbers come from the estimators here.
+a subject's rows never have to meet in a task.  Models named by other tools can be asked for,
+but the numbers come from the estimators here: ``imputation_model`` says what was asked for,
+``imputation_estimator`` what was used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucolake.config import interval
@@ -34,12 +35,17 @@ def candidates(df: DataFrame, minutes: int = 5) -> DataFrame:
     )
 
 
+def chosen_model(name: str, rate: Column, missing: Column) -> Column:
+    """The model of a subject: as named, or by the rate of missing readings; none where nothing is missing."""
+    label = F.when(rate <= 5, "arima").otherwise("xgboost") if name == "auto" else F.lit(name)
+    return F.when(missing > 0, label).otherwise("none")
+
+
 def model_by_subject(df: DataFrame, model: str = "auto", minutes: int = 5) -> DataFrame:
     """The estimator of each subject: as named, or by the rate of missing readings (linear up to 5 %)."""
     name = normalize_model(model)
     rate = grid_summary(df, minutes).select("id", "missing_glucose", "missing_glucose_rate")
-    label = F.when(F.col("missing_glucose_rate") <= 5, "arima").otherwise("xgboost") if name == "auto" else F.lit(name)
-    return rate.withColumn("model", F.when(F.col("missing_glucose") > 0, label).otherwise("none"))
+    return rate.withColumn("model", chosen_model(name, F.col("missing_glucose_rate"), F.col("missing_glucose")))
 
 
 def impute(df: DataFrame, model: str = "auto", minutes: int = 5, low: float = 39.0, high: float = 500.0) -> DataFrame:
@@ -57,16 +63,22 @@ def impute(df: DataFrame, model: str = "auto", minutes: int = 5, low: float = 39
     step = F.col("slot") - F.col("s0")
     line = F.col("g0") + (F.col("g1") - F.col("g0")) * step / (F.col("s1") - F.col("s0"))
     fills = between.select(F.col("id").alias("fid"), F.col("slot").alias("fslot"), line.alias("line"), (F.least(step, F.col("s1") - F.col("slot")) >= 3).alias("inner"))
-    hour = F.hour("timestamp")
-    usual = placed.where(F.col("glucose").isNotNull()).groupBy(F.col("id").alias("uid"), hour.alias("hour")).agg(F.avg("glucose").alias("at_hour"))
-    mean = placed.groupBy(F.col("id").alias("mid")).agg(F.avg("glucose").alias("overall"))
-    models = model_by_subject(df, model, minutes).select(F.col("id").alias("oid"), F.col("model").alias("imputation_model"))
+    # Means by hour, the overall mean and the model all come from one table of at most 25 rows a subject.
+    seen_here = F.when(F.col("slot").isNotNull(), F.col("glucose"))
+    hours = grid.groupBy(F.col("id").alias("hid"), F.hour("timestamp").alias("hour")).agg(F.count("*").alias("n"), F.count_if(F.col("glucose").isNull()).alias("missing"), F.sum(seen_here).alias("total"), F.count(seen_here).alias("seen"))
+    whole = Window.partitionBy("hid")
+    missing = F.sum("missing").over(whole)
+    hours = hours.select(
+        "hid", "hour", (F.col("total") / F.nullif(F.col("seen"), F.lit(0))).alias("at_hour"), (F.sum("total").over(whole) / F.nullif(F.sum("seen").over(whole), F.lit(0))).alias("overall"),
+        chosen_model(normalize_model(model), F.round(100 * missing / F.sum("n").over(whole), 2), missing).alias("imputation_model"),
+    )
     d = grid.join(fills, (grid["id"] == fills["fid"]) & (grid["slot"] == fills["fslot"]), "left")
-    d = d.join(models, F.col("id").eqNullSafe(F.col("oid")), "left").join(mean, F.col("id") == F.col("mid"), "left").join(usual, (F.col("id") == F.col("uid")) & (F.hour("timestamp") == F.col("hour")), "left")
-    by_profile = F.col("imputation_model").isin([k for k, v in MODELS.items() if v[1] == "profile"]) & F.col("inner")
+    d = d.join(hours, F.col("id").eqNullSafe(F.col("hid")) & F.hour("timestamp").eqNullSafe(F.col("hour")), "left")
+    estimators = F.create_map(*(F.lit(x) for k, v in MODELS.items() if v[1] for x in (k, v[1])))
+    by_profile = (estimators[F.col("imputation_model")] == "profile") & F.col("inner")
     value = F.least(F.lit(high), F.greatest(F.lit(low), F.col("line") + F.when(by_profile, 0.5 * F.coalesce(F.col("at_hour") - F.col("overall"), F.lit(0.0))).otherwise(0.0)))
     fill = F.col("glucose").isNull() & F.col("line").isNotNull()
-    return d.withColumns({"glucose": F.when(fill, value).otherwise(F.col("glucose")), "imputed_flag": F.col("imputed_flag") | F.coalesce(fill, F.lit(False))}).select(*grid.columns, "imputation_model")
+    return d.withColumns({"glucose": F.when(fill, value).otherwise(F.col("glucose")), "imputed_flag": F.col("imputed_flag") | F.coalesce(fill, F.lit(False))}).select(*grid.columns, "imputation_model", F.coalesce(estimators[F.col("imputation_model")], F.lit("none")).alias("imputation_estimator"))
 
 
 def apply_result(df: DataFrame, result: DataFrame) -> DataFrame:

@@ -64,8 +64,7 @@ def mage(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys_of(df) if keys is None else keys
     d = _keyed(df, keys)
     order = ("timestamp", "_ord")
-    s = with_previous(d, {"p1": F.col("glucose")}, order, "k")
-    s = with_previous(s, {"p2": F.col("p1")}, order, "k")
+    s = with_previous(d, {"p1": F.col("glucose")}, order, "k", second={"p1": "p2"})
     # The row before is a turning point if it lies above (or below) both neighbours, level with the earlier one at most.
     turn = ((F.col("p1") >= F.col("p2")) & (F.col("p1") > F.col("glucose"))) | ((F.col("p1") <= F.col("p2")) & (F.col("p1") < F.col("glucose")))
     points = with_previous(s.where(turn), {"last": F.col("p1")}, order, "k").select("k", F.abs(F.col("p1") - F.col("last")).alias("step"))

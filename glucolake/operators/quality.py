@@ -23,11 +23,17 @@ def median_interval(df: DataFrame) -> DataFrame:
 def qc_summary(df: DataFrame, params: QcParams = QcParams()) -> DataFrame:
     """Twelve measures per subject.
 
-    Gaps are counted against 1.5 times the subject's median interval.  The gaps themselves
-    are first counted by length, so no second pass over the readings needs the median.
+    Rows are counted once, by day and length of the gap before them; everything else, the
+    median interval with which gaps are compared too, follows from these counts.
     """
-    gaps = intervals(df)
-    by_length = gaps.groupBy("id", "gap_minutes").agg(F.count("*").alias("n"))
+    low, high = params.glucose_min, params.glucose_max
+    placed = intervals(df).select("id", F.to_date("timestamp").alias("day"), "gap_minutes", "timestamp", "glucose")
+    loose = df.where(F.col("timestamp").isNull()).select("id", F.lit(None).cast("date").alias("day"), F.lit(None).cast("double").alias("gap_minutes"), "timestamp", "glucose")
+    counts = placed.unionByName(loose).groupBy("id", "day", "gap_minutes").agg(
+        F.count("*").alias("n"), F.count("glucose").alias("observed"), F.count_if((F.col("glucose") < low) | (F.col("glucose") > high)).alias("implausible"),
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+    )
+    by_length = counts.groupBy("id", "gap_minutes").agg(F.sum("n").alias("n"))
     median = by_length.groupBy("id").agg(F.percentile(F.when(F.col("gap_minutes") > 0, F.col("gap_minutes")), 0.5, F.col("n")).alias("median_interval_minutes")).withColumnRenamed("id", "median_id")
     counted = (
         by_length.join(median, F.col("id").eqNullSafe(F.col("median_id"))).groupBy(F.col("id").alias("gap_id"), "median_interval_minutes")
@@ -36,20 +42,23 @@ def qc_summary(df: DataFrame, params: QcParams = QcParams()) -> DataFrame:
             F.max("gap_minutes").alias("max_gap_minutes"),
         )
     )
-    days = df.where(F.col("timestamp").isNotNull()).groupBy("id", F.to_date("timestamp").alias("day")).agg(F.count("*").alias("rows"), F.count_distinct("timestamp").alias("times"))
-    by_day = days.groupBy("id").agg(F.count("*").alias("observed_days"), F.collect_list("rows").alias("day_rows"), F.sum(F.col("rows") - F.col("times")).alias("duplicate_timestamps"))
-    by_day = by_day.withColumnRenamed("id", "day_id")
-    whole = df.groupBy("id").agg(
-        F.count("*").alias("readings"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"), F.count("glucose").alias("observed"),
-        F.count_if(F.col("glucose").isNull()).alias("missing_glucose"), F.count_if((F.col("glucose") < params.glucose_min) | (F.col("glucose") > params.glucose_max)).alias("implausible_values"),
+    # A row without a gap before it repeats a time; a subject's first row has none either, but its gap is null.
+    days = counts.groupBy("id", "day").agg(
+        F.sum("n").alias("rows"), F.sum("observed").alias("observed"), F.sum("implausible").alias("implausible"), F.coalesce(F.sum(F.when(F.col("gap_minutes") == 0, F.col("n"))), F.lit(0)).alias("again"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+    )
+    whole = days.groupBy("id").agg(
+        F.sum("rows").alias("readings"), F.min("first").alias("first_timestamp"), F.max("last").alias("last_timestamp"), F.sum("observed").alias("observed"),
+        (F.sum("rows") - F.sum("observed")).alias("missing_glucose"), F.sum("implausible").alias("implausible_values"), F.count("day").alias("observed_days"),
+        F.collect_list(F.when(F.col("day").isNotNull(), F.col("rows"))).alias("day_rows"), F.sum("again").alias("duplicate_timestamps"),
     )
-    d = whole.join(counted, F.col("id").eqNullSafe(F.col("gap_id")), "left").join(by_day, F.col("id").eqNullSafe(F.col("day_id")), "left")
+    d = whole.join(counted, F.col("id").eqNullSafe(F.col("gap_id")), "left")
     span = (micros("last_timestamp") - micros("first_timestamp")) / MICROS_PER_MINUTE
     wear = 100 * F.col("observed") / (F.floor(span / F.col("median_interval_minutes")) + 1)
     return d.select(
-        "id", "readings", "first_timestamp", "last_timestamp", F.coalesce("observed_days", F.lit(0)).alias("observed_days"),
+        "id", "readings", "first_timestamp", "last_timestamp", "observed_days",
         F.when(F.col("median_interval_minutes").isNotNull(), F.size(F.filter("day_rows", lambda n: n * F.col("median_interval_minutes") / 60 >= params.valid_day_hours))).cast("long").alias("valid_days"),
-        "median_interval_minutes", wear.alias("wear_time_percent"), "missing_glucose", F.coalesce("duplicate_timestamps", F.lit(0)).alias("duplicate_timestamps"),
+        "median_interval_minutes", wear.alias("wear_time_percent"), "missing_glucose", "duplicate_timestamps",
         "implausible_values", "gap_count", "max_gap_minutes",
     )
 

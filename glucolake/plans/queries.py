@@ -474,9 +474,10 @@ def risk_bands(spark, d):
     return readings(spark, d).where("glucose is not null").select(F.col("_ord").alias("event_id"), predictive.risk_band(F.least(F.lit(1.0), F.col("glucose") / 400)).alias("band"))
 
 
-@query("impute", f"{IMPUTED}\nFINAL SELECT * FROM im", "id:s timestamp:t glucose:d imputed_flag:b missing_source:s imputation_model:s")
+@query("impute", f"{IMPUTED}\nFINAL SELECT *, CASE imputation_model WHEN 'arima' THEN 'linear' WHEN 'xgboost' THEN 'profile' ELSE 'none' END AS imputation_estimator FROM im",
+    "id:s timestamp:t glucose:d imputed_flag:b missing_source:s imputation_model:s imputation_estimator:s")
 def impute(spark, d):
-    return imputation.impute(readings(spark, d), minutes=MINUTES).select("id", "timestamp", "glucose", "imputed_flag", "missing_source", "imputation_model")
+    return imputation.impute(readings(spark, d), minutes=MINUTES).select("id", "timestamp", "glucose", "imputed_flag", "missing_source", "imputation_model", "imputation_estimator")
 
 
 @query("impute_linear", f"""{SNAP}, o AS (SELECT *, last(CASE WHEN glucose IS NOT NULL THEN slot END IGNORE NULLS) OVER b AS s0, last(glucose IGNORE NULLS) OVER b AS g0, first(CASE WHEN glucose IS NOT NULL THEN slot END IGNORE NULLS) OVER a AS s1, first(glucose IGNORE NULLS) OVER a AS g1 FROM e

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ AMBIGUOUS = r"^\s*(\d{1,2})[-/](\d{1,2})[-/](\d{4}|\d{2})(\D.*)?$"
 EXCEL_SERIAL = r"^\d+(\.\d+)?$"
 
 
+def shape_of(form: str) -> str:
+    """The pattern of texts that a year-first format can fit; fractions may be shorter than the format's."""
+    digits = {"yyyy": r"\d{4}", "SSSSSS": r"\d{1,6}", "SSS": r"\d{1,3}", "'T'": "T", ".": r"\."}
+    return "^" + re.sub(r"yyyy|S+|'T'|\.|MM|dd|HH|mm|ss", lambda m: digits.get(m[0], r"\d{2}"), form) + "$"
+
+
 def date_order(name: str | None) -> str:
     return "mdy" if (name or "").strip().lower() in ("mdy", "month_first", "month-day-year") else "dmy"
 
@@ -28,12 +36,12 @@ def parse_timestamp(raw: Column, order: str = "dmy", parser: str = "compatibilit
     ``fasttime`` knows year-first formats and day numbers only.  Offsets are honoured.
     """
     text = F.trim(raw)
-    # A format is only tried on texts of its shape: two-digit years would else eat four-digit ones.
+    # A format is only tried on texts of its shape: two-digit years would else eat four-digit ones, and a try that fails is slow.
     has = lambda pattern: text.rlike(pattern)
     offset = F.when(has(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)$"), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, " (?=\\d\\d:)", "T"), "([+-]\\d\\d):?(\\d\\d)$", "$1:$2")))
     number = text.try_cast("double")
     serial = F.when(has(EXCEL_SERIAL) & (number > 20000) & (number < 80000), F.timestamp_micros(F.round((number - 25569) * 86_400_000_000).cast("long")))
-    found = [offset, *(F.when(has(r"^\d{4}"), F.try_to_timestamp(text, F.lit(f))) for f in YEAR_FIRST), serial]
+    found = [offset, *(F.when(has(shape_of(f)), F.try_to_timestamp(text, F.lit(f))) for f in YEAR_FIRST), serial]
     if parser != "fasttime":
         upper = F.upper(text)
         orders = ("mdy", "dmy") if date_order(order) == "mdy" else ("dmy", "mdy")
