@@ -187,8 +187,12 @@ def complexity_curves(df: DataFrame, params: ComplexityParams = ComplexityParams
     return part(dfa(df), "DFA", "fluctuation").unionByName(part(higuchi(df, params.kmax), "Higuchi", "curve_length")).unionByName(part(mse(df, params), "Multiscale entropy", "sample_entropy"))
 
 
+#: Measures that have a note of their own where they are missing.
+NAMED = {"hurst": "Hurst exponent", "dfa_alpha": "DFA alpha", "higuchi_fd": "Higuchi fractal dimension"}
+
+
 def complexity_metrics(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> DataFrame:
-    """One row per subject; subjects with fewer than ``min_points`` readings have nulls and a note.
+    """One row per subject; subjects with fewer than ``min_points`` readings have nulls and a note, and a measure that others have no value for has a note of its own.
 
     The scalar sample, approximate and multiscale entropies are always null; multiscale entropy is a curve.
     """
@@ -199,4 +203,5 @@ def complexity_metrics(df: DataFrame, params: ComplexityParams = ComplexityParam
         out = out.join(part, "id", "left")
     values = {c: F.when(enough, F.col(c)) for c in ("shannon_entropy", "hurst", "dfa_alpha", "higuchi_fd")}
     nulls = {c: F.lit(None).cast("double") for c in ("sample_entropy", "approximate_entropy", "multiscale_sample_entropy")}
-    return out.withColumns(values | nulls | {"note": F.when(~enough, f"Fewer than {params.min_points} readings").otherwise("")})
+    notes = {f"{c}_note": F.when(enough & F.col(c).isNull(), f"{name} could not be computed for this series.").otherwise("") for c, name in NAMED.items()}
+    return out.withColumns(notes | values | nulls | {"note": F.when(~enough, f"Fewer than {params.min_points} readings").otherwise("")})

@@ -304,12 +304,21 @@ def rank_sums(spark, d):
     return stats.rank_sums(subject_metrics(spark, d), "mean_glucose")
 
 
-@query("welch_test")
+@query("welch_test", f"""{SUBJECT}, a AS (SELECT sex, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM b WHERE v IS NOT NULL GROUP BY sex), o AS (SELECT string_agg(sex, ' vs ' ORDER BY sex) AS groups, string_agg(n, ' / ' ORDER BY sex) AS n, arg_min(m, sex) - arg_max(m, sex) AS d, sum(s / n) AS e, sum(pow(s / n, 2) / (n - 1)) AS f FROM a),
+t AS (SELECT *, d / sqrt(e) AS t, e * e / f AS df FROM o),
+p AS (SELECT *, abs(t) / 4000 AS w, list_sum(list_transform(range(4001), lambda k: CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(k * abs(t) / 4000, 2) / df, -(df + 1) / 2))) AS y FROM t)
+FINAL SELECT 'mean_glucose' AS metric, 'sex' AS grouping, 'welch_t' AS test, groups, n, t AS statistic, 1 - 2 * y * w / 3 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS p_value, '' AS note FROM p""",
+    "metric:s grouping:s test:s groups:s n:s statistic:d p_value:d note:s")
 def welch_test(spark, d):
     return stats.compare_groups(subject_metrics(spark, d), "mean_glucose", "sex")
 
 
-@query("wilcoxon_test")
+@query("wilcoxon_test", f"""{SUBJECT}, t AS (SELECT v, count(*) AS t FROM b WHERE v IS NOT NULL GROUP BY v), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS mr FROM b WHERE v IS NOT NULL),
+a AS (SELECT "group", count(*) AS n, sum(mr) AS s FROM r GROUP BY "group"), o AS (SELECT string_agg("group", ' vs ' ORDER BY "group") AS groups, string_agg(n, ' / ' ORDER BY "group") AS sizes, arg_min(n, "group") AS n1, arg_max(n, "group") AS n2, arg_min(s, "group") AS s1, (SELECT sum(t * t * t - t) FROM t) AS tie FROM a),
+z AS (SELECT *, s1 - n1 * (n1 + 1) / 2.0::DOUBLE AS w, sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1))::DOUBLE)) AS sigma FROM o),
+q AS (SELECT *, abs(w - n1 * n2 / 2.0::DOUBLE - 0.5 * sign(w - n1 * n2 / 2.0::DOUBLE)) / sigma AS z FROM z)
+FINAL SELECT 'mean_glucose' AS metric, 'group' AS grouping, 'wilcoxon' AS test, groups, sizes AS n, w AS statistic, 1 - 2 / sqrt(2 * pi()) * (z / 4000 / 3) * list_sum(list_transform(range(4001), lambda k: CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(k * z / 4000, 2) / 2))) AS p_value, '' AS note FROM q""",
+    "metric:s grouping:s test:s groups:s n:s statistic:d p_value:d note:s")
 def wilcoxon_test(spark, d):
     return stats.compare_groups(subject_metrics(spark, d), "mean_glucose", "group", "wilcoxon")
 
@@ -338,12 +347,14 @@ def higuchi(spark, d):
     return complexity.higuchi(readings(spark, d))
 
 
-@query("multiscale_entropy", f"""{SERIES}, k AS (SELECT id, i, x FROM v WHERE n <= 1000 UNION SELECT v.id, v.i, v.x FROM v JOIN (SELECT DISTINCT id, n, CAST(floor(j * (n - 1) / 999.0::DOUBLE + 0.5) AS BIGINT) AS i FROM (SELECT DISTINCT id, n FROM v WHERE n > 1000), range(1000) AS r(j)) p ON p.id = v.id AND p.i = v.i),
+ENTROPY = """k AS (SELECT id, i, x FROM v WHERE n <= 1000 UNION SELECT v.id, v.i, v.x FROM v JOIN (SELECT DISTINCT id, n, CAST(floor(j * (n - 1) / 999.0::DOUBLE + 0.5) AS BIGINT) AS i FROM (SELECT DISTINCT id, n FROM v WHERE n > 1000), range(1000) AS r(j)) p ON p.id = v.id AND p.i = v.i),
 j AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY id) AS n FROM k),
 c AS (SELECT id, scale, j // scale AS c, avg(x) AS y FROM j, range(1, 6) AS r(scale) WHERE j // scale < n // scale GROUP BY ALL),
 t AS (SELECT id, scale, c, y, lead(y) OVER w AS y1, lead(y, 2) OVER w AS y2, 0.15::DOUBLE * stddev_samp(y) OVER (PARTITION BY id, scale) AS r FROM c WINDOW w AS (PARTITION BY id, scale ORDER BY c)),
-h AS (SELECT a.id, a.scale, count(*) AS hits, count_if(abs(a.y2 - b.y2) <= a.r) AS more FROM t a JOIN t b ON a.id = b.id AND a.scale = b.scale AND a.c < b.c AND abs(a.y - b.y) <= a.r AND abs(a.y1 - b.y1) <= a.r WHERE a.y2 IS NOT NULL AND b.y2 IS NOT NULL GROUP BY ALL)
-FINAL SELECT id, scale, -ln(more / hits::DOUBLE) AS sample_entropy FROM h WHERE more > 0""", "id:s scale:i sample_entropy:d")
+h AS (SELECT a.id, a.scale, count(*) AS hits, count_if(abs(a.y2 - b.y2) <= a.r) AS more FROM t a JOIN t b ON a.id = b.id AND a.scale = b.scale AND a.c < b.c AND abs(a.y - b.y) <= a.r AND abs(a.y1 - b.y1) <= a.r WHERE a.y2 IS NOT NULL AND b.y2 IS NOT NULL GROUP BY ALL)"""
+
+
+@query("multiscale_entropy", f"{SERIES}, {ENTROPY}\nFINAL SELECT id, scale, -ln(more / hits::DOUBLE) AS sample_entropy FROM h WHERE more > 0", "id:s scale:i sample_entropy:d")
 def multiscale_entropy(spark, d):
     return complexity.mse(readings(spark, d))
 
@@ -360,7 +371,21 @@ def hurst(spark, d):
     return complexity.hurst(readings(spark, d))
 
 
-@query("complexity_metrics")
+SCALARS = f"""{SERIES}, {HURST}, lo AS (SELECT id, floor(min(x) / 10) * 10 AS low FROM v GROUP BY id), bn AS (SELECT v.id, greatest(ceil((x - low) / 10), 1) AS bin, count(*) AS c FROM v JOIN lo USING (id) GROUP BY ALL),
+se AS (SELECT id, CAST(sum(c) AS BIGINT) AS readings, CASE WHEN count(*) > 1 THEN (ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(count(*)) ELSE 0 END AS shannon_entropy FROM bn GROUP BY id),
+y AS (SELECT id, i, n, sum(x - mean) OVER (PARTITION BY id ORDER BY i) AS y FROM v), w AS (SELECT DISTINCT id, n, CAST(floor(exp(ln(8::DOUBLE) + (ln(floor(n / 4.0::DOUBLE)) - ln(8::DOUBLE)) * (k / 7.0::DOUBLE))) AS BIGINT) AS scale FROM (SELECT DISTINCT id, n FROM v), range(8) AS r(k)),
+ds AS (SELECT y.id, scale, i // scale AS seg, regr_syy(y, i % scale) / count(*) AS vy, regr_sxx(y, i % scale) / count(*) AS vt, regr_sxy(y, i % scale) / count(*) AS cov FROM y JOIN w USING (id) WHERE scale >= 8 AND scale < y.n / 2.0 AND i < (y.n // scale) * scale GROUP BY ALL),
+df AS (SELECT id, scale, sqrt(avg(greatest(0, vy - cov * cov / vt))) AS fluctuation FROM ds GROUP BY id, scale), hm AS (SELECT a.id, k, sum(abs(b.x - a.x)) * (max(a.n) - 1) / (count(*) * max(k)) AS l FROM (SELECT *, unnest(range(1, 9)) AS k FROM v) a JOIN v b ON b.id = a.id AND b.i = a.i + a.k GROUP BY a.id, k, a.i % k),
+hg AS (SELECT id, k AS scale, avg(l) AS curve_length FROM hm GROUP BY id, k),
+al AS (SELECT id, CASE WHEN count(*) >= 2 THEN regr_slope(ln(fluctuation), ln(scale)) END AS dfa_alpha FROM df WHERE fluctuation > 0 GROUP BY id), fd AS (SELECT id, CASE WHEN count(*) >= 2 THEN regr_slope(ln(curve_length), -ln(scale)) END AS higuchi_fd FROM hg WHERE curve_length > 0 GROUP BY id),
+cm AS (SELECT se.id, readings, CASE WHEN readings >= 100 THEN shannon_entropy END AS shannon_entropy, CASE WHEN readings >= 100 THEN hurst END AS hurst, CASE WHEN readings >= 100 THEN dfa_alpha END AS dfa_alpha, CASE WHEN readings >= 100 THEN higuchi_fd END AS higuchi_fd,
+ CASE WHEN readings < 100 THEN 'Fewer than 100 readings' ELSE '' END AS note, CASE WHEN readings >= 100 AND hurst IS NULL THEN 'Hurst exponent could not be computed for this series.' ELSE '' END AS hurst_note,
+ CASE WHEN readings >= 100 AND dfa_alpha IS NULL THEN 'DFA alpha could not be computed for this series.' ELSE '' END AS dfa_alpha_note, CASE WHEN readings >= 100 AND higuchi_fd IS NULL THEN 'Higuchi fractal dimension could not be computed for this series.' ELSE '' END AS higuchi_fd_note
+ FROM se LEFT JOIN hu USING (id) LEFT JOIN al USING (id) LEFT JOIN fd USING (id))"""
+
+
+@query("complexity_metrics", f"{SCALARS}\nFINAL SELECT *, NULL AS sample_entropy, NULL AS approximate_entropy, NULL AS multiscale_sample_entropy FROM cm",
+    "id:s readings:i shannon_entropy:d hurst:d dfa_alpha:d higuchi_fd:d hurst_note:s dfa_alpha_note:s higuchi_fd_note:s sample_entropy:d approximate_entropy:d multiscale_sample_entropy:d note:s")
 def complexity_metrics(spark, d):
     return complexity.complexity_metrics(readings(spark, d))
 
@@ -551,7 +576,9 @@ def export_analysis(spark, d):
     return export.analysis_data(readings(spark, d, dense=False)).select("id", "timestamp", "glucose")
 
 
-@query("complexity_export")
+@query("complexity_export", f"""{SCALARS}, {ENTROPY}, cv AS (SELECT id, 'DFA' AS metric, scale, fluctuation AS value FROM df WHERE fluctuation > 0 UNION ALL SELECT id, 'Higuchi', scale, curve_length FROM hg WHERE curve_length > 0 UNION ALL SELECT id, 'Multiscale entropy', scale, -ln(more / hits::DOUBLE) FROM h WHERE more > 0)
+FINAL SELECT id, 'scalar' AS row_type, unnest(['shannon_entropy', 'hurst', 'dfa_alpha', 'higuchi_fd']) AS metric, NULL AS scale_value, unnest([shannon_entropy, hurst, dfa_alpha, higuchi_fd]) AS value, unnest([note, note || hurst_note, note || dfa_alpha_note, note || higuchi_fd_note]) AS note, 'Observed readings in time order' AS time_basis FROM cm
+ UNION ALL SELECT id, 'curve', metric, scale, value, '', 'Observed readings in time order' FROM cv""", "id:s row_type:s metric:s scale_value:d value:d note:s time_basis:s")
 def complexity_export(spark, d):
     return export.complete_complexity(readings(spark, d))
 
