@@ -7,8 +7,10 @@ import functools
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ def read_delimited(spark: SparkSession, path: str, header_row: int = 1, first_da
     """All columns as text, with the bookkeeping columns and ``_ord`` (the line's place in its file).
 
     Lines are read as text, in splits, and parsed by ``from_csv``; only the lines up to the
-    header come to the driver.  Short rows are filled with nulls.
+    header come to the driver.  Short rows are filled with nulls.  A line is a record: quoted
+    line breaks, which device exports don't have, would split one.
     """
     file = path.rstrip("/").rsplit("/", 1)[-1]
     if not re.search(r"\.(csv|txt|tsv)$", file, re.I):
@@ -41,16 +44,38 @@ def read_delimited(spark: SparkSession, path: str, header_row: int = 1, first_da
     return d.select(*(F.col(f"r.c{i}").alias(names[i]) for i in keep), F.lit(file).alias(".source_file"), F.lit(source_id(file)).alias(".source_id"), F.lit(header_row).alias(".import_header_row"), F.lit(first).alias(".import_first_data_row"), "_ord")
 
 
+def row_boundaries(header_row, first_data_row=None, suggested: tuple[int, int] = (1, 2)) -> tuple[int, int]:
+    """Header row and first row of data as a user gave them, put right: what isn't a row number becomes the suggested one, data begin below the header."""
+    def number(x) -> int | None:
+        try:
+            return int(float(x))
+        except (TypeError, ValueError, OverflowError):
+            return None
+
+    header = number(header_row)
+    header = max(1, suggested[0]) if header is None or header < 1 else header
+    first = number(suggested[1] if first_data_row is None else first_data_row)
+    return header, first if first is not None and first > header else header + 1
+
+
 def read_xlsx(spark: SparkSession, path: str, header_row: int = 1, first_data_row: int | None = None) -> DataFrame:
-    """The first sheet of a workbook, all columns as text.  A workbook is one zip file of bounded size (a million rows) and is parsed in one task."""
+    """The first sheet of a workbook, all columns as text.  A workbook is one zip file of bounded size (a million rows) and is parsed in one task; its header comes to the driver."""
     file = path.rsplit("/", 1)[-1]
     first = max(header_row + 1, first_data_row or 0)
-    content = spark.read.format("binaryFile").load(path).select("content")
-    rows = sheet_rows(bytes(content.first()["content"]))
-    names = clean_names(rows[header_row - 1]) if len(rows) >= header_row else []
-    data = [(i, [*r, *[None] * (len(names) - len(r))][: len(names)]) for i, r in enumerate(rows[first - 1 :], first)]
-    d = spark.createDataFrame(data, "_ord long, r array<string>")
-    return d.select(*(F.col("r")[i].alias(n) for i, n in enumerate(names)), F.lit(file).alias(".source_file"), F.lit(source_id(file)).alias(".source_id"), F.lit(header_row).alias(".import_header_row"), F.lit(first).alias(".import_first_data_row"), "_ord")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = sheet_rows(content)
+                for at in range(0, len(rows), 10_000):
+                    part = rows[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(at + 1, at + 1 + len(part)), pa.int64()), pa.array(part, pa.list_(pa.string()))], ["_ord", "r"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "_ord long, r array<string>")
+    header = rows.where(F.col("_ord") == header_row).first()
+    names = clean_names(header["r"]) if header else []
+    d = rows.where(F.col("_ord") >= first)
+    return d.select(*(F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)), F.lit(file).alias(".source_file"), F.lit(source_id(file)).alias(".source_id"), F.lit(header_row).alias(".import_header_row"), F.lit(first).alias(".import_first_data_row"), "_ord")
 
 
 def sheet_rows(content: bytes) -> list[list[str | None]]:
@@ -89,7 +114,7 @@ def read_files(spark: SparkSession, paths: list[str], header_rows: list[int] | N
             found = probe_file(spark, path)
             header, first = found.header_row, found.first_data_row
         else:
-            header, first = header_rows[k], first_data_rows[k] if first_data_rows else None
+            header, first = row_boundaries(header_rows[k], first_data_rows[k] if first_data_rows else None)
         frames.append((read_xlsx if path.lower().endswith(".xlsx") else read_delimited)(spark, path, header, first).withColumn("_ord", F.col("_ord") + F.lit(k << 52)))
     if not compatible(frames):
         raise ValueError("Uploaded files must have the same columns in the same order.")

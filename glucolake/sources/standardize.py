@@ -128,16 +128,36 @@ def metadata_from(df: DataFrame, id_column: str, columns: list[str]) -> DataFram
     return df.groupBy(F.col(id_column).cast("string").alias("id")).agg(*(F.when(F.count_distinct(text(c)) == 1, F.max(text(c))).alias(c) for c in columns))
 
 
-def standardize(df: DataFrame, mapping: dict[str, str | None], units: str = "mg/dL", metadata: DataFrame | None = None, order: str = "dmy", parser: str = "compatibility", check: bool = True) -> DataFrame:
-    """The standardized table of a raw one; ``mapping`` names its ``timestamp`` and ``glucose`` columns, and ``id`` and ``device`` where it has them."""
-    need = {k: mapping.get(k) for k in ("timestamp", "glucose")}
-    if missing := [k for k, v in need.items() if not v]:
+REQUIRED, OPTIONAL = ("id", "timestamp", "glucose"), ("device",)
+
+
+def validated_mapping(columns: list[str], mapping: dict[str, str | None], upload_mode: str = "single_file") -> dict[str, str | None]:
+    """``mapping`` with blank entries as None; of several files, or where none is mapped, the id is the file's (``.source_id``).
+
+    Raises ``ValueError`` for a required column that isn't mapped and for columns that ``columns`` doesn't have.
+    """
+    clean = {k: v if isinstance(v, str) and v else None for k, v in mapping.items()}
+    if upload_mode == "multi_file" or not clean.get("id") and ".source_id" in columns:
+        clean["id"] = ".source_id"
+    if missing := [k for k in REQUIRED if not clean.get(k)]:
         raise ValueError(f"Missing required column mapping: {', '.join(missing)}")
-    if unknown := [v for v in mapping.values() if v and v not in df.columns]:
+    if unknown := [v for k in (*REQUIRED, *OPTIONAL) if (v := clean.get(k)) and v not in columns]:
         raise ValueError(f"Mapped columns are not in the data: {', '.join(unknown)}")
-    mapped = mapping.get("id")
-    if not mapped and ".source_id" not in df.columns:
-        raise ValueError("Missing required column mapping: id")
+    return clean
+
+
+def mapped_columns(mapping: dict[str, str | None], upload_mode: str = "single_file") -> list[str]:
+    """The columns of a file that a mapping needs, each once: what a scan has to read."""
+    found = [mapping.get(k) for k in (*REQUIRED, *OPTIONAL) if not (k == "id" and upload_mode == "multi_file")]
+    return list(dict.fromkeys(c for c in found if c and not (upload_mode == "multi_file" and c == ".source_id")))
+
+
+def standardize(
+    df: DataFrame, mapping: dict[str, str | None], units: str = "mg/dL", metadata: DataFrame | None = None, order: str = "dmy", parser: str = "compatibility", check: bool = True, upload_mode: str = "single_file"
+) -> DataFrame:
+    """The standardized table of a raw one; ``mapping`` names its ``timestamp`` and ``glucose`` columns, and ``id`` and ``device`` where it has them."""
+    mapping = validated_mapping(df.columns, mapping, upload_mode)
+    mapped = None if mapping["id"] == ".source_id" else mapping["id"]
     q = lambda c: F.col(f"`{c}`")
     kind = dict(df.dtypes)[mapping["timestamp"]]
     ts = q(mapping["timestamp"])

@@ -84,3 +84,24 @@ def test_workbook(spark, tmp_path):
     (tmp_path / "w.xlsx").write_bytes(buffer.getvalue())
     d = D.read_xlsx(spark, str(tmp_path / "w.xlsx"))
     assert [tuple(r) for r in d.select("Time", "Glucose").collect()] == [("45000.5", "99")]
+
+
+@pytest.mark.parametrize("given,want", [
+    ((1, None), (1, 2)), ((3, 7), (3, 7)), ((3, 3), (3, 4)), ((3, 1), (3, 4)), ((0, 5), (2, 5)), ((None, None), (2, 6)), (("x", "y"), (2, 3)), (("4", "9"), (4, 9)), ((-2, None), (2, 6)), ((10, None), (10, 11)),
+])
+def test_row_boundaries(given, want):
+    assert D.row_boundaries(*given, suggested=(1, 2) if given == (1, None) else (2, 6)) == want
+
+
+def test_mappings():
+    columns = ["subject", "time", "value", ".source_id"]
+    full = {"id": "subject", "timestamp": "time", "glucose": "value", "device": ""}
+    assert S.validated_mapping(columns, full) == full | {"device": None}
+    assert S.validated_mapping(columns, full, "multi_file")["id"] == ".source_id"
+    assert S.validated_mapping(columns, full | {"id": float("nan")})["id"] == ".source_id"
+    with pytest.raises(ValueError, match="Missing required column mapping: id, glucose"):
+        S.validated_mapping(columns[:3], {"timestamp": "time", "glucose": ""})
+    with pytest.raises(ValueError, match="not in the data: maker"):
+        S.validated_mapping(columns, full | {"device": "maker"})
+    assert S.mapped_columns(full) == ["subject", "time", "value"] and S.mapped_columns(full, "multi_file") == ["time", "value"]
+    assert S.mapped_columns(full | {"glucose": "time"}) == ["subject", "time"]
