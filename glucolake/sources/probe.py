@@ -13,18 +13,18 @@ HEADER_READY, HEADER_LEAST, READING_LEAST = 8, 6, 12
 
 # Patterns of makes, headers and readings.
 PROFILES = {
-    "Dexcom": r"dexcom|\bg6\b|\bg7\b|clarity",
-    "Abbott/Libre": r"abbott|libre|freestyle",
-    "Medtronic": r"medtronic|carelink|guardian|minimed",
+    "Dexcom": ("dexcom", r"\bg6\b", r"\bg7\b", "clarity"),
+    "Abbott/Libre": ("abbott", "libre", "freestyle"),
+    "Medtronic": ("medtronic", "carelink", "guardian", "minimed"),
 }
 HEADER_WORDS = (
     "timestamp", "time stamp", r"\btime\b", r"\bdate\b", "glucose", "sensor glucose", "glucose value", "historic.*glucose", "scan.*glucose", "sg value",
     "mg/dl", "mmol", "patient", "subject", "usubjid", "identifier", "event type", "device",
 )
-TIME_HEADERS = "timestamp|time stamp|\\btime\\b|\\bdate\\b|device timestamp|display time"
-GLUCOSE_HEADERS = "glucose|\\bsg\\b|sg value|mg/dl|mmol"
-READING_WORDS = r"\begv\b|sensor|historic|scan|reading|glucose"
-TYPE_HEADERS = "event type|type|record type"
+TIME_HEADERS = ("timestamp", "time stamp", r"\btime\b", r"\bdate\b", "device timestamp", "display time")
+GLUCOSE_HEADERS = ("glucose", "glucose value", "sensor glucose", "historic.*glucose", "scan.*glucose", "interstitial.*glucose", r"\bsg\b", "sg value", "mg/dl", "mmol")
+READING_WORDS = (r"\begv\b", "sensor", "historic", "scan", "reading", "glucose")
+TYPE_HEADERS = ("event type", "type", "record type")
 NUMBER = re.compile(r"[-+]?\d+(\.\d+)?$")
 TIME = re.compile(r"\d{4}[-/:]\d{1,2}[-/:]\d{1,2}([T :]\d{1,2}:\d{2}.*)?$|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}( \d{1,2}:\d{2}.*)?$")
 
@@ -33,6 +33,11 @@ def clean(value: str | None) -> str:
     return re.sub(r"\s+", " ", (value or "").strip().lower())
 
 
+def says(patterns: tuple[str, ...], text: str) -> bool:
+    """Whether one of the patterns is in a text that has been cleaned."""
+    return any(re.search(p, text) for p in patterns)
+
+
 def number_like(value: str) -> bool:
     return bool(NUMBER.match(clean(value).replace(",", "")))
 
@@ -53,12 +58,12 @@ def reading_score(row: list[str], headers: list[str]) -> float:
     """Evidence that a row is a reading: a time and a number where the headers say so (or anywhere), words of sensor records, numbers."""
     if not any(c.strip() for c in row):
         return 0.0
-    at = lambda pattern: [row[i] for i, h in enumerate(headers) if i < len(row) and re.search(pattern, clean(h))]
-    named = lambda pattern: any(re.search(pattern, clean(h)) for h in headers)
+    at = lambda patterns: [row[i] for i, h in enumerate(headers) if i < len(row) and says(patterns, clean(h))]
+    named = lambda patterns: any(says(patterns, clean(h)) for h in headers)
     score = 8 * any(map(time_like, at(TIME_HEADERS))) if named(TIME_HEADERS) else 4 * any(map(time_like, row))
     score += 8 * any(map(number_like, at(GLUCOSE_HEADERS))) if named(GLUCOSE_HEADERS) else 3 * any(map(number_like, row))
-    score += 3 * any(re.search(READING_WORDS, clean(c)) for c in row)
-    score += 3 * any(re.search(r"\begv\b|sensor|historic|scan|reading", clean(c)) for c in at(TYPE_HEADERS))
+    score += 3 * any(says(READING_WORDS, clean(c)) for c in row)
+    score += 3 * any(says(READING_WORDS[:-1], clean(c)) for c in at(TYPE_HEADERS))
     return score + min(3, sum(number_like(c) for c in row if c.strip()))
 
 
@@ -80,7 +85,7 @@ def probe_rows(rows: list[list[str]], file: str = "") -> Probe:
     text = " ".join(c for row in rows for c in map(clean, row) if c)
     scores = [header_score(r) for r in rows] or [0.0]
     best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    profile = next((name for name, p in PROFILES.items() if re.search(p, text)), "Generic CGM" if scores[best] >= HEADER_READY else "Unknown CGM")
+    profile = next((name for name, words in PROFILES.items() if says(words, text)), "Generic CGM" if scores[best] >= HEADER_READY else "Unknown CGM")
     header = best + 1 if scores[best] >= HEADER_LEAST else 1
     after = [(reading_score(r, rows[header - 1]), -i) for i, r in enumerate(rows[header:], header + 1)] if rows else []
     top, place = max(after, default=(0.0, -(header + 1)))
