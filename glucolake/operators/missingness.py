@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,18 +85,22 @@ def grid_summary_of(grid: DataFrame) -> DataFrame:
     return _rates(grid.select("id", F.col("explicit_missing_glucose").alias("explicit"), F.col("inserted_timestamp_gap").alias("gap"), F.col("glucose").isNull().alias("missing"), F.lit(0).cast("long").alias("hidden")), "id")
 
 
-def gap_periods(df: DataFrame, minutes: int = 5) -> DataFrame:
+def gap_periods(df: DataFrame, minutes: int = 5, grid: DataFrame | None = None) -> DataFrame:
     """Runs of missing slots: first and last slot without a reading, minutes, number of readings.
 
-    A run is bounded by rows of the grid that weren't inserted, so it is read off two neighbours.
+    A run is bounded by rows of the grid that weren't inserted, so it is read off two neighbours,
+    of ``grid`` where that has been made.
     """
     minutes = interval(minutes)
-    s = snapped(df, minutes).where(~F.col("inserted_timestamp_gap"))
+    width = minutes * MICROS_PER_MINUTE
+    if grid is None:
+        s = snapped(df, minutes).where(~F.col("inserted_timestamp_gap")).select("id", "slot", (F.col("anchor") + F.col("slot") * width).alias("us"))
+    else:
+        s = grid.where(F.col("slot").isNotNull() & ~F.col("inserted_timestamp_gap")).select("id", "slot", micros().alias("us"))
     s = with_previous(s, {"__slot": F.col("slot")}, order=("slot",), chunk=F.floor(F.col("slot") * minutes / 1440))
     step = F.col("slot") - F.col("__slot") - 1
-    at = lambda slot: F.timestamp_micros(F.col("anchor") + slot * minutes * MICROS_PER_MINUTE)
     return s.where(step > 0).select(
-        "id", at(F.col("__slot") + 1).alias("gap_start"), at(F.col("slot") - 1).alias("gap_end"), (step * minutes).cast("double").alias("gap_minutes"),
+        "id", F.timestamp_micros(F.col("us") - step * width).alias("gap_start"), F.timestamp_micros(F.col("us") - width).alias("gap_end"), (step * minutes).cast("double").alias("gap_minutes"),
         F.lit(float(minutes)).alias("expected_interval_minutes"), step.alias("estimated_missing_readings"),
     )
 
@@ -117,6 +122,7 @@ def missingness_summary(df: DataFrame, minutes: int = 5, qc: QcParams = QcParams
 
 def daily_heatmap(df: DataFrame, minutes: int = 5, grid: DataFrame | None = None) -> DataFrame:
     """Per subject and day: rows read, grid rows, missing and imputed ones, gaps that begin that day."""
+    gap_rows = gap_periods(df, minutes, grid)
     grid = regular_grid(df, minutes) if grid is None else grid
     day = F.to_date("timestamp").alias("date")
     g = grid.where(F.col("timestamp").isNotNull()).groupBy("id", day).agg(
@@ -125,7 +131,7 @@ def daily_heatmap(df: DataFrame, minutes: int = 5, grid: DataFrame | None = None
         F.count_if("imputed_flag").alias("imputed_rows"), F.count_if("inserted_timestamp_gap").alias("estimated_missing_readings"),
     )
     raw = df.where(F.col("timestamp").isNotNull()).groupBy(F.col("id").alias("rid"), F.to_date("timestamp").alias("rdate")).agg(F.count("*").alias("readings"))
-    gaps = gap_periods(df, minutes).groupBy(F.col("id").alias("pid"), F.to_date("gap_start").alias("pdate")).agg(F.count("*").alias("timestamp_gaps"))
+    gaps = gap_rows.groupBy(F.col("id").alias("pid"), F.to_date("gap_start").alias("pdate")).agg(F.count("*").alias("timestamp_gaps"))
     d = g.join(raw, g["id"].eqNullSafe(raw["rid"]) & (g["date"] == raw["rdate"]), "left").join(gaps, (g["id"] == gaps["pid"]) & (g["date"] == gaps["pdate"]), "left")
     d = d.select("id", "date", F.coalesce("readings", F.lit(0)).alias("readings"), "expanded_rows", "missing_glucose", "missing_glucose_rate", "imputed_rows", "estimated_missing_readings", F.coalesce("timestamp_gaps", F.lit(0)).alias("timestamp_gaps"))
     text = lambda c: F.col(c).cast("string")
@@ -140,8 +146,8 @@ def coverage_status(percent: Column, readings: Column) -> Column:
     return F.when(readings.isNull() | (readings == 0) | percent.isNull(), "No data").when(percent < 50, "Low coverage (<50%)").when(percent < 80, "Partial coverage (50-79%)").otherwise("High coverage (>=80%)")
 
 
-def coverage_calendar(df: DataFrame, minutes: int = 5, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Every day between a subject's first and last, with readings, coverage and its place in a compact month layout."""
+def coverage_calendar(df: DataFrame, minutes: int = 5, start: str | None = None, end: str | None = None, heatmap: DataFrame | None = None) -> DataFrame:
+    """Every day between a subject's first and last, with readings, coverage and its place in a compact month layout; from ``heatmap`` where that has been made."""
     minutes = interval(minutes)
     span = df.where(on_grid()).groupBy("id").agg(F.min(F.to_date("timestamp")).alias("a"), F.max(F.to_date("timestamp")).alias("b"))
     if start is not None:
@@ -149,7 +155,7 @@ def coverage_calendar(df: DataFrame, minutes: int = 5, start: str | None = None,
     if end is not None:
         span = span.withColumn("b", F.least("b", F.lit(end).cast("date")))
     days = span.where("a <= b").select(F.col("id").alias("sid"), F.explode(F.sequence("a", "b")).alias("day"))
-    h = daily_heatmap(df, minutes).drop("tooltip")
+    h = (daily_heatmap(df, minutes) if heatmap is None else heatmap).drop("tooltip")
     d = days.join(h, (days["sid"] == h["id"]) & (days["day"] == h["date"]), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     expected = float(round(1440 / minutes))
@@ -166,6 +172,17 @@ def coverage_calendar(df: DataFrame, minutes: int = 5, start: str | None = None,
     return d.withColumns({"plot_x": F.col("month_offset") + F.col("week_index"), "plot_y": (F.col("id_index") - 1) * 8 + F.col("weekday")}).drop("id_index", "week_start")
 
 
+def bundle(df: DataFrame, minutes: int = 5) -> dict[str, DataFrame]:
+    """Everything that a grid gives, from one grid: ``grid``, ``summary``, ``gaps``, ``heatmap``, ``calendar`` and ``warnings``.
+
+    The grid and the heatmap are kept on the executors' disks until they are unpersisted.
+    """
+    grid = regular_grid(df, minutes).persist(StorageLevel.DISK_ONLY)
+    heatmap = daily_heatmap(df, minutes, grid).persist(StorageLevel.DISK_ONLY)
+    calendar = coverage_calendar(df, minutes, heatmap=heatmap)
+    return {"grid": grid, "summary": grid_summary_of(grid), "gaps": gap_periods(df, minutes, grid), "heatmap": heatmap, "calendar": calendar, "warnings": day_warnings(calendar)}
+
+
 def day_warnings(calendar: DataFrame) -> DataFrame:
     """Per subject: days without a reading, and days with less than half of the expected ones."""
     return calendar.groupBy("id").agg(F.count_if(F.col("readings") == 0).alias("full_missing_days"), F.count_if((F.col("readings") > 0) & (F.col("coverage_percent") < 50)).alias("half_day_or_worse_days"))

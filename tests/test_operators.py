@@ -203,6 +203,17 @@ def test_functional(spark):
     assert FN.day_curves(df, FunctionalParams(high=120)).where("smoothing_status = 'invalid'").where("smoothed_glucose is not null").count() == 0
 
 
+def test_bundle_equals_its_parts(spark):
+    """One grid for all gives what each makes from a grid of its own."""
+    df = table(spark, [("A", "00:00", 1), ("A", "00:04", None), ("A", "00:30", 3), ("A", "2026-01-03 00:01:00", 4), ("B", "10:00", 5), ("B", "11:00", None), ("B", "14:00", 7)])
+    rows = lambda d: sorted(map(str, d.collect()))
+    b = G.bundle(df, 30)
+    calendar = G.coverage_calendar(df, 30)
+    for name, own in {"grid": G.regular_grid(df, 30), "summary": G.grid_summary(df, 30), "gaps": G.gap_periods(df, 30), "heatmap": G.daily_heatmap(df, 30), "calendar": calendar, "warnings": G.day_warnings(calendar)}.items():
+        assert rows(b[name].select(*own.columns)) == rows(own) and own.count(), name
+    b["grid"].unpersist(), b["heatmap"].unpersist()
+
+
 def test_predictive(spark):
     x = [130 + 65 * math.sin(4 * math.pi * i / 288) for i in range(288 * 3)]
     ex = R.examples(series(spark, x).unionByName(series(spark, [v - 3 for v in x], id="B")))
