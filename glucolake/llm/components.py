@@ -50,7 +50,8 @@ def components(links: DataFrame) -> DataFrame:
     e = e.mapInArrow(_forest, "node long, root long")
     while True:
         e = written(e.repartition("node").mapInArrow(_forest, "node long, root long"), "forest")
-        up = e.select(F.col("node").alias("at"), F.col("root").alias("further"))
+        # One target of each node is enough to jump to: its other targets are rows of their own.
+        up = e.groupBy(F.col("node").alias("at")).agg(F.min("root").alias("further"))
         far = e.join(up, e["root"] == up["at"], "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         n = e.agg(F.count("*"), F.count_distinct("node")).first()
         moved = e.join(up.select("at"), e["root"] == up["at"], "left_semi").limit(1).count()

@@ -76,6 +76,40 @@ def test_null_ids_and_empty_table(spark):
     assert N.jaccard_components(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("hub", [0, 5000])
+def test_components_with_a_hub(spark, monkeypatch, hub):
+    """A node of many links, be its id the least or the largest, never has more rows than there are tasks; chains and several targets come to the least id."""
+    import glucolake.llm.components as K
+
+    rng = random.Random(hub)
+    links = [(hub, i) for i in range(1, 1500)] + [(i, i + 1) for i in range(6000, 6060)] + [(6010, 20), (7000, 7001), (7001, 7000), (8, 8)]
+    links += [(rng.randrange(9000, 9400), rng.randrange(9000, 9400)) for _ in range(300)]
+    rng.shuffle(links)
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    most = []
+    real = K.written
+
+    def watched(df, name):
+        out = real(df, name)
+        most.append(out.groupBy("node").count().agg({"count": "max"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(K, "written", watched)
+    got = {r["node"]: r["root"] for r in K.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
+    assert got == {x: find(x) for x in {n for p in links for n in p} if find(x) != x}
+    assert max(most) <= 8
+    assert K.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_text_ids_are_refused(spark):
     with pytest.raises(TypeError):
         N.jaccard_components(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
