@@ -66,7 +66,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_column: str = "doc_id",
     """One row per document: id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard`` (null)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
-    d = docs.select(F.col(id_column).alias("__id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("__group"))
+    d = docs.select(F.col(id_column).alias("__id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("__group"))
     d = written(d.withColumn("__bundle", F.pmod(F.xxhash64("__group"), F.lit(BUNDLES)).cast("int")), "sizes")
     limit = (d.agg(F.sum("size")).first()[0] or 0) / (shards * FINE)
     large = d.groupBy("__group", "__bundle").agg(F.sum("size").alias("size")).where(F.col("size") > limit).collect()  # at most shards * FINE rows
