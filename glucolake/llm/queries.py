@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucolake.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, packing, quality, sharding, toxicity, warc
+from glucolake.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, packing, quality, sharding, spelling, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.vocabulary(table(spark, sf_dir, "documents"), change=spelling.garbled))
+
+
 #: Size of a text in words, and a number in (0, 1) fixed by its id, as the mixing operator has them.
 OP8_SQL = r"""
 WITH d AS (
@@ -148,5 +152,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_packing": op11_packing,
+    "op13_spelling": op13_spelling,
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_ngram_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
