@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucolake.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, packing, quality, sharding, spelling, toxicity, warc
+from glucolake.llm import bpe, exact_dedup, hard_negatives, html_extract, langid, mixing, ngram_join, packing, quality, sharding, spelling, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spelling.vocabulary(table(spark, sf_dir, "documents"), change=spelling.garbled))
 
@@ -140,6 +145,20 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b F
 SELECT w.doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles, coalesce(min(reach.b), w.doc_id) AS component_id FROM w LEFT JOIN s ON s.doc_id = w.doc_id LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
 """
 
+#: All pairs of an anchor and a row; components are whole, so their products and sums are exact as doubles.
+OP12_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.c, b.c) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+WINDOW o AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER o <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
@@ -152,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_packing": op11_packing,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling": op13_spelling,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_ngram_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_ngram_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op12_hard_negatives": OP12_SQL}
