@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucolake.config import DAYTIME_START_MINUTE
+from glucolake.functions.tables import stored
 
 MICROS_PER_MINUTE = 60_000_000
 
@@ -42,14 +43,28 @@ def real_subject(c: Column | str = "id") -> Column:
     return c.isNotNull() & (c != "")
 
 
+def bucket(value: str, edges: list) -> Column:
+    """How many of ``edges``, which rise, are less than the column ``value``: a binary search as one expression."""
+    def among(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        edge = f"{edges[mid]!r}D" if isinstance(edges[mid], float) else f"{edges[mid]}L"
+        return f"IF(`{value}` <= {edge}, {among(low, mid)}, {among(mid + 1, high)})"
+
+    return F.expr(among(0, len(edges)))
+
+
 def with_sum_below(counts: DataFrame, value: str, n: str, by: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
-    """``counts`` with ``below``: the sum of ``n`` over the rows of ``by`` with a smaller ``value`` (a number, once for each of ``by``).
+    """``counts`` with ``below``: the sum of ``n`` over the rows of ``by`` with a smaller ``value`` (a whole number or double, once for each of ``by``).
 
     Values are cut into buckets at approximate quantiles.  Sums run over buckets, of which there
-    are few, and over the rows of a bucket, so no task has to order all values.
+    are few, and over the rows of a bucket, so no task has to order all values.  ``counts`` is
+    stored first, as it is read three times.
     """
+    counts = stored(counts, "counts")
     edges = sorted(set(counts.select(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
-    d = counts.withColumn("__bucket", F.size(F.filter(F.lit(edges), lambda e: e < F.col(value))) if edges else F.lit(0))
+    d = counts.withColumn("__bucket", bucket(value, edges))
     upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy(*by, "__bucket").agg(F.sum(n).alias("__sum"))
     sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(upto(*(by or (F.lit(1),))).orderBy("__bucket")), F.lit(0)))

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucolake.config import PredictiveParams, Thresholds
 from glucolake.functions.columns import MICROS_PER_MINUTE, finite, micros, minute_of_day, real_subject, with_sum_below
+from glucolake.functions.tables import stored
+from glucolake.operators.forest import Forests
 
 DAY = 1440 * MICROS_PER_MINUTE
 
@@ -109,23 +110,26 @@ def example_counts(ex: DataFrame) -> tuple[int, int, int]:
 
 def fit_and_score(ex: DataFrame, params: PredictiveParams = PredictiveParams()):
     """Scores (``risk_probability``) for all examples, with importances by feature; None and a reason where there is too little to learn from."""
+    s = split(stored(ex, "examples"))
+    status, message = fit_status(*example_counts(s), params.normalized())
+    return (fitted_scores(s, params), "") if status == "ready" else (None, message)
+
+
+def fitted_scores(s: DataFrame, params: PredictiveParams = PredictiveParams()) -> tuple[DataFrame, DataFrame]:
+    """Scores and importances of a model fitted to the training rows of a table with ``split``."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     p = params.normalized()
-    s = split(ex)
-    status, message = fit_status(*example_counts(s), p)
-    if status != "ready":
-        return None, message
     names = feature_columns(p)
     x = VectorAssembler(inputCols=names, outputCol="x").transform(s)
     model = RandomForestClassifier(numTrees=p.trees, seed=1, featuresCol="x", labelCol="target") if p.model == "random_forest" else LogisticRegression(regParam=0.0, featuresCol="x", labelCol="target")
     fitted = model.fit(x.where("split = 'train'"))
     weights = fitted.featureImportances.toArray() if p.model == "random_forest" else abs(fitted.coefficients.toArray())
     scores = fitted.transform(x).withColumn("risk_probability", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
-    importance = ex.sparkSession.createDataFrame(sorted(((f, float(w)) for f, w in zip(names, weights, strict=True)), key=lambda r: -r[1]), "feature string, importance double")
-    return (scores, importance), ""
+    importance = s.sparkSession.createDataFrame(sorted(((f, float(w)) for f, w in zip(names, weights, strict=True)), key=lambda r: -r[1]), "feature string, importance double")
+    return scores, importance
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
@@ -201,61 +205,65 @@ def large_subject_weights(rows: DataFrame, params: PredictiveParams, ridge: floa
 SCORED = ("date", "glucose_current", "target_value", "target")
 
 
-def fitted_subject(pdf, params: PredictiveParams) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Mean, deviation and weights of one subject's model; None where there is too little to learn from."""
-    train = pdf[pdf["split"] == "train"]
-    y = train["target"].to_numpy(float)
-    if fit_status(len(pdf), int(y.sum()), int(len(y) - y.sum()), params)[0] != "ready":
-        return None
-    x = train[feature_columns(params)].to_numpy(float)
+def fitted_subject(pdf, params: PredictiveParams) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of the logistic model of one subject's training rows."""
+    y = pdf["target"].to_numpy(float)
+    x = pdf[feature_columns(params)].to_numpy(float)
     mean, sd = x.mean(axis=0), x.std(axis=0)
-    sd = np.where(sd > 0, sd, 1)
-    return mean, sd, fit_weights((x - mean) / sd, y)
+    return raw_weights(mean, np.where(sd > 0, sd, 1), fit_weights((x - mean) / np.where(sd > 0, sd, 1), y))
 
 
-def per_subject_models(ex: DataFrame, params: PredictiveParams = PredictiveParams(), most: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """One logistic model per subject: its scores for all the subject's examples, and the size of its coefficients (``id``, ``feature``, ``importance``).
+def raw_weights(mean: np.ndarray, sd: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of standardized features as those of the features themselves: coefficients and intercept."""
+    coefficients = w[:-1] / sd
+    return coefficients, float(w[-1] - coefficients @ mean)
 
-    A subject with too little to learn from has null scores and no importances.  Every example
-    trains, is tested and scored. A subject of up to ``most`` examples is fitted in one task; one with
-    more (about a year at five minutes) by sums over all its rows, so a task's rows are bounded.
-    """
+
+def logistic_models(rows: DataFrame, params: PredictiveParams, most: int) -> DataFrame:
+    """``id``, ``coefficients`` and ``intercept`` of a logistic model for each subject of ``rows``: in one task up to ``most`` examples, by sums over all rows above."""
     import pandas as pd
 
-    p, names = params.normalized(), feature_columns(params)
-    spark = ex.sparkSession
-    rows = training_rows(ex).select("id", "timestamp", *SCORED, *names[1:], "split", "total").persist(StorageLevel.DISK_ONLY)  # read once a step
-    schema = "id string, timestamp timestamp, date date, glucose_current double, target_value double, target int, split string, risk_probability double"
-    columns = ["id", "timestamp", *SCORED, "split"]
-
-    def scored(pdf: pd.DataFrame, model) -> pd.DataFrame:
-        out = pdf[columns].astype({"id": object, "split": object})
-        if model is None:
-            return out.assign(risk_probability=np.nan)
-        mean, sd, w = model
-        z = ((pdf[names].to_numpy(float) - mean) / sd) @ w[:-1] + w[-1]
-        return out.assign(risk_probability=1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-    def sizes(i: str, model) -> pd.DataFrame:
-        found = np.abs(model[2][:-1] / model[1]) if model else []
-        return pd.DataFrame({"id": [i] * len(found), "feature": names[: len(found)], "importance": found}).astype({"id": object, "feature": object, "importance": float})
-
-    small, large = rows.where(F.col("total") <= most), rows.where(F.col("total") > most)
-    scores = small.groupBy("id").applyInPandas(lambda pdf: scored(pdf, fitted_subject(pdf, p)), schema)
-    kinds = "id string, feature string, importance double"
-    importance = small.groupBy("id").applyInPandas(lambda pdf: sizes(pdf["id"].iloc[0], fitted_subject(pdf, p)), kinds)
+    p, kind = params.normalized(), "id string, coefficients array<double>, intercept double"
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        coefficients, intercept = fitted_subject(pdf, p)
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "coefficients": [coefficients], "intercept": [intercept]}).astype({"id": object})
+
+    train = rows.where("split = 'train'")
+    models = train.where(F.col("total") <= most).groupBy("id").applyInPandas(fit, kind)
+    large = rows.where(F.col("total") > most)
     if large.limit(1).count():
-        models = large_subject_weights(large, params)
+        found = [(i, *raw_weights(*m)) for i, m in large_subject_weights(large, params).items()]
+        if found:
+            models = models.unionByName(rows.sparkSession.createDataFrame([(i, c.tolist(), b) for i, c, b in found], kind))
+    return stored(models, "models")
 
-        def score(batches):
-            for pdf in batches:
-                for i, part in pdf.groupby("id"):
-                    yield scored(part, models.get(i))
 
-        scores = scores.unionByName(large.mapInPandas(score, schema))
-        if models:
-            importance = importance.unionByName(spark.createDataFrame(pd.concat([sizes(i, m) for i, m in models.items()]), kinds))
-    return scores.withColumn("risk_probability", finite("risk_probability")), importance
+def per_subject_models(ex: DataFrame, params: PredictiveParams = PredictiveParams(), most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """One model of the kind that ``params`` asks for per subject: its scores for all the subject's examples, and importances (``id``, ``feature``, ``importance``).
+
+    A logistic model's importances are the sizes of its coefficients, a forest's the decrease of
+    impurity.  A subject with too little to learn from has null scores and no importances.  Every
+    example trains, is tested and scored; each model is fitted once.
+    """
+    p, names = params.normalized(), feature_columns(params)
+    kept = dict.fromkeys(["id", "timestamp", *SCORED, *names, "split", "total"])
+    rows = stored(training_rows(ex).select(*kept, F.monotonically_increasing_id().alias("key")), "examples")
+    train = F.col("split") == "train"
+    enough = rows.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("n"), F.count_if(train & (F.col("target") == 1)).alias("events"), F.count_if(train & (F.col("target") == 0)).alias("others"))
+    enough = enough.where((F.col("n") >= p.min_examples) & (F.least("events", "others") >= p.min_events)).select("__id")
+    ready = rows.join(enough, F.col("id") == F.col("__id"), "left_semi")
+    if p.model == "random_forest":
+        forests = Forests(ready.select("id", "key", "target", train.alias("train"), "total", *names), names, p.trees)
+        found = forests.scores().select(F.col("key").alias("__key"), F.col("probability").alias("risk_probability"))
+        scores, importance = rows.join(found, F.col("key") == F.col("__key"), "left"), forests.importance()
+    else:
+        models = logistic_models(ready, params, most)
+        scores = rows.join(models.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left")
+        z = sum((F.col(f) * F.col("coefficients")[k] for k, f in enumerate(names)), F.col("intercept"))
+        scores = scores.withColumn("risk_probability", F.when(F.col("intercept").isNotNull(), 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))))
+        importance = models.select("id", F.posexplode("coefficients")).select("id", F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1).alias("feature"), F.abs("col").alias("importance"))
+    return scores.select("id", "timestamp", *SCORED, "split", finite("risk_probability").alias("risk_probability")), importance
 
 
 def per_subject_scores(ex: DataFrame, params: PredictiveParams = PredictiveParams(), most: int = 100_000) -> DataFrame:
@@ -327,11 +335,11 @@ def importance_export(importance: DataFrame, params: PredictiveParams = Predicti
 def risk_bundle(ex: DataFrame, params: PredictiveParams = PredictiveParams(), thresholds: Thresholds = Thresholds()) -> dict:
     """All that one selection of examples gives: ``status``, ``message``, ``scores`` (null probabilities where there is no model), ``performance``, ``importance`` and ``cards``."""
     p = params.normalized()
-    s = split(ex)
+    s = split(stored(ex, "examples"))
     counts = example_counts(s)
     status, message = fit_status(*counts, p)
     if status == "ready":
-        scores, importance = fit_and_score(ex, p)[0]
+        scores, importance = fitted_scores(s, p)
     else:
         scores, importance = s.withColumn("risk_probability", F.lit(None).cast("double")), ex.sparkSession.createDataFrame([], "feature string, importance double")
     perf = performance(scores, p.threshold)

@@ -470,10 +470,13 @@ def predictive_split(spark, d):
     return rows.groupBy("id", "split").agg(F.count("*").alias("n"), F.count_distinct("date").alias("days"), F.sum("target").alias("events"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"))
 
 
-@query("predictive_performance", f"""{EXAMPLES}, sc AS (SELECT id, target, 1 / (1 + exp((round(glucose_current) - 100) / 20::DOUBLE)) AS p FROM sp WHERE split = 'test'),
+PERFORMANCE = f"""{EXAMPLES}, sc AS (SELECT id, target, 1 / (1 + exp((round(glucose_current) - 100) / 20::DOUBLE)) AS p FROM sp WHERE split = 'test'),
 rk AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY p) + (count(*) OVER (PARTITION BY id, p) - 1) / 2.0::DOUBLE AS mr FROM sc)
 FINAL SELECT id, count(*) AS test_rows, sum(target) AS test_events, (sum(CASE WHEN target = 1 THEN mr END) - sum(target) * (sum(target) + 1) / 2.0::DOUBLE) / nullif(sum(target) * (count(*) - sum(target)), 0) AS auc,
- count_if(target = 1 AND p >= 0.5) / nullif(sum(target), 0)::DOUBLE AS sensitivity, count_if(target = 0 AND p < 0.5) / nullif(count(*) - sum(target), 0)::DOUBLE AS specificity, avg(pow(p - target, 2)) AS brier_score, 0.5 AS threshold FROM rk GROUP BY id""",
+ count_if(target = 1 AND p >= 0.5) / nullif(sum(target), 0)::DOUBLE AS sensitivity, count_if(target = 0 AND p < 0.5) / nullif(count(*) - sum(target), 0)::DOUBLE AS specificity, avg(pow(p - target, 2)) AS brier_score, 0.5 AS threshold FROM rk GROUP BY id"""
+
+
+@query("predictive_performance", PERFORMANCE,
     "id:s test_rows:i test_events:i auc:d sensitivity:d specificity:d brier_score:d threshold:d")
 def predictive_performance(spark, d):
     """Of a given score, so that nothing but the measures is compared."""
@@ -481,6 +484,32 @@ def predictive_performance(spark, d):
     return predictive.performance(rows.withColumn("risk_probability", 1 / (1 + F.exp((F.round("glucose_current") - 100) / 20))), by=("id",))
 
 
+def given_scores(spark, d):
+    """Examples with a given score, so that nothing but what is made of scores is compared."""
+    return predictive.training_rows(predictive.examples(readings(spark, d))).withColumn("risk_probability", 1 / (1 + F.exp((F.round("glucose_current") - 100) / 20)))
+
+
+def snake_case(df: DataFrame) -> DataFrame:
+    return df.toDF(*(c.lower().replace(" ", "_") for c in df.columns))
+
+
+MODEL_SQL = "'{}' AS model, 'Glucose below 70 mg/dL within 30 minutes' AS target, '30 minutes' AS horizon"
+
+
+@query("predictive_scores_export", f"""{EXAMPLES}
+FINAL SELECT id AS subject_id, timestamp, date, split, glucose_current AS current_glucose, target AS observed_event, target_value AS future_glucose_summary, 1 / (1 + exp((round(glucose_current) - 100) / 20::DOUBLE)) AS risk_probability, {MODEL_SQL.format("Random forest")} FROM sp""",
+    "subject_id:s timestamp:t date:D split:s current_glucose:d observed_event:i future_glucose_summary:d risk_probability:d target:s model:s horizon:s")
+def predictive_scores_export(spark, d):
+    return snake_case(predictive.scores_export(given_scores(spark, d), PredictiveParams(model="random_forest")))
+
+
+@query("predictive_performance_export", PERFORMANCE.replace("FINAL SELECT id,", ", pf AS (SELECT id,") + f""")
+FINAL SELECT id AS subject_id, {MODEL_SQL.format("Logistic regression")}, test_rows, test_events, round(auc, 3) AS auc, round(sensitivity, 3) AS sensitivity, round(specificity, 3) AS specificity, round(brier_score, 3) AS brier_score, threshold FROM pf""",
+    "subject_id:s model:s target:s horizon:s test_rows:i test_events:i auc:d sensitivity:d specificity:d brier_score:d threshold:d")
+def predictive_performance_export(spark, d):
+    return snake_case(predictive.performance_export(predictive.performance(given_scores(spark, d), by=("id",))))
+
+
 @query("predictive_model")
 def predictive_model(spark, d):
     found, _ = predictive.fit_and_score(predictive.examples(readings(spark, d)))
@@ -588,6 +617,13 @@ def predictive_per_subject(spark, d):
     return predictive.performance(predictive.per_subject_scores(predictive.examples(readings(spark, d))), by=("id",))
 
 
+@query("predictive_per_subject_forest")
+def predictive_per_subject_forest(spark, d):
+    """Performance of a forest for each subject, as the exports give it; the forests themselves are tested against trees grown node by node."""
+    _, performance, _ = export.complete_predictive(predictive.examples(readings(spark, d)), PredictiveParams(model="random_forest"))
+    return snake_case(performance)
+
+
 @query("upload_summary", f"""WITH {DENSE}, o AS (SELECT count(*) AS n, count(DISTINCT id) AS subjects, CAST(min(timestamp) AS DATE) AS a, CAST(max(timestamp) AS DATE) AS b FROM g)
 FINAL SELECT position, ['Files', 'Rows', 'Subjects', 'Date span'][position + 1] AS label, ['1', format('{{:,}}', n), format('{{:,}}', subjects), a || ' to ' || b][position + 1] AS value FROM o, range(4) AS r(position)""", "position:i label:s value:s")
 def upload_summary(spark, d):
