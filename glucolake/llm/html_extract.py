@@ -9,7 +9,10 @@ passes points for its length and its commas to all elements around it, all of th
 nearest, half to the next and a third of that with each further one; an element's points are discounted by the share of its
 text that is links.  The best container is kept (the ``article`` or ``main`` around it where
 there is one), with those of its siblings that score well or are plain paragraphs; lists and
-boxes inside that are mostly links go.
+boxes inside that are mostly links go.  A part made of boxes of one shape, a short line with a
+date or the like before some text, is reader comments, unless it has half the page's text.
+
+A link lasts to its end tag; without one, to the next link or block.  A named place isn't a link.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by an empty line.  A null or empty page has an empty text, as has a
@@ -50,6 +53,16 @@ MOST, NEARLY_ALL, NEVER = 0.5, 0.8, 2.0
 #: Paragraphs of a part that only its share of the text speaks for.
 FEWEST = 3
 CLEANED = frozenset("ul ol dl div section table".split())
+#: The least length of a plain paragraph beside an article that belongs to it; the longest line that can head a reader's comment.
+LONE, HEAD = 80, 80
+#: No block.
+NONE = 1 << 60
+# What a line over a reader's comment tells.
+SAID = re.compile(
+    r"\b\d{1,2}:\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}\.? [^\W\d]{3,9}\.?,? \d{4}\b|\b[^\W\d]{3,9} \d{1,2},? \d{4}\b"
+    r"|\b(?:ago|says|said|wrote|writes|replied|reply|antworten|schrieb|sagt|répondre|dit|responder|dice)\b|\b(?:vor|hace|il y a) \d+",
+    re.I,
+)
 #: Inline elements that class, id and style can leave out.
 INLINE = frozenset("span small label ins".split())
 
@@ -61,19 +74,23 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""(?P<name>class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 INLINE_TAGS = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in INLINE}
+ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
+NAMED = re.compile(r"(?:^|[\s\"'])(?:name|id)\s*=", re.I)
 CLOSERS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 #: Start tags that end an open element of the same kind, up to the element that bounds it.
 SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
 class Node:
-    __slots__ = ("tag", "up", "out", "inside", "points", "passed", "chars", "links", "weight", "need", "prose", "paragraphs", "texts")
+    __slots__ = ("tag", "up", "out", "inside", "points", "passed", "chars", "links", "weight", "need", "prose", "paragraphs", "texts", "first", "dated")
 
     def __init__(self, tag: str, up: Node | None, out: bool, weight: int, inside: bool = False, need: float = 0.0):
         self.tag, self.up, self.out, self.weight, self.inside = tag, up, out, weight, inside
         self.need = need  # share of the page's paragraph text without which the part is left out
         self.points, self.passed, self.chars, self.links = 0.0, 0.0, 0, 0
         self.prose, self.paragraphs, self.texts = 0, 0, 0
+        self.first, self.dated = NONE, False  # number of the first block inside; whether a short one tells a date
 
 
 def judged(tag: str, rest: str, inside: bool) -> tuple[bool, int, float]:
@@ -111,12 +128,47 @@ def ended(page: str, tag: str) -> set[int]:
     return found
 
 
+def ended_links(page: str) -> set[int]:
+    """Where ``a`` start tags are that the next ``a`` tag ends: links aren't nested."""
+    found, last = set(), -1
+    for m in ANCHOR.finditer(page):
+        if not m[1]:
+            last = m.start()
+        elif last >= 0:
+            found.add(last)
+            last = -1
+    return found
+
+
+def leave_out_comments(root: Node, nodes: list[Node], written: list[tuple[Node, str, int]]) -> None:
+    """Leave out parts that look like reader comments: two boxes or more, and nearly no others, with a short line that tells a date or the like before some text."""
+    for k, (node, words, _) in enumerate(written):
+        node.first = min(node.first, k)
+        node.dated = node.dated or len(words) <= HEAD and bool(SAID.search(words))
+    for x in reversed(nodes[1:]):
+        x.up.first = min(x.up.first, x.first)
+        x.up.dated = x.up.dated or x.dated
+    boxes: Counter[int] = Counter()
+    shaped: Counter[int] = Counter()
+    for x in nodes[1:]:
+        if x.texts and not x.out and x.tag in BLOCKS:
+            boxes[id(x.up)] += 1
+            head, words, _ = written[x.first]
+            if x.texts >= 2 and x.dated and len(words) <= HEAD and words[-1] not in ".!?" and not re.fullmatch("h[1-6]", head.tag):
+                shaped[id(x.up)] += 1
+    for x in nodes[1:]:
+        like = shaped[id(x)] >= 2 and shaped[id(x)] >= 0.8 * boxes[id(x)]
+        x.out = x.out or x.up.out or like and x.prose < MOST * root.prose and x.tag not in ("html", "body", "article", "main")
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
     root = Node("#root", None, False, 0)
-    nodes, stack, links = [root], [root], 0
+    nodes, stack = [root], [root]
+    links, lasting = 0, False  # whether text is in a link, and in one that has an end tag
+    whole_links: set[int] | None = None
     opened: Counter[str] = Counter()  # open elements by name: the stack is searched only for what it has
     blocks: list[tuple[Node, list[str], list[int]]] = []  # element, text pieces, [characters in links]
     fresh = True  # the next text begins a block
@@ -138,10 +190,12 @@ def extract(page: str | None) -> str:
             blocks[-1][2][0] += len(piece)
 
     def close_to(depth: int) -> None:
-        nonlocal fresh
+        nonlocal fresh, links
         for x in stack[depth:]:
             fresh = fresh or x.tag in BLOCKS
             opened[x.tag] -= 1
+        if fresh and not lasting:
+            links = 0
         del stack[depth:]
 
     at, n = 0, len(page)
@@ -160,7 +214,7 @@ def extract(page: str | None) -> str:
         tag = tag.lower()
         if m["end"] or m["end2"]:
             if tag == "a":
-                links = max(0, links - 1)
+                links, lasting = 0, False
             if opened[tag]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == tag:
@@ -168,7 +222,8 @@ def extract(page: str | None) -> str:
                         break
                     if stack[depth].tag in ("article", "table") and tag in ("div", "p", "section"):
                         break
-            fresh = fresh or tag in BLOCKS
+            if tag in BLOCKS:
+                fresh, links = True, links if lasting else 0
             if tag in SPACED:
                 text(" ")
             continue
@@ -178,7 +233,10 @@ def extract(page: str | None) -> str:
             fresh = fresh or tag == "hr"
             continue
         if tag == "a":
-            links += 1
+            if whole_links is None:
+                whole_links = ended_links(page)
+            links = 1 if HREF.search(m["rest"] or "") or not NAMED.search(m["rest"] or "") else 0
+            lasting = bool(links) and m.start() in whole_links
             continue
         if tag in RAW:
             end = CLOSERS[tag].search(page, at)
@@ -224,6 +282,7 @@ def extract(page: str | None) -> str:
         nodes.append(node)
         stack.append(node)
         fresh = True
+        links = links if lasting else 0
 
     written = []
     for node, pieces, linked in blocks:
@@ -249,11 +308,12 @@ def extract(page: str | None) -> str:
     for x in nodes[1:]:
         stays = x.prose > x.need * root.prose and (x.need < NEARLY_ALL or x.paragraphs >= FEWEST) and (not has_article or x.inside)
         x.out = x.out or x.up.out or x.need > 0 and not stays
+    leave_out_comments(root, nodes, written)
     if best := main_part(root, nodes, written):
         return best
     for x, out in zip(nodes, always, strict=True):  # once more without the filter
         x.out, x.points, x.passed, x.chars, x.links = out, 0.0, 0.0, 0, 0
-    return main_part(root, nodes, written)
+    return main_part(root, nodes, written) or "\n\n".join(words for node, words, _ in written if not node.out)
 
 
 def main_part(root: Node, nodes: list[Node], written: list[tuple[Node, str, int]]) -> str:
@@ -293,13 +353,15 @@ def main_part(root: Node, nodes: list[Node], written: list[tuple[Node, str, int]
         x = best
         while x is not None and x.tag != "main":
             x = x.up
-    kept = {id(x or best)}
-    if x is None and best.up is not None:
-        least, top = max(2.0, 0.2 * score(best)), best
+    top = x or best
+    kept = {id(top)}
+    if top.up is not None:
+        least = max(2.0, 0.2 * max(score(best), score(top)))
         for s in nodes:
             if s.up is top.up and s is not top and not s.out and s.chars:
-                density = s.links / s.chars
-                if score(s) >= least or s.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and density < 0.25:
+                # Beside an article a heading or a short line may be anything.
+                plain = s.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") if x is None else s.tag in ("p", "pre", "blockquote") and s.chars >= LONE
+                if score(s) >= least or plain and s.links < 0.25 * s.chars:
                     kept.add(id(s))
     shown: set[int] = set()
     for x in nodes:

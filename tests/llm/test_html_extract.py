@@ -112,3 +112,31 @@ def test_comments_go_though_they_are_most_of_the_text():
         page = f"<body><div class='content'><p>{PROSE[0]}</p><p>{PROSE[1]}</p></div><div class='{name}'>{''.join(f'<p>{p} I agree.</p>' for p in PROSE * 3)}</div></body>"
         assert extract(page) == "\n\n".join(PROSE[:2])
     assert extract(f"<body><div style='display:none'><p>{PROSE[0]}</p></div></body>") == ""
+
+
+def test_links_without_an_end():
+    """A named place is no link, and a link without an end tag ends at the next one or at a block."""
+    prose = "".join(f"<p>{p}</p>" for p in PROSE)
+    for start in ("<a name='top'>", "<a id=top>", "<a href='#x'>", "<a name='a'><a name='b'>"):
+        assert extract(f"<body>{start}<div class=c>{prose}</div></body>") == "\n\n".join(PROSE)
+        assert extract(f"<body><div>{start}{prose}</div><div>{start}{prose}</div></body>").count(PROSE[2]) == 2
+        listed = extract(f"<article>{prose}<p>See {start}this<ul><li>point one</li><li>point two</li></ul></article>")
+        assert listed.endswith("point one\n\npoint two")
+    assert extract(f"<body><div>{prose}</div><div><a href=/x><h3>A card, and another</h3><p>{PROSE[0]}</p></a></div></body>") == "\n\n".join(PROSE)
+
+
+def test_siblings_of_an_article_that_belong_to_it():
+    article = f"<article>{''.join(f'<p>{p}</p>' for p in PROSE[:3])}</article>"
+    assert extract(f"<body><div>{article}<p>{PROSE[3]}</p><p>{PROSE[4]}</p><p>Short line.</p></div></body>") == "\n\n".join(PROSE[:5])
+    second = f"<article>{''.join(f'<p>{p}</p>' for p in PROSE[3:])}</article>"
+    assert extract(f"<body><div>{article}{second}<div><a href=/a>{PROSE[0]}</a></div></div></body>") == "\n\n".join(PROSE)
+
+
+@pytest.mark.parametrize("line", ["<b>Ann</b> 3 May 2024", "Bob, 2 hours ago", "<span>carla_9</span> <time>2023-11-02</time>", "<a href=/u/1>Dan</a> 14:05"])
+def test_reader_comments_by_their_shape(line):
+    """Without a telling class: boxes of a line with name and date and some text."""
+    post = f"<div class='post'>{''.join(f'<p>{p}</p>' for p in PROSE)}</div>"
+    boxes = "".join(f"<div class='c'><div>{line}</div><p>I read this with pleasure, and will come back, number {k}.</p></div>" for k in range(3))
+    assert extract(f"<body><div id=w>{post}<div class='c-list'>{boxes}</div></div></body>") == "\n\n".join(PROSE)
+    parts = "".join(f"<div><h3>{k} May 2024</h3><p>{p}</p></div>" for k, p in enumerate(PROSE, 1))
+    assert all(p in extract(f"<body><div id=w><div>{parts}</div></div></body>") for p in PROSE)
