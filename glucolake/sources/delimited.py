@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glucolake.operators.export import source_id
@@ -21,11 +21,12 @@ BOOKKEEPING = (".source_file", ".source_id", ".import_header_row", ".import_firs
 
 
 def read_delimited(spark: SparkSession, path: str, header_row: int = 1, first_data_row: int | None = None, columns: list[str] | None = None) -> DataFrame:
-    """All columns as text, with the bookkeeping columns and ``_ord`` (the line's place in its file).
+    """All columns as text, with the bookkeeping columns and ``_ord`` (the place of the record's first line in its file).
 
-    Lines are read as text, in splits, and parsed by ``from_csv``; only the lines up to the
-    header come to the driver.  Short rows are filled with nulls.  A line is a record: quoted
-    line breaks, which device exports don't have, would split one.
+    Lines are read as text, in splits, and records are parsed by ``from_csv``; only the lines up to the
+    header come to the driver.  Short rows are filled with nulls.  Quoted fields may hold line
+    breaks (which come out as ``\\n``), quotes (doubled) and separators; a quote inside an unquoted field is itself,
+    and a field with text after its closing quote stays as it stands in the file.
     """
     file = path.rstrip("/").rsplit("/", 1)[-1]
     if not re.search(r"\.(csv|txt|tsv)$", file, re.I):
@@ -35,15 +36,108 @@ def read_delimited(spark: SparkSession, path: str, header_row: int = 1, first_da
     if len(head) < header_row:
         raise ValueError(f"{file} has no row {header_row}")
     sep = separator(head[header_row - 1 :], file)
-    names = clean_names(next(csv.reader([head[header_row - 1]], delimiter=sep), []))
+    names = clean_names(next(csv.reader(iter([f"{x}\n" for x in head[header_row - 1 :]]), delimiter=sep), []))
     # The ids of the first split count from 0, and the header lies in it.
-    lines = spark.read.text(path).withColumn("_ord", F.monotonically_increasing_id()).where(F.col("_ord") >= first - 1)
+    lines = spark.read.text(path).withColumn("_ord", F.monotonically_increasing_id())
+    lines = records(lines.where(F.col("_ord") >= header_row - 1), sep).where(F.col("_ord") >= first - 1)
     schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    d = lines.where(F.trim("value") != "").select("_ord", F.from_csv("value", schema, {"sep": sep, "mode": "PERMISSIVE"}).alias("r"))
+    d = lines.where(F.trim("value") != "").select("_ord", F.from_csv("value", schema, {"sep": sep, "mode": "PERMISSIVE", "escape": '"', "maxCharsPerColumn": "-1", "multiLine": "true"}).alias("r"))
     keep = [i for i, n in enumerate(names) if columns is None or n in columns]
     return d.select(*(F.col(f"r.c{i}").alias(names[i]) for i in keep), F.lit(file).alias(".source_file"), F.lit(source_id(file)).alias(".source_id"), F.lit(header_row).alias(".import_header_row"), F.lit(first).alias(".import_first_data_row"), "_ord")
 
 
+def ends_quoted(line: str, quoted: bool, sep: str) -> bool:
+    """Whether a line ends inside a quoted field, given whether it begins inside one."""
+    at = 0
+    while True:
+        if not quoted:
+            if not line.startswith('"', at):
+                at = line.find(sep, at) + 1
+                if not at:
+                    return False
+                continue
+            at += 1
+        while True:
+            end = line.find('"', at)
+            if end < 0:
+                return True
+            at = end + 1
+            if not line.startswith('"', at):
+                break
+            at += 1
+        quoted = False
+        at = line.find(sep, at) + 1  # what follows the closing quote is part of the field
+        if not at:
+            return False
+
+
+def whole_lines(sep: str) -> str:
+    """A pattern of lines that, begun outside quotes, end outside."""
+    s = re.escape(sep)
+    field = f'(?:"(?:[^"]|"")*+"(?!")[^{s}]*+|[^"{s}][^{s}]*+|)'
+    return f"^{field}(?:{s}{field})*+$"
+
+
+def records(lines: DataFrame, sep: str) -> DataFrame:
+    """Lines (``value``, ``_ord``: the split above 33 bits and the line in it) joined to records where quoted fields go on in the next line.
+
+    Where no line can end inside quotes, lines are records.  Else each split tells, for both
+    ways it may begin, how it ends; from these two bits of all splits before it follows how a split does begin, so all splits are cut
+    into records side by side.  A record over several splits is put together from a piece of each.
+    """
+    lines = lines.select("value", "_ord")
+    if not lines.where(F.contains("value", F.lit('"')) & ~F.col("value").rlike(whole_lines(sep))).limit(1).count():
+        return lines
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ends = None, [False, True]
+        for batch in batches:
+            for line, ord_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = ord_ >> 33
+                if '"' in line:
+                    ends = [ends_quoted(line, e, sep) for e in ends]
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([ends[0]]), pa.array([ends[1]])], ["split", "out", "quoted"])
+
+    starts, quoted = {}, False
+    for row in sorted(lines.mapInArrow(both, "split long, out boolean, quoted boolean").collect()):  # a row for each split
+        starts[row["split"]] = quoted
+        quoted = row["quoted"] if quoted else row["out"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records, and pieces of records: 1 opens one, 2 goes on, 3 ends it."""
+        held: list[str] = []
+        place = kind = None
+        quoted = False
+
+        def row(value: list[str], ord_: list[int], piece: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(value, pa.string()), pa.array(ord_, pa.int64()), pa.array(piece, pa.int32())], ["value", "_ord", "piece"])
+
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for line, ord_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if kind is None:
+                    quoted = starts[ord_ >> 33]
+                    kind = 2 if quoted else 0
+                if not held:
+                    place = ord_
+                held.append(line)
+                quoted = ends_quoted(line, quoted, sep) if quoted or '"' in line else False
+                if not quoted:
+                    for x, v in zip(out, ("\n".join(held), place, 3 if kind == 2 else 0), strict=True):
+                        x.append(v)
+                    held, kind = [], 0
+            yield row(*out)
+        if held:
+            yield row(["\n".join(held)], [place], [kind or 1])
+
+    pieces = lines.mapInArrow(cut, "value string, _ord long, piece int")
+    # At most two pieces a split.
+    of = F.count_if(F.col("piece") == 1).over(Window.partitionBy(F.lit(1)).orderBy("_ord"))
+    broken = pieces.where("piece > 0").withColumn("of", of).groupBy("of").agg(F.min("_ord").alias("_ord"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("_ord", "value"))), lambda x: x["value"])).alias("value"))
+    return pieces.where("piece = 0").select("value", "_ord").unionByName(broken.select("value", "_ord"))
+
+
 def row_boundaries(header_row, first_data_row=None, suggested: tuple[int, int] = (1, 2)) -> tuple[int, int]:
     """Header row and first row of data as a user gave them, put right: what isn't a row number becomes the suggested one, data begin below the header."""
     def number(x) -> int | None:

@@ -1,4 +1,6 @@
+import csv
 import io
+import random
 import zipfile
 
 import pytest
@@ -105,3 +107,48 @@ def test_mappings():
         S.validated_mapping(columns, full | {"device": "maker"})
     assert S.mapped_columns(full) == ["subject", "time", "value"] and S.mapped_columns(full, "multi_file") == ["time", "value"]
     assert S.mapped_columns(full | {"glucose": "time"}) == ["subject", "time"]
+
+
+def csv_rows(text, skip, width, sep=","):
+    """What csv.reader gives below the header, blank lines left out, as wide as the header; empty fields are null, a field with text after its quotes stays as it stands."""
+    rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=sep))[skip:]
+    raw = lambda x: '"end"tail' if x == "endtail" else x or None
+    return [tuple(raw(x) for x in (r + [""] * width)[:width]) for r in rows if any(x.strip() for x in r)]
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut into splits of 200 bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path, small_splits, seed):
+    """Breaks, separators and quotes inside fields, ragged rows, a header further down: as csv.reader has it."""
+    rng = random.Random(seed)
+    field = lambda: rng.choice(["plain", "7", "", '"quoted, field"', '"a ""word"" here"', '"two\nlines"', '"' + "long\n" * rng.randrange(1, 150) + '"', '5" pipe', 'x"y"z', '"end"tail', "é"])
+    lines = [",".join(field() for _ in range(rng.choice([3, 3, 3, 2, 4]))) for _ in range(150)]
+    text = 'Export "of a device\nsecond line\na,b,c\n' + "\n".join(lines) + "\n"
+    (tmp_path / "f.csv").write_text(text)
+    d = D.read_delimited(spark, str(tmp_path / "f.csv"), header_row=3)
+    assert spark.read.text(str(tmp_path / "f.csv")).rdd.getNumPartitions() > 5
+    got = [(r["a"], r["b"], r["c"]) for r in d.orderBy("_ord").collect()]
+    below = "\n".join(text.split("\n")[2:])
+    assert got == csv_rows(below, 1, 3)
+
+
+def test_a_quote_without_end_takes_the_rest(spark, tmp_path, small_splits):
+    (tmp_path / "f.csv").write_text("a,b\n1,2\n3,\"open\n" + "x,y\n" * 200)
+    got = D.read_delimited(spark, str(tmp_path / "f.csv")).orderBy("_ord").collect()
+    assert len(got) == 2 and got[0]["b"] == "2" and got[1]["b"].startswith("open\nx,y") and got[1]["b"].count("x,y") == 200
+
+
+def test_ends_quoted():
+    for line, out, quoted in [("a,b", False, True), ('"a', True, False), ('a"', False, False), ('"a"",', True, False), ('","', False, True), ('x"y,"z', True, True), ('"a"b",c', False, False), ("", False, True)]:
+        assert (D.ends_quoted(line, False, ","), D.ends_quoted(line, True, ",")) == (out, quoted), line
