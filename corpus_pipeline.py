@@ -7,7 +7,7 @@ itself: ids may be null or repeated.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glucolake.llm import bpe, exact_dedup, mixing, ngram_join, quality
@@ -23,18 +23,26 @@ def free(name: str, docs: DataFrame) -> str:
     return name
 
 
+#: Files up to which a table's rows are numbered by file and place; a path and its number are some 200 bytes, so 20 MB are broadcast at most.
+MOST_FILES = 100_000
+
+
 def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a key of each row that all readers see the same, and the key's name: its file's number and its place there.
 
-    What isn't a bare table of files is written first.
+    What isn't a bare table of files is written first.  Rows of more than ``MOST_FILES`` files are written with a key of their own.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = written(docs, "rows")
+    spark = docs.sparkSession
     row, path, at, file, nth = (free(f"__{c}", docs) for c in ("row", "path", "at", "file", "nth"))
-    rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
-    files = rows.select(F.col(path).alias(file)).distinct()
-    files = written(files.select(file, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(file)).alias(nth)), "files")  # a row per file
-    return rows.join(F.broadcast(files), F.col(path) == F.col(file)).select(*docs.columns, (F.shiftleft(F.col(nth).cast("long"), 40) + F.col(at)).alias(row)), row
+    place = docs.metadataColumn("_metadata")  # also where the documents have a column of that name
+    rows = docs.select(*(docs[f"`{c}`"] for c in docs.columns), place["file_path"].alias(path), place["row_index"].alias(at))
+    paths = [r[0] for r in rows.select(path).distinct().limit(MOST_FILES + 1).collect()]
+    if len(paths) > MOST_FILES:
+        return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+    files = spark.createDataFrame([(p, k) for k, p in enumerate(sorted(paths), 1)], f"`{file}` string, `{nth}` long")
+    return rows.join(F.broadcast(files), F.col(path) == F.col(file)).select(*docs.columns, (F.shiftleft(F.col(nth), 40) + F.col(at)).alias(row)), row
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_stages(spark):
 def test_empty_tables_and_clashing_columns(spark):
     """Columns named as the stages name their own stay as they are; empty tables stay empty."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    names = ("copies", "row", "of", "kept", "size", "taken", "component_id", "__row", "__of", "__times", "__copy", "__path", "digest")
+    names = ("copies", "row", "of", "kept", "size", "taken", "component_id", "__row", "__of", "__times", "__copy", "__path", "digest", "_metadata")
     odd = P.written(docs.select("*", *(F.col("doc_id").cast("string").alias(c) for c in names)), "odd")
     for table in (odd, odd.where("false")):
         for _, stage in P.STAGES[:-1]:
@@ -89,3 +89,12 @@ def test_key_of_rows(spark):
         rows, row = P.with_key(table)
         first = {r[row]: r["doc_id"] for r in rows.select("doc_id", row).collect()}
         assert len(first) == table.count() and first == {r[row]: r["doc_id"] for r in rows.repartition(5).collect()}
+
+
+def test_key_of_rows_of_many_files(spark, monkeypatch):
+    """Beyond the files that are numbered, rows are written with a key."""
+    monkeypatch.setattr(P, "MOST_FILES", 2)
+    docs = P.written(spark.read.parquet(f"{SF}/documents.parquet").repartition(5), "stage")
+    rows, row = P.with_key(docs)
+    first = {r[row]: r["doc_id"] for r in rows.select("doc_id", row).collect()}
+    assert len(first) == docs.count() and first == {r[row]: r["doc_id"] for r in rows.repartition(3).collect()}
