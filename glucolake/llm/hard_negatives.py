@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from glucolake.llm.shared import batched, partitions, written
 
 #: Cells of a dimension; rows of the sample that the cells' edges come from.
-CELLS, SAMPLE = 64, 20_000
+CELLS, SAMPLE = 256, 20_000
 #: Largest size of a scaled component: products of 2048 of them stay exact.
 LARGEST = 1 << 26
 #: Anchors and vectors of a pair of blocks at most; vectors of a row; anchors and vectors whose bounds are worked out at a time.
