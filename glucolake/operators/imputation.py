@@ -1,9 +1,9 @@
 """Filling missing glucose: candidates, estimators of our own, provenance flags.
 
-Only rows that were missing are filled.  Estimators work between two observed neighbours, so
-a subject's rows never have to meet in a task.  Models named by other tools can be asked for,
+Only rows that were missing are filled.  Estimators work between two observed neighbours or by
+days, so a subject's rows never have to meet in a task.  Models named by other tools can be asked for,
 but the numbers come from the estimators here: ``imputation_model`` says what was asked for,
-``imputation_estimator`` what was used.
+``imputation_estimator`` what was used, ``imputation_error`` why a subject's rows came back as they were.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from glucolake.config import interval
 from glucolake.functions.columns import MICROS_PER_MINUTE, micros, with_previous
+from glucolake.operators import smoothing
 from glucolake.operators.missingness import GAP, grid_summary, regular_grid
 
 #: Label and estimator of each model name.
 MODELS = {
-    "auto": ("Automatic", ""), "arima": ("ARIMA", "linear"), "xgboost": ("XGBoost", "profile"), "rf": ("Random forest", "profile"),
-    "knn": ("K-nearest neighbours", "profile"), "lightgbm": ("LightGBM", "profile"), "linear": ("Linear", "linear"), "profile": ("Daily profile", "profile"),
+    "auto": ("Automatic", ""), "arima": ("ARIMA", "linear"), "kalman": ("State-space smoother", "kalman"), "xgboost": ("XGBoost", "profile"), "rf": ("Random forest", "profile"),
+    "knn": ("K-nearest neighbours", "knn"), "lightgbm": ("LightGBM", "profile"), "linear": ("Linear", "linear"), "profile": ("Daily profile", "profile"),
 }
 
 
@@ -54,6 +55,9 @@ def impute(df: DataFrame, model: str = "auto", minutes: int = 5, low: float = 39
     ``linear``: on the line between the neighbours.  ``profile``: that line, with half the
     subject's usual departure at that time of day from its mean.  Values stay within limits;
     what lies before a subject's first or after its last reading stays missing.
+
+    ``kalman`` and ``knn`` are those of ``smoothing``; a slot for which no day is near enough gets the
+    line.  A subject with fewer than ``LEAST_HISTORY`` readings comes back as it was, with an error.
     """
     minutes = interval(minutes)
     grid = regular_grid(df, minutes)
@@ -76,9 +80,23 @@ def impute(df: DataFrame, model: str = "auto", minutes: int = 5, low: float = 39
     d = d.join(hours, F.col("id").eqNullSafe(F.col("hid")) & F.hour("timestamp").eqNullSafe(F.col("hour")), "left")
     estimators = F.create_map(*(F.lit(x) for k, v in MODELS.items() if v[1] for x in (k, v[1])))
     by_profile = (estimators[F.col("imputation_model")] == "profile") & F.col("inner")
+    error = F.lit(None).cast("string")
+    estimator = MODELS[normalize_model(model)][1]
+    if estimator in ("kalman", "knn"):
+        days = smoothing.day_rows(grid, per_day := max(1, 1440 // minutes))
+        known = smoothing.noise(days)
+        able = known.where(F.col("n") >= smoothing.LEAST_HISTORY)
+        found = smoothing.kalman(days, able) if estimator == "kalman" else smoothing.knn(days.join(able.select("id"), "id", "left_semi"), per_day)
+        found = found.select(F.col("id").alias("eid"), "day", F.posexplode("values").alias("at", "estimate")).where(~F.isnan("estimate")).select("eid", (F.col("day") * per_day + F.col("at")).alias("eslot"), "estimate")
+        d = d.join(found, (F.col("id") == F.col("eid")) & (F.col("slot") == F.col("eslot")), "left")
+        d = d.join(known.select(F.col("id").alias("nid"), F.col("n").alias("readings")), F.col("id") == F.col("nid"), "left")
+        few = (F.col("imputation_model") != "none") & (F.coalesce("readings", F.lit(0)) < smoothing.LEAST_HISTORY)
+        error = F.when(few, F.concat(F.lit(f"Needs at least {smoothing.LEAST_HISTORY} readings; has "), F.coalesce("readings", F.lit(0)), F.lit(".")))
+        estimate = F.when(~few, F.when(F.col("line").isNotNull(), F.coalesce("estimate", "line")))
+        d = d.withColumn("line", estimate)
     value = F.least(F.lit(high), F.greatest(F.lit(low), F.col("line") + F.when(by_profile, 0.5 * F.coalesce(F.col("at_hour") - F.col("overall"), F.lit(0.0))).otherwise(0.0)))
     fill = F.col("glucose").isNull() & F.col("line").isNotNull()
-    return d.withColumns({"glucose": F.when(fill, value).otherwise(F.col("glucose")), "imputed_flag": F.col("imputed_flag") | F.coalesce(fill, F.lit(False))}).select(*grid.columns, "imputation_model", F.coalesce(estimators[F.col("imputation_model")], F.lit("none")).alias("imputation_estimator"))
+    return d.withColumns({"glucose": F.when(fill, value).otherwise(F.col("glucose")), "imputed_flag": F.col("imputed_flag") | F.coalesce(fill, F.lit(False))}).select(*grid.columns, "imputation_model", F.coalesce(estimators[F.col("imputation_model")], F.lit("none")).alias("imputation_estimator"), error.alias("imputation_error"))
 
 
 def apply_result(df: DataFrame, result: DataFrame) -> DataFrame:

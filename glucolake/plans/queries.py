@@ -534,14 +534,36 @@ def impute(spark, d):
     return imputation.impute(readings(spark, d), minutes=MINUTES).select("id", "timestamp", "glucose", "imputed_flag", "missing_source", "imputation_model", "imputation_estimator")
 
 
-@query("impute_linear", f"""{SNAP}, o AS (SELECT *, last(CASE WHEN glucose IS NOT NULL THEN slot END IGNORE NULLS) OVER b AS s0, last(glucose IGNORE NULLS) OVER b AS g0, first(CASE WHEN glucose IS NOT NULL THEN slot END IGNORE NULLS) OVER a AS s1, first(glucose IGNORE NULLS) OVER a AS g1 FROM e
- WINDOW b AS (PARTITION BY id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY id ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+BETWEEN = f"""{SNAP}, o AS (SELECT *, last(CASE WHEN glucose IS NOT NULL THEN slot END IGNORE NULLS) OVER b AS s0, last(glucose IGNORE NULLS) OVER b AS g0, first(CASE WHEN glucose IS NOT NULL THEN slot END IGNORE NULLS) OVER a AS s1, first(glucose IGNORE NULLS) OVER a AS g1 FROM e
+ WINDOW b AS (PARTITION BY id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY id ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+@query("impute_linear", f"""{BETWEEN}
 FINAL SELECT id, timestamp, CASE WHEN glucose IS NOT NULL THEN glucose WHEN g0 IS NOT NULL AND g1 IS NOT NULL THEN least(500, greatest(39, g0 + (g1 - g0) * (slot - s0) / (s1 - s0)::DOUBLE)) END AS glucose, glucose IS NULL AND g0 IS NOT NULL AND g1 IS NOT NULL AS imputed_flag FROM o""",
     "id:s timestamp:t glucose:d imputed_flag:b")
 def impute_linear(spark, d):
     return imputation.impute(readings(spark, d), "linear", MINUTES).select("id", "timestamp", "glucose", "imputed_flag")
 
 
+PER_DAY = 1440 // MINUTES
+
+
+@query("impute_knn", f"""{BETWEEN}, ds AS (SELECT id, slot // {PER_DAY} AS day, slot % {PER_DAY} AS at, glucose FROM e WHERE glucose IS NOT NULL),
+pr AS (SELECT a.id, a.day, b.day AS other, round(sqrt(avg(pow(a.glucose - b.glucose, 2))), 9) AS apart FROM ds a JOIN ds b ON a.id = b.id AND a.at = b.at AND a.day <> b.day AND abs(a.day - b.day) <= 180 GROUP BY a.id, a.day, b.day HAVING count(*) >= {PER_DAY // 12}),
+nn AS (SELECT e.id, e.slot, ds.glucose, row_number() OVER (PARTITION BY e.id, e.slot ORDER BY apart, other) AS rk FROM e JOIN pr ON pr.id = e.id AND pr.day = e.slot // {PER_DAY} JOIN ds ON ds.id = e.id AND ds.day = pr.other AND ds.at = e.slot % {PER_DAY} WHERE e.glucose IS NULL),
+kn AS (SELECT id, slot, avg(glucose) AS estimate FROM nn WHERE rk <= 7 GROUP BY id, slot)
+FINAL SELECT o.id, o.timestamp, CASE WHEN glucose IS NOT NULL THEN glucose WHEN g0 IS NOT NULL AND g1 IS NOT NULL THEN least(500, greatest(39, coalesce(estimate, g0 + (g1 - g0) * (o.slot - s0) / (s1 - s0)::DOUBLE))) END AS glucose, glucose IS NULL AND g0 IS NOT NULL AND g1 IS NOT NULL AS imputed_flag
+ FROM o LEFT JOIN kn ON kn.id = o.id AND kn.slot = o.slot""", "id:s timestamp:t glucose:d imputed_flag:b")
+def impute_knn(spark, d):
+    return imputation.impute(readings(spark, d), "knn", MINUTES).select("id", "timestamp", "glucose", "imputed_flag")
+
+
+@query("impute_kalman")
+def impute_kalman(spark, d):
+    """Tested against the joint normal distribution of a whole series."""
+    return imputation.impute(readings(spark, d), "kalman", MINUTES).select("id", "timestamp", "glucose", "imputed_flag", "imputation_estimator", "imputation_error")
+
+
 @query("lttb", f"""WITH RECURSIVE {DENSE}, v AS (SELECT id, timestamp, us, glucose, row_number() OVER (PARTITION BY id ORDER BY timestamp, _ord) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM g WHERE glucose IS NOT NULL),
 ed AS (SELECT id, n, b, CAST(floor(b * ((n - 2) / 248.0::DOUBLE)) AS BIGINT) + 1 AS a FROM (SELECT DISTINCT id, n FROM v WHERE n > 250), range(249) AS r(b)),
 bk AS (SELECT id, n, b, a, least(lead(a) OVER w, n - 1) AS z, coalesce(lead(a, 2) OVER w, n) AS c FROM ed WINDOW w AS (PARTITION BY id ORDER BY b)),
