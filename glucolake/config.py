@@ -55,6 +55,11 @@ class FunctionalParams:
     clusters: int = 3
     low: float = 0.0
     high: float = 500.0
+    basis: str = "bspline"
+
+    def __post_init__(self):
+        if self.basis not in ("bspline", "fourier", "smoothing_spline"):
+            raise ValueError("basis is 'bspline', 'fourier' or 'smoothing_spline'")
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucolake.config import PredictiveParams
+from glucolake.config import FunctionalParams, PredictiveParams
 from glucolake.operators import complexity, downsample, export, functional, imputation, metrics, missingness, predictive, quality, review, scope, stats
 from glucolake.plans.fixtures import DENSE, SPARSE, TEXT, plain, plain_sql, readings, text_readings
 from glucolake.sources import standardize as std
@@ -420,6 +420,17 @@ def functional_day_curves(spark, d):
     return functional.day_curves(readings(spark, d))
 
 
+@query("functional_day_curves_fourier")
+def functional_day_curves_fourier(spark, d):
+    return functional.day_curves(readings(spark, d), FunctionalParams(basis="fourier"))
+
+
+@query("fpca_incomplete")
+def fpca_incomplete(spark, d):
+    """Scores of curves as they were read, with whatever slots they lack."""
+    return functional.fpca_scores(functional_subject_curves(spark, d))
+
+
 @query("functional_features")
 def functional_features(spark, d):
     return functional.profile_bundle(readings(spark, d))["features"]
