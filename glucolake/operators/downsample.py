@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucolake.functions.columns import micros
+from glucolake.functions.tables import stored
 
 BUDGET, LEAST_PER_SUBJECT = 25_000, 250
 
@@ -36,26 +40,78 @@ def lttb_indices(x: np.ndarray, y: np.ndarray, n_out: int) -> np.ndarray:
     return np.array([*kept, n - 1])
 
 
-def lttb(df: DataFrame, n_out: int = LEAST_PER_SUBJECT, chunk_rows: int = 50_000) -> DataFrame:
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the corners of the convex hull of points in order of ``x``; of equal points the first."""
+    _, first = np.unique(np.column_stack([x, y]), axis=0, return_index=True)
+    order = first[np.lexsort((y[first], x[first]))].tolist()
+    if len(order) <= 2:
+        return np.sort(np.array(order, int))
+    corners: set[int] = set()
+    for way in (order, order[::-1]):
+        chain: list[int] = []
+        for k in way:
+            while len(chain) > 1 and (x[chain[-1]] - x[chain[-2]]) * (y[k] - y[chain[-2]]) <= (y[chain[-1]] - y[chain[-2]]) * (x[k] - x[chain[-2]]):
+                chain.pop()
+            chain.append(k)
+        corners.update(chain)
+    return np.sort(np.array(list(corners), int))
+
+
+def lttb(df: DataFrame, n_out: int = LEAST_PER_SUBJECT) -> DataFrame:
     """Readings to draw, about ``n_out`` per subject; imputed ones and each subject's least and greatest value stay too.
 
-    A long series is cut into stretches of ``chunk_rows``, each with its share of the points.
+    The size of a triangle over two given points is linear in the third, so the point of a bucket
+    that spans the largest one is a corner of the bucket's convex hull.  Tasks keep the corners of
+    their own rows of a bucket, these are put together by bucket, and only they and the buckets' means, a few
+    rows for each of ``n_out`` points, are walked through in order: one pass over series of any length.
     """
     d = df.where(F.col("timestamp").isNotNull() & F.col("glucose").isNotNull())
     imputed = F.coalesce(F.col("imputed_flag"), F.lit(False)) if "imputed_flag" in df.columns else F.lit(False)
-    s = numbered_rows(d.withColumn("__imputed", imputed))
-    s = s.withColumns({"chunk": F.floor(F.col("i") / chunk_rows), "us": micros()})
-
-    def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        share = max(3, round(n_out * len(pdf) / max(1, int(pdf["n"].iloc[0]))))
-        keep = np.zeros(len(pdf), bool)
-        keep[lttb_indices(pdf["us"].to_numpy(float), pdf["glucose"].to_numpy(float), share)] = True
-        g = pdf["glucose"].to_numpy(float)
-        keep[[g.argmin(), g.argmax()]] = True
-        return pdf[keep | pdf["__imputed"].to_numpy(bool)][["id", "timestamp", "glucose", "__imputed"]].rename(columns={"__imputed": "imputed_flag"})
-
-    return s.select("id", "timestamp", "glucose", "__imputed", "i", "n", "us", "chunk").groupBy("id", "chunk").applyInPandas(pick, "id string, timestamp timestamp, glucose double, imputed_flag boolean")
+    s = stored(numbered_rows(d.withColumn("__imputed", imputed)).select("id", "timestamp", "glucose", "__imputed", "i", "n", micros().alias("us")), "series")
+    ends = s.groupBy("id").agg(F.min("us").alias("start"), F.min_by("i", F.struct("glucose", "i")).alias("low"), F.min_by("i", F.struct(-F.col("glucose"), F.col("i"))).alias("high"))
+    s = s.join(ends.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).withColumn("x", (F.col("us") - F.col("start")).cast("double"))
+    keep = F.col("__imputed") | (F.col("i") == 0) | (F.col("i") == F.col("n") - 1) | (F.col("i") == F.col("low")) | (F.col("i") == F.col("high"))
+    columns = ("id", "timestamp", "glucose", F.col("__imputed").alias("imputed_flag"))
+    long_ = (F.col("n") > n_out) & (F.col("n") > 2)
+    if n_out <= 2:
+        return s.where(keep | ~long_).select(*columns)
+    # Bucket k has the rows from edge(k) to before edge(k + 1); the first and the last row are buckets of their own.
+    edge = lambda k: F.floor(k * ((F.col("n") - 2) / F.lit(float(n_out - 2)))) + 1
+    near = F.floor((F.col("i") - 1) * F.lit(n_out - 2) / (F.col("n") - 2))
+    bucket = F.when(F.col("i") == 0, -1).when(F.col("i") == F.col("n") - 1, n_out - 2).when(edge(near + 1) <= F.col("i"), near + 1).when(edge(near) <= F.col("i"), near).otherwise(near - 1)
+    rows = s.where(long_).select("id", bucket.cast("int").alias("bucket"), "i", "x", "glucose")
+    means = rows.groupBy("id", "bucket").agg(F.avg("x").alias("x"), F.avg("glucose").alias("glucose"))
+    kind = "id string, bucket int, i long, x double, glucose double"
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that are corners among the rows of their subject and bucket in the batch."""
+        for batch in batches:
+            who = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            k, i, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            order = np.lexsort((i, k, who))
+            starts = np.flatnonzero(np.r_[True, (np.diff(k[order]) != 0) | (np.diff(who[order]) != 0)]) if len(order) else []
+            kept = [part if len(part) <= 2 else part[hull(x[part], y[part])] for part in np.split(order, starts[1:])]
+            yield batch.take(pa.array(np.concatenate(kept)))
+
+    points = rows.mapInArrow(corners, kind).repartition("id", "bucket").sortWithinPartitions("id", "bucket").mapInArrow(corners, kind)
+    every = points.withColumn("mean", F.lit(False)).unionByName(means.select("id", "bucket", F.lit(-1).cast("long").alias("i"), "x", "glucose", F.lit(True).alias("mean")))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        mean = {k: (x, y) for k, x, y in pdf.loc[pdf["mean"], ["bucket", "x", "glucose"]].itertuples(index=False)}
+        candidates = {k: part.sort_values("i") for k, part in pdf[~pdf["mean"]].groupby("bucket")}
+        px, py = mean[-1]
+        kept = []
+        for k in range(n_out - 2):
+            part, (mx, my) = candidates[k], mean[k + 1]
+            x, y = part["x"].to_numpy(), part["glucose"].to_numpy()
+            best = int(np.abs((px - mx) * (y - py) - (px - x) * (my - py)).argmax())
+            kept.append(int(part["i"].iloc[best]))
+            px, py = x[best], y[best]
+        return pd.DataFrame({"__of": pdf["id"].iloc[0], "__kept": kept}).astype({"__of": object})
+
+    chosen = every.groupBy("id").applyInPandas(walk, "__of string, __kept long")
+    s = s.join(chosen, (F.col("id") == F.col("__of")) & (F.col("i") == F.col("__kept")), "left")
+    return s.where(keep | ~long_ | F.col("__kept").isNotNull()).select(*columns)
 
 
 def numbered_rows(df: DataFrame) -> DataFrame:

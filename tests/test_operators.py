@@ -368,6 +368,26 @@ def test_predictive_exports_and_cards(spark):
     assert none["message"] == "Needs at least 80 examples." and none["scores"].where("risk_probability is not null").count() == 0
 
 
+def test_lttb_of_long_series_is_one_pass(spark):
+    """The points of one walk over the whole series, however many days and tasks it lies in; corners are all that is looked at."""
+    rng = np.random.default_rng(9)
+    y = np.round(120 + 40 * np.sin(np.arange(60_000) / 90) + rng.normal(0, 12, 60_000))
+    y[5000:9000] = 100.0  # a flat stretch longer than a bucket
+    got = D.lttb(series(spark, y).repartition(7), 100)
+    want = set(D.lttb_indices(np.arange(60_000) * 300e6, y, 100).tolist()) | {int(y.argmin()), int(y.argmax())}
+    first = series(spark, y[:1]).first()["timestamp"]
+    assert {int((r["timestamp"] - first).total_seconds() // 300) for r in got.collect()} == want
+    for n in (3, 5, 99, 100, 101, 102, 250):
+        found = {int((r["timestamp"] - first).total_seconds() // 300) for r in D.lttb(series(spark, y[:n]), 100).collect()}
+        assert found == set(D.lttb_indices(np.arange(n) * 300e6, y[:n], 100).tolist()) | {int(y[:n].argmin()), int(y[:n].argmax())}
+    p = rng.integers(0, 30, (500, 2)).astype(float)
+    p = p[np.argsort(p[:, 0], kind="stable")]
+    corner = p[D.hull(p[:, 0], p[:, 1])]
+    for angle in np.linspace(0, 6.28, 60):
+        way = np.array([np.cos(angle), np.sin(angle)])
+        assert (corner @ way).max() == (p @ way).max()
+
+
 def test_forest_of_the_query_has_the_reference_s_trees(spark, monkeypatch):
     from glucolake.plans import queries
 
