@@ -42,7 +42,7 @@ class ComplexityParams:
     scales: int = 5
     kmax: int = 8
     tolerance: float = 0.15
-    thin_to: int = 1000
+    thin_to: int | None = 1000
 
 
 @dataclass(frozen=True)

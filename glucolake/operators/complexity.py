@@ -1,21 +1,25 @@
 """Complexity of glucose series: Shannon entropy, DFA, Higuchi dimension, Hurst exponent, multiscale entropy.
 
 Series are numbered without a task per subject (counts by day, then by row within a day), so
-that segments, lags and profiles are groupings by (subject, scale, segment).  Only the sample
-entropy compares all pairs of points; it works on series thinned to ``thin_to`` points.
+that segments, lags and profiles are groupings by (subject, scale, segment).  Sample entropy compares
+all pairs of points of series thinned to ``thin_to`` points, or, where that is None, counts pairs of
+whole series over cells of the width of the tolerance.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucolake.config import ComplexityParams
 from glucolake.functions.columns import finite, real_subject
+from glucolake.functions.tables import stored
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -159,8 +163,11 @@ def sample_entropy(x: np.ndarray, m: int, r: float) -> float:
 def mse(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> DataFrame:
     """Sample entropy per subject and scale: ``id``, ``scale``, ``sample_entropy``; the tolerance is a share of each coarse series' SD.
 
-    Series are thinned evenly to ``thin_to`` points before a subject's points meet in a task.
+    Series are thinned evenly to ``thin_to`` points before a subject's points meet in a task;
+    ``thin_to`` None takes them whole (``mse_whole``).
     """
+    if params.thin_to is None:
+        return mse_whole(df, params)
     s, most = numbered(df), params.thin_to
     place = lambda k: F.floor(F.col(k) * (F.col("n") - 1) / (most - 1) + 0.5)  # noqa: E731  the k-th of the points kept
     nearest = F.floor(F.col("i") * (most - 1) / (F.col("n") - 1) + 0.5)
@@ -181,6 +188,70 @@ def mse(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> DataFra
     return thin.where(kept).select("id", "i", "x").groupBy("id").applyInPandas(scales, "id string, scale int, sample_entropy double")
 
 
+#: Templates of a cell that meet others at a time.
+CELL_ROWS = 2048
+
+
+def templates(df: DataFrame, params: ComplexityParams) -> DataFrame:
+    """``id``, ``scale``, ``t``, ``x`` (``embedding + 1`` values of the coarse series from place t on) and ``r``, the tolerance."""
+    m = params.embedding
+    s = numbered(df).select("id", "i", "x", "n", F.explode(F.sequence(F.lit(1), F.lit(params.scales))).alias("scale"))
+    s = s.where(F.col("i") < F.floor(F.col("n") / F.col("scale")) * F.col("scale"))
+    coarse = stored(s.groupBy("id", "scale", F.floor(F.col("i") / F.col("scale")).alias("j")).agg(F.avg("x").alias("v")), "coarse")
+    spread = coarse.groupBy(F.col("id").alias("__id"), F.col("scale").alias("__scale")).agg(F.count("*").alias("points"), (params.tolerance * F.stddev_samp("v")).alias("r")).where((F.col("points") > m + 1) & (F.col("r") > 0))
+    placed = coarse.select("id", "scale", "v", F.posexplode(F.sequence(F.col("j"), F.col("j") - m)).alias("k", "t"))
+    found = placed.groupBy("id", "scale", "t").agg(*(F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"x{k}") for k in range(m + 1)))
+    found = found.where(" and ".join(f"x{k} is not null" for k in range(m + 1)))
+    return found.join(spread, (F.col("id") == F.col("__id")) & (F.col("scale") == F.col("__scale"))).select("id", "scale", "t", F.array(*(f"x{k}" for k in range(m + 1))).alias("x"), "r")
+
+
+def mse_whole(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> DataFrame:
+    """``mse`` of whole series.
+
+    Templates lie in cells a hair wider than the tolerance by their first two values (one, if the
+    embedding has no more), so those within the tolerance are in the same cell or next to each other.  A cell is cut into
+    blocks of about ``CELL_ROWS`` templates, and blocks of the same cell or of neighbours meet, each
+    pair once: what is counted is compared exactly, and no task has more than two blocks at a time.
+    """
+    m, dims = params.embedding, min(2, params.embedding)
+    d = templates(df, params)
+    width = F.col("r") * (1 + 1e-9)
+    cell = [F.floor(F.get("x", F.lit(k)) / width).alias(f"c{k}") for k in range(dims)]
+    cells = ["id", "scale", *(f"c{k}" for k in range(dims))]
+    d = stored(d.select("id", "scale", "t", "x", "r", *cell), "templates")
+    sizes = d.groupBy(*cells).agg(F.ceil(F.count("*") / CELL_ROWS).alias("blocks")).select(*(F.col(c).alias(f"__{c}") for c in cells), "blocks")
+    same = [F.col(c) == F.col(f"__{c}") for c in cells]
+    d = d.join(sizes, same).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks"))).drop(*(f"__{c}" for c in cells))
+    blocks = stored(d.groupBy(*cells, "block").agg(F.first("r").alias("r"), F.flatten(F.collect_list("x")).alias("xs")), "blocks")  # CELL_ROWS or so each
+    # Every cell beside or above in one direction, so that two cells meet once; a cell meets itself block by block.
+    ways = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)] if dims == 2 else [(0,), (1,)]
+    way = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"w{k}") for k, v in enumerate(w))) for w in ways))).alias("way")
+    left = blocks.select(*cells, "block", "r", "xs", way).select("id", "scale", *((F.col(f"c{k}") + F.col(f"way.w{k}")).alias(f"c{k}") for k in range(dims)), "block", "r", "xs", (F.greatest(*(F.abs(f"way.w{k}") for k in range(dims)), F.lit(0)) == 0).alias("own"))
+    right = blocks.select(*(F.col(c).alias(f"__{c}") for c in cells), F.col("block").alias("__block"), F.col("xs").alias("__xs"))
+    pairs = left.join(right, same).where(~F.col("own") | (F.col("block") <= F.col("__block")))
+    pairs = pairs.select("id", "scale", "r", "xs", "__xs", (F.col("own") & (F.col("block") == F.col("__block"))).alias("itself"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r, a, b, itself in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), batch.column(5).to_pylist(), strict=True):
+                a, b = (v.values.to_numpy(zero_copy_only=False).reshape(-1, m + 1) for v in (a, b))
+                hits = more = 0
+                for start in range(0, len(a), 512):
+                    part = a[start : start + 512]
+                    near = np.ones((len(part), len(b)), bool)
+                    for k in range(m):
+                        near &= np.abs(part[:, k, None] - b[:, k]) <= r
+                    hits += int(near.sum())
+                    more += int((near & (np.abs(part[:, m, None] - b[:, m]) <= r)).sum())
+                # Within a block every pair is seen from both sides, and each template meets itself.
+                out.append(((hits - len(a)) // 2, (more - len(a)) // 2) if itself else (hits, more))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h for h, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], ["id", "scale", "hits", "more"])
+
+    totals = pairs.mapInArrow(count, "id string, scale int, hits long, more long").groupBy("id", "scale").agg(F.sum("hits").alias("hits"), F.sum("more").alias("more")).where("hits > 0 and more > 0")
+    return totals.select("id", "scale", (-F.log(F.col("more") / F.col("hits"))).alias("sample_entropy"))
+
+
 def complexity_curves(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> DataFrame:
     """All curves in one long table: ``id``, ``curve``, ``scale_value``, ``metric_value``."""
     part = lambda d, name, v: d.select("id", F.lit(name).alias("curve"), F.col("scale").cast("double").alias("scale_value"), F.col(v).alias("metric_value"))

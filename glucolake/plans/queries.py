@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucolake.config import FunctionalParams, PredictiveParams
+from glucolake.config import ComplexityParams, FunctionalParams, PredictiveParams
 from glucolake.operators import complexity, downsample, export, functional, imputation, metrics, missingness, predictive, quality, review, scope, stats
 from glucolake.plans.fixtures import DENSE, SPARSE, TEXT, plain, plain_sql, readings, text_readings
 from glucolake.sources import standardize as std
@@ -359,6 +359,14 @@ def multiscale_entropy(spark, d):
     return complexity.mse(readings(spark, d))
 
 
+WHOLE_ENTROPY = ENTROPY.replace(ENTROPY[: ENTROPY.index("\nj AS")], "").replace("FROM k)", "FROM v)").lstrip("\n")
+
+
+@query("multiscale_entropy_whole", f"{SERIES}, {WHOLE_ENTROPY}\nFINAL SELECT id, scale, -ln(more / hits::DOUBLE) AS sample_entropy FROM h WHERE more > 0", "id:s scale:i sample_entropy:d")
+def multiscale_entropy_whole(spark, d):
+    return complexity.mse(readings(spark, d), ComplexityParams(thin_to=None))
+
+
 HURST = """q AS (SELECT id, unnest(list_filter([n >> k for k in range(40)], lambda w: w >= 16)) AS scale FROM (SELECT id, max(n) AS n FROM v GROUP BY id HAVING max(x) > min(x))),
 sg AS (SELECT v.id, scale, i // scale AS seg, i, x, avg(x) OVER s AS m, stddev_pop(x) OVER s AS sd FROM v JOIN q USING (id) WHERE i < (n // scale) * scale WINDOW s AS (PARTITION BY v.id, scale, i // scale)),
 rz AS (SELECT *, sum(x - m) OVER (PARTITION BY id, scale, seg ORDER BY i) AS z FROM sg), rs AS (SELECT id, scale, avg(rs) AS rs FROM (SELECT id, scale, seg, (max(z) - min(z)) / nullif(max(sd), 0) AS rs FROM rz GROUP BY ALL) GROUP BY id, scale),

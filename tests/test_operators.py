@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glucolake.config import FunctionalParams, PredictiveParams, Settings, Thresholds, interval
+from glucolake.config import ComplexityParams, FunctionalParams, PredictiveParams, Settings, Thresholds, interval
 from glucolake.functions.columns import with_sum_below
 from glucolake.operators import complexity as C
 from glucolake.operators import downsample as D
@@ -368,6 +368,25 @@ def test_predictive_exports_and_cards(spark):
     assert none["message"] == "Needs at least 80 examples." and none["scores"].where("risk_probability is not null").count() == 0
 
 
+@pytest.mark.parametrize("embedding, cell_rows, n", [(2, 2048, 5000), (2, 40, 900), (1, 60, 700), (3, 100, 800)])
+def test_sample_entropy_of_whole_series_equals_all_pairs(spark, monkeypatch, embedding, cell_rows, n):
+    """Also where most templates lie in few cells and these are cut into many blocks."""
+    monkeypatch.setattr(C, "CELL_ROWS", cell_rows)
+    rng = np.random.default_rng(n)
+    a = np.round(120 + 30 * np.sin(np.arange(n) / 40) + rng.normal(0, 8, n))
+    b = np.where(rng.random(300) < 0.8, 100.0, rng.uniform(60, 250, 300))  # one cell holds most
+    params = ComplexityParams(thin_to=None, embedding=embedding, scales=3)
+    got = {(r["id"], r["scale"]): r["sample_entropy"] for r in C.mse(series(spark, a).unionByName(series(spark, b, id="B")).unionByName(series(spark, [100.0] * 50, id="C")), params).collect()}
+    want = {}
+    for i, x in (("A", a), ("B", b)):
+        for scale in (1, 2, 3):
+            coarse = x[: len(x) // scale * scale].reshape(-1, scale).mean(axis=1)
+            e = C.sample_entropy(coarse, embedding, params.tolerance * coarse.std(ddof=1))
+            if math.isfinite(e):
+                want[i, scale] = e
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+
 def test_lttb_of_long_series_is_one_pass(spark):
     """The points of one walk over the whole series, however many days and tasks it lies in; corners are all that is looked at."""
     rng = np.random.default_rng(9)
