@@ -51,9 +51,26 @@ def complete_predictive(examples: DataFrame, params: PredictiveParams = Predicti
 
 
 def status_rows(results: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Every subject with whether it has results: ``Generated`` or ``Not generated``."""
+    """Every subject, with its group where there is one, and whether it has results: ``Generated`` or ``Not generated``."""
     done = results.select(F.col("id").alias("did")).distinct()
-    return subjects.select("id").distinct().join(done, F.col("id").eqNullSafe(F.col("did")), "left").select("id", F.when(F.col("did").isNotNull(), "Generated").otherwise("Not generated").alias("status"))
+    group = [F.max("group").alias("group")] if "group" in subjects.columns else []
+    every = subjects.groupBy("id").agg(F.count("*").alias("__n"), *group).drop("__n")
+    return every.join(done, F.col("id").eqNullSafe(F.col("did")), "left").withColumn("status", F.when(F.col("did").isNotNull(), "Generated").otherwise("Not generated")).drop("did")
+
+
+def _with_status(rows: DataFrame, subjects: DataFrame, what: str) -> DataFrame:
+    status = status_rows(rows, subjects).withColumns({"category": F.lit("Cache status"), "metric": F.lit(f"{what} cache status"), "definition": F.lit(f"Selected-on-demand {what} cache coverage at export time.")})
+    return rows.unionByName(status, allowMissingColumns=True)
+
+
+def cached_metrics(metrics: DataFrame, subjects: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Display rows of the metrics that there are, and a row for each subject of the table that tells whether it is among them."""
+    return _with_status(mx.metrics_long(metrics, thresholds), subjects, "Metrics")
+
+
+def cached_complexity(rows: DataFrame, subjects: DataFrame) -> DataFrame:
+    """The same for rows of ``complete_complexity``."""
+    return _with_status(rows, subjects, "Complexity")
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:

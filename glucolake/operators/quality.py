@@ -81,6 +81,13 @@ def duplicate_totals(summary: DataFrame) -> DataFrame:
     return summary.agg(F.coalesce(F.sum("duplicate_timestamps"), F.lit(0)).alias("duplicate_timestamps"), F.count_if(F.col("duplicate_timestamps") > 0).alias("affected_subjects"))
 
 
+def duplicate_note(summary: DataFrame, show_subjects: bool = True) -> DataFrame:
+    """The totals with what is told of them; no row where no timestamp is there twice."""
+    across = F.concat(F.lit(" across "), F.format_number("affected_subjects", 0), F.lit(" Subject ID(s)")) if show_subjects else F.lit("")
+    message = F.concat(F.format_number("duplicate_timestamps", 0), F.lit(" duplicate timestamp(s) detected"), across, F.lit(". Review duplicate timestamps before final analysis if they are unexpected."))
+    return duplicate_totals(summary).where("duplicate_timestamps > 0").withColumn("message", message)
+
+
 def qc_cards(summary: DataFrame, low_coverage_percent: int = 80) -> DataFrame:
     """One row of totals over all subjects."""
     return summary.agg(

@@ -113,6 +113,26 @@ def core_metrics(spark, d):
     return metrics.core_metrics(readings(spark, d))
 
 
+DIGITS = "CASE metric " + " ".join(f"WHEN '{raw}' THEN {digits}" for raw, _, _, _, digits, _ in metrics.catalog()) + " END"
+CORE_ROWS = f"""{CORE}, cm AS (SELECT {KEYS}, CAST(readings AS DOUBLE) AS readings, * EXCLUDE ({KEYS}, readings) FROM base LEFT JOIN lg USING ({KEYS}) LEFT JOIN risk USING ({KEYS}) LEFT JOIN mg USING ({KEYS})),
+ml AS (SELECT {KEYS}, metric AS raw_name, round(value, {DIGITS}) AS value FROM cm UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE ({KEYS})))))"""
+
+
+@query("metrics_export", f"{CORE_ROWS}\nFINAL SELECT * FROM ml", "id:s id_source:s group:s metric_period:s raw_name:s value:d")
+def metrics_export(spark, d):
+    return export.complete_metrics(readings(spark, d)).select("id", "id_source", "group", "metric_period", "raw_name", "value")
+
+
+@query("metrics_cached_export", f"""{CORE_ROWS}
+FINAL SELECT id, "group", raw_name, value, NULL AS status, NULL AS definition FROM ml WHERE id < 'S3' UNION ALL
+ SELECT id, "group", NULL, NULL, CASE WHEN id < 'S3' THEN 'Generated' ELSE 'Not generated' END, 'Selected-on-demand Metrics cache coverage at export time.' FROM (SELECT DISTINCT id, "group" FROM g)""",
+    "id:s group:s raw_name:s value:d status:s definition:s")
+def metrics_cached_export(spark, d):
+    """Metrics of some subjects, and for all of them whether they are there."""
+    r = readings(spark, d)
+    return export.cached_metrics(metrics.core_metrics(r.where("id < 'S3'")), r).select("id", "group", "raw_name", "value", "status", "definition")
+
+
 @query("agp", f"""WITH {DENSE}
 FINAL SELECT floor(mod / 30) * 30 + 15 AS time_minutes, quantile_cont(glucose, 0.05) AS q05, quantile_cont(glucose, 0.25) AS q25, quantile_cont(glucose, 0.5) AS median, quantile_cont(glucose, 0.75) AS q75, quantile_cont(glucose, 0.95) AS q95, count(*) AS n
  FROM g WHERE glucose IS NOT NULL GROUP BY 1""", "time_minutes:d q05:d q25:d median:d q75:d q95:d n:i")
@@ -710,6 +730,20 @@ def thin_evenly(spark, d):
     return downsample.thin_evenly(readings(spark, d), 250).select("id", "timestamp", "glucose")
 
 
+@query("duplicate_note", f"""{QC}
+FINAL SELECT CAST(sum(duplicate_timestamps) AS BIGINT) AS duplicate_timestamps, count_if(duplicate_timestamps > 0) AS affected_subjects,
+ format('{{:,}}', CAST(sum(duplicate_timestamps) AS BIGINT)) || ' duplicate timestamp(s) detected across ' || format('{{:,}}', count_if(duplicate_timestamps > 0)) || ' Subject ID(s). Review duplicate timestamps before final analysis if they are unexpected.' AS message
+ FROM q HAVING sum(duplicate_timestamps) > 0""", "duplicate_timestamps:i affected_subjects:i message:s")
+def duplicate_note(spark, d):
+    return quality.duplicate_note(quality.qc_summary(readings(spark, d)))
+
+
+@query("functional_export")
+def functional_export(spark, d):
+    """Features of all subjects as they are exported; the curves have a query of their own."""
+    return export.complete_functional(readings(spark, d))[0]
+
+
 @query("qc_cards", f"""{QC}
 FINAL SELECT count(*) AS subjects, sum(readings) AS readings, sum(missing_glucose) AS missing_glucose, avg(wear_time_percent) AS mean_wear_time_percent, count_if(wear_time_percent < 80) AS low_coverage_subjects, sum(gap_count) AS gap_count, sum(implausible_values) AS implausible_values FROM q""",
     "subjects:i readings:i missing_glucose:i mean_wear_time_percent:d low_coverage_subjects:i gap_count:i implausible_values:i")

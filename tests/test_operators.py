@@ -281,6 +281,22 @@ def test_export(spark, tmp_path):
     assert [interval(v) for v in (None, "x", 0, -1, 10, 7.9)] == [5, 5, 5, 5, 10, 7]
 
 
+def test_notes_and_cached_exports(spark, tmp_path):
+    df = table(spark, [("A", "08:00", 100), ("A", "08:00", 110), ("A", "09:00", 120), ("B", "08:00", 100), ("B", "09:00", 90)])
+    note = one(Q.duplicate_note(Q.qc_summary(df)))
+    assert (note["duplicate_timestamps"], note["affected_subjects"], note["message"]) == (1, 1, "1 duplicate timestamp(s) detected across 1 Subject ID(s). Review duplicate timestamps before final analysis if they are unexpected.")
+    assert "across" not in one(Q.duplicate_note(Q.qc_summary(df), show_subjects=False))["message"] and Q.duplicate_note(Q.qc_summary(df.where("id = 'B'"))).count() == 0
+    complete = E.complete_metrics(df)
+    some = E.cached_metrics(M.core_metrics(df.where("id = 'A'")), df)
+    rows = some.where("status is not null").collect()
+    assert {(r["id"], r["group"], r["category"], r["metric"], r["status"], r["value"]) for r in rows} == {("A", "g", "Cache status", "Metrics cache status", "Generated", None), ("B", "g", "Cache status", "Metrics cache status", "Not generated", None)}
+    assert some.where("status is null").count() == complete.where("id = 'A'").count() > 0
+    curves = E.complete_complexity(df.where("id = 'B'"))
+    assert {(r["id"], r["status"], r["metric"]) for r in E.cached_complexity(curves, df).where("status is not null").collect()} == {("A", "Not generated", "Complexity cache status"), ("B", "Generated", "Complexity cache status")}
+    E.write_settings(Settings(), str(tmp_path / "log"), spark)
+    assert "\n".join(r[0] for r in spark.read.text(str(tmp_path / "log")).collect()) == Settings().to_json()
+
+
 def test_metadata_that_varies_is_dropped(spark):
     df = table(spark, [("A", "01:00", 1), ("A", "02:00", 2)]).withColumn("site", F.col("_ord").cast("string")).withColumn("sex", F.lit("F"))
     m = M.attach_metadata(M.base_metrics(df, keys=["id"]), df, ["site", "sex"])
