@@ -43,28 +43,26 @@ def real_subject(c: Column | str = "id") -> Column:
     return c.isNotNull() & (c != "")
 
 
-def bucket(value: str, edges: list) -> Column:
-    """How many of ``edges``, which rise, are less than the column ``value``: a binary search as one expression."""
-    def among(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        mid = (low + high) // 2
-        edge = f"{edges[mid]!r}D" if isinstance(edges[mid], float) else f"{edges[mid]}L"
-        return f"IF(`{value}` <= {edge}, {among(low, mid)}, {among(mid + 1, high)})"
+def with_bucket(d: DataFrame, value: str, edges: list, name: str) -> DataFrame:
+    """``d`` with the number of ``edges``, which rise, that are at most the column ``value`` (looked up by binary search, as doubles)."""
+    from pyspark.ml.feature import Bucketizer
 
-    return F.expr(among(0, len(edges)))
+    splits = sorted({float(e) for e in edges})
+    if not splits:
+        return d.withColumn(name, F.lit(0))
+    return Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol=value, outputCol=name, handleInvalid="keep").transform(d).withColumn(name, F.col(name).cast("int"))
 
 
-def with_sum_below(counts: DataFrame, value: str, n: str, by: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
+def with_sum_below(counts: DataFrame, value: str, n: str, by: tuple[str, ...] = (), buckets: int = 256, store: bool = True) -> DataFrame:
     """``counts`` with ``below``: the sum of ``n`` over the rows of ``by`` with a smaller ``value`` (a whole number or double, once for each of ``by``).
 
     Values are cut into buckets at approximate quantiles.  Sums run over buckets, of which there
     are few, and over the rows of a bucket, so no task has to order all values.  ``counts`` is
-    stored first, as it is read three times.
+    stored first, as it is read three times, unless ``store`` says that it is cheap to make.
     """
-    counts = stored(counts, "counts")
+    counts = stored(counts, "counts") if store else counts
     edges = sorted(set(counts.select(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
-    d = counts.withColumn("__bucket", bucket(value, edges))
+    d = with_bucket(counts, value, edges, "__bucket")
     upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy(*by, "__bucket").agg(F.sum(n).alias("__sum"))
     sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(upto(*(by or (F.lit(1),))).orderBy("__bucket")), F.lit(0)))

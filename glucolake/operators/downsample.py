@@ -14,6 +14,8 @@ from glucolake.functions.columns import micros
 from glucolake.functions.tables import stored
 
 BUDGET, LEAST_PER_SUBJECT = 25_000, 250
+#: Rows of a bucket up to which a task hands them on as they are.
+FEW = 16
 
 
 def per_subject_budget(subjects: int, budget: int = BUDGET, least: int = LEAST_PER_SUBJECT) -> int:
@@ -42,10 +44,11 @@ def lttb_indices(x: np.ndarray, y: np.ndarray, n_out: int) -> np.ndarray:
 
 def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Places of the corners of the convex hull of points in order of ``x``; of equal points the first."""
-    _, first = np.unique(np.column_stack([x, y]), axis=0, return_index=True)
-    order = first[np.lexsort((y[first], x[first]))].tolist()
+    order = np.lexsort((y, x))  # stable: of equal points the first comes first
+    order = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]].tolist() if len(x) else []
     if len(order) <= 2:
         return np.sort(np.array(order, int))
+    x, y = x.tolist(), y.tolist()
     corners: set[int] = set()
     for way in (order, order[::-1]):
         chain: list[int] = []
@@ -90,7 +93,7 @@ def lttb(df: DataFrame, n_out: int = LEAST_PER_SUBJECT) -> DataFrame:
             k, i, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
             order = np.lexsort((i, k, who))
             starts = np.flatnonzero(np.r_[True, (np.diff(k[order]) != 0) | (np.diff(who[order]) != 0)]) if len(order) else []
-            kept = [part if len(part) <= 2 else part[hull(x[part], y[part])] for part in np.split(order, starts[1:])]
+            kept = [part if len(part) <= FEW else part[hull(x[part], y[part])] for part in np.split(order, starts[1:])]
             yield batch.take(pa.array(np.concatenate(kept)))
 
     points = rows.mapInArrow(corners, kind).repartition("id", "bucket").sortWithinPartitions("id", "bucket").mapInArrow(corners, kind)
@@ -98,14 +101,15 @@ def lttb(df: DataFrame, n_out: int = LEAST_PER_SUBJECT) -> DataFrame:
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         mean = {k: (x, y) for k, x, y in pdf.loc[pdf["mean"], ["bucket", "x", "glucose"]].itertuples(index=False)}
-        candidates = {k: part.sort_values("i") for k, part in pdf[~pdf["mean"]].groupby("bucket")}
+        places = pdf[~pdf["mean"]].sort_values(["bucket", "i"])
+        number, i, x, y = (places[c].to_numpy() for c in ("bucket", "i", "x", "glucose"))
+        starts = np.searchsorted(number, np.arange(n_out))
         px, py = mean[-1]
         kept = []
         for k in range(n_out - 2):
-            part, (mx, my) = candidates[k], mean[k + 1]
-            x, y = part["x"].to_numpy(), part["glucose"].to_numpy()
-            best = int(np.abs((px - mx) * (y - py) - (px - x) * (my - py)).argmax())
-            kept.append(int(part["i"].iloc[best]))
+            part, (mx, my) = slice(starts[k], starts[k + 1]), mean[k + 1]
+            best = starts[k] + int(np.abs((px - mx) * (y[part] - py) - (px - x[part]) * (my - py)).argmax())
+            kept.append(int(i[best]))
             px, py = x[best], y[best]
         return pd.DataFrame({"__of": pdf["id"].iloc[0], "__kept": kept}).astype({"__of": object})
 

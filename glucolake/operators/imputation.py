@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glucolake.config import interval
 from glucolake.functions.columns import MICROS_PER_MINUTE, micros, with_previous
+from glucolake.functions.tables import stored
 from glucolake.operators import smoothing
 from glucolake.operators.missingness import GAP, grid_summary, regular_grid
 
@@ -60,7 +61,7 @@ def impute(df: DataFrame, model: str = "auto", minutes: int = 5, low: float = 39
     line.  A subject with fewer than ``LEAST_HISTORY`` readings comes back as it was, with an error.
     """
     minutes = interval(minutes)
-    grid = regular_grid(df, minutes)
+    grid = stored(regular_grid(df, minutes), "grid")  # read for neighbours, for means by hour and for the result
     placed = grid.where(F.col("slot").isNotNull())
     seen = with_previous(placed.where(F.col("glucose").isNotNull()).select("id", "slot", "timestamp", "_ord", "glucose"), {"s0": F.col("slot"), "g0": F.col("glucose")}, order=("timestamp",))
     between = seen.where(F.col("slot") - F.col("s0") > 1).select("id", F.col("s0"), F.col("slot").alias("s1"), "g0", F.col("glucose").alias("g1"), F.explode(F.sequence(F.col("s0") + 1, F.col("slot") - 1)).alias("slot"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glucolake.functions.columns import with_sum_below
+from glucolake.functions.tables import stored
 
 #: Groups that a comparison lists by name; of more it gives the number.
 NAMED_GROUPS = 1000
@@ -37,11 +38,12 @@ def moments(metrics: DataFrame, metric: str, grouping: str = "group", period: st
 def rank_sums(metrics: DataFrame, metric: str, grouping: str = "group", period: str = "full_day") -> DataFrame:
     """What the rank sum test needs: size, sum of midranks and the tie term by group.
 
-    Values are counted by distinct value first; ranks are sums of those counts.
+    Values are counted by distinct value first; ranks are sums of those counts.  The metrics are
+    computed once and stored.
     """
-    rows = analysis_rows(metrics, metric, grouping, period)
+    rows = stored(analysis_rows(metrics, metric, grouping, period), "values")
     ties = rows.groupBy("value").agg(F.count("*").alias("t"))
-    ties = with_sum_below(ties, "value", "t").withColumn("midrank", F.col("below") + (F.col("t") + 1) / 2).drop("below")
+    ties = with_sum_below(ties, "value", "t", store=False).withColumn("midrank", F.col("below") + (F.col("t") + 1) / 2).drop("below")
     term = ties.agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term"))
     return rows.join(ties, "value").groupBy("group").agg(F.count("*").alias("n"), F.sum("midrank").alias("rank_sum")).crossJoin(F.broadcast(term))
 
