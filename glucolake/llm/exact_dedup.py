@@ -30,6 +30,8 @@ from pyspark.sql.types import IntegralType
 from glucolake.llm.shared import batched, partitions, steps, texts_of, written
 
 FAN_IN = 8
+#: Texts of a slice of the digest range: its last run is one value of some 60 bytes a text.
+SLICE_TEXTS = 4_000_000
 NULL_ID = np.iinfo(np.int64).min
 #: What a run has for each digest: the digest, the identifier that stays, its partition, copies, text length.
 RECORD = np.dtype([("digest", "S32"), ("keep", "<i8"), ("node", "<i4"), ("copies", "<i8"), ("length", "<i8")])
@@ -65,7 +67,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     if not isinstance(docs.schema[id_column].dataType, IntegralType):
         raise TypeError(f"ids are whole numbers, {id_column} is {docs.schema[id_column].dataType.simpleString()}")
     largest, spark = keep == "largest", docs.sparkSession
-    slices = max(8, partitions(spark))
+    slices = max(8, partitions(spark), -(-docs.count() // SLICE_TEXTS))
 
     def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, digests, lengths, own = [], [], [], []

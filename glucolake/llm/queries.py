@@ -52,6 +52,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of op6 alone, which SQL can say."""
+    return quality.measures(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of op9's shards, as counts: rows and bytes that they have in all, groups of equal texts in more than one, and shards whose slots have gaps."""
+    rows = op9_sharding(spark, sf_dir)
+    groups = rows.groupBy("size", "text_crc32").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.count_distinct("shard").alias("shards"))
+    slots = rows.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.min("slot").alias("first"))
+    gaps = slots.agg(F.count_if((F.col("slots") != F.col("n")) | (F.col("last") != F.col("n") - 1) | (F.col("first") != 0)).alias("gaps"), F.max("shard").alias("last_shard"))
+    whole = groups.agg(F.sum("n").alias("documents"), F.sum("bytes").alias("total_size"), F.count_if(F.col("shards") > 1).alias("split_groups"))
+    return whole.join(gaps, F.lit(True)).select("documents", "total_size", "split_groups", "gaps", (F.col("last_shard") < 40).alias("in_range"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -159,6 +174,20 @@ WINDOW o AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id
 QUALIFY row_number() OVER o <= 10
 """
 
+QUALITY_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, row_number() OVER () AS row FROM documents),
+t AS (SELECT row, unnest(range(1, len(words) - 1)) AS i, words FROM d WHERE len(words) >= 3),
+w AS (SELECT row, i, count(*) OVER (PARTITION BY row, words[i], words[i + 1], words[i + 2]) AS n FROM t),
+r AS (SELECT row, count(DISTINCT i + k) AS n FROM w, range(3) AS o(k) WHERE w.n >= 2 GROUP BY row),
+m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r ON r.row = d.row)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+"""
+
+SHARDING_LAWS_SQL = """
+SELECT count(*) AS documents, CAST(sum(octet_length(encode(coalesce(text, ''))) + 16) AS BIGINT) AS total_size, CAST(0 AS BIGINT) AS split_groups, CAST(0 AS BIGINT) AS gaps, true AS in_range FROM documents
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
@@ -173,5 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_packing": op11_packing,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling": op13_spelling,
+    "quality_base": quality_base,
+    "sharding_laws": sharding_laws,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_ngram_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_ngram_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op12_hard_negatives": OP12_SQL, "quality_base": QUALITY_BASE_SQL, "sharding_laws": SHARDING_LAWS_SQL}

@@ -48,3 +48,18 @@ def test_text_ids_are_refused(spark):
 def test_keep_rows(spark):
     df = spark.createDataFrame([(1, "a", 7), (2, "A", 8), (None, "c", 9)], "doc_id long, text string, kept int")
     assert sorted((r["doc_id"] or 0, r["kept"]) for r in keep_rows(df, exact_groups(df)).collect()) == [(0, 9), (2, 8)]
+
+
+def test_more_slices_than_partitions(spark, monkeypatch):
+    """Slices follow the number of texts, not a setting of the session."""
+    monkeypatch.setattr("glucolake.llm.exact_dedup.SLICE_TEXTS", 20)
+    df = spark.range(1500).selectExpr("id as doc_id", "concat('t', id % 700) as text").repartition(3)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_groups(df).collect()}
+    assert got == {i: (i % 700 + 1400 if i % 700 < 100 else i % 700 + 700, 3 if i % 700 < 100 else 2) for i in range(1500)}
+
+
+def test_very_long_texts(spark):
+    """Whole texts count: two that differ in their last letter after two million are not equal, a copy in other case is."""
+    long_ = "ab " * 700_000
+    rows = spark.createDataFrame([(1, long_ + "x"), (2, long_ + "y"), (3, long_.upper() + "X"), (4, "a")], "doc_id long, text string")
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_groups(rows).collect()} == {(1, 3, 2), (3, 3, 2), (2, 2, 1), (4, 4, 1)}
