@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from glucolake.config import ComplexityParams
 from glucolake.functions.columns import finite, real_subject
 from glucolake.functions.tables import stored
+from glucolake.operators.missingness import GAP
+from glucolake.operators.quality import intervals, median_interval
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -32,6 +34,43 @@ def numbered(df: DataFrame) -> DataFrame:
     return d.join(days, ["id", "day"]).select("id", (F.col("before") + F.col("nth")).alias("i"), "x", "n", "day")
 
 
+#: How a series came about, and what is told of it.
+SERIES_NOTES = {
+    "observed": "Using observed finite glucose readings in timestamp order; no interpolation or gap filling was applied.",
+    "imputed_regular": "Using imputed/generated analysis rows; no additional Complexity regularization was applied.",
+}
+POINTS = {"observed": "usable observed points", "imputed_regular": "usable imputed/regular analysis points"}
+TIME_BASES = {"observed": "Observed readings in time order", "imputed_regular": "Imputed or generated rows in time order"}
+
+
+def by_mode(texts: dict[str, str]):
+    return F.when(F.col("series_mode") == "imputed_regular", texts["imputed_regular"]).otherwise(texts["observed"])
+
+
+def series_modes(df: DataFrame) -> DataFrame:
+    """``id`` and ``series_mode`` of each subject: ``imputed_regular`` if any of its rows was imputed or made for a gap, else ``observed``."""
+    made = F.lit(False)
+    for name in ("imputed_flag", "inserted_timestamp_gap"):
+        if name in df.columns:
+            made |= F.coalesce(F.col(name), F.lit(False))
+    if "missing_source" in df.columns:
+        made |= F.coalesce(F.col("missing_source") == GAP, F.lit(False))
+    return df.where(real_subject()).groupBy("id").agg(F.when(F.bool_or(made), "imputed_regular").otherwise("observed").alias("series_mode"))
+
+
+def series_summary(df: DataFrame, params: ComplexityParams = ComplexityParams(), gap_factor: float = 1.5) -> DataFrame:
+    """What each subject's series is like before anything is computed from it: mode, rows, usable points, median interval, gaps longer than ``gap_factor`` of it, and whether there are points enough."""
+    d = df.where(real_subject()).withColumn("x", finite("glucose"))
+    rows = d.groupBy("id").agg(F.count("*").alias("readings"), F.count("x").alias("finite_glucose_rows"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"), F.count_if(F.col("x").isNotNull() & F.col("timestamp").isNotNull()).alias("usable_points"))
+    median = median_interval(d.where("x is not null")).withColumnRenamed("id", "__id").withColumnRenamed("median_interval_minutes", "interval_minutes")
+    gaps = intervals(d.where("x is not null")).select(F.col("id").alias("__gid"), "gap_minutes").join(median, F.col("__gid") == F.col("__id")).groupBy("__gid").agg(F.max("interval_minutes").alias("interval_minutes"), F.count_if(F.col("gap_minutes") > gap_factor * F.col("interval_minutes")).alias("gap_count"))
+    out = rows.join(gaps, F.col("id") == F.col("__gid"), "left").drop("__gid").join(series_modes(df).withColumnRenamed("id", "__mid"), F.col("id") == F.col("__mid")).drop("__mid")
+    eligible = F.col("usable_points") >= params.min_points
+    note = F.concat(F.when(eligible, "Eligible. ").otherwise(F.concat(F.lit(f"Needs at least {params.min_points} "), by_mode(POINTS), F.lit(". "))), by_mode(SERIES_NOTES))
+    gap_count = F.when(F.col("usable_points") < 2, F.lit(0)).when(F.col("interval_minutes").isNotNull(), F.coalesce("gap_count", F.lit(0)))
+    return out.withColumns({"gap_count": gap_count, "series_note": by_mode(SERIES_NOTES), "eligible": eligible, "note": note})
+
+
 def shannon(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> DataFrame:
     """Entropy of glucose in right-closed bins, over the logarithm of the filled bins; a constant series has 0."""
     w = params.bin_width

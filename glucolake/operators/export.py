@@ -28,13 +28,13 @@ def complete_metrics(df: DataFrame, thresholds: Thresholds = Thresholds()) -> Da
 
 
 def complete_complexity(df: DataFrame) -> DataFrame:
-    """Scalars and curves in one schema, with the time basis."""
+    """Scalars and curves in one schema, with the time basis of each subject's series."""
     m = cx.complexity_metrics(df)
-    basis = F.lit("Observed readings in time order").alias("time_basis")
-    scalar = m.select("id", F.lit("scalar").alias("row_type"), F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"), (F.concat("note", f"{c}_note") if c in cx.NAMED else F.col("note")).alias("note")) for c in ("shannon_entropy", "hurst", "dfa_alpha", "higuchi_fd")))).alias("r"), basis)
-    scalar = scalar.select("id", "row_type", "r.metric", F.lit(None).cast("double").alias("scale_value"), "r.value", "r.note", "time_basis")
-    curve = cx.complexity_curves(df).select("id", F.lit("curve").alias("row_type"), F.col("curve").alias("metric"), "scale_value", F.col("metric_value").alias("value"), F.lit("").alias("note"), basis)
-    return scalar.unionByName(curve)
+    modes = cx.series_modes(df).select(F.col("id").alias("__id"), cx.by_mode(cx.TIME_BASES).alias("time_basis"))
+    scalar = m.select("id", F.lit("scalar").alias("row_type"), F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"), (F.concat("note", f"{c}_note") if c in cx.NAMED else F.col("note")).alias("note")) for c in ("shannon_entropy", "hurst", "dfa_alpha", "higuchi_fd")))).alias("r"))
+    scalar = scalar.select("id", "row_type", "r.metric", F.lit(None).cast("double").alias("scale_value"), "r.value", "r.note")
+    curve = cx.complexity_curves(df).select("id", F.lit("curve").alias("row_type"), F.col("curve").alias("metric"), "scale_value", F.col("metric_value").alias("value"), F.lit("").alias("note"))
+    return scalar.unionByName(curve).join(modes, F.col("id") == F.col("__id"), "left").drop("__id")
 
 
 def complete_functional(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -685,6 +685,16 @@ def predictive_per_subject_forest(spark, d):
     return snake_case(performance)
 
 
+@query("complexity_series", f"""WITH {DENSE}, v AS (SELECT id, us, (us - lag(us) OVER (PARTITION BY id ORDER BY us, _ord)) / 6e7::DOUBLE AS gap FROM g WHERE glucose IS NOT NULL),
+md AS (SELECT id, quantile_cont(gap, 0.5) AS interval_minutes FROM v WHERE gap > 0 GROUP BY id),
+gc AS (SELECT v.id, any_value(interval_minutes) AS interval_minutes, count_if(gap > 1.5 * interval_minutes) AS gap_count FROM v JOIN md USING (id) GROUP BY v.id)
+FINAL SELECT g.id, 'observed' AS series_mode, count(*) AS readings, count(glucose) AS usable_points, any_value(gc.interval_minutes) AS interval_minutes, any_value(gc.gap_count) AS gap_count, count(glucose) >= 100 AS eligible,
+ CASE WHEN count(glucose) >= 100 THEN 'Eligible. ' ELSE 'Needs at least 100 usable observed points. ' END || 'Using observed finite glucose readings in timestamp order; no interpolation or gap filling was applied.' AS note FROM g LEFT JOIN gc ON gc.id = g.id GROUP BY g.id""",
+    "id:s series_mode:s readings:i usable_points:i interval_minutes:d gap_count:i eligible:b note:s")
+def complexity_series(spark, d):
+    return complexity.series_summary(readings(spark, d)).select("id", "series_mode", "readings", "usable_points", "interval_minutes", "gap_count", "eligible", "note")
+
+
 @query("upload_summary", f"""WITH {DENSE}, o AS (SELECT count(*) AS n, count(DISTINCT id) AS subjects, CAST(min(timestamp) AS DATE) AS a, CAST(max(timestamp) AS DATE) AS b FROM g)
 FINAL SELECT position, ['Files', 'Rows', 'Subjects', 'Date span'][position + 1] AS label, ['1', format('{{:,}}', n), format('{{:,}}', subjects), a || ' to ' || b][position + 1] AS value FROM o, range(4) AS r(position)""", "position:i label:s value:s")
 def upload_summary(spark, d):

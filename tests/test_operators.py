@@ -297,6 +297,15 @@ def test_notes_and_cached_exports(spark, tmp_path):
     assert "\n".join(r[0] for r in spark.read.text(str(tmp_path / "log")).collect()) == Settings().to_json()
 
 
+def test_series_of_imputed_rows(spark):
+    """A subject with an imputed or inserted row has a series of its own kind; the export tells by subject."""
+    df = I.impute(table(spark, [("A", "00:00", 100), ("A", "00:20", 140), ("B", "00:00", 90), ("B", "00:05", 95)]), "linear")
+    rows = {r["id"]: r for r in C.series_summary(df, ComplexityParams(min_points=3)).collect()}
+    assert rows["A"]["series_mode"] == "imputed_regular" and rows["A"]["usable_points"] == 5 and rows["A"]["eligible"] and rows["A"]["note"] == "Eligible. " + C.SERIES_NOTES["imputed_regular"]
+    assert rows["B"]["series_mode"] == "observed" and rows["B"]["interval_minutes"] == 5 and rows["B"]["note"] == "Needs at least 3 usable observed points. " + C.SERIES_NOTES["observed"]
+    assert {(r["id"], r["time_basis"]) for r in E.complete_complexity(df).collect()} == {("A", C.TIME_BASES["imputed_regular"]), ("B", C.TIME_BASES["observed"])}
+
+
 def test_metadata_that_varies_is_dropped(spark):
     df = table(spark, [("A", "01:00", 1), ("A", "02:00", 2)]).withColumn("site", F.col("_ord").cast("string")).withColumn("sex", F.lit("F"))
     m = M.attach_metadata(M.base_metrics(df, keys=["id"]), df, ["site", "sex"])
