@@ -74,6 +74,15 @@ def with_sum_below(counts: DataFrame, value: str, n: str, by: tuple[str, ...] =
     return out.drop("__bucket", "__at", "__before", *(f"__{c}" for c in by))
 
 
+def numbered_in_order(keys: DataFrame, key: str, name: str) -> DataFrame:
+    """``keys`` (each ``key`` once, no other columns) with its place in order, from 1: sorted by ranges, numbered within each, and what comes before added from a row a range."""
+    placed = stored(keys.orderBy(key).withColumn("__range", F.spark_partition_id()), "ordered")
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__range").alias("__at"), (F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__range")) - F.col("__n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    return placed.withColumn("__nth", nth).join(before, F.col("__range") == F.col("__at")).select(key, (F.col("__before") + F.col("__nth")).alias(name))
+
+
 def with_previous(df: DataFrame, columns: dict[str, Column], order: tuple[str, ...] = ("timestamp", "_ord"), key: str = "id", chunk: Column | None = None, second: dict[str, str] | None = None) -> DataFrame:
     """``df`` with the values that ``columns`` have in the key's row before, null in its first.
 

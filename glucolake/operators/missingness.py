@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucolake.config import QcParams, interval
-from glucolake.functions.columns import MICROS_PER_MINUTE, micros, real_subject, with_previous
+from glucolake.functions.columns import MICROS_PER_MINUTE, micros, numbered_in_order, real_subject, with_previous
 from glucolake.operators.quality import qc_summary
 
 OBSERVED, EXPLICIT, GAP = "observed", "explicit_na", "timestamp_gap"
@@ -167,7 +167,7 @@ def coverage_calendar(df: DataFrame, minutes: int = 5, start: str | None = None,
     weeks = d.select("month", "week_start").distinct().withColumn("week_index", F.dense_rank().over(Window.partitionBy("month").orderBy("week_start")) - 1)
     months = weeks.groupBy("month").agg((F.max("week_index") + 1).alias("wide"))
     months = months.withColumn("month_offset", F.coalesce(F.sum("wide").over(Window.partitionBy(F.lit(1)).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    nth = d.select("id").distinct().withColumn("id_index", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")))
+    nth = numbered_in_order(span.where("a <= b").select("id"), "id", "id_index")
     d = d.join(weeks, ["month", "week_start"]).join(months.select("month", "month_offset"), "month").join(nth, "id")
     return d.withColumns({"plot_x": F.col("month_offset") + F.col("week_index"), "plot_y": (F.col("id_index") - 1) * 8 + F.col("weekday")}).drop("id_index", "week_start")
 

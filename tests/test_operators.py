@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glucolake.config import ComplexityParams, FunctionalParams, PredictiveParams, Settings, Thresholds, interval
-from glucolake.functions.columns import with_sum_below
+from glucolake.functions.columns import numbered_in_order, with_sum_below
 from glucolake.operators import complexity as C
 from glucolake.operators import downsample as D
 from glucolake.operators import export as E
@@ -297,6 +297,13 @@ def test_notes_and_cached_exports(spark, tmp_path):
     assert "\n".join(r[0] for r in spark.read.text(str(tmp_path / "log")).collect()) == Settings().to_json()
 
 
+def test_numbers_in_order(spark):
+    keys = [f"k{i:04d}" for i in range(700)]
+    df = spark.createDataFrame([(k,) for k in reversed(keys)], "k string").repartition(6)
+    assert {r["k"]: r["n"] for r in numbered_in_order(df, "k", "n").collect()} == {k: i + 1 for i, k in enumerate(keys)}
+    assert numbered_in_order(df.where("false"), "k", "n").count() == 0
+
+
 def test_series_of_imputed_rows(spark):
     """A subject with an imputed or inserted row has a series of its own kind; the export tells by subject."""
     df = I.impute(table(spark, [("A", "00:00", 100), ("A", "00:20", 140), ("B", "00:00", 90), ("B", "00:05", 95)]), "linear")
