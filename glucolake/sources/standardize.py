@@ -83,10 +83,10 @@ def to_mg_dl(value: Column, units: str = "mg/dL") -> Column:
     return value * MMOL_TO_MG if units.strip().lower() in MMOL_NAMES else value
 
 
-def parse_summary(df: DataFrame, column: str, order: str = "dmy", parser: str = "compatibility", sample: int = 5000) -> DataFrame:
-    """One row: how timestamps parse, over the first ``sample`` rows by ``_ord``."""
+def parse_summary(df: DataFrame, column: str, order: str = "dmy", parser: str = "compatibility", sample: int | None = 5000) -> DataFrame:
+    """One row: how timestamps parse, over the first ``sample`` rows by ``_ord``, or over all rows where it is None."""
     rows = df.agg(F.count("*").alias("rows"))
-    s = df.orderBy("_ord").limit(sample).select(F.col(column).alias("raw"))
+    s = (df if sample is None else df.orderBy("_ord").limit(sample)).select(F.col(column).alias("raw"))
     s = s.withColumn("ts", parse_timestamp(F.col("raw"), order, parser)).withColumn("full", F.coalesce(F.trim("raw") != "", F.lit(False)))
     return s.agg(
         F.count("*").alias("sampled_rows"), F.count_if("full").alias("non_missing"), F.count("ts").alias("parsed"), F.count_if(F.col("full") & F.col("ts").isNull()).alias("failed"),

@@ -152,3 +152,11 @@ def test_a_quote_without_end_takes_the_rest(spark, tmp_path, small_splits):
 def test_ends_quoted():
     for line, out, quoted in [("a,b", False, True), ('"a', True, False), ('a"', False, False), ('"a"",', True, False), ('","', False, True), ('x"y,"z', True, True), ('"a"b",c', False, False), ("", False, True)]:
         assert (D.ends_quoted(line, False, ","), D.ends_quoted(line, True, ",")) == (out, quoted), line
+
+
+def test_parse_summary_of_all_rows(spark):
+    """A sample of the first rows can say that all is well where the whole table isn't."""
+    df = spark.range(40).select(F.col("id").alias("_ord"), F.when(F.col("id") < 30, "2026-01-01 00:00:00").otherwise("junk").alias("t"))
+    assert S.parse_summary(df, "t", sample=20).first()["failed"] == 0
+    whole = S.parse_summary(df, "t", sample=None).first()
+    assert (whole["sampled_rows"], whole["failed"], whole["parsed"]) == (40, 10, 30)
