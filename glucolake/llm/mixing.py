@@ -13,7 +13,7 @@ from the lowest rank until the source's words are as near the rest as whole docu
 The running sum by rank never gathers a source in one task: ranks fall into ``BINS`` bins
 whose sums are added up; only rows of the bin in which the rest ends are ordered singly.
 
-Null texts have no words; a null source is a source, last in order; an empty table gives an
+Null texts have no words; texts of a source without any words are taken once; a null source is a source, last in order; an empty table gives an
 empty result.  Rows with equal ids are ranked together by size.  Extra columns are ignored.
 """
 
@@ -71,6 +71,7 @@ def expected_copies(sizes: DataFrame, targets: DataFrame, max_copies: int = MAX_
     t = t.withColumn("__level", F.try_divide(F.col("target") - max_copies * F.coalesce(F.sum("__words").over(longer), F.lit(0)), F.sum(F.col("__words") * F.col("__digits")).over(upto)))
     t = t.withColumn("__level", F.max(F.when(F.col("__level") * F.col("__digits") <= max_copies, F.struct("__digits", "__level"))).over(every))
     copies = F.when((F.col("__digits") <= F.col("__level.__digits")) & F.col("__level.__level").isNotNull(), F.least(F.lit(float(max_copies)), F.col("__level.__level") * F.col("__digits"))).otherwise(F.lit(float(max_copies)))
+    copies = F.when(F.col("source_size") == 0, 1.0).otherwise(copies)  # a source without words has nothing to weigh
     t = t.withColumn("__whole", F.floor(copies).cast("long")).withColumn("__p", copies - F.col("__whole"))
     return t.select("__source", "__digits", "source_size", "target", "__whole", "__p", (F.col("target") - F.sum(F.col("__whole") * F.col("__words")).over(every)).alias("__rest"))
 

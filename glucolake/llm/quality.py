@@ -6,7 +6,8 @@ stratum (``lang``): from the loosest to the tightest, a cutoff is accepted while
 (Clopper-Pearson) upper bound of its false rejection rate, on documents labelled good, stays
 at most ``ALPHA / rules``; the first failure ends the sequence, so a sequence spends its
 error level once, and the level ``DELTA`` is divided by strata times rules (Bonferroni).
-With probability 1 - DELTA no stratum loses more than ALPHA of its good documents.  Strata
+With probability 1 - DELTA the learned rules take no more than ALPHA of any stratum's good
+documents; what the base rule (too few words, too many repeated ones) takes comes on top.  Strata
 are tested while they have the good labels that even the loosest cutoff needs
 (``least_stratum``, a number fixed before any ratio is looked at); a stratum with fewer, or
 without labels, has no guarantee to give and no learned rule rejects its documents.

@@ -98,3 +98,15 @@ def test_nulls_and_empty(spark):
     got = M.mix(df).collect()
     assert len(got) == 5 and all(r["taken"] <= 2 * r["size"] for r in got)
     assert M.mix(df.where("false")).count() == 0
+
+
+def test_a_source_without_words_is_taken_once(spark):
+    rows = [(1, "a b c", "s"), (2, "d e", "t"), (3, "", "empty"), (4, None, "empty"), (5, " \n", "empty"), (6, None, None)]
+    got = {r["doc_id"]: r["copies"] for r in M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[i] for i in (3, 4, 5, 6)] == [1, 1, 1, 1]
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "w " * 1_000_000, "s", 7), (2, "a b", "s", 7), (3, "c", "t", 7)], "doc_id long, text string, source string, size int")
+    got = {r["doc_id"]: r["size"] for r in M.mix(df.withColumnRenamed("size", "copies")).collect()}
+    assert got == {1: 1_000_000, 2: 2, 3: 1}
