@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glucolake.llm.shared import written
+from glucolake.llm.shared import partitions, written
 
+#: Nodes of a task's forest: the first step hands on what it has by then, later ones have partitions enough.
+NODES = 2_000_000
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _forest(batches: Iterator[pa.RecordBatch], most: float = float("inf")) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -29,14 +32,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up
         return x
 
+    def forest() -> pa.RecordBatch:
+        nodes = list(parent)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)), pa.array(np.array([root(x) for x in nodes], np.int64))], ["node", "root"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)), pa.array(np.array([root(x) for x in nodes], np.int64))], ["node", "root"])
+        if len(parent) >= most:
+            yield forest()
+            parent.clear()
+    if parent:
+        yield forest()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -47,9 +56,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns
     e = links.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).where("node <> root")
-    e = e.mapInArrow(_forest, "node long, root long")
+    most = NODES
+    e = written(e.mapInArrow(lambda batches: _forest(batches, most), "node long, root long"), "forest")
+    tasks = max(partitions(links.sparkSession), -(-e.count() // NODES))
     while True:
-        e = written(e.repartition("node").mapInArrow(_forest, "node long, root long"), "forest")
+        e = written(e.repartition(tasks, "node").mapInArrow(_forest, "node long, root long"), "forest")
         # One target of each node is enough to jump to: its other targets are rows of their own.
         up = e.groupBy(F.col("node").alias("at")).agg(F.min("root").alias("further"))
         far = e.join(up, e["root"] == up["at"], "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))

@@ -17,14 +17,18 @@ segments of s, at most H - u differ from r.  Call (segment, subset) an element.
 their elements into the same order, cheapest to look up first (rarer, then fuller subsets,
 then by hash), and index the first H - u + 1: as at most H - u elements of either set are
 missing in the other, the two prefixes share one.  A set is indexed in its own band, and in
-the band below if a partner can be there.
-
-*One-deletion neighbourhoods.*  In small bands there may be fewer filled segments than that.
-There a set indexes all its elements and each subset of two tokens or more with one token
-left out; a segment then stands for two differences.  Allocation is by cost: a probe of the
-band below takes single subsets first (one key a difference) and neighbourhoods of the
-smallest subsets for what is missing.  If a set still can't reach its number, everything is
-done again with twice as many segments, until all sets can.
+the band below if a partner can be there.  H grows with the partner: an element that comes
+so late that only larger partners could differ in all before it is kept where such a one has
+it too.
+
+*One-deletion neighbourhoods.*  In small bands a set may have fewer filled segments than that.
+Such a set indexes all its elements and each subset of two tokens or more with one token
+left out; a segment then stands for two differences.  Where one set of a pair has elements
+enough, its prefix meets one of the other's elements; where neither has, all elements and
+neighbourhoods meet.  Allocation is by cost: single subsets first (one key a difference), and
+a probe of the band below takes neighbourhoods of the smallest subsets for what is missing
+only.  If a set still can't reach its number, everything is done again with twice as many
+segments, until all sets can.
 
 *Candidates.*  Sets that share a key meet in pieces dealt by key; those that admit no
 partner's size there are left out.  Each is paired with the least id there and the smallest
@@ -61,9 +65,11 @@ from glucolake.llm.shared import batched, partitions, steps, texts_of, written
 WORDS, THRESHOLD = 5, 75
 #: Sets below this size index one-deletion neighbourhoods as well.
 SMALL = 64
-#: Tokens that a task gathers before it hands them on.
-FLUSH = 500_000
-#: Sets of one flush that make a token hot, and the level of such tokens.
+#: Bytes of text for each piece that tokens and keys are dealt to, and pieces a shuffle partition at least.
+PIECE_BYTES, PIECES = 64 << 20, 4
+#: Tokens that a task gathers before it hands them on: eight a piece where there are many pieces, so that rows don't grow with pieces times input.
+FLUSH, MOST_FLUSH = 500_000, 8_000_000
+#: Sets of one flush that make a token hot (or, where that is more, what a flush has for a piece), and the level of such tokens.
 HOT, HOT_LEVEL = 32, 31
 #: Size codes are steps of so many to a power of two: they keep sizes up to some hundreds apart.
 CODE_STEPS = 512
@@ -159,8 +165,8 @@ def furthest(r: np.ndarray, largest: np.ndarray, threshold: int) -> np.ndarray:
     return np.maximum(most_apart(r, largest, threshold), most_apart(r, largest - 1, threshold))
 
 
-def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, fine: int = 1, sizes: np.ndarray | None = None, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Index keys of sets, the set of each key, each set's largest partner, and the sets that couldn't reach their number.
+def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, fine: int = 1, sizes: np.ndarray | None = None, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of sets, the set of each key, the least partner each key is for (0: any), each set's largest partner, and the sets that couldn't reach their number.
 
     ``tokens`` are those that other sets have too, sorted by set, ``sizes`` the sizes of the
     whole sets, ``levels`` how common each token is.
@@ -176,7 +182,7 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD,
     limit = np.where(some, np.minimum(100 * size // threshold, (100 + threshold) * held // threshold - size), 0)
     top_below = (1 << band) - 1
     upto_below = np.minimum(limit, top_below)
-    keys, sets, short = [], [], []
+    keys, sets, lows, short = [], [], [], []
     for scheme, partner, apart in ((band, some & (limit >= np.maximum(least, top_below + 1)), furthest(size, limit, threshold) - single), (band - 1, some & (least <= upto_below) & (top_below > 0), furthest(size, upto_below, threshold) - single)):
         which = np.flatnonzero(partner & (apart >= 0))
         if not len(which):
@@ -198,16 +204,20 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD,
         ends = np.r_[0, np.cumsum(have)]
         nth = np.arange(len(e)) - np.repeat(ends[:-1], have)
         need = apart[which] + 1
+        missing = np.maximum(0, need - have)
         small = size[which] < SMALL
-        everything = small & (scheme is band)
+        everything = small & (missing > 0) & (scheme is band)
         take = order[(nth < need[of]) | everything[of]]  # sorting keeps each set's elements in its place
         keys.append(e[take])
         sets.append(which[of[take]])
-        # Neighbourhoods: all of a small set in its own band; below, those of the smallest subsets for what is missing.
-        missing = np.maximum(0, need - have)
+        # Only partners that may differ in as many tokens need a set's later elements.
+        from_size = -(-(nth[np.argsort(order)] + single[which][of]) * (100 + threshold) // (100 - threshold)) - size[which][of]
+        later = (scheme is band) & ~everything[of] & (from_size > size[which][of])
+        lows.append(np.where(later, from_size, 0)[take])
+        # Neighbourhoods where elements are missing: all in the own band; below, those of the smallest subsets for what is missing.
         multi = np.bincount(of, filled > 1, len(which)).astype(np.int64)
         short.append(which[(missing > 0) & (~small | (missing > multi))])
-        widen = small & (multi > 0) & (everything | (missing > 0))
+        widen = small & (multi > 0) & (missing > 0)
         if widen.any():
             pick = np.flatnonzero(widen[of] & (filled > 1))
             order = pick[np.lexsort((filled[pick], of[pick]))]
@@ -217,8 +227,9 @@ def keys_of(tokens: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD,
             back = np.repeat(order, filled[order])
             keys.append(mix(total[back] - mixed[at] + base[back]))
             sets.append(which[of[back]])
+            lows.append(np.zeros(len(back), np.int64))
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(keys, U), join(sets, np.int64), np.maximum(limit, 0), np.unique(join(short, np.int64))
+    return join(keys, U), join(sets, np.int64), join(lows, np.int64), np.maximum(limit, 0), np.unique(join(short, np.int64))
 
 
 def code_of(size: np.ndarray) -> np.ndarray:
@@ -271,13 +282,15 @@ def rows_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 TOKENS = "piece int, low binary, ids binary, marks binary, hot_ids binary, hot_tokens binary, docs binary, sizes binary"
 #: What a piece sends home: tokens that several sets have, their sets and levels.
 SHARED = "home int, source int, low binary, ids binary, levels binary, hot_ids binary, hot_tokens binary, docs binary, sizes binary"
-#: Keys of sets, their sizes and largest partners as codes; documents and sizes pass through.
-INDEX = "piece int, keys binary, ids binary, codes binary, limits binary, docs binary, sizes binary, short long"
+#: Keys of sets, their sizes, least and largest partners as codes; documents and sizes pass through.
+INDEX = "piece int, keys binary, ids binary, codes binary, lows binary, limits binary, docs binary, sizes binary, short long"
 FOUND = "kind int, x long, y long, code int"
 
 
 def tokens_by_piece(docs: DataFrame, pieces: int, words: int) -> DataFrame:
     """Every token of every set, dealt by token as 4 bytes and its set's id; a hot one once a flush."""
+    gathered = max(FLUSH, min(8 * pieces, MOST_FLUSH))
+    many = max(HOT, gathered // pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -290,7 +303,7 @@ def tokens_by_piece(docs: DataFrame, pieces: int, words: int) -> DataFrame:
             key = to.astype(U) << U(32) | low
             ordered = np.sort(key)
             starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-            hot = ordered[starts][np.diff(np.r_[starts, len(ordered)]) >= HOT]
+            hot = ordered[starts][np.diff(np.r_[starts, len(ordered)]) >= many]
             is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
             lows, owners = dealt(to[~is_hot], pieces, low[~is_hot], owner[~is_hot])
             (marks,) = dealt((hot >> U(32)).astype(np.int64), pieces, hot.astype(np.uint32))
@@ -304,7 +317,7 @@ def tokens_by_piece(docs: DataFrame, pieces: int, words: int) -> DataFrame:
                 tokens, offsets = shingle_sets(texts_of(part.column(1)), words)
                 held.append((part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets), tokens))
                 weight += len(tokens) + part.num_rows
-                if weight >= FLUSH:
+                if weight >= gathered:
                     yield flush()
                     held, weight = [], 0
         if held:
@@ -355,11 +368,11 @@ def index(shared: DataFrame, pieces: int, fine: int, threshold: int) -> DataFram
         new = np.r_[True, (token[1:] != token[:-1]) | (of[1:] != of[:-1])] if len(token) else np.zeros(0, bool)
         sizes -= np.bincount(of[~new], minlength=len(docs))
         token, of, level = token[new], of[new], level[new]
-        keys, owner, limit, short = keys_of(token, np.searchsorted(of, np.arange(len(docs) + 1)), threshold, fine, sizes, level)
+        keys, owner, low_size, limit, short = keys_of(token, np.searchsorted(of, np.arange(len(docs) + 1)), threshold, fine, sizes, level)
         to, low_ = piece_of(keys, pieces)
-        parts = dealt(to, pieces, low_, docs[owner], code_of(sizes)[owner], code_of(limit)[owner])
-        rows = [(p, k.tobytes(), in_steps(i), c.tobytes(), m.tobytes(), b"", b"", 0) for p, (k, i, c, m) in enumerate(zip(*parts, strict=True)) if len(k)]
-        rows.append((table.column("home")[0].as_py(), b"", b"", b"", b"", docs.tobytes(), sizes.tobytes(), len(short)))
+        parts = dealt(to, pieces, low_, docs[owner], code_of(sizes)[owner], code_of(low_size), code_of(limit)[owner])
+        rows = [(p, k.tobytes(), in_steps(i), c.tobytes(), o.tobytes(), m.tobytes(), b"", b"", 0) for p, (k, i, c, o, m) in enumerate(zip(*parts, strict=True)) if len(k)]
+        rows.append((table.column("home")[0].as_py(), b"", b"", b"", b"", b"", docs.tobytes(), sizes.tobytes(), len(short)))
         return pa.Table.from_batches([rows_of(INDEX, rows)])
 
     return shared.groupBy("home").applyInArrow(run, INDEX)
@@ -371,12 +384,13 @@ def meet(keys_by_piece: DataFrame, threshold: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         key, docs, sizes = joined(table, "keys", np.uint32).astype(np.int64), joined(table, "docs", np.int64), joined(table, "sizes", np.int64)
-        code, limit, ids = joined(table, "codes", np.uint16).astype(np.int64), joined(table, "limits", np.uint16).astype(np.int64), from_steps(table.column("ids"))
+        code, least, limit = (joined(table, c, np.uint16).astype(np.int64) for c in ("codes", "lows", "limits"))
+        ids = from_steps(table.column("ids"))
         out = [(np.full(len(docs), 2), docs, sizes, np.zeros(len(docs), np.int64))]
         if short := sum(table.column("short").to_pylist()):
             out.append(tuple(np.array([v]) for v in (3, short, 0, 0)))
-        order = np.lexsort((ids, code, key))
-        key, code, limit, ids = key[order], code[order], limit[order], ids[order]
+        order = np.lexsort((least, ids, code, key))
+        key, code, least, limit, ids = (x[order] for x in (key, code, least, limit, ids))
 
         def runs() -> tuple[np.ndarray, np.ndarray]:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -384,10 +398,10 @@ def meet(keys_by_piece: DataFrame, threshold: int) -> DataFrame:
 
         if len(key):  # a set once in a list, and only where others are
             use = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
-            key, code, limit, ids = key[use], code[use], limit[use], ids[use]
+            key, code, least, limit, ids = (x[use] for x in (key, code, least, limit, ids))
             _, count = runs()
             use = np.repeat(count > 1, count)
-            key, code, limit, ids = key[use], code[use], limit[use], ids[use]
+            key, code, least, limit, ids = (x[use] for x in (key, code, least, limit, ids))
         if len(key):  # a set that can't have one of its size needs a smaller one here that admits its size
             starts, count = runs()
             nth = np.repeat(np.arange(len(starts)), count)
@@ -395,7 +409,9 @@ def meet(keys_by_piece: DataFrame, threshold: int) -> DataFrame:
             widest = np.maximum.accumulate(nth << 20 | limit) & (1 << 20) - 1
             last = np.searchsorted(whole, key << 16 | limit, side="right") - 1
             use = (limit >= code) | ((last >= starts[nth]) & (widest[np.maximum(last, 0)] >= code))
-            key, code, limit, ids = key[use], code[use], limit[use], ids[use]
+            # ... and an element that only larger partners need, one as large as that.
+            use &= (least <= code) | (np.searchsorted(whole, key << 16 | least) <= last)
+            key, code, least, limit, ids = (x[use] for x in (key, code, least, limit, ids))
         if len(key):
             starts, count = runs()
             whole = key << 16 | code
@@ -403,7 +419,7 @@ def meet(keys_by_piece: DataFrame, threshold: int) -> DataFrame:
             leader = np.searchsorted(whole, key << 16 | np.maximum(code - reach, 0))
             pairs = []
             for other in (first, leader):
-                near = (code[other] <= limit) & (code <= limit[other]) & (ids != ids[other])
+                near = (code[other] <= limit) & (code <= limit[other]) & (code[other] >= least) & (code >= least[other]) & (ids != ids[other])
                 pairs.append(np.sort(np.stack([ids[near], ids[other][near]], axis=1), axis=1))
             pairs = np.unique(np.concatenate(pairs), axis=0)
             out.append((np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)))
@@ -506,18 +522,22 @@ def rest_links(lists: DataFrame, parts: DataFrame, docs: DataFrame, repeats: Dat
     return rows.groupBy("anchor", "kind", "i", "j").applyInArrow(lambda t: test_blocks(t, threshold), "a long, b long").where("a <> b")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Copies: ``doc``, ``least``, the least id of those whose texts have the same words in a row; and ids of several rows: ``again``, ``n``.  The latter are no copies."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Copies: ``doc``, ``least``, the least id of those whose texts have the same words in a row; ids of several rows: ``again``, ``n``, which are no copies; and the bytes of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in texts_of(batch.column(1))], pa.binary())], ["doc", "digest"])
+            texts = texts_of(batch.column(1))
+            digests = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], ["doc", "digest", "bytes"])
 
-    rows = written(batched(docs).mapInArrow(run, "doc long, digest binary"), "digests")
+    rows = written(batched(docs).mapInArrow(run, "doc long, digest binary, bytes long"), "digests")
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    rows = rows.drop("bytes")
     repeats = written(rows.groupBy(F.col("doc").alias("again")).agg(F.count("*").alias("n")).where("n > 1"), "repeats")
     rows = rows.join(repeats, F.col("doc") == F.col("again"), "left_anti")
     groups = written(rows.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
-    return written(rows.join(groups, "digest").where("doc <> least").select("doc", "least"), "copies"), repeats
+    return written(rows.join(groups, "digest").where("doc <> least").select("doc", "least"), "copies"), repeats, total
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -527,9 +547,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     if not isinstance(kind, IntegralType):
         raise TypeError(f"ids are whole numbers, {id_column} is {kind.simpleString()}")
     d = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    copies, repeats = classes(d.where("doc is not null"))
+    copies, repeats, total = classes(d.where("doc is not null"))
     single = d.where("doc is not null").join(copies.select(F.col("doc").alias("copy")), F.col("doc") == F.col("copy"), "left_anti")
-    pieces, fine = 2 * partitions(spark), 1
+    pieces, fine = max(PIECES * partitions(spark), -(-total // PIECE_BYTES)), 1
     while True:
         found = written(meet(index(shared_tokens(tokens_by_piece(single, pieces, words), pieces), pieces, fine, threshold), threshold), "found")
         if not found.where("kind = 3").limit(1).count():

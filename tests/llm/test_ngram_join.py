@@ -110,6 +110,28 @@ def test_components_with_a_hub(spark, monkeypatch, hub):
     assert K.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_forest_hands_on_what_it_has(spark, monkeypatch):
+    """With a small bound on a task's nodes the forests come in parts and later steps have more partitions."""
+    import glucolake.llm.components as K
+
+    monkeypatch.setattr(K, "NODES", 50)
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(300) if i % 7] + [(0, 7 * i) for i in range(1, 40)] + [(rng.randrange(500, 2000), rng.randrange(500, 2000)) for _ in range(900)]
+    rng.shuffle(links)
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["root"] for r in K.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert got == {x: find(x) for x in {n for p in links for n in p} if find(x) != x}
+
+
 def test_text_ids_are_refused(spark):
     with pytest.raises(TypeError):
         N.jaccard_components(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
@@ -145,10 +167,40 @@ def test_templates_cost_in_proportion(spark, monkeypatch):
     assert tested[1] <= 8 * max(tested[0], 100)
 
 
-@pytest.mark.parametrize("flush", [300, 10**6])
-def test_hot_tokens_and_small_flushes(spark, monkeypatch, flush):
+def slotted(n: int, words: int) -> dict[int, str]:
+    """Texts of 34 words with two slots, each filled from a vocabulary of its own: those that have one slot alike are just too far apart to link."""
+    fill = [(a, b) for a in range(words) for b in range(words)]
+    random.Random(n).shuffle(fill)
+    return {i: " ".join([*(f"t{k}" for k in range(11)), f"a{a}", *(f"t{k}" for k in range(11, 22)), f"b{b}", *(f"t{k}" for k in range(22, 32))]) for i, (a, b) in enumerate(fill[:n])}
+
+
+def test_slots_are_not_tested_all_with_all(spark, monkeypatch):
+    """Texts filled from a small vocabulary meet at their slots' words, not at the template's."""
+    assert got(spark, slotted(150, 20)) == brute(slotted(150, 20))
+    tested = []
+    real = N.test_blocks
+
+    def counted(table, threshold):
+        side = table.column("side").to_numpy()
+        left, right = int((side == 0).sum()), int((side == 1).sum())
+        seen.add(left * (right or left))
+        return real(table, threshold)
+
+    monkeypatch.setattr(N, "test_blocks", counted)
+    for n in (1000, 2000):
+        seen = spark.sparkContext.accumulator(0)
+        assert {c for _, c in got(spark, slotted(n, 60)).values()} == set(range(n))
+        tested.append(seen.value)
+    print(tested)
+    assert tested[0] <= 1000**2 // 10 and tested[1] <= 2000**2 // 10
+
+
+@pytest.mark.parametrize(("flush", "hot"), [(300, 32), (300, 3), (10**6, 32)])
+def test_hot_tokens_and_small_flushes(spark, monkeypatch, flush, hot):
     """Tokens that many sets of a flush have, in one flush or several."""
     monkeypatch.setattr(N, "FLUSH", flush)
+    monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "MOST_FLUSH", flush)
     rng = random.Random(9)
     line = [f"c{i}" for i in range(25)]
     texts = {i: " ".join(near(rng, line, rng.randrange(3)) + [f"z{rng.randrange(40)}" for _ in range(rng.randrange(12))]) for i in range(150)}
@@ -169,8 +221,9 @@ def test_pairs_that_link_share_a_key():
             both = len(np.intersect1d(a, b))
             if 100 * both < 75 * (len(a) + len(b) - both):
                 continue
-            keys, owner, _, short = N.keys_of(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
-            assert len(short) or set(keys[owner == 0]) & set(keys[owner == 1]), (n, more, less)
+            keys, owner, low, _, short = N.keys_of(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
+            for_other = low <= np.array([len(b), len(a)])[owner]
+            assert len(short) or set(keys[(owner == 0) & for_other]) & set(keys[(owner == 1) & for_other]), (n, more, less)
 
 
 def test_contained_pairs_equal_brute_force(spark):
