@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glucolake.operators.export import source_id
-from glucolake.sources.probe import clean_names, probe_file, separator
+from glucolake.sources.probe import PROBE_ROWS, Probe, clean_names, probe_file, probe_rows, separator
+from glucolake.sources.xls import xls_rows
 
 BOOKKEEPING = (".source_file", ".source_id", ".import_header_row", ".import_first_data_row")
 
@@ -30,7 +31,7 @@ def read_delimited(spark: SparkSession, path: str, header_row: int = 1, first_da
     """
     file = path.rstrip("/").rsplit("/", 1)[-1]
     if not re.search(r"\.(csv|txt|tsv)$", file, re.I):
-        raise ValueError(f"Unsupported file type: {file}. Use csv, txt or xlsx.")
+        raise ValueError(f"Unsupported file type: {file}. Use csv, txt, tsv, xlsx or xls.")
     first = max(header_row + 1, first_data_row or 0)
     head = [r["value"] for r in spark.read.text(path).limit(max(first, 20)).collect()]
     if len(head) < header_row:
@@ -153,23 +154,41 @@ def row_boundaries(header_row, first_data_row=None, suggested: tuple[int, int] =
 
 
 def read_xlsx(spark: SparkSession, path: str, header_row: int = 1, first_data_row: int | None = None) -> DataFrame:
-    """The first sheet of a workbook, all columns as text.  A workbook is one zip file of bounded size (a million rows) and is parsed in one task; its header comes to the driver."""
+    """The first sheet of a workbook, xlsx or xls, all columns as text.  A workbook is one file of bounded size (a million rows, or 65 536) and is parsed in one task; its header comes to the driver."""
     file = path.rsplit("/", 1)[-1]
     first = max(header_row + 1, first_data_row or 0)
+    rows = workbook_rows(spark, path)
+    header = rows.where(F.col("_ord") == header_row).first()
+    names = clean_names(header["r"]) if header else []
+    d = rows.where(F.col("_ord") >= first)
+    return d.select(*(F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)), F.lit(file).alias(".source_file"), F.lit(source_id(file)).alias(".source_id"), F.lit(header_row).alias(".import_header_row"), F.lit(first).alias(".import_first_data_row"), "_ord")
+
+
+def is_workbook(path: str) -> bool:
+    return path.lower().endswith((".xlsx", ".xls"))
+
+
+def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``_ord``, the number of a row in the first sheet (from 1), and ``r``, its cells."""
+    read = xls_rows if path.lower().endswith(".xls") else sheet_rows
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                rows = sheet_rows(content)
+                rows = read(content)
                 for at in range(0, len(rows), 10_000):
                     part = rows[at : at + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array(range(at + 1, at + 1 + len(part)), pa.int64()), pa.array(part, pa.list_(pa.string()))], ["_ord", "r"])
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "_ord long, r array<string>")
-    header = rows.where(F.col("_ord") == header_row).first()
-    names = clean_names(header["r"]) if header else []
-    d = rows.where(F.col("_ord") >= first)
-    return d.select(*(F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)), F.lit(file).alias(".source_file"), F.lit(source_id(file)).alias(".source_id"), F.lit(header_row).alias(".import_header_row"), F.lit(first).alias(".import_first_data_row"), "_ord")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "_ord long, r array<string>")
+
+
+def probe_any(spark: SparkSession, path: str) -> Probe:
+    """Boundaries of a delimited file or of a workbook's first sheet."""
+    if not is_workbook(path):
+        return probe_file(spark, path)
+    rows = workbook_rows(spark, path).where(F.col("_ord") <= PROBE_ROWS).orderBy("_ord").collect()
+    return probe_rows([[x or "" for x in r["r"]] for r in rows], path.rsplit("/", 1)[-1])
 
 
 def sheet_rows(content: bytes) -> list[list[str | None]]:
@@ -205,11 +224,11 @@ def read_files(spark: SparkSession, paths: list[str], header_rows: list[int] | N
     frames = []
     for k, path in enumerate(paths):
         if header_rows is None:
-            found = probe_file(spark, path)
+            found = probe_any(spark, path)
             header, first = found.header_row, found.first_data_row
         else:
             header, first = row_boundaries(header_rows[k], first_data_rows[k] if first_data_rows else None)
-        frames.append((read_xlsx if path.lower().endswith(".xlsx") else read_delimited)(spark, path, header, first).withColumn("_ord", F.col("_ord") + F.lit(k << 52)))
+        frames.append((read_xlsx if is_workbook(path) else read_delimited)(spark, path, header, first).withColumn("_ord", F.col("_ord") + F.lit(k << 52)))
     if not compatible(frames):
         raise ValueError("Uploaded files must have the same columns in the same order.")
     return functools.reduce(lambda a, b: a.unionByName(b), frames)
