@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,6 +201,48 @@ def features(days: DataFrame, curves: DataFrame, thresholds: Thresholds = Thresh
     return f.join(counts, "id", "left").withColumn("profile_basis", F.when(F.col("imputed_points") > 0, "Observed and imputed").otherwise("Observed"))
 
 
+# The headings of the feature table, in its order, and those of its short form.
+FEATURE_LABELS = {
+    "id": "Subject ID", "days": "Days", "valid_fda_days": "Valid FDA days", "excluded_fda_days": "Excluded FDA days",
+    "observed_points": "Observed readings", "imputed_points": "Imputed readings", "profile_basis": "Profile basis",
+    "peak_time": "Peak time", "peak_glucose": "Peak glucose", "nadir_time": "Nadir time", "nadir_glucose": "Nadir glucose",
+    "time_below_range_percent": "Time below range (%)", "time_in_range_percent": "Time in range (%)", "time_above_range_percent": "Time above range (%)",
+    "area_below": "Area below range (mg/dL-hour)", "area_above": "Area above range (mg/dL-hour)",
+    "max_rise_rate": "Max rise rate (mg/dL/hour)", "max_fall_rate": "Max fall rate (mg/dL/hour)",
+    "overnight_slope": "Overnight slope (mg/dL/hour)", "morning_rise": "Morning rise (mg/dL)",
+    "fpca1": "FPCA 1", "fpca2": "FPCA 2", "phenotype_group": "Phenotype group",
+}
+LONG_FORM_ONLY = ("imputed_points", "area_below", "area_above", "fpca1", "fpca2")
+
+
+def features_display(features: DataFrame, groups: DataFrame | None = None, show_id: bool = True) -> DataFrame:
+    """The feature table with its headings; ``groups`` (``id``, ``group``, one row a subject) adds the group, null where a subject has none."""
+    d = features
+    if groups is not None:
+        d = d.join(groups.select(F.col("id").alias("of"), F.col("group").cast("string").alias("Group")), F.col("id") == F.col("of"), "left").drop("of")
+    d = d.withColumnsRenamed({c: label for c, label in FEATURE_LABELS.items() if c in d.columns})
+    return d if show_id else d.drop(FEATURE_LABELS["id"])
+
+
+def key_features(features: DataFrame, groups: DataFrame | None = None, show_id: bool = True) -> DataFrame:
+    """The short form: counts of days and readings whole, other numbers to two places (half even)."""
+    d = features_display(features, groups, show_id)
+    numeric = {c for c, kind in d.dtypes if kind in ("double", "float", "int", "bigint")}
+    labels = [label for c, label in FEATURE_LABELS.items() if c not in LONG_FORM_ONLY]
+    labels.insert(1, "Group")
+    places = lambda c: 0 if re.search("readings|days", c, re.I) else 2
+    return d.select(*(F.bround(F.col(f"`{c}`"), places(c)).alias(c) if c in numeric else F.col(f"`{c}`") for c in labels if c in d.columns))
+
+
+def smoothing_warning(days: DataFrame, params: FunctionalParams = FunctionalParams()) -> DataFrame:
+    """One row, ``warning``: how many days smoothing made implausible, empty where none."""
+    per_day = days.groupBy("id", "date").agg(F.bool_or(F.col("smoothing_status") == "invalid").alias("bad"))
+    n = per_day.agg(F.count_if("bad").alias("bad"), F.count("*").alias("n"))
+    count = lambda c: F.format_number(F.col(c), 0)
+    text = F.concat(count("bad"), F.lit(" of "), count("n"), F.lit(f" FDA day profile(s) were excluded after smoothing produced implausible values outside {params.low:g}-{params.high:g} mg/dL."))
+    return n.select(F.when(F.col("bad") > 0, text).otherwise("").alias("warning"))
+
+
 def curve_rows(curves: DataFrame, grid_minutes: int = 5) -> DataFrame:
     """``id`` and ``y``: a subject's curve over all slots, NaN where it has none."""
     held = curves.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("time_minutes"), F.col("mean_glucose")))).alias("held"))  # a day's slots

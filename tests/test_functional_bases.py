@@ -130,3 +130,21 @@ def test_covariance_over_pairs(spark):
 
 def test_one_subject_has_no_scores(spark):
     assert FN.fpca_scores(frame(spark, [np.full(24, 100.0)]), FunctionalParams(grid_minutes=60)).first()["fpca1"] is None
+
+
+def test_feature_tables_and_warning(spark):
+    """Headings, groups, rounding half to even, and the text of days left out; a subject without group, nulls, empty tables."""
+    schema = "id string, days int, valid_fda_days long, peak_time string, peak_glucose double, area_above double, max_rise_rate double, fpca1 double, phenotype_group string"
+    rows = [("a", 2, 1, "08:05", 180.125, 3.5, 0.375, 1.0, "P1"), ("b", 1, 1, None, None, None, -2.346, None, None)]
+    f = spark.createDataFrame(rows, schema)
+    groups = spark.createDataFrame([("a", "x")], "id string, group string")
+    d = FN.features_display(f, groups)
+    assert d.columns == ["Subject ID", "Days", "Valid FDA days", "Peak time", "Peak glucose", "Area above range (mg/dL-hour)", "Max rise rate (mg/dL/hour)", "FPCA 1", "Phenotype group", "Group"]
+    k = FN.key_features(f, groups)
+    assert k.columns == ["Subject ID", "Group", "Days", "Valid FDA days", "Peak time", "Peak glucose", "Max rise rate (mg/dL/hour)", "Phenotype group"]
+    assert sorted(map(tuple, k.collect())) == [("a", "x", 2, 1, "08:05", 180.12, 0.38, "P1"), ("b", None, 1, 1, None, None, -2.35, None)]
+    assert FN.key_features(f, show_id=False).columns[0] == "Days" and FN.key_features(f.where("false")).count() == 0
+    days = spark.createDataFrame([("a", "d1", "invalid"), ("a", "d1", "invalid"), ("a", "d2", "complete"), ("b", "d1", None)], "id string, date string, smoothing_status string")
+    says = "1 of 3 FDA day profile(s) were excluded after smoothing produced implausible values outside 0-500 mg/dL."
+    assert [r[0] for r in FN.smoothing_warning(days).collect()] == [says]
+    assert [r[0] for r in FN.smoothing_warning(days.where("id = 'b'")).collect()] == [""] == [r[0] for r in FN.smoothing_warning(days.where("false")).collect()]
