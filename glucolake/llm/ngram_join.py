@@ -51,6 +51,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,17 +67,20 @@ WORDS, THRESHOLD = 5, 75
 #: Sets below this size index one-deletion neighbourhoods as well.
 SMALL = 64
 #: Bytes of text for each piece that tokens and keys are dealt to, and pieces a shuffle partition at least.
-PIECE_BYTES, PIECES = 64 << 20, 4
+PIECE_BYTES, PIECES = 128 << 20, 2
 #: Tokens that a task gathers before it hands them on: eight a piece where there are many pieces, so that rows don't grow with pieces times input.
 FLUSH, MOST_FLUSH = 500_000, 8_000_000
 #: Sets of one flush that make a token hot (or, where that is more, what a flush has for a piece), and the level of such tokens.
 HOT, HOT_LEVEL = 32, 31
 #: Size codes are steps of so many to a power of two: they keep sizes up to some hundreds apart.
 CODE_STEPS = 512
+#: Bytes of text whose words are hashed at a time.
+HASHED = 1 << 20
 #: Sets on either side of one test of guests.
 BLOCK = 64
 
 U = np.uint64
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MULTIPLIER = 0x5851F42D4C957F2D
 
 
@@ -100,7 +104,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of a buffer, A-Z lower-cased."""
+    """Start and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of a buffer, A-Z lower-cased; long buffers are cut between words."""
+    starts, hashes, at = [], [], 0
+    while True:
+        cut = SPACE.search(buffer, at + HASHED)
+        end = cut.start() if cut else len(buffer)
+        start, h = _hashed(buffer[at:end])
+        starts.append(start + at)
+        hashes.append(h)
+        at = end
+        if not cut:
+            return np.concatenate(starts), np.concatenate(hashes)
+
+
+def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(buffer.lower(), np.uint8)
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, U)

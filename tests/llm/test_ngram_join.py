@@ -247,6 +247,19 @@ def test_bound_holds_for_all_partner_sizes(threshold):
                 assert N.furthest(np.array([size]), np.array([largest]), threshold)[0] >= N.most_apart(np.full(len(sizes), size), sizes, threshold).max()
 
 
+def test_words_of_long_buffers(monkeypatch):
+    """Cut between words, also where a word is longer than a cut, hashes and starts are the same."""
+    rng = random.Random(2)
+    text = b"".join(rng.choice([b" ", b"\n\t", b"  "]) + bytes(rng.choices(b"abcXYZ\xc3\xa9", k=rng.choice([1, 3, 8, 120]))) for _ in range(900)) + rng.choice([b"", b" "])
+    want = N.word_hashes(text)
+    assert want[0].tolist() == [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    for size in (1, 7, 50, 1000, len(text), len(text) + 1):
+        monkeypatch.setattr(N, "HASHED", size)
+        for a, b in zip(N.word_hashes(text), want, strict=True):
+            assert (a == b).all()
+    assert len(N.word_hashes(b"")[0]) == 0
+
+
 def test_short_texts_alone(spark):
     """A slice of few words in all, in numpy and as partitions of one row."""
     texts = {n: " ".join("abcdef"[:n]) for n in range(1, 7)}
