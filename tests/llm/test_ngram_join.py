@@ -191,7 +191,6 @@ def test_slots_are_not_tested_all_with_all(spark, monkeypatch):
         seen = spark.sparkContext.accumulator(0)
         assert {c for _, c in got(spark, slotted(n, 60)).values()} == set(range(n))
         tested.append(seen.value)
-    print(tested)
     assert tested[0] <= 1000**2 // 10 and tested[1] <= 2000**2 // 10
 
 
