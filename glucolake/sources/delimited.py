@@ -234,6 +234,21 @@ def read_files(spark: SparkSession, paths: list[str], header_rows: list[int] | N
     return functools.reduce(lambda a, b: a.unionByName(b), frames)
 
 
+# The example files by their percentage of missing readings.
+EXAMPLES = {5: "CGMExmplDat5Pct.csv", 10: "CGMExmplDat10Pct.csv"}
+
+
+def read_example(spark: SparkSession, folder: str, missing_percent: int = 5) -> DataFrame:
+    """An example table of the folder where such files lie, with the bookkeeping columns; ``FileNotFoundError`` where it isn't there."""
+    if missing_percent not in EXAMPLES:
+        raise ValueError("examples have 5 or 10 percent missing")
+    path = f"{folder.rstrip('/')}/{EXAMPLES[missing_percent]}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        raise FileNotFoundError(f"{missing_percent} percent missing example CGM data file was not found.")
+    return read_delimited(spark, path)
+
+
 def dimensions(df: DataFrame) -> tuple[int, int]:
     """Rows and user columns."""
     return df.count(), len([c for c in df.columns if c not in BOOKKEEPING and c != "_ord"])

@@ -160,3 +160,13 @@ def test_parse_summary_of_all_rows(spark):
     assert S.parse_summary(df, "t", sample=20).first()["failed"] == 0
     whole = S.parse_summary(df, "t", sample=None).first()
     assert (whole["sampled_rows"], whole["failed"], whole["parsed"]) == (40, 10, 30)
+
+
+def test_examples(spark, tmp_path):
+    (tmp_path / "CGMExmplDat10Pct.csv").write_text("id,timestamp,glucose\na,2024-01-01 00:00:00,101\na,2024-01-01 00:05:00,\n")
+    d = D.read_example(spark, str(tmp_path), 10)
+    assert [tuple(r) for r in d.select("id", "glucose", "`.source_file`").orderBy("_ord").collect()] == [("a", "101", "CGMExmplDat10Pct.csv"), ("a", None, "CGMExmplDat10Pct.csv")]
+    with pytest.raises(FileNotFoundError, match="5 percent missing"):
+        D.read_example(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="5 or 10"):
+        D.read_example(spark, str(tmp_path), 7)
