@@ -75,7 +75,7 @@ HOT, HOT_LEVEL = 32, 31
 #: Size codes are steps of so many to a power of two: they keep sizes up to some hundreds apart.
 CODE_STEPS = 512
 #: Bytes of text whose words are hashed at a time.
-HASHED = 1 << 20
+HASHED = 1 << 18
 #: Sets on either side of one test of guests.
 BLOCK = 64
 
@@ -124,7 +124,7 @@ def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     full = (a != 32) & ((a < 9) | (a > 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[False], full, [False]]).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    n = 1 << max(21, len(a).bit_length())
+    n = 1 << max(19, len(a).bit_length())
     power, inverse = _powers(n)
     total = np.concatenate([np.zeros(1, U), np.cumsum((a.astype(U) + U(1)) * power[: len(a)], dtype=U)])
     return start, mix((total[end] - total[start]) * inverse[start] ^ (end - start).astype(U) * U(0xD6E8FEB86659FD93))
