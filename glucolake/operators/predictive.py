@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,135 @@ def in_chunks(rows: DataFrame, before: int, after: int) -> DataFrame:
     return near.unionByName(far)
 
 
+def cell_sums(cell: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each row count, sum, squared deviations, least and most of the rows of its cell up to and with it; rows of a cell lie together.
+
+    Spans double in each round and meet by their means, so no large sums are subtracted.
+    """
+    first = np.r_[True, cell[1:] != cell[:-1]]
+    at = np.arange(len(g))
+    place = at - np.maximum.accumulate(np.where(first, at, 0))
+    total, dev, low, high = g.copy(), np.zeros(len(g)), g.copy(), g.copy()
+    step, most = 1, place.max(initial=0)
+    while step <= most:
+        both, before = place[step:] >= step, np.minimum(place[:-step] + 1, step)
+        a, b = slice(step, None), slice(None, -step)
+        apart = total[a] / step - total[b] / before
+        dev[a] += np.where(both, dev[b] + apart * apart * (before * step / (before + step)), 0.0)
+        total[a] += np.where(both, total[b], 0.0)
+        low[a] = np.where(both, np.minimum(low[a], low[b]), low[a])
+        high[a] = np.where(both, np.maximum(high[a], high[b]), high[a])
+        step *= 2
+    return place + 1, total, dev, low, high
+
+
+def span_sums(group: np.ndarray, at: np.ndarray, g: np.ndarray, width: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Count, mean, squared deviations, least and most of the rows ``lo`` to ``hi`` of each span, which is no longer than ``width`` and doesn't leave its group.
+
+    Time is cut into cells of that width: a span that starts in one cell and ends in the next is the end of
+    the first and the start of the second, so a row costs the same however many there are in a span.
+    A span that lies in one cell must reach to one of its ends.
+    """
+    cell = np.floor_divide(at, width)
+    new = np.r_[True, (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])]
+    cell = np.cumsum(new)
+    start = cell_sums(cell, g)
+    end = tuple(v[::-1] for v in cell_sums(cell[::-1], g[::-1]))
+    some = hi >= lo
+    lo, hi = np.where(some, lo, 0), np.where(some, hi, 0)
+    two, from_start = cell[lo] != cell[hi], (lo == 0) | new[lo]
+    # What ends at ``hi`` counts unless the span stops short of its cell's start; what starts at ``lo`` if it is in another cell or does.
+    use_a, use_b = some & (two | ~from_start), some & (two | from_start)
+    na, nb = np.where(use_a, end[0][lo], 0), np.where(use_b, start[0][hi], 0)
+    sa, sb = np.where(use_a, end[1][lo], 0.0), np.where(use_b, start[1][hi], 0.0)
+    n = na + nb
+    apart = np.where(use_a & use_b, sa / np.maximum(na, 1) - sb / np.maximum(nb, 1), 0.0)
+    dev = np.where(use_a, end[2][lo], 0.0) + np.where(use_b, start[2][hi], 0.0) + apart * apart * (na * nb / np.maximum(n, 1))
+    low = np.minimum(np.where(use_a, end[3][lo], np.inf), np.where(use_b, start[3][hi], np.inf))
+    high = np.maximum(np.where(use_a, end[4][lo], -np.inf), np.where(use_b, start[4][hi], -np.inf))
+    return n, (sa + sb) / np.maximum(n, 1), dev, low, high
+
+
+def chunk_windows(chunk: np.ndarray, us: np.ndarray, g: np.ndarray, own: np.ndarray, params: PredictiveParams, subject: np.ndarray) -> dict[str, np.ndarray]:
+    """Lags, windows and what follows of the own rows of whole chunks, rows in order of time within a chunk; NaN where there is no value.  ``chunk`` is the day of each row, ``subject`` a number of its subject."""
+    m = MICROS_PER_MINUTE
+    group = np.cumsum(np.r_[True, (chunk[1:] != chunk[:-1]) | (subject[1:] != subject[:-1])])
+    # Places within the day; the far row moves up to just before what windows can reach.
+    reach = max(*params.lag_minutes, *params.window_minutes) * m
+    at = np.maximum(us - chunk * DAY, -reach - 1)
+    room = 2 * (DAY + reach + params.horizon_minutes * m)
+    key = group * room + at
+    row = np.flatnonzero(own)
+    now, value, mine = key[row], g[row], group[row]
+    out = {"glucose_current": value}
+    for k in params.lag_minutes:
+        i0, i1 = np.searchsorted(key, now - k * m, "right") - 1, np.searchsorted(key, now - k * m, "left")
+        found = (i0 >= 0) & (group[np.maximum(i0, 0)] == mine)
+        i0 = np.where(found, i0, 0)
+        t0, g0, t1, g1 = us[i0], g[i0], us[i1], g[i1]
+        lag = g0 + (g1 - g0) * ((us[row] - k * m - t0) / np.where(t1 != t0, t1 - t0, 1))
+        out[f"lag_{k}_glucose"] = np.where(found, np.where(t1 == t0, g0, lag), np.nan)
+    last = np.searchsorted(key, now, "right") - 1
+    for w in params.window_minutes:
+        lo = np.searchsorted(key, now - w * m, "right")
+        n, mean, dev, low, high = span_sums(group, at, g, w * m, lo, last)
+        hours = (us[row] - us[lo]) / (60 * m)
+        slope = np.where(hours > 0, (value - g[lo]) / np.where(hours > 0, hours, 1), np.nan)
+        out |= {f"window_{w}_{name}": v for name, v in (("mean", mean), ("sd", np.sqrt(dev / np.maximum(n - 1, 1))), ("min", low), ("max", high), ("slope", slope))}
+    h = params.horizon_minutes * m
+    n, _, _, low, high = span_sums(group, at, g, h, last + 1, np.searchsorted(key, now + h, "right") - 1)
+    return out | {"future_points": n, "target_value": np.where(n > 0, high if params.target == "high" else low, np.nan)}
+
+
+#: Rows of whole chunks that are worked on at a time, where a chunk has fewer.
+WINDOW_ROWS = 50_000
+
+
+def with_windows(chunks: DataFrame, params: PredictiveParams) -> DataFrame:
+    """The own rows of ``in_chunks`` with their lags, windows, points and value to predict.
+
+    A task has its chunks in order and works on whole ones, so what it holds is a subject's day at most, or ``WINDOW_ROWS`` rows of several.
+    """
+    numbers = ["glucose_current", *(f"lag_{k}_glucose" for k in params.lag_minutes), *(f"window_{w}_{s}" for w in params.window_minutes for s in ("mean", "sd", "min", "max", "slope"))]
+    names = ["id", "us", *numbers, "future_points", "target_value"]
+
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        own = t.column("own").to_numpy()
+        ids = t.column("id").combine_chunks()
+        # Two subjects' chunks of the same day may follow each other: a change of subject is told apart by the codes of ids.
+        code = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if t.num_rows else np.zeros(0, np.int64)
+        got = chunk_windows(t.column("chunk").to_numpy(), t.column("us").to_numpy(), t.column("glucose").to_numpy(), own, params, code)
+        row = pa.array(np.flatnonzero(own))
+        return pa.RecordBatch.from_arrays([ids.take(row), t.column("us").combine_chunks().take(row), *(pa.array(got[n], pa.float64()) for n in numbers), pa.array(got["future_points"], pa.int64()), pa.array(got["target_value"], mask=np.isnan(got["target_value"]))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rows + batch.num_rows >= WINDOW_ROWS:
+                # Up to the last chunk that begins in this batch; it may go on in the next.
+                day, who = batch.column("chunk").to_numpy(), batch.column("id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                change = np.flatnonzero((day[1:] != day[:-1]) | (who[1:] != who[:-1]))
+                cut = int(change[-1]) + 1 if len(change) else 0
+                if not cut and held and (held[-1].column("id")[-1], held[-1].column("chunk")[-1]) != (batch.column("id")[0], batch.column("chunk")[0]):
+                    yield done(held)
+                    held, rows = [], 0
+                elif cut:
+                    yield done([*held, batch.slice(0, cut)])
+                    held, rows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            rows += batch.num_rows
+        if held:
+            yield done(held)
+
+    kinds = ", ".join(f"{n} double" for n in numbers)
+    dealt = chunks.repartition("id", "chunk").sortWithinPartitions("id", "chunk", "us", "_ord").select("id", "chunk", "us", "glucose", "own")
+    return dealt.mapInArrow(run, f"id string, us long, {kinds}, future_points long, target_value double")
+
+
 def examples(df: DataFrame, params: PredictiveParams = PredictiveParams(), thresholds: Thresholds = Thresholds()) -> DataFrame:
     """One row per reading with all features and a label: whether a later reading within the horizon is low (or high).
 
@@ -55,24 +186,7 @@ def examples(df: DataFrame, params: PredictiveParams = PredictiveParams(), thres
     rows = df.withColumn("glucose", finite("glucose")).where(real_subject() & F.col("timestamp").isNotNull() & F.col("glucose").isNotNull()).select("id", micros().alias("us"), "glucose", "_ord")
     # The far row is always the earliest of its chunk and outside every window.
     reach = max(*p.lag_minutes, *p.window_minutes)
-    c = in_chunks(rows, m(reach), m(p.horizon_minutes) + 1)
-    by = Window.partitionBy("id", "chunk").orderBy("us")
-    span = lambda a, b: by.rangeBetween(a, b)
-    g, us = F.col("glucose"), F.col("us")
-    out: dict[str, Column] = {"glucose_current": g}
-    for k in p.lag_minutes:
-        lo, hi = span(Window.unboundedPreceding, -m(k)), span(-m(k), 0)  # the row itself is at or after t - k
-        t0, g0, t1, g1 = F.last("us").over(lo), F.last("glucose").over(lo), F.first("us").over(hi), F.first("glucose").over(hi)
-        out[f"lag_{k}_glucose"] = F.when(t1 == t0, g0).otherwise(g0 + (g1 - g0) * ((us - m(k) - t0) / F.nullif(t1 - t0, F.lit(0))))
-    for w in p.window_minutes:
-        s = span(-m(w) + 1, 0)
-        n = f"window_{w}_"
-        hours = (us - F.first("us").over(s)) / (60 * MICROS_PER_MINUTE)
-        out |= {n + "mean": F.avg(g).over(s), n + "sd": F.coalesce(F.stddev_samp(g).over(s), F.lit(0.0)), n + "min": F.min(g).over(s), n + "max": F.max(g).over(s), n + "slope": (g - F.first(g).over(s)) / F.nullif(hours, F.lit(0.0))}
-    future = span(1, m(p.horizon_minutes))
-    out["future_points"] = F.count(g).over(future)
-    out["target_value"] = (F.max(g) if p.target == "high" else F.min(g)).over(future)
-    c = c.select("id", "us", "own", *(v.alias(k) for k, v in out.items())).where("own")
+    c = with_windows(in_chunks(rows, m(reach), m(p.horizon_minutes) + 1), p)
     ends = rows.groupBy(F.col("id").alias("eid")).agg(F.max("us").alias("end"), F.count("*").alias("n")).where("n >= 3")
     c = c.join(ends, F.col("id") == F.col("eid")).where((F.col("us") <= F.col("end") - m(p.horizon_minutes)) & F.col("target_value").isNotNull())
     ts = F.timestamp_micros("us")

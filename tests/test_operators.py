@@ -245,6 +245,40 @@ def test_windows_by_day_equal_windows_by_subject(spark):
             assert r[f"window_{w}_mean"] == pytest.approx(v[(t > m - w) & (t <= m)].mean())
 
 
+def test_windows_of_dense_series_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    # Many readings a minute with equal times, runs of one value, two days that meet at midnight; a second subject on the same days.
+    at = {"A": np.sort(np.r_[rng.integers(1300 * 60, 1520 * 60, 500), np.repeat(1440 * 60, 5)]), "B": np.sort(rng.integers(1380 * 60, 1500 * 60, 60))}
+    g = {i: np.where(rng.random(len(t)) < 0.3, 100.0, np.round(rng.uniform(50, 300, len(t)), 2)) for i, t in at.items()}
+    for i, t in at.items():
+        g[i] = g[i][np.searchsorted(t, t)]  # equal times have equal values
+    rows = [(i, 1767225600 + int(t), float(v), k) for i in at for k, (t, v) in enumerate(zip(at[i], g[i], strict=True))]
+    df = spark.createDataFrame(rows, "id string, s long, glucose double, _ord long").select("id", F.timestamp_seconds("s").alias("timestamp"), "glucose", "_ord")
+    for params in (PredictiveParams(), PredictiveParams(target="high", horizon_minutes=60, lag_minutes=(7,), window_minutes=(11, 50))):
+        ex = R.examples(df, params)
+        # A frame that moves with each row costs as many steps a row as there are rows in it.
+        assert "specifiedwindowframe(RangeFrame" not in ex._jdf.queryExecution().executedPlan().toString()
+        got = ex.collect()
+        want = 0
+        for i, t in at.items():
+            for x in t:
+                future = g[i][(t > x) & (t <= x + params.horizon_minutes * 60)]
+                spans = [t[(t > x - w * 60) & (t <= x)] for w in params.window_minutes]
+                want += bool(len(future) and x <= t[-1] - params.horizon_minutes * 60 and x - max(params.lag_minutes) * 60 >= t[0] and all(s[0] < x for s in spans))
+        assert len(got) == want > 50
+        for r in got:
+            t, v, x = at[r["id"]], g[r["id"]], round(r["timestamp"].timestamp()) - 1767225600
+            for k in params.lag_minutes:
+                assert r[f"lag_{k}_glucose"] == pytest.approx(np.interp(x - k * 60, t, v))
+            for w in params.window_minutes:
+                near = v[(t > x - w * 60) & (t <= x)]
+                first = np.searchsorted(t, x - w * 60, "right")
+                measured = [r[f"window_{w}_{n}"] for n in ("mean", "sd", "min", "max", "slope")]
+                assert measured == pytest.approx([near.mean(), near.std(ddof=1) if len(near) > 1 else 0, near.min(), near.max(), (r["glucose_current"] - v[first]) / ((x - t[first]) / 3600)], abs=1e-9)
+            future = v[(t > x) & (t <= x + params.horizon_minutes * 60)]
+            assert (r["future_points"], r["target_value"]) == (len(future), future.max() if params.target == "high" else future.min())
+
+
 def test_imputation_fills_only_what_was_missing(spark):
     df = table(spark, [("A", "00:00", 100), ("A", "00:05", None), ("A", "00:20", 140), ("B", "00:00", 90), ("B", "00:05", 95), ("C", "00:00", None)])
     out = I.impute(df, "linear")
