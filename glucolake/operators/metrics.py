@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucolake.config import Thresholds
-from glucolake.functions.columns import finite, is_daytime, micros, minute_of_day, percent, with_previous
+from glucolake.functions.columns import MICROS_PER_MINUTE, finite, is_daytime, micros, minute_of_day, percent, with_previous
 
 KEYS = ("id", "id_source", "group", "metric_period")
 LAGS = {"conga_12h": 12 * 3600, "conga_24h": 24 * 3600}
@@ -87,23 +87,30 @@ def lag_tolerance(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def lag_metrics(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """CONGA at 12 and 24 hours and MODD: each reading against the nearest one a lag later, within the group's tolerance, the earliest on ties.
 
-    A join by group and time bucket of the tolerance's width: a subject's readings are spread
-    over its buckets, and a reading meets those of three buckets, not all.
+    Readings (one of equal times, the least) and wanted times lie in one table by group and quarter of a
+    day.  The last reading up to a time and the first from it on come from running windows over a quarter, or
+    from the nearest quarter that has readings: a reading is met twice, however many are within the tolerance.
     """
     keys = keys_of(df) if keys is None else keys
-    d = _keyed(df, keys)
-    t = lag_tolerance(df, keys).withColumnRenamed("k", "tk")
-    d = d.join(t, d["k"].eqNullSafe(t["tk"]), "left").drop("tk").withColumn("us", micros())
-    d = d.withColumn("wide", F.greatest(F.col("tolerance") * 1_000_000, F.lit(1_000_000)).cast("long")).where("tolerance is not null")
-    later = d.select(F.col("k").alias("lk"), F.floor(F.col("us") / F.col("wide")).alias("bucket"), F.col("us").alias("lus"), F.col("glucose").alias("lg"))
-    wanted = d.select("k", "_ord", "timestamp", "us", "glucose", "tolerance", "wide", F.explode(F.array(*(F.struct(F.lit(n).alias("lag"), F.lit(s * 1_000_000).alias("by")) for n, s in LAGS.items()))).alias("want"))
-    wanted = wanted.withColumn("target", F.col("us") + F.col("want.by"))
-    wanted = wanted.withColumn("at", F.explode(F.sequence(F.floor(F.col("target") / F.col("wide")) - 1, F.floor(F.col("target") / F.col("wide")) + 1)))
-    met = wanted.join(later, wanted["k"].eqNullSafe(later["lk"]) & (wanted["at"] == later["bucket"])).where(F.abs(F.col("lus") - F.col("target")) <= F.col("tolerance") * 1_000_000)
-    near = met.groupBy("k", "want.lag", "us", "_ord", "glucose").agg(F.min_by("lg", F.struct(F.abs(F.col("lus") - F.col("target")), F.col("lus"), F.col("lg"))).alias("then"))
+    d = _keyed(df, keys).withColumn("us", micros())
+    none = F.lit(None)
+    seen = d.groupBy("k", "us").agg(F.min("glucose").alias("g")).select("k", F.col("us").alias("t"), F.struct("us", "g").alias("seen"), none.cast("double").alias("glucose"), none.cast("int").alias("lag"))
+    wanted = d.select("k", "us", "glucose", F.explode(F.array(*map(F.lit, LAGS.values()))).alias("lag"))
+    wanted = wanted.select("k", (F.col("us") + F.col("lag").cast("long") * 1_000_000).alias("t"), none.cast("struct<us: long, g: double>").alias("seen"), "glucose", "lag")
+    rows = seen.unionByName(wanted).withColumn("part", F.floor(F.col("t") / (360 * MICROS_PER_MINUTE)))
+    here, across = Window.partitionBy("k", "part"), Window.partitionBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("k", "part").agg(F.min("seen").alias("first"), F.max("seen").alias("last"))
+    parts = parts.select(F.col("k").alias("pk"), F.col("part").alias("at"), F.last("last", True).over(across.orderBy("part")).alias("earlier"), F.last("first", True).over(across.orderBy(F.desc("part"))).alias("later"))
+    rows = rows.withColumns({"before": F.last("seen", True).over(here.orderBy("t")), "after": F.last("seen", True).over(here.orderBy(F.desc("t")))}).where("lag is not null")
+    rows = rows.join(parts, rows["k"].eqNullSafe(parts["pk"]) & (rows["part"] == parts["at"]))
+    rows = rows.select("k", "t", "glucose", "lag", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
+    back, on = F.col("t") - F.col("before.us"), F.col("after.us") - F.col("t")
+    near = rows.select("k", "glucose", "lag", F.least(back, on).alias("apart"), F.when(back <= F.coalesce(on, back), F.col("before.g")).otherwise(F.col("after.g")).alias("then"))
+    t = lag_tolerance(df, keys).withColumnRenamed("k", "tk").where("tolerance is not null")
+    near = near.join(t, near["k"].eqNullSafe(t["tk"])).where(F.col("apart") <= F.col("tolerance") * 1_000_000)
     diff = F.col("then") - F.col("glucose")
     found = near.groupBy("k").agg(
-        *(F.stddev_samp(F.when(F.col("lag") == n, diff)).alias(n) for n in LAGS), F.avg(F.when(F.col("lag") == "conga_24h", F.abs(diff))).alias("modd"),
+        *(F.stddev_samp(F.when(F.col("lag") == by, diff)).alias(n) for n, by in LAGS.items()), F.avg(F.when(F.col("lag") == LAGS["conga_24h"], F.abs(diff))).alias("modd"),
     )
     every = df.groupBy(F.struct(*keys).alias("ek")).agg(F.lit(1).alias("one"))
     return every.join(found, every["ek"].eqNullSafe(found["k"]), "left").select("ek.*", *LAGS, "modd")

@@ -123,6 +123,28 @@ def test_lag_metrics_on_regular_series_equal_positions(spark):
     assert r["conga_12h"] == pytest.approx((x[144:] - x[:-144]).std(ddof=1)) and r["conga_24h"] == pytest.approx((x[288:] - x[:-288]).std(ddof=1)) and r["modd"] == pytest.approx(np.abs(x[288:] - x[:-288]).mean())
 
 
+def test_lag_metrics_of_dense_series_meet_each_reading_twice(spark):
+    rng = np.random.default_rng(3)
+    # Times close together and equal, a day without a reading, a second group; every wanted time has many readings within the tolerance.
+    days = {"A": (0, 1, 3, 4), "B": (0, 1)}
+    at = {i: np.sort(np.concatenate([d * 86400 + rng.integers(0, 3600, 60) for d in ds] + [d * 86400 + 43200 + rng.integers(0, 3600, 60) for d in ds])) for i, ds in days.items()}
+    x = {i: [float(v) for v in rng.integers(50, 300, len(t))] for i, t in at.items()}
+    rows = [(i, 1767225600 + int(t), v, k) for i in at for k, (t, v) in enumerate(zip(at[i], x[i], strict=True))]
+    df = spark.createDataFrame(rows, "id string, s long, glucose double, _ord long").select("id", F.timestamp_seconds("s").alias("timestamp"), "glucose", "_ord")
+    out = M.lag_metrics(df, ["id"])
+    got = {r["id"]: r for r in out.collect()}
+    for i, t in at.items():
+        gap = np.diff(t)
+        tolerance = max(60, 0.51 * np.median(gap[gap > 0]))
+        diff = {}
+        for lag in (43200, 86400):
+            found = [(min((abs(u - a - lag), u, v) for u, v in zip(t, x[i], strict=True)), b) for a, b in zip(t, x[i], strict=True)]
+            diff[lag] = np.array([v - b for (apart, _, v), b in found if apart <= tolerance])
+        assert [got[i][c] for c in ("conga_12h", "conga_24h", "modd")] == pytest.approx([diff[43200].std(ddof=1), diff[86400].std(ddof=1), np.abs(diff[86400]).mean()])
+    # No join by time: only tables of a row a group or a part of its days are joined.
+    assert "bucket" not in out._jdf.queryExecution().optimizedPlan().toString() and "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mage_and_risk(spark):
     x = [100, 180, 90, 200, 80, 85, 84, 160]
     ext = [180, 90, 200, 80, 85, 84]
