@@ -251,17 +251,18 @@ def mse_whole(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> D
     embedding has no more), so those within the tolerance are in the same cell or next to each other.  A cell is cut into
     blocks of about ``CELL_ROWS`` templates, and blocks of the same cell or of neighbours meet, each
     pair once: what is counted is compared exactly, and no task has more than two blocks at a time.
+    Equal templates are one, with their number, so the work grows with the square of distinct ones.
     """
     m, dims = params.embedding, min(2, params.embedding)
     d = templates(df, params)
     width = F.col("r") * (1 + 1e-9)
     cell = [F.floor(F.get("x", F.lit(k)) / width).alias(f"c{k}") for k in range(dims)]
     cells = ["id", "scale", *(f"c{k}" for k in range(dims))]
-    d = stored(d.select("id", "scale", "t", "x", "r", *cell), "templates")
+    d = stored(d.select("id", "scale", "t", "x", "r", *cell).groupBy(*cells, "x").agg(F.first("r").alias("r"), F.min("t").alias("t"), F.count("*").alias("times")), "templates")
     sizes = d.groupBy(*cells).agg(F.ceil(F.count("*") / CELL_ROWS).alias("blocks")).select(*(F.col(c).alias(f"__{c}") for c in cells), "blocks")
     same = [F.col(c) == F.col(f"__{c}") for c in cells]
     d = d.join(sizes, same).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks"))).drop(*(f"__{c}" for c in cells))
-    blocks = stored(d.groupBy(*cells, "block").agg(F.first("r").alias("r"), F.flatten(F.collect_list("x")).alias("xs")), "blocks")  # CELL_ROWS or so each
+    blocks = stored(d.groupBy(*cells, "block").agg(F.first("r").alias("r"), F.flatten(F.collect_list(F.concat("x", F.array(F.col("times").cast("double"))))).alias("xs")), "blocks")  # CELL_ROWS or so each
     # Every cell beside or above in one direction, so that two cells meet once; a cell meets itself block by block.
     ways = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)] if dims == 2 else [(0,), (1,)]
     way = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"w{k}") for k, v in enumerate(w))) for w in ways))).alias("way")
@@ -274,17 +275,19 @@ def mse_whole(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> D
         for batch in batches:
             out = []
             for r, a, b, itself in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), batch.column(5).to_pylist(), strict=True):
-                a, b = (v.values.to_numpy(zero_copy_only=False).reshape(-1, m + 1) for v in (a, b))
+                a, b = (v.values.to_numpy(zero_copy_only=False).reshape(-1, m + 2) for v in (a, b))
+                times = b[:, m + 1]
                 hits = more = 0
                 for start in range(0, len(a), 512):
                     part = a[start : start + 512]
                     near = np.ones((len(part), len(b)), bool)
                     for k in range(m):
                         near &= np.abs(part[:, k, None] - b[:, k]) <= r
-                    hits += int(near.sum())
-                    more += int((near & (np.abs(part[:, m, None] - b[:, m]) <= r)).sum())
+                    more += int(part[:, m + 1] @ ((near & (np.abs(part[:, m, None] - b[:, m]) <= r)) @ times))
+                    hits += int(part[:, m + 1] @ (near @ times))
                 # Within a block every pair is seen from both sides, and each template meets itself.
-                out.append(((hits - len(a)) // 2, (more - len(a)) // 2) if itself else (hits, more))
+                own = int(times.sum())
+                out.append(((hits - own) // 2, (more - own) // 2) if itself else (hits, more))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h for h, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], ["id", "scale", "hits", "more"])
 
     totals = pairs.mapInArrow(count, "id string, scale int, hits long, more long").groupBy("id", "scale").agg(F.sum("hits").alias("hits"), F.sum("more").alias("more")).where("hits > 0 and more > 0")

@@ -145,6 +145,24 @@ def test_lag_metrics_of_dense_series_meet_each_reading_twice(spark):
     assert "bucket" not in out._jdf.queryExecution().optimizedPlan().toString() and "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_equal_templates_of_whole_series_are_compared_once(spark, monkeypatch):
+    sizes, stored = {}, C.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(C, "stored", counted)
+    x = np.repeat(np.random.default_rng(2).integers(60, 250, 30).astype(float), 20)
+    params = ComplexityParams(thin_to=None, scales=2)
+    got = {r["scale"]: r["sample_entropy"] for r in C.mse(series(spark, x), params).collect()}
+    for scale in (1, 2):
+        coarse = x.reshape(-1, scale).mean(axis=1)
+        assert got[scale] == pytest.approx(C.sample_entropy(coarse, params.embedding, params.tolerance * coarse.std(ddof=1)), abs=1e-12)
+    assert sizes["templates"] <= 2 * 3 * 30  # of 596 and 298 templates
+
+
 def test_mage_and_risk(spark):
     x = [100, 180, 90, 200, 80, 85, 84, 160]
     ext = [180, 90, 200, 80, 85, 84]
