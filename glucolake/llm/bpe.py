@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from glucolake.llm.shared import batched, steps
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WIDE = 32
 NO_RANK = np.int32(1 << 30)
-#: Bytes of words that a worker keeps with their ids; when they are more the memory is emptied.  What a word takes besides its bytes.
+#: Bytes of words that a worker keeps with their ids, in two generations; when the younger has half of them it becomes the older, which goes.  What a word takes besides its bytes.
 MEMORY_BYTES, WORD_BYTES = 64 << 20, 300
 
 
@@ -43,6 +44,17 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@functools.cache
+def latin_words() -> re.Pattern:
+    """``PATTERN`` for texts in Latin-1 only, as classes of these 256 characters, which are taken from the Unicode pattern's own.
+
+    Letters come first, as no other branch can begin where they do.
+    """
+    of = lambda kind: "".join(re.escape(c) for c in map(chr, range(256)) if regex.match(kind, c))
+    letter, number, space = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+    return re.compile(f" ?[{letter}]+| ?[{number}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class SegmentTreeBPE:
     def __init__(self, file: str):
         with open(file, encoding="utf-8") as f:
@@ -103,6 +115,7 @@ class SegmentTreeBPE:
         self.token_start = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         self.token_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -140,37 +153,39 @@ class SegmentTreeBPE:
             half = level >> 1
             tree[:, half:level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
             level = half
-        rows = np.flatnonzero(tree[:, 1] < NO_RANK)
-        while len(rows):
-            least = tree[rows, 1]
-            node = np.ones(len(rows), np.int64)
-            while node[0] < width:
+        # From here on by places in the flat arrays: a row's symbols begin at ``first``, its tree at 2 * ``first``.
+        trees, symbols, afters, befores = tree.reshape(-1), symbol.reshape(-1), after.reshape(-1), before.reshape(-1)
+        first = np.flatnonzero(tree[:, 1] < NO_RANK) * width
+        while len(first):
+            root = 2 * first
+            least = trees.take(root + 1)
+            node = np.ones(len(first), np.int64)
+            for _ in range(width.bit_length() - 1):
                 node <<= 1
-                node += tree[rows, node] != least
+                node += trees.take(root + node) != least
             at = node - width
-            right = after[rows, at].astype(np.int64)
-            beyond = after[rows, right].astype(np.int64)
-            prior = before[rows, at].astype(np.int64)
-            into = self.merged[least]
-            symbol[rows, at] = into
-            symbol[rows, right] = -1
-            after[rows, at] = beyond
-            has = beyond >= 0
-            before[rows[has], beyond[has]] = at[has]
-            follow = np.where(has, symbol[rows, beyond], -1)
-            ahead = np.where(prior >= 0, symbol[rows, prior], -1)
+            right = afters.take(first + at).astype(np.int64)
+            beyond = afters.take(first + right).astype(np.int64)
+            prior = befores.take(first + at).astype(np.int64)
+            into = self.merged.take(least)
+            symbols[first + at] = into
+            symbols[first + right] = -1
+            afters[first + at] = beyond
+            has, led = beyond >= 0, prior >= 0
+            befores[(first + beyond)[has]] = at[has]
+            follow = np.where(has, symbols.take(first + beyond), -1)
+            ahead = np.where(led, symbols.take(first + prior), -1)
             new = self.ranks(np.concatenate([into, ahead]), np.concatenate([follow, into]))
-            for place, value in ((right, NO_RANK), (at, new[: len(rows)]), (prior, new[len(rows) :])):
-                leaf = place + width
-                ok = place >= 0
-                r, leaf = (rows, leaf) if ok.all() else (rows[ok], leaf[ok])
-                if not len(r):
-                    continue
-                tree[r, leaf] = value if np.isscalar(value) or len(value) == len(r) else value[ok]
-                while leaf[0] > 1:
-                    leaf = leaf >> 1
-                    tree[r, leaf] = np.minimum(tree[r, 2 * leaf], tree[r, 2 * leaf + 1])
-            rows = rows[tree[rows, 1] < NO_RANK]
+            trees[root + width + right] = NO_RANK
+            trees[root + node] = new[: len(first)]
+            trees[(root + width + prior)[led]] = new[len(first) :][led]
+            # All three leaves go up side by side; where none is before, the pair's own stands in.
+            changed, roots = np.concatenate([node, width + right, np.where(led, width + prior, node)]), np.concatenate([root, root, root])
+            for _ in range(width.bit_length() - 1):
+                lower = roots + (changed & -2)
+                changed >>= 1
+                trees[roots + changed] = np.minimum(trees.take(lower), trees.take(lower + 1))
+            first = first[trees.take(root + 1) < NO_RANK]
         kept = symbol >= 0
         ids = symbol[kept].astype("<u4").tobytes()
         ends = np.cumsum(kept.sum(axis=1)) * 4
@@ -223,18 +238,38 @@ class SegmentTreeBPE:
                 put(h, rank.get(symbol[h] * base + symbol[i], none))
         return np.array([s for s in symbol if s >= 0], "<u4").tobytes()
 
+    def recall(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that the memory hasn't; what only its older generation has goes over to the younger one, so words that come again and again stay."""
+        if self.held > MEMORY_BYTES // 2:
+            self.memory, self.older, self.held = {}, self.memory, 0
+        new = words.difference(self.memory)
+        known = list(self.older.keys() & new)
+        self.held += sum(2 * len(w) + WORD_BYTES for w in known)
+        self.memory.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        return new.difference(known)
+
     def learn(self, words: Iterable[str]) -> None:
         """Put the ids of new words into the memory, words of similar length together."""
-        by_width: dict[int, list[str]] = {}
-        for w in words:
-            n = len(w) if w.isascii() else len(w.encode())
-            by_width.setdefault(0 if n > WIDE else 4 if n <= 4 else 1 << (n - 1).bit_length(), []).append(w)
-        for width, group in by_width.items():
+        words = list(words)
+        coded = [w.encode() for w in words]
+        length = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.held += 2 * int(length.sum()) + WORD_BYTES * len(words)
+        widths = [4 << k for k in range((WIDE // 4).bit_length())]
+        of = np.searchsorted(widths, length)
+        for k, width in enumerate([*widths, 0]):
+            group = np.flatnonzero(of == k).tolist()
             for start in range(0, len(group), 8192):
                 part = group[start : start + 8192]
-                coded = [w.encode() for w in part]
-                self.held += 2 * sum(map(len, coded)) + WORD_BYTES * len(part)
-                self.memory.update(zip(part, self.merge_many(coded, width) if width else map(self.merge_one, coded), strict=True))
+                some = [coded[i] for i in part]
+                self.memory.update(zip((words[i] for i in part), self.merge_many(some, width) if width else map(self.merge_one, some), strict=True))
+
+    def cut(self, text: str) -> list[str]:
+        """The words of a text without added tokens."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.words.findall(text)
+        return latin_words().findall(text)
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """Stretches of a text: added special tokens (True) and what lies between."""
@@ -252,16 +287,14 @@ class SegmentTreeBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
-        if self.held > MEMORY_BYTES:
-            self.memory, self.held = {}, 0
         cut, new = [], set()
         for text in texts:
-            parts = [(special, [p] if special else self.words.findall(p)) for special, p in self.pieces(text)]
+            parts = [(special, [p] if special else self.cut(p)) for special, p in self.pieces(text)]
             cut.append(parts)
             for special, words in parts:
                 if not special:
                     new.update(words)
-        self.learn(w for w in new if w not in self.memory)
+        self.learn(self.recall(new))
         get = self.memory.__getitem__
         return [b"".join(np.uint32(self.added[words[0]]).tobytes() if special else b"".join(map(get, words)) for special, words in parts) for parts in cut]
 

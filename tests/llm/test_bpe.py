@@ -107,3 +107,22 @@ def test_documents(spark, library):
     back = bpe.decode_ids(bpe.encode_documents(df, FILE), FILE)
     assert {r["doc_id"]: r["text"] for r in back.collect()}[3] == "hello world"
     assert bpe.encode_documents(df.where("false"), FILE).count() == 0
+
+
+def test_words_that_come_again_stay_in_memory(monkeypatch):
+    """A word of every batch is merged once, however often new words fill the memory."""
+    b, learned = bpe.SegmentTreeBPE(FILE), []
+    learn = b.learn
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 20_000)
+    monkeypatch.setattr(b, "learn", lambda words: learn([learned.append(w) or w for w in words]))
+    for k in range(40):
+        b.encode([" ".join(["always", *(f"x{chr(97 + k % 26)}{chr(97 + j)}{'y' * (k // 26)}" for j in range(20))])])
+    assert learned.count("always") == 1 and len(learned) == 1 + 40 * 20
+
+
+def test_latin_texts_are_cut_as_others():
+    rng, pattern = np.random.default_rng(4), bpe.regex.compile(bpe.PATTERN)
+    some = [chr(c) for c in range(256)], list(" \t\n\x0b\x0c\r\x1c\x85\xa0a1!'"), list("'stremdvl Aé9²ªº_-\x1f")
+    for k in range(3000):
+        text = "".join(rng.choice(some[k % 3], 12))
+        assert bpe.latin_words().findall(text) == pattern.findall(text), repr(text)
