@@ -152,25 +152,85 @@ def hurst_windows(n: int) -> list[int]:
     return out
 
 
+#: Readings of a subject, one after the other, that one row of ``blocks`` holds.
+BLOCK = 1024
+
+
+def blocks(df: DataFrame) -> DataFrame:
+    """``id``, ``block``, ``n`` (readings of the subject) and ``x``: its values from place ``block * BLOCK`` on, in time order."""
+    d = numbered(df).groupBy("id", F.floor(F.col("i") / BLOCK).alias("block")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x"))
+    return stored(d.select("id", "block", "n", F.transform("x", lambda v: v["x"]).alias("x")), "blocks")
+
+
+def as_batch(rows: list[tuple], columns: dict[str, str]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    values = list(zip(*rows, strict=True)) or [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, k in zip(values, columns.values(), strict=True)], list(columns))
+
+
+#: Columns of ``segments_inside`` and ``segments_across``.
+INSIDE = {"id": "string", "block": "long", "scale": "long", "seg": "long", "n": "long", "total": "double", "lo": "double", "hi": "double"}
+ACROSS = {"id": "string", "block": "long", "scale": "long", "seg": "long", "n": "long", "dev": "double", "squares": "double", "low": "double", "high": "double"}
+
+
+def segments_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block and scale: number and sum of R/S of the segments that lie in the block (``seg`` null); of those that go beyond it, number, sum, least and largest of the values here."""
+    for batch in batches:
+        out = []
+        for name, block, n, x in zip(*(batch.column(c).to_pylist() for c in ("id", "block", "n")), batch.column("x"), strict=True):
+            x, at = x.values.to_numpy(zero_copy_only=False), block * BLOCK
+            for scale in hurst_windows(n):
+                stop = min(at + len(x), n // scale * scale)
+                if stop <= at:
+                    continue
+                first, last = -(-at // scale), stop // scale
+                if first < last:
+                    y = x[first * scale - at : last * scale - at].reshape(-1, scale)
+                    y = y[y.min(axis=1) < y.max(axis=1)]
+                    dev = y - y.mean(axis=1, keepdims=True)
+                    z, sd = dev.cumsum(axis=1), np.sqrt((dev * dev).mean(axis=1))
+                    rs = (z.max(axis=1) - z.min(axis=1))[sd > 0] / sd[sd > 0]
+                    out.append((name, block, scale, None, len(rs), float(rs.sum()), None, None))
+                for a, b in [(at, first * scale), (last * scale, stop)] if first <= last else [(at, stop)]:
+                    if a < b:
+                        y = x[a - at : b - at]
+                        out.append((name, block, scale, a // scale, len(y), float(y.sum()), float(y.min()), float(y.max())))
+        yield as_batch(out, INSIDE)
+
+
+def segments_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block and segment of ``cut`` (scale, segment and its mean): number, sum and sum of squares of deviations in the block, least and largest of their running sums from its first on."""
+    for batch in batches:
+        out = []
+        for name, block, x, cut in zip(*(batch.column(c).to_pylist() for c in ("id", "block")), batch.column("x"), batch.column("cut").to_pylist(), strict=True):
+            x, at = x.values.to_numpy(zero_copy_only=False), block * BLOCK
+            for c in cut:
+                scale, seg = c["scale"], c["seg"]
+                dev = x[max(seg * scale - at, 0) : (seg + 1) * scale - at] - c["mean"]
+                z = dev.cumsum()
+                out.append((name, block, scale, seg, len(z), float(z[-1]), float(dev @ dev), float(z.min()), float(z.max())))
+        yield as_batch(out, ACROSS)
+
+
 def hurst(df: DataFrame) -> DataFrame:
     """Hurst exponent by rescaled range, corrected by the range expected of independent values (Anis and Lloyd, Peters).
 
-    Re-derived from the literature; slope of log R/S less its expectation, plus a half.
+    Re-derived from the literature; slope of log R/S less its expectation, plus a half.  Readings stand
+    in blocks, a row each, whatever the number of scales; a segment that goes beyond a block is put
+    together from a row a block, so a reading is never repeated and a long segment is never in a task.
     """
-    s = numbered(df)
-    sizes = s.groupBy("id").agg(F.max("n").alias("size"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("size >= 16 and hi > lo")
-    windows = F.udf(lambda n: hurst_windows(n), "array<int>")
-    s = s.join(sizes.select("id", windows("size").alias("scales")), "id").select("id", "i", "x", "n", F.explode("scales").alias("scale"))
-    s = s.where(F.col("i") < F.floor(F.col("n") / F.col("scale")) * F.col("scale")).withColumn("seg", F.floor(F.col("i") / F.col("scale")))
-    # Sums by blocks of 4096 rows keep the running sum of a long segment out of a single task.
-    s = s.withColumn("block", F.floor(F.col("i") / 4096))
-    m = s.groupBy("id", "scale", "seg").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    s = s.join(m, ["id", "scale", "seg"]).withColumn("dev", F.col("x") - F.col("mean"))
-    b = s.groupBy("id", "scale", "seg", "block").agg(F.sum("dev").alias("d"))
-    b = b.withColumn("carry", F.sum("d").over(Window.partitionBy("id", "scale", "seg").orderBy("block")) - F.col("d")).drop("d")
-    run = F.sum("dev").over(Window.partitionBy("id", "scale", "seg", "block").orderBy("i"))
-    s = s.withColumn("run", run).join(b, ["id", "scale", "seg", "block"]).withColumn("z", F.col("run") + F.col("carry"))
-    r = s.groupBy("id", "scale", "seg").agg(((F.max("z") - F.min("z")) / F.nullif(F.max("sd"), F.lit(0.0))).alias("rs")).groupBy("id", "scale").agg(F.avg("rs").alias("rs")).where("rs > 0")
+    d = blocks(df)
+    ddl = lambda columns: ", ".join(f"{c} {k}" for c, k in columns.items())
+    parts = stored(d.mapInArrow(segments_inside, ddl(INSIDE)), "parts")
+    key, beyond = ["id", "scale", "seg"], parts.where("seg is not null")
+    means = beyond.groupBy(*key).agg((F.sum("total") / F.sum("n")).alias("mean"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").drop("lo", "hi")
+    cut = beyond.select(*key, "block").join(means, key).groupBy("id", "block").agg(F.collect_list(F.struct("scale", "seg", "mean")).alias("cut"))  # two a scale at most
+    z = d.select("id", "block", "x").join(cut, ["id", "block"]).mapInArrow(segments_across, ddl(ACROSS))
+    z = z.withColumn("carry", F.sum("dev").over(Window.partitionBy(*key).orderBy("block")) - F.col("dev"))
+    spread = F.max(F.col("carry") + F.col("high")) - F.min(F.col("carry") + F.col("low"))
+    long = z.groupBy(*key).agg((spread / F.nullif(F.sqrt(F.sum("squares") / F.sum("n")), F.lit(0.0))).alias("total")).where("total is not null")
+    r = long.select("id", "scale", F.lit(1).cast("long").alias("n"), "total").unionByName(parts.where("seg is null and n > 0").select("id", "scale", "n", "total"))
+    r = r.groupBy("id", "scale").agg((F.sum("total") / F.sum("n")).alias("rs")).where("rs > 0")
     expected = F.udf(lambda n: expected_range(n), "double")
     r = r.select("id", F.log("scale").alias("x"), (F.log("rs") - F.log(expected("scale"))).alias("y"))
     return slope(r, "y", "x", "h").select("id", (F.col("h") + 0.5).alias("hurst"))
@@ -179,8 +239,11 @@ def hurst(df: DataFrame) -> DataFrame:
 def expected_range(n: int) -> float:
     """R/S expected of n independent normal values."""
     ratio = math.exp(math.lgamma((n - 1) / 2) - math.lgamma(n / 2)) / math.sqrt(math.pi) if n <= 340 else 1 / math.sqrt(n * math.pi / 2)
-    i = np.arange(1, n)
-    return float((n - 0.5) / n * ratio * np.sqrt((n - i) / i).sum())
+    total = 0.0
+    for start in range(1, n, 1 << 20):
+        i = np.arange(start, min(start + (1 << 20), n))
+        total += float(np.sqrt((n - i) / i).sum())
+    return (n - 0.5) / n * ratio * total
 
 
 def sample_entropy(x: np.ndarray, m: int, r: float) -> float:

@@ -229,6 +229,49 @@ def test_hurst_orders_persistence(spark):
     assert h["anti"] < h["white"] < h["walk"] and abs(h["white"] - 0.5) < 0.12
 
 
+def rescaled_ranges(x):
+    """Mean R/S for each segment length, segment by segment."""
+    out = {}
+    for scale in C.hurst_windows(len(x)):
+        found = []
+        for seg in np.asarray(x, float)[: len(x) // scale * scale].reshape(-1, scale):
+            z = np.cumsum(seg - seg.mean())
+            if seg.min() < seg.max():
+                found.append((z.max() - z.min()) / seg.std())
+        if found:
+            out[scale] = np.mean(found)
+    return out
+
+
+@pytest.mark.parametrize("n", [15, 16, 37, 1000, 1024, 2500, 5001])
+def test_hurst_of_any_length_and_with_flat_stretches(spark, n):
+    """Segments within blocks, over their ends and over many blocks give what plain loops do; constant ones count for nothing."""
+    x = 100 + np.random.default_rng(n).integers(0, 200, n) / 10
+    x[n // 3 : n // 3 + n // 5] = 110.3
+    rs = rescaled_ranges(x)
+    got = C.hurst(series(spark, x)).collect()
+    if len(rs) < 2:
+        assert [r["hurst"] for r in got] == [None] * len(rs)
+        return
+    want = 0.5 + np.polyfit(np.log(list(rs)), [math.log(v) - math.log(C.expected_range(s)) for s, v in rs.items()], 1)[0]
+    assert got[0]["hurst"] == pytest.approx(want, abs=1e-9) and len(got) == 1
+
+
+def test_hurst_repeats_no_reading_by_scale(spark, monkeypatch):
+    """What is stored and shuffled besides the readings, once each, is a few rows a block and scale."""
+    rows, stored = {}, C.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(C, "stored", counted)
+    x = np.random.default_rng(3).normal(120, 20, 20_000)
+    assert C.hurst(series(spark, x)).count() == 1
+    assert rows["blocks"] == 20 and rows["parts"] <= 20 * len(C.hurst_windows(20_000)) * 3
+
+
 def test_functional(spark):
     rows = [(i, d, k) for i in "AB" for d in range(1, 4) for k in range(288)]
     df = spark.createDataFrame([(i, f"2026-01-0{d}", k, 115 + 25 * math.sin(2 * math.pi * k / 288) + 12 * (i == "B")) for i, d, k in rows], "id string, d string, k int, glucose double")
