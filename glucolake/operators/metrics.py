@@ -22,11 +22,20 @@ def with_periods(df: DataFrame) -> DataFrame:
     return df.withColumn("metric_period", F.explode(F.filter(F.array(F.lit("full_day"), part), lambda x: x.isNotNull())))
 
 
-def base_metrics(df: DataFrame, thresholds: Thresholds = Thresholds(), keys: list[str] | None = None) -> DataFrame:
-    """Fifteen measures per group; a group without a reading has a row with ``readings`` 0 and nulls."""
-    t, g = thresholds, F.col("glucose")
-    return df.withColumn("glucose", finite("glucose")).groupBy(*(keys_of(df) if keys is None else keys)).agg(
-        F.count(g).alias("readings"), F.avg(g).alias("mean_glucose"), F.percentile(g, 0.5).alias("median_glucose"), F.stddev_samp(g).alias("sd_glucose"),
+def base_metrics(df: DataFrame, thresholds: Thresholds = Thresholds(), keys: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Fifteen measures per group; a group without a reading has a row with ``readings`` 0 and nulls.
+
+    With ``order``, a column that tells the rows of a group apart, ``mean_glucose`` adds readings
+    one after the other in that order, so it is the same to the last bit wherever the rows lie:
+    what compares means for equality (ranks, ties) needs that.  A group's rows then pass through one task.
+    """
+    t, g, keys = thresholds, F.col("glucose"), keys_of(df) if keys is None else keys
+    d, mean = df.withColumn("glucose", finite("glucose")), F.avg(g)
+    if order:
+        d = d.withColumn("__sum", F.sum(g).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        mean = F.max_by("__sum", order) / F.nullif(F.count(g), F.lit(0))
+    return d.groupBy(*keys).agg(
+        F.count(g).alias("readings"), mean.alias("mean_glucose"), F.percentile(g, 0.5).alias("median_glucose"), F.stddev_samp(g).alias("sd_glucose"),
         (100 * F.stddev_samp(g) / F.nullif(F.avg(g), F.lit(0.0))).alias("cv_percent"), F.min(g).alias("min_glucose"), F.max(g).alias("max_glucose"),
         percent((g >= t.tir_lower) & (g <= t.tir_upper), g).alias("tir_percent"), percent(g < t.tir_lower, g).alias("tbr_percent"), percent(g > t.tir_upper, g).alias("tar_percent"),
         percent(g < t.tbr_level2, g).alias("tbr_level2_percent"), percent((g >= t.tbr_level2) & (g < t.tir_lower), g).alias("tbr_level1_percent"),

@@ -301,9 +301,9 @@ def missingness_review(spark, d):
 SUBJECT = f"WITH {SPARSE}, b AS (SELECT id, \"group\", sex, avg(glucose) AS v FROM g GROUP BY ALL)"
 
 
-def subject_metrics(spark, d):
+def subject_metrics(spark, d, order=None):
     r = readings(spark, d, dense=False)
-    return metrics.base_metrics(r.withColumn("metric_period", F.lit("full_day")), keys=["id", "group", "sex", "metric_period"])
+    return metrics.base_metrics(r.withColumn("metric_period", F.lit("full_day")), keys=["id", "group", "sex", "metric_period"], order=order)
 
 
 @query("group_summary", f"""{SUBJECT}
@@ -321,7 +321,7 @@ def welch_moments(spark, d):
 @query("rank_sums", f"""{SUBJECT}, t AS (SELECT v, count(*) AS t FROM b WHERE v IS NOT NULL GROUP BY v), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS mr FROM b WHERE v IS NOT NULL)
 FINAL SELECT "group", count(*) AS n, sum(mr) AS rank_sum, (SELECT sum(t * t * t - t) FROM t) AS tie_term FROM r GROUP BY "group" """, "group:s n:i rank_sum:d tie_term:i")
 def rank_sums(spark, d):
-    return stats.rank_sums(subject_metrics(spark, d), "mean_glucose")
+    return stats.rank_sums(subject_metrics(spark, d, "_ord"), "mean_glucose")
 
 
 @query("welch_test", f"""{SUBJECT}, a AS (SELECT sex, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM b WHERE v IS NOT NULL GROUP BY sex), o AS (SELECT string_agg(sex, ' vs ' ORDER BY sex) AS groups, string_agg(n, ' / ' ORDER BY sex) AS n, arg_min(m, sex) - arg_max(m, sex) AS d, sum(s / n) AS e, sum(pow(s / n, 2) / (n - 1)) AS f FROM a),
@@ -340,7 +340,7 @@ q AS (SELECT *, abs(w - n1 * n2 / 2.0::DOUBLE - 0.5 * sign(w - n1 * n2 / 2.0::DO
 FINAL SELECT 'mean_glucose' AS metric, 'group' AS grouping, 'wilcoxon' AS test, groups, sizes AS n, w AS statistic, 1 - 2 / sqrt(2 * pi()) * (z / 4000 / 3) * list_sum(list_transform(range(4001), lambda k: CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(k * z / 4000, 2) / 2))) AS p_value, '' AS note FROM q""",
     "metric:s grouping:s test:s groups:s n:s statistic:d p_value:d note:s")
 def wilcoxon_test(spark, d):
-    return stats.compare_groups(subject_metrics(spark, d), "mean_glucose", "group", "wilcoxon")
+    return stats.compare_groups(subject_metrics(spark, d, "_ord"), "mean_glucose", "group", "wilcoxon")
 
 
 @query("shannon_entropy", f"""WITH {DENSE}, lo AS (SELECT id, floor(min(glucose) / 10) * 10 AS low FROM g GROUP BY id),

@@ -20,6 +20,7 @@ from glucolake.operators import predictive as R
 from glucolake.operators import quality as Q
 from glucolake.operators import scope as S
 from glucolake.operators import stats as T
+from glucolake.plans.queries import QUERIES
 
 
 def table(spark, rows, group="g"):
@@ -498,6 +499,33 @@ def test_sums_below_equal_one_window(spark):
     assert with_sum_below(df.where("false"), "v", "n").count() == 0
 
 
+def test_equal_series_have_equal_means_wherever_their_rows_lie(spark):
+    """Means are added in order, so subjects with the same readings tie to the last bit; null readings are left out."""
+    rng = np.random.default_rng(6)
+    x = [None, *(40 + rng.exponential(50, 60).round(2)).tolist(), None]
+    rows = [(f"U{k}", v, "full_day", "ab"[k % 2], 100 * i + k) for i, v in enumerate(x) for k in range(12)]
+    rows = [rows[i] for i in rng.permutation(len(rows))] + [("none", None, "full_day", "a", 0)]
+    df = spark.createDataFrame(rows, "id string, glucose double, metric_period string, group string, _ord long").repartition(7)
+    m = M.base_metrics(df, keys=["id", "group", "metric_period"], order="_ord")
+    total = 0.0
+    for v in x[1:-1]:
+        total += v
+    assert {r["mean_glucose"] for r in m.where("id <> 'none'").collect()} == {total / 60} and m.where("id = 'none'").first()["mean_glucose"] is None
+    got = {r["group"]: r.asDict() for r in T.rank_sums(m, "mean_glucose").collect()}
+    assert all(r["tie_term"] == 12**3 - 12 and r["rank_sum"] == 6 * 6.5 and r["n"] == 6 for r in got.values())
+
+
+def test_rank_queries_add_means_in_order(spark, tmp_path):
+    """Of subjects whose rows lie in several files, those with the same readings tie in the queries, too."""
+    rng = np.random.default_rng(7)
+    x = rng.exponential(50, 60).round(2).tolist()
+    rows = [(100 * i + k, 1767225600 + i, k, "view", v) for i, v in enumerate(x) for k in range(12)]
+    e = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "event_id long, s long, user_id long, event_type string, value double")
+    e.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type", "value").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["group"]: r.asDict() for r in QUERIES["rank_sums"](spark, str(tmp_path)).collect()}
+    assert all(r["tie_term"] == 12**3 - 12 and r["rank_sum"] == 6 * 6.5 for r in got.values())
+
+
 def test_predictive_exports_and_cards(spark):
     rng = np.random.default_rng(4)
     wave = lambda n, low: [130 + low * math.sin(4 * math.pi * i / 288) + rng.normal(0, 15) for i in range(n)]
