@@ -156,9 +156,9 @@ def hurst_windows(n: int) -> list[int]:
 BLOCK = 1024
 
 
-def blocks(df: DataFrame) -> DataFrame:
-    """``id``, ``block``, ``n`` (readings of the subject) and ``x``: its values from place ``block * BLOCK`` on, in time order."""
-    d = numbered(df).groupBy("id", F.floor(F.col("i") / BLOCK).alias("block")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x"))
+def blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``id``, ``block``, ``n`` (readings of the subject) and ``x``: its values from place ``block * size`` on, in time order."""
+    d = numbered(df).groupBy("id", F.floor(F.col("i") / size).alias("block")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x"))
     return stored(d.select("id", "block", "n", F.transform("x", lambda v: v["x"]).alias("x")), "blocks")
 
 
@@ -290,21 +290,211 @@ def mse(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> DataFra
     return thin.where(kept).select("id", "i", "x").groupBy("id").applyInPandas(scales, "id string, scale int, sample_entropy double")
 
 
-#: Templates of a cell that meet others at a time.
-CELL_ROWS = 2048
+#: Templates of a cell that meet others at a time, and those of them that one set of bits covers.
+CELL_ROWS, SET = 32768, 2048
+#: Fixed value: up to so many pairs are compared one by one.
+FEW_PAIRS = 1 << 17
+#: Columns of ``coarse_series``: templates, or, with ``x`` null, moments of a block's part of the coarse series.
+COARSE = pa.schema([("id", pa.string()), ("scale", pa.int32()), ("x", pa.list_(pa.float64())), ("times", pa.int64()), ("n", pa.int64()), ("mean", pa.float64()), ("squares", pa.float64()), ("lo", pa.float64()), ("hi", pa.float64())])
+
+
+def distinct_templates(c: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different runs of ``m + 1`` values of ``c``, and how often each is there."""
+    if len(c) <= m:
+        return np.empty((0, m + 1)), np.empty(0, np.int64)
+    t = np.lib.stride_tricks.sliding_window_view(c, m + 1)
+    t = t[np.lexsort(t.T)]
+    new = np.flatnonzero(np.append(True, (t[1:] != t[:-1]).any(axis=1)))
+    return t[new], np.diff(new, append=len(t))
+
+
+def coarse_series(rows: pa.RecordBatch, size: int, m: int, scales: int) -> pa.RecordBatch:
+    """Of blocks of ``size`` readings, each with the ``head`` of the next: by scale, the templates that start in it, and moments of its own coarse values."""
+    of, values, times, moments = [], [], [], []
+    for name, block, n, x, head in zip(*(rows.column(c).to_pylist() for c in ("id", "block", "n")), rows.column("x"), rows.column("head"), strict=True):
+        x, at = x.values.to_numpy(zero_copy_only=False), block * size
+        if head.is_valid:
+            x = np.append(x, head.values.to_numpy(zero_copy_only=False))
+        for scale in range(1, scales + 1):
+            first, points = -(-at // scale), n // scale
+            last = min(-(-(at + size) // scale), points)
+            if first < last:
+                c = x[first * scale - at : min(last + m, points) * scale - at].reshape(-1, scale).mean(axis=1)
+                own = c[: last - first]
+                dev = own - own.mean()
+                moments.append((len(own), float(own.mean()), float(dev @ dev), float(own.min()), float(own.max())))
+                found, often = distinct_templates(c, m)
+                of.append((name, scale, len(found)))
+                values.append(found.ravel())
+                times.append(often)
+    repeats, k = np.array([n for _, _, n in of], np.int64), len(of)
+    total = int(repeats.sum())
+    keys = [pa.array([name for name, _, _ in of], pa.string()), pa.array([scale for _, scale, _ in of], pa.int32())]
+    where = pa.array(np.repeat(np.arange(k), repeats))
+    x = pa.ListArray.from_arrays(pa.array(np.arange(total + 1) * (m + 1), pa.int32()), pa.array(np.concatenate([*values, []]), pa.float64()))
+    found = [*(c.take(where) for c in keys), x, pa.array(np.concatenate([*times, []]), pa.int64()), *(pa.nulls(total, f.type) for f in list(COARSE)[4:])]
+    parts = [*keys, *(pa.nulls(k, f.type) for f in list(COARSE)[2:4]), *(pa.array([row[j] for row in moments], f.type) for j, f in enumerate(list(COARSE)[4:]))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(both) for both in zip(found, parts, strict=True)], schema=COARSE)
 
 
 def templates(df: DataFrame, params: ComplexityParams) -> DataFrame:
-    """``id``, ``scale``, ``t``, ``x`` (``embedding + 1`` values of the coarse series from place t on) and ``r``, the tolerance."""
-    m = params.embedding
-    s = numbered(df).select("id", "i", "x", "n", F.explode(F.sequence(F.lit(1), F.lit(params.scales))).alias("scale"))
-    s = s.where(F.col("i") < F.floor(F.col("n") / F.col("scale")) * F.col("scale"))
-    coarse = stored(s.groupBy("id", "scale", F.floor(F.col("i") / F.col("scale")).alias("j")).agg(F.avg("x").alias("v")), "coarse")
-    spread = coarse.groupBy(F.col("id").alias("__id"), F.col("scale").alias("__scale")).agg(F.count("*").alias("points"), (params.tolerance * F.stddev_samp("v")).alias("r")).where((F.col("points") > m + 1) & (F.col("r") > 0))
-    placed = coarse.select("id", "scale", "v", F.posexplode(F.sequence(F.col("j"), F.col("j") - m)).alias("k", "t"))
-    found = placed.groupBy("id", "scale", "t").agg(*(F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"x{k}") for k in range(m + 1)))
-    found = found.where(" and ".join(f"x{k} is not null" for k in range(m + 1)))
-    return found.join(spread, (F.col("id") == F.col("__id")) & (F.col("scale") == F.col("__scale"))).select("id", "scale", "t", F.array(*(f"x{k}" for k in range(m + 1))).alias("x"), "r")
+    """``id``, ``scale``, ``x`` (``embedding + 1`` values of the coarse series, one after the other), ``times`` (how often a block of readings has it) and ``r``, the tolerance."""
+    m, scales = params.embedding, params.scales
+    ahead = (m + 1) * scales - 1  # readings after a block that its templates reach into
+    size = max(BLOCK, ahead)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from (coarse_series(batch.slice(start, 64), size, m, scales) for start in range(0, batch.num_rows, 64))
+
+    d = blocks(df, size)
+    heads = d.where("block > 0").select("id", (F.col("block") - 1).alias("block"), F.slice("x", 1, ahead).alias("head"))
+    coarse = stored(d.join(heads, ["id", "block"], "left").mapInArrow(cut, "id string, scale int, x array<double>, times long, n long, mean double, squares double, lo double, hi double"), "coarse")
+    parts, off = coarse.where("x is null"), F.col("mean") - F.col("centre")
+    totals = parts.groupBy("id", "scale").agg(F.sum("n").alias("points"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("centre"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+    totals = totals.where((F.col("points") > m + 1) & (F.col("least") < F.col("most"))).select("id", "scale", "points", "centre")
+    variance = F.sum(F.col("squares") + F.col("n") * off * off) / (F.max("points") - 1)
+    spread = stored(parts.join(totals, ["id", "scale"]).groupBy("id", "scale").agg((params.tolerance * F.sqrt(variance)).alias("r")).where("r > 0"), "spread")
+    return coarse.where("x is not null").select("id", "scale", "x", "times").join(spread, ["id", "scale"])
+
+
+def cell_blocks(batches: Iterator[pa.RecordBatch], wide: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Of templates, those of a cell one after the other: blocks of at most ``most`` different ones of a cell, as ``xs``, each followed by its number.
+
+    No more than 16 blocks of a cell are held at a time; equal templates beyond that may be in two blocks.
+    """
+    key, held, waiting, number = None, [], 0, 0
+
+    def flush() -> list[tuple]:
+        nonlocal held, waiting, number
+        if not held:
+            return []
+        t = np.concatenate(held)
+        t = t[np.lexsort(t[:, :wide].T)]
+        new = np.flatnonzero(np.append(True, (t[1:, :wide] != t[:-1, :wide]).any(axis=1)))
+        t = np.column_stack([t[new, :wide], np.add.reduceat(t[:, wide], new)])
+        out = [(*key[:-1], number + k, key[-1], t[start : start + most].ravel()) for k, start in enumerate(range(0, len(t), most))]
+        held, waiting, number = [], 0, number + len(out)
+        return out
+
+    def as_blocks(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int32(), *[pa.int64()] * (len(names) - 4), pa.float64(), pa.list_(pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    names: list[str] = []
+    for batch in batches:
+        keys = batch.schema.names[:-3]  # id, scale, the cell and r
+        names, out = [*keys[:-1], "block", "r", "xs"], []
+        x = batch.column("x")
+        t = np.column_stack([x.flatten().to_numpy(zero_copy_only=False).reshape(-1, wide), batch.column("times").to_numpy(zero_copy_only=False)])
+        columns = [batch.column("id").dictionary_encode().indices, *(batch.column(k) for k in keys[1:])]
+        change = np.zeros(max(len(t) - 1, 0), bool)
+        for c in (c.to_numpy(zero_copy_only=False) for c in columns):
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(t)]
+        firsts = batch.select(keys).take(pa.array(cuts[:-1], pa.int64())).to_pylist() if len(t) else []
+        for start, stop, row in zip(cuts, cuts[1:], firsts, strict=False):
+            if tuple(row.values()) != key or waiting > 16 * most:
+                out += flush()
+                key = tuple(row.values())
+            held.append(t[start:stop])
+            waiting += stop - start
+        if out:
+            yield as_blocks(out, names)
+    if held:
+        yield as_blocks(flush(), names)
+
+
+def bounds(a: np.ndarray, values: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``a`` the place of the first of ``values``, which rise, that lies within r, and the place after the last."""
+    lo, hi, n = np.searchsorted(values, a - r, "left"), np.searchsorted(values, a + r, "right"), len(values)
+    # a - r and a + r are rounded; what counts is the rounded difference.
+    for at, holds in ((lo, lambda v: a - v > r), (hi, lambda v: v - a <= r)):
+        while (up := (at < n) & holds(values[np.minimum(at, n - 1)])).any():
+            at += up
+        while (down := (at > 0) & ~holds(values[np.maximum(at - 1, 0)])).any():
+            at -= down
+    return lo, hi
+
+
+def prefixes(order: np.ndarray) -> np.ndarray:
+    """Row k: the set of the first k places of ``order``, a bit for each place."""
+    out = np.zeros((-(-len(order) // 64), len(order) + 1), np.uint64)
+    out[order >> 6, np.arange(1, len(order) + 1)] = np.uint64(1) << (order & 63).astype(np.uint64)
+    return np.ascontiguousarray(np.bitwise_or.accumulate(out, axis=1).T)
+
+
+def summed(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... values."""
+    return np.append(0, np.cumsum(values))
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, r: float) -> tuple[int, int]:
+    """Pairs of a row of ``a`` and one of ``b`` with all values but the last within r, and with that, too.
+
+    The column after the values says how often a row counts.  Rows of ``b`` lie in the order of their last value;
+    of ``SET`` at a time, those within r of a row's value are a set of bits, the difference of two
+    prefixes of their order, and a row's pairs are the bits that the sets of its values share.
+    """
+    m = a.shape[1] - 2
+    if len(a) * len(b) <= FEW_PAIRS:
+        near = np.ones((len(a), len(b)), bool)
+        for k in range(m):
+            near &= np.abs(a[:, k, None] - b[:, k]) <= r
+        more = near & (np.abs(a[:, m, None] - b[:, m]) <= r)
+        return int(a[:, -1] @ (near @ b[:, -1])), int(a[:, -1] @ (more @ b[:, -1]))
+    if len(a) < len(b):
+        a, b = b, a
+    a, b = a[np.argsort(a[:, m], kind="stable")], b[np.argsort(b[:, m], kind="stable")]
+    often, times = a[:, -1].astype(np.int64), b[:, -1].astype(np.int64)
+    sides, ranks = {}, {}
+    for k in range(m + 1):
+        if k == m or max(a[:, k].max() - b[:, k].min(), b[:, k].max() - a[:, k].min()) > r:  # else all are near by this value
+            values, ranks[k] = np.unique(b[:, k], return_inverse=True)
+            sides[k] = bounds(a[:, k], values, r)
+    below = summed(np.bincount(ranks[m]))
+    start, stop = (below[v] for v in sides.pop(m))  # those of b that are near by the last value
+    hits = more = 0
+    if not sides:
+        upto = summed(times)
+        hits, more = int(often.sum()) * int(upto[-1]), int(often @ (upto[stop] - upto[start]))
+    if len(sides) == 1:
+        (k, (lo, hi)), = sides.items()
+        upto = summed(np.bincount(ranks[k], times).astype(np.int64))
+        hits = int(often @ (upto[hi] - upto[lo]))
+    for at in range(0, len(b) if sides else 0, SET):
+        part = times[at : at + SET]
+        size, words = len(part), -(-len(part) // 64)
+        last, sets = prefixes(np.arange(size)), []
+        for k, (lo, hi) in sides.items():
+            rank = ranks[k][at : at + SET]
+            upto = summed(np.bincount(rank, minlength=int(hi.max()) + 1))
+            sets.append((prefixes(np.argsort(rank, kind="stable")), upto[lo] if lo.any() else None, upto[hi]))
+        # How often rows of b count is told bit by bit.
+        planes = [None] if part.max() == 1 else [np.packbits(np.append(part >> j & 1, np.zeros(words * 64 - size, np.int64)).astype(np.uint8), bitorder="little").view(np.uint64) for j in range(int(part.max()).bit_length())]
+        ones = np.ones(words, np.float32)
+
+        def weight(near: np.ndarray, rows: slice) -> int:
+            return sum(int(often[rows] @ (np.bitwise_count(near if p is None else near & p).astype(np.float32) @ ones).astype(np.int64)) << j for j, p in enumerate(planes))
+
+        here = slice(int(np.searchsorted(stop, at, "right")), int(np.searchsorted(start, at + size, "left")))  # rows of a with a near last value in this part
+        whole = len(sides) > 1
+        for first in range(0 if whole else here.start, len(a) if whole else here.stop, SET):
+            rows = slice(first, min(first + SET, len(a) if whole else here.stop))
+            near = None
+            for table, lo, hi in sets:
+                found = table.take(hi[rows], axis=0, mode="clip")
+                if lo is not None:
+                    found ^= table.take(lo[rows], axis=0, mode="clip")
+                near = found if near is None else np.bitwise_and(near, found, out=near)
+            if whole:
+                hits += weight(near, rows)
+            inside = slice(max(first, here.start), min(rows.stop, here.stop))
+            if inside.start < inside.stop:
+                near = near[inside.start - first : inside.stop - first]
+                near &= last.take(np.clip(stop[inside] - at, 0, size), axis=0, mode="clip") ^ last.take(np.clip(start[inside] - at, 0, size), axis=0, mode="clip")
+                more += weight(near, inside)
+    return hits, more
 
 
 def mse_whole(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> DataFrame:
@@ -312,20 +502,19 @@ def mse_whole(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> D
 
     Templates lie in cells a hair wider than the tolerance by their first two values (one, if the
     embedding has no more), so those within the tolerance are in the same cell or next to each other.  A cell is cut into
-    blocks of about ``CELL_ROWS`` templates, and blocks of the same cell or of neighbours meet, each
+    blocks of at most ``CELL_ROWS`` templates, and blocks of the same cell or of neighbours meet, each
     pair once: what is counted is compared exactly, and no task has more than two blocks at a time.
-    Equal templates are one, with their number, so the work grows with the square of distinct ones.
+    Equal templates are one, with their number, so the work grows with the square of distinct ones, some 64 pairs at a step (``near_pairs``).
     """
     m, dims = params.embedding, min(2, params.embedding)
-    d = templates(df, params)
     width = F.col("r") * (1 + 1e-9)
     cell = [F.floor(F.get("x", F.lit(k)) / width).alias(f"c{k}") for k in range(dims)]
     cells = ["id", "scale", *(f"c{k}" for k in range(dims))]
-    d = stored(d.select("id", "scale", "t", "x", "r", *cell).groupBy(*cells, "x").agg(F.first("r").alias("r"), F.min("t").alias("t"), F.count("*").alias("times")), "templates")
-    sizes = d.groupBy(*cells).agg(F.ceil(F.count("*") / CELL_ROWS).alias("blocks")).select(*(F.col(c).alias(f"__{c}") for c in cells), "blocks")
+    d = templates(df, params).select("id", "scale", *cell, "r", "x", "times")
+    ddl = "id string, scale int, " + ", ".join(f"c{k} long" for k in range(dims)) + ", block long, r double, xs array<double>"
+    rows, wide = CELL_ROWS, m + 1
+    blocks = stored(d.withColumn("cell", F.xxhash64(*cells)).repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: cell_blocks(batches, wide, rows), ddl), "templates")
     same = [F.col(c) == F.col(f"__{c}") for c in cells]
-    d = d.join(sizes, same).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks"))).drop(*(f"__{c}" for c in cells))
-    blocks = stored(d.groupBy(*cells, "block").agg(F.first("r").alias("r"), F.flatten(F.collect_list(F.concat("x", F.array(F.col("times").cast("double"))))).alias("xs")), "blocks")  # CELL_ROWS or so each
     # Every cell beside or above in one direction, so that two cells meet once; a cell meets itself block by block.
     ways = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)] if dims == 2 else [(0,), (1,)]
     way = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"w{k}") for k, v in enumerate(w))) for w in ways))).alias("way")
@@ -339,17 +528,9 @@ def mse_whole(df: DataFrame, params: ComplexityParams = ComplexityParams()) -> D
             out = []
             for r, a, b, itself in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), batch.column(5).to_pylist(), strict=True):
                 a, b = (v.values.to_numpy(zero_copy_only=False).reshape(-1, m + 2) for v in (a, b))
-                times = b[:, m + 1]
-                hits = more = 0
-                for start in range(0, len(a), 512):
-                    part = a[start : start + 512]
-                    near = np.ones((len(part), len(b)), bool)
-                    for k in range(m):
-                        near &= np.abs(part[:, k, None] - b[:, k]) <= r
-                    more += int(part[:, m + 1] @ ((near & (np.abs(part[:, m, None] - b[:, m]) <= r)) @ times))
-                    hits += int(part[:, m + 1] @ (near @ times))
+                hits, more = near_pairs(a, b, r)
                 # Within a block every pair is seen from both sides, and each template meets itself.
-                own = int(times.sum())
+                own = int(b[:, -1].sum())
                 out.append(((hits - own) // 2, (more - own) // 2) if itself else (hits, more))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h for h, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], ["id", "scale", "hits", "more"])
 

@@ -564,6 +564,47 @@ def test_sample_entropy_of_whole_series_equals_all_pairs(spark, monkeypatch, emb
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
 
 
+@pytest.mark.parametrize("size", [32, 100, 2048])
+def test_near_pairs_by_sets_of_bits_equal_all_pairs(monkeypatch, size):
+    """Also where a difference is the tolerance but for rounding, where rows count more than once, and where both sides of a value cut."""
+    monkeypatch.setattr(C, "FEW_PAIRS", 0)
+    monkeypatch.setattr(C, "SET", size)
+    rng = np.random.default_rng(size)
+    draws = [lambda n: rng.normal(size=n), lambda n: rng.integers(0, 12, n).astype(float), lambda n: rng.integers(0, 30, n) / 10]
+    for k in range(90):
+        m, most, shift = int(rng.integers(1, 4)), (1, 7, 1000)[k % 3], k % 2
+        a, b = (np.column_stack([draws[k % 3]((n, m + 1)), rng.integers(1, most + 1, n)]) for n in rng.integers(1, 400, 2))
+        b[:, 0] += shift
+        r = float(rng.choice([0.1, 0.3, 1, 2, 100]))
+        near = np.all([np.abs(a[:, None, j] - b[:, j]) <= r for j in range(m)], axis=0)
+        more = near & (np.abs(a[:, None, m] - b[:, m]) <= r)
+        assert C.near_pairs(a, b, r) == (int(a[:, -1] @ near @ b[:, -1]), int(a[:, -1] @ more @ b[:, -1]))
+
+
+def test_whole_series_are_cut_into_templates_block_by_block(spark, monkeypatch):
+    """Readings are not repeated for each scale and place: a block of them gives its different templates; also where templates reach beyond a short block."""
+    tables, stored = {}, C.stored
+
+    def kept(df, name):
+        tables[name] = stored(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(C, "stored", kept)
+    monkeypatch.setattr(C, "CELL_ROWS", 20)
+    x = np.repeat(np.random.default_rng(5).integers(60, 250, 30).astype(float), 200)
+    y = np.where(np.random.default_rng(8).random(1500) < 0.9, np.random.default_rng(9).uniform(99, 101, 1500), 200.0)  # most in one cell, more than is held at a time
+    for v, block, params in ((x, 1024, ComplexityParams(thin_to=None, scales=2)), (x, 7, ComplexityParams(thin_to=None, scales=3)), (y, 50, ComplexityParams(thin_to=None, scales=3))):
+        monkeypatch.setattr(C, "BLOCK", block)
+        got = {r["scale"]: r["sample_entropy"] for r in C.mse(series(spark, v), params).collect()}
+        for scale in range(1, params.scales + 1):
+            coarse = v[: len(v) // scale * scale].reshape(-1, scale).mean(axis=1)
+            assert got.pop(scale) == pytest.approx(C.sample_entropy(coarse, params.embedding, params.tolerance * coarse.std(ddof=1)), abs=1e-12)
+        assert not got
+        if block == 1024:
+            assert tables["coarse"].count() <= 6 * 2 * 20  # of 6000 and 3000 places
+            assert tables["templates"].agg(F.sum(F.size("xs"))).first()[0] <= 4 * 2 * 3 * 30 and tables["templates"].agg(F.max(F.size("xs"))).first()[0] <= 4 * 20
+
+
 def test_lttb_of_long_series_is_one_pass(spark):
     """The points of one walk over the whole series, however many days and tasks it lies in; corners are all that is looked at."""
     rng = np.random.default_rng(9)
